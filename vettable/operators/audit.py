@@ -128,7 +128,7 @@ def audit(df: DataFrame, *, keys: list[str] | tuple[str, ...] = ("dataset_id",),
           columns: list[str] | None = None, order_col: str | None = None,
           raw_header: list[str] | None = None, reviews: DataFrame | None = None,
           fingerprints: DataFrame | None = None,
-          type_sample_limit: int = K.TYPE_SAMPLE_LIMIT) -> AuditResult:
+          type_sample_limit: int = K.TYPE_SAMPLE_LIMIT, materialize: bool = False) -> AuditResult:
     """Audit every dataset of ``df`` (verbatim string cells, null allowed).
 
     ``order_col`` gives row order for the type sample (A10). Without it a
@@ -138,6 +138,8 @@ def audit(df: DataFrame, *, keys: list[str] | tuple[str, ...] = ("dataset_id",),
     ``columns``). ``reviews``: ``keys..., public_columns array<string>,
     optional_columns array<string>`` (R4). ``fingerprints``: ``keys...,
     fingerprint`` (file SHA-256, S8); default is the table fingerprint (S9).
+    ``materialize`` checkpoints the one-row-per-dataset result so that later
+    evidence joins neither re-scan the source nor grow the plan.
     """
     keys = list(keys)
     if columns is None:
@@ -183,7 +185,8 @@ def audit(df: DataFrame, *, keys: list[str] | tuple[str, ...] = ("dataset_id",),
 
     ident = identity_stats(df, keys, columns)
     if fingerprints is not None:
-        ident = ident.drop("fingerprint").join(fingerprints, on=keys, how="left")
+        ident = ident.drop("fingerprint").join(
+            fingerprints, on=[k for k in keys if k in fingerprints.columns], how="left")
 
     wide = checks.join(ranked, on=keys, how="left").join(ident, on=keys, how="left")
 
@@ -213,7 +216,7 @@ def audit(df: DataFrame, *, keys: list[str] | tuple[str, ...] = ("dataset_id",),
     found = F.filter(F.array(*items), lambda x: x["count"] > 0)
 
     if reviews is not None:
-        wide = wide.join(reviews, on=keys, how="left")
+        wide = wide.join(reviews, on=[k for k in keys if k in reviews.columns], how="left")
         pub = F.coalesce(F.col("public_columns"), F.array().cast("array<string>"))
         opt = F.coalesce(F.col("optional_columns"), F.array().cast("array<string>"))
     else:
@@ -231,6 +234,9 @@ def audit(df: DataFrame, *, keys: list[str] | tuple[str, ...] = ("dataset_id",),
         x["column"].alias("column"), x["count"].alias("count"),
         accepted(x).alias("accepted")))
     wide = wide.withColumn("_f", tagged)
+    if materialize:
+        from ..session import cut
+        wide = cut(wide.select(*keys, "_f", "fingerprint", "row_count", "duplicate_row_count"))
     remaining = F.filter(F.col("_f"), lambda x: ~x["accepted"])
     total_penalty = F.aggregate(remaining, F.lit(0), lambda acc, x: acc + T.penalty(x["severity"]))
 

@@ -40,3 +40,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)
     return path
+
+
+def cut(df):
+    """Materialize a small evidence table and cut its lineage.
+
+    Evidence tables hold one row per dataset, candidate or finding, so they
+    are tiny next to the data. Writing them once to the checkpoint folder
+    (reliable storage, survives executor loss) keeps later plans small and
+    stops every downstream use from re-scanning the source.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
