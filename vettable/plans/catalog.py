@@ -124,3 +124,111 @@ def fleet_audit(spark, sf_dir):
     """A13/A14 for a fleet: one audit record per event type, one scan for all."""
     return audit(D.events_fleet(spark, sf_dir), order_col="_row_id",
                  columns=["user_id", "props"]).audits.select(*AUDIT_COLS)
+
+
+# ---------------------------------------------------------------- repairs
+from ..operators.repairs import apply_plan  # noqa: E402
+
+PADDED_COLUMNS = ["status", "cust"]
+TRIM_PLAN = [("TRIM_OUTER_WHITESPACE", ["status", "cust"])]
+DEDUPE_PLAN = [("REMOVE_EXACT_DUPLICATES", [])]
+MARKERS_PLAN = [("STANDARDIZE_MISSING_MARKERS", ["priority"])]
+CHAIN_PLAN = [("TRIM_OUTER_WHITESPACE", ["priority"]), ("STANDARDIZE_MISSING_MARKERS", ["priority"]),
+              ("REMOVE_EXACT_DUPLICATES", [])]
+
+
+def _repaired(df: DataFrame, columns: list[str], plan) -> DataFrame:
+    out = apply_plan(df, plan, keys=["dataset_id"], data_columns=columns)
+    return out.select("dataset_id", "_row_id", *columns)
+
+
+@register("repair_trim", O.apply_sql(D.PADDED_ORDERS_SQL, PADDED_COLUMNS, TRIM_PLAN))
+def repair_trim(spark, sf_dir):
+    """outer whitespace removed from the named columns."""
+    return _repaired(D.padded_orders(spark, sf_dir), PADDED_COLUMNS, TRIM_PLAN)
+
+
+@register("repair_dedupe", O.apply_sql(D.DIRTY_ORDERS_SQL, D.ORDERS_COLUMNS, DEDUPE_PLAN))
+def repair_dedupe(spark, sf_dir):
+    """exact duplicate rows removed, first copy (lowest row id) kept."""
+    return _repaired(D.dirty_orders(spark, sf_dir), D.ORDERS_COLUMNS, DEDUPE_PLAN)
+
+
+@register("repair_markers", O.apply_sql(D.DIRTY_ORDERS_SQL, D.ORDERS_COLUMNS, MARKERS_PLAN))
+def repair_markers(spark, sf_dir):
+    """textual missing markers in the named column become null."""
+    return _repaired(D.dirty_orders(spark, sf_dir), D.ORDERS_COLUMNS, MARKERS_PLAN)
+
+
+@register("repair_chain", O.apply_sql(D.DIRTY_ORDERS_SQL, D.ORDERS_COLUMNS, CHAIN_PLAN))
+def repair_chain(spark, sf_dir):
+    """trim, then markers, then de-duplication, in plan order."""
+    return _repaired(D.dirty_orders(spark, sf_dir), D.ORDERS_COLUMNS, CHAIN_PLAN)
+
+
+# ---------------------------------------------------------------- fingerprints
+from ..operators.audit import identity_stats  # noqa: E402
+
+DOC_FP_COLUMNS = ["text", "source"]
+
+
+@register("table_fingerprint", O.fingerprint_sql(
+    "SELECT lang AS dataset_id, text, source FROM documents", DOC_FP_COLUMNS))
+def table_fingerprint(spark, sf_dir):
+    """Order-independent multiset fingerprint of each language's documents."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select(
+        F.col("lang").alias("dataset_id"), "text", "source")
+    return identity_stats(d, ["dataset_id"], DOC_FP_COLUMNS).select(
+        "dataset_id", "row_count", "fingerprint")
+
+
+@register("document_sha256", "SELECT doc_id, sha256(text) AS sha256, CAST(strlen(text) AS BIGINT) AS length FROM documents")
+def document_sha256(spark, sf_dir):
+    """S8 on content: SHA-256 and byte length of every document's UTF-8 bytes."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    b = F.encode("text", "UTF-8")
+    return d.select("doc_id", F.sha2(b, 256).alias("sha256"), F.octet_length(b).cast("bigint")
+                    .alias("length"))
+
+
+# ---------------------------------------------------------------- trials (T-1)
+from ..plans import governed as G  # noqa: E402
+
+ORDERS_CANDIDATES = {
+    "c_dedupe": DEDUPE_PLAN,
+    "c_markers": MARKERS_PLAN,
+    "c_markers_dedupe": MARKERS_PLAN + DEDUPE_PLAN,
+    "c_trim": [("TRIM_OUTER_WHITESPACE", ["priority"])],
+    "c_redact": [("REDACT_PII", ["cust"])],
+}
+
+
+def _orders_analysis(spark, sf_dir):
+    src = D.dirty_orders(spark, sf_dir)
+    before = audit(src, order_col="_row_id", columns=D.ORDERS_COLUMNS, materialize=True)
+    plans, acts = G.candidate_batch(spark, before.audits, ORDERS_CANDIDATES, ["orders"])
+    pol = G.safe_policy(before.audits)
+    return G.evaluate_candidates(src, D.ORDERS_COLUMNS, plans, acts, pol, before=before)
+
+
+def _trial_outputs_sql() -> str:
+    parts = []
+    for cid, plan in ORDERS_CANDIDATES.items():
+        if cid == "c_redact":
+            continue
+        body = O.apply_sql(D.DIRTY_ORDERS_SQL, D.ORDERS_COLUMNS, plan)
+        parts.append(f"SELECT '{cid}' AS dataset_id, _row_id, "
+                     + ", ".join(O.ident(c) for c in D.ORDERS_COLUMNS) + f" FROM ({body}) z")
+    return " UNION ALL ".join(parts)
+
+
+_TRIAL_AUDIT_SQL = ("SELECT 'orders' AS dataset_id, dataset_id AS candidate_id, status, row_count, "
+                    "column_count, duplicate_row_count, quality_score, finding_count FROM ("
+                    + O.audit_sql(_trial_outputs_sql(), D.ORDERS_COLUMNS, output="audits") + ") t")
+
+
+@register("trial_audits", _TRIAL_AUDIT_SQL)
+def trial_audits(spark, sf_dir):
+    """T-1: every permitted candidate executed and re-audited in one job."""
+    a = _orders_analysis(spark, sf_dir)
+    return a.trial.after.audits.select("dataset_id", "candidate_id", *AUDIT_COLS[1:])

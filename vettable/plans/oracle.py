@@ -152,3 +152,54 @@ SELECT a.dataset_id,
 FROM a LEFT JOIN (SELECT dataset_id, count(*) AS n, sum({pen}) AS pen FROM fnd GROUP BY dataset_id) p
   ON p.dataset_id = a.dataset_id
 """
+
+
+def fingerprint_sql(source_sql: str, columns: list[str]) -> str:
+    """S9 in SQL: additive multiset hash of per-row SHA-256 over verbatim cells."""
+    parts = ", ".join(
+        f"CAST(length(coalesce({ident(c)}, '')) AS VARCHAR) || ':' || coalesce({ident(c)}, '')"
+        for c in columns)
+    limbs = ", ".join(f"sum(('0x' || substr(h, {1 + 8 * i}, 8))::UBIGINT::HUGEINT) AS l{i}"
+                      for i in range(8))
+    sig = ",".join(f"{len(c)}:{c}" for c in columns)
+    hexes = ", ".join(f"printf('%08x', (l{i} % 4294967296)::UBIGINT)" for i in range(8))
+    return f"""
+WITH src AS ({source_sql}),
+r AS (SELECT dataset_id, sha256(concat_ws(',', {parts})) AS h FROM src),
+l AS (SELECT dataset_id, count(*) AS n, {limbs} FROM r GROUP BY dataset_id)
+SELECT dataset_id, CAST(n AS BIGINT) AS row_count,
+       sha256(concat_ws('|', {q(sig)}, CAST(n AS VARCHAR), {hexes})) AS fingerprint
+FROM l
+"""
+
+
+def markers_sql(col: str) -> str:
+    markers = ", ".join(q(m) for m in K.MISSING_MARKERS)
+    return (f"CASE WHEN lower({strip_sql(ident(col))}) IN ({markers}) THEN NULL "
+            f"ELSE {ident(col)} END")
+
+
+def dedupe_sql(source_sql: str, columns: list[str], keys: str = "dataset_id") -> str:
+    cols = ", ".join(ident(c) for c in columns)
+    return (f"SELECT {keys}, min(_row_id) AS _row_id, {cols} FROM ({source_sql}) z "
+            f"GROUP BY {keys}, {cols}")
+
+
+def apply_sql(source_sql: str, columns: list[str], actions: list[tuple[str, list[str]]],
+              keys: str = "dataset_id") -> str:
+    """A plan's output as SQL: each action wraps the previous query."""
+    sql = source_sql
+    for action, cols in actions:
+        if action == "REMOVE_EXACT_DUPLICATES":
+            sql = dedupe_sql(sql, columns, keys)
+            continue
+        sel = []
+        for c in columns:
+            if c in cols and action == "TRIM_OUTER_WHITESPACE":
+                sel.append(f"{strip_sql(ident(c))} AS {ident(c)}")
+            elif c in cols and action == "STANDARDIZE_MISSING_MARKERS":
+                sel.append(f"{markers_sql(c)} AS {ident(c)}")
+            else:
+                sel.append(ident(c))
+        sql = f"SELECT {keys}, _row_id, {', '.join(sel)} FROM ({sql}) z"
+    return sql

@@ -24,3 +24,17 @@ def as_text(df: DataFrame, columns: list[str] | None = None,
     out: list[Column] = [F.col(k) for k in (keep or [])]
     out += [F.col(c).cast("string").alias(c) for c in columns]
     return df.select(*out)
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin the rows over the cluster when the scan yields too few splits.
+
+    A large table arrives in thousands of splits and is returned untouched.
+    A small file with one row group would otherwise run all the per-row
+    checks in a single task. The check reads only the planned partition
+    count, never the data.
+    """
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target)
