@@ -91,9 +91,14 @@ def _finding(code: str, severity: str, column: str | None, count: Column) -> Col
                     count.cast("bigint").alias("count"))
 
 
+N_LIMBS = 16  # 16 x 16-bit limbs = the 256 bits of SHA-256
+
+
 def _limbs(hexdigest: Column) -> list[Column]:
-    return [F.conv(F.substring(hexdigest, 1 + 8 * i, 8), 16, 10).cast("decimal(20,0)")
-            for i in range(8)]
+    """Split a hex SHA-256 into 16-bit limbs. Summed as BIGINT they cannot
+    overflow below 2^47 rows per dataset."""
+    return [F.conv(F.substring(hexdigest, 1 + 4 * i, 4), 16, 10).cast("bigint")
+            for i in range(N_LIMBS)]
 
 
 def identity_stats(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
@@ -109,15 +114,14 @@ def identity_stats(df: DataFrame, keys: list[str], columns: list[str]) -> DataFr
                      T.row_digest(folded).alias("_d"),
                      *[x.alias(f"_l{i}") for i, x in enumerate(_limbs(fp_hex))])
     per_digest = rows.groupBy(*keys, "_d").agg(
-        F.count("*").alias("_n"), *[F.sum(f"_l{i}").alias(f"_l{i}") for i in range(8)])
+        F.count("*").alias("_n"), *[F.sum(f"_l{i}").alias(f"_l{i}") for i in range(N_LIMBS)])
     agg = per_digest.groupBy(*keys).agg(
         F.sum("_n").alias("row_count"),
         (F.sum("_n") - F.count("*")).alias("duplicate_row_count"),
-        *[F.sum(f"_l{i}").alias(f"_l{i}") for i in range(8)])
+        *[F.sum(f"_l{i}").alias(f"_l{i}") for i in range(N_LIMBS)])
     schema_sig = ",".join(f"{len(c)}:{c}" for c in columns)
-    mod = F.lit(4294967296).cast("decimal(20,0)")
-    limb_hex = [F.lpad(F.lower(F.hex(F.pmod(F.col(f"_l{i}"), mod).cast("bigint"))), 8, "0")
-                for i in range(8)]
+    limb_hex = [F.lpad(F.lower(F.hex(F.pmod(F.col(f"_l{i}"), F.lit(65536)))), 4, "0")
+                for i in range(N_LIMBS)]
     fingerprint = F.sha2(F.concat_ws("|", F.lit(schema_sig), F.col("row_count").cast("string"),
                                      *limb_hex), 256)
     return agg.select(*keys, F.col("row_count").cast("bigint").alias("row_count"),
@@ -125,6 +129,57 @@ def identity_stats(df: DataFrame, keys: list[str], columns: list[str]) -> DataFr
                       fingerprint.alias("fingerprint"))
 
 
+def column_checks(df: DataFrame, keys: list[str], columns: list[str], order: Column) -> DataFrame:
+    """Pass 1: every per-column conditional count in one aggregation."""
+    aggs: list[Column] = []
+    for i, name in enumerate(columns):
+        v = T.strip(T.na_fold(qcol(name)))
+        ne = F.coalesce(v != F.lit(""), F.lit(False))
+        norm = T.normalize_name(name)
+        aggs.append(F.count_if(~ne).alias(f"m{i}"))
+        aggs.append(F.count_if(ne).alias(f"n{i}"))
+        pii = ne & T.pii_match(v)
+        limit = K.COORDINATE_LIMITS.get(norm)
+        if limit is not None:
+            valid = T.valid_coordinate(v, limit)
+            aggs.append(F.count_if(ne & ~valid).alias(f"c{i}"))
+            pii = pii & ~valid
+        aggs.append(F.count_if(pii).alias(f"p{i}"))
+        aggs.append(F.count_if(ne & T.injection_match(v)).alias(f"j{i}"))
+        num = T.is_numeric(v)
+        aggs.append(F.min(F.when(ne & num, order)).alias(f"fn{i}"))
+        aggs.append(F.min(F.when(ne & ~num, order)).alias(f"ft{i}"))
+    return df.groupBy(*keys).agg(*aggs)
+
+
+def sample_ranks(df: DataFrame, keys: list[str], columns: list[str], order: Column,
+                 checks: DataFrame, type_sample_limit: int) -> DataFrame:
+    """Pass 2: rank of the type-sample cut, only where both kinds were seen.
+
+    ``checks`` is materialized (one row per dataset), so whether any column
+    needs this pass is known before planning it; when none does, the data is
+    not read again. Otherwise only rows at or before a cut are counted, and
+    the cheap order comparison runs before the text test.
+    """
+    thresholds = checks.select(*keys, *[
+        F.when(F.col(f"fn{i}").isNotNull() & F.col(f"ft{i}").isNotNull()
+               & (F.col(f"n{i}") > type_sample_limit),
+               F.greatest(F.col(f"fn{i}"), F.col(f"ft{i}"))).alias(f"t{i}")
+        for i in range(len(columns))])
+    needed = thresholds.filter(F.greatest(*[F.col(f"t{i}") for i in range(len(columns))])
+                               .isNotNull()) if columns else thresholds.limit(0)
+    if not needed.take(1):
+        return thresholds.select(*keys, *[F.lit(None).cast("bigint").alias(f"r{i}")
+                                          for i in range(len(columns))])
+    probe = df.select(*keys, order.alias("_o"), *[qcol(c).alias(f"v{i}") for i, c in enumerate(columns)])
+    cut_at = F.greatest(*[F.col(f"t{i}") for i in range(len(columns))])
+    joined = probe.join(needed, on=keys, how="inner").filter(F.col("_o") <= cut_at)
+    return joined.groupBy(*keys).agg(*[
+        F.count_if((F.col("_o") <= F.col(f"t{i}"))
+                   & F.coalesce(T.strip(T.na_fold(F.col(f"v{i}"))) != F.lit(""), F.lit(False)))
+        .alias(f"r{i}") for i in range(len(columns))])
+
+
 def audit(df: DataFrame, *, keys: list[str] | tuple[str, ...] = ("dataset_id",),
           columns: list[str] | None = None, order_col: str | None = None,
           raw_header: list[str] | None = None, reviews: DataFrame | None = None,
@@ -152,38 +207,9 @@ def audit(df: DataFrame, *, keys: list[str] | tuple[str, ...] = ("dataset_id",),
     order = F.col(order_col)
     df = spread(df.select(*keys, order_col, *[qcol(c) for c in columns]))
 
-    # ---- pass 1: every per-column conditional count in one aggregation ----
-    aggs: list[Column] = []
-    for i, name in enumerate(columns):
-        v = T.strip(T.na_fold(qcol(name)))
-        ne = F.coalesce(v != F.lit(""), F.lit(False))
-        norm = T.normalize_name(name)
-        aggs.append(F.count_if(~ne).alias(f"m{i}"))
-        aggs.append(F.count_if(ne).alias(f"n{i}"))
-        pii = ne & T.pii_match(v)
-        limit = K.COORDINATE_LIMITS.get(norm)
-        if limit is not None:
-            valid = T.valid_coordinate(v, limit)
-            aggs.append(F.count_if(ne & ~valid).alias(f"c{i}"))
-            pii = pii & ~valid
-        aggs.append(F.count_if(pii).alias(f"p{i}"))
-        aggs.append(F.count_if(ne & T.injection_match(v)).alias(f"j{i}"))
-        num = T.is_numeric(v)
-        aggs.append(F.min(F.when(ne & num, order)).alias(f"fn{i}"))
-        aggs.append(F.min(F.when(ne & ~num, order)).alias(f"ft{i}"))
-    checks = df.groupBy(*keys).agg(*aggs)
-
-    # ---- pass 2: exact rank of the type-sample cut, only where both kinds seen ----
-    thresholds = checks.select(*keys, *[
-        F.when(F.col(f"fn{i}").isNotNull() & F.col(f"ft{i}").isNotNull()
-               & (F.col(f"n{i}") > type_sample_limit),
-               F.greatest(F.col(f"fn{i}"), F.col(f"ft{i}"))).alias(f"t{i}")
-        for i in range(len(columns))])
-    probe = df.select(*keys, order, *[qcol(c).alias(f"v{i}") for i, c in enumerate(columns)])
-    ranked = probe.join(thresholds, on=keys, how="inner").groupBy(*keys).agg(*[
-        F.count_if(F.coalesce(T.strip(T.na_fold(F.col(f"v{i}"))) != F.lit(""), F.lit(False))
-                   & (order <= F.col(f"t{i}"))).alias(f"r{i}")
-        for i in range(len(columns))])
+    from ..session import cut
+    checks = cut(column_checks(df, keys, columns, order))
+    ranked = sample_ranks(df, keys, columns, order, checks, type_sample_limit)
 
     ident = identity_stats(df, keys, columns)
     if fingerprints is not None:

@@ -232,3 +232,163 @@ def trial_audits(spark, sf_dir):
     """T-1: every permitted candidate executed and re-audited in one job."""
     a = _orders_analysis(spark, sf_dir)
     return a.trial.after.audits.select("dataset_id", "candidate_id", *AUDIT_COLS[1:])
+
+
+# ---------------------------------------------------------------- authorization (V4/V5)
+from ..functions import constants as K  # noqa: E402
+from ..operators.policy import authorize  # noqa: E402
+
+DOC_SOURCE_SQL = "SELECT lang AS dataset_id, doc_id AS _row_id, text FROM documents"
+
+
+def _two_fleets(spark, sf_dir):
+    """Evidence of two sources with different schemas, unioned as evidence tables."""
+    o = audit(D.dirty_orders(spark, sf_dir), order_col="_row_id", columns=D.ORDERS_COLUMNS,
+              materialize=True)
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select(
+        F.col("lang").alias("dataset_id"), F.col("doc_id").alias("_row_id"), "text")
+    dr = audit(d, order_col="_row_id", columns=["text"], materialize=True)
+    return o.audits.unionByName(dr.audits), o.findings.unionByName(dr.findings)
+
+
+def _decisions(spark, sf_dir):
+    audits, findings = _two_fleets(spark, sf_dir)
+    ids = ["orders", "de", "en", "es", "fr"]
+    plans, acts = G.candidate_batch(spark, audits, ORDERS_CANDIDATES, ids)
+    pol = G.safe_policy(audits)
+    return authorize(audits, findings, plans, acts, pol)
+
+
+def _candidate_values() -> str:
+    rows = []
+    for cid, plan in ORDERS_CANDIDATES.items():
+        allowed = all(a in K.EXECUTABLE_ACTIONS for a, _ in plan)
+        rows.append(f"('{cid}', {len(plan)}, {str(allowed).lower()})")
+    return "(VALUES " + ", ".join(rows) + ") AS cand(candidate_id, n_actions, all_allowed)"
+
+
+_CRIT = ", ".join(O.q(c) for c in K.CRITICAL_REVIEW_CODES)
+_POLICY_SQL = f"""
+WITH f AS (SELECT * FROM ({O.audit_sql(D.DIRTY_ORDERS_SQL, D.ORDERS_COLUMNS)}) x
+           UNION ALL SELECT * FROM ({O.audit_sql(DOC_SOURCE_SQL, ["text"])}) y),
+a AS (SELECT dataset_id, status FROM ({O.audit_sql(D.DIRTY_ORDERS_SQL, D.ORDERS_COLUMNS, output="audits")}) x
+      UNION ALL SELECT dataset_id, status FROM ({O.audit_sql(DOC_SOURCE_SQL, ["text"], output="audits")}) y),
+crit AS (SELECT dataset_id, string_agg(DISTINCT code, ', ' ORDER BY code) AS codes FROM f
+         WHERE NOT accepted AND (severity = 'CRITICAL' OR code IN ({_CRIT})) GROUP BY dataset_id)
+SELECT a.dataset_id, cand.candidate_id,
+  CASE WHEN crit.codes IS NOT NULL THEN 'REQUIRES_REVIEW'
+       WHEN cand.n_actions = 0 AND a.status = 'READY' THEN 'APPROVED'
+       WHEN cand.n_actions = 0 THEN 'REQUIRES_REVIEW'
+       WHEN NOT cand.all_allowed THEN 'REQUIRES_REVIEW' ELSE 'APPROVED' END AS status,
+  CASE WHEN crit.codes IS NOT NULL THEN 'Critical or meaning-sensitive findings require human review: ' || crit.codes || '.'
+       WHEN NOT cand.all_allowed THEN 'At least one proposed action lacks explicit authorization.'
+       ELSE 'Every proposed action is explicitly authorized by the dataset policy.' END AS reason
+FROM a JOIN {_candidate_values()} ON true
+LEFT JOIN crit ON crit.dataset_id = a.dataset_id
+"""
+
+
+@register("policy_decisions", _POLICY_SQL)
+def policy_decisions(spark, sf_dir):
+    """V4/V5: each candidate of each dataset decided against its audit and policy."""
+    pd_, _ = _decisions(spark, sf_dir)
+    return pd_.select("dataset_id", "candidate_id", "status", F.col("reasons")[0].alias("reason"))
+
+
+_ACTION_SQL = f"""
+WITH pd AS ({_POLICY_SQL}),
+acts AS (SELECT * FROM (VALUES {", ".join(
+    f"('{cid}', {i}, '{a}')" for cid, plan in ORDERS_CANDIDATES.items() for i, (a, _) in enumerate(plan))})
+    AS t(candidate_id, action_idx, action))
+SELECT pd.dataset_id, acts.candidate_id, CAST(acts.action_idx AS INTEGER) AS action_idx, acts.action,
+  CASE WHEN pd.reason LIKE 'Critical%' THEN 'REQUIRES_REVIEW'
+       WHEN acts.action IN ({", ".join(O.q(a) for a in K.EXECUTABLE_ACTIONS)}) THEN 'APPROVED'
+       ELSE 'REQUIRES_REVIEW' END AS decision
+FROM pd JOIN acts ON acts.candidate_id = pd.candidate_id
+"""
+
+
+@register("action_decisions", _ACTION_SQL)
+def action_decisions(spark, sf_dir):
+    """V4 per action: approved, held for review, or denied with the plan."""
+    _, ad = _decisions(spark, sf_dir)
+    return ad.select("dataset_id", "candidate_id", "action_idx", "action", "decision")
+
+
+# ---------------------------------------------------------------- comparison, regressions, selection
+_BEFORE_F = O.audit_sql(D.DIRTY_ORDERS_SQL, D.ORDERS_COLUMNS)
+_BEFORE_A = O.audit_sql(D.DIRTY_ORDERS_SQL, D.ORDERS_COLUMNS, output="audits")
+_AFTER_F = O.audit_sql(_trial_outputs_sql(), D.ORDERS_COLUMNS)
+_AFTER_A = O.audit_sql(_trial_outputs_sql(), D.ORDERS_COLUMNS, output="audits")
+
+_COMPARISON_SQL = f"""
+WITH b AS (SELECT * FROM ({_BEFORE_A}) x), a AS (SELECT * FROM ({_AFTER_A}) y),
+bf AS (SELECT dataset_id, list_distinct(list(code)) AS codes FROM ({_BEFORE_F}) z GROUP BY dataset_id),
+af AS (SELECT dataset_id, list_distinct(list(code)) AS codes FROM ({_AFTER_F}) w GROUP BY dataset_id)
+SELECT b.dataset_id, a.dataset_id AS candidate_id, b.status AS before_status, a.status AS after_status,
+  b.quality_score AS before_quality_score, a.quality_score AS after_quality_score,
+  CAST(a.quality_score - b.quality_score AS INTEGER) AS quality_score_delta,
+  b.finding_count AS before_issue_count, a.finding_count AS after_issue_count,
+  CAST(a.finding_count - b.finding_count AS INTEGER) AS issue_count_delta,
+  b.row_count AS before_row_count, a.row_count AS after_row_count,
+  CAST(a.row_count - b.row_count AS BIGINT) AS row_count_delta,
+  b.duplicate_row_count AS before_duplicate_row_count, a.duplicate_row_count AS after_duplicate_row_count,
+  CAST(greatest(0, b.duplicate_row_count - a.duplicate_row_count) AS BIGINT) AS duplicate_rows_removed,
+  array_to_string(list_sort(list_filter(coalesce(bf.codes, []), lambda x: NOT list_contains(coalesce(af.codes, []), x))), ',') AS resolved_issue_codes,
+  array_to_string(list_sort(list_filter(coalesce(bf.codes, []), lambda x: list_contains(coalesce(af.codes, []), x))), ',') AS remaining_issue_codes,
+  array_to_string(list_sort(list_filter(coalesce(af.codes, []), lambda x: NOT list_contains(coalesce(bf.codes, []), x))), ',') AS new_issue_codes
+FROM b JOIN a ON true LEFT JOIN bf ON bf.dataset_id = b.dataset_id LEFT JOIN af ON af.dataset_id = a.dataset_id
+"""
+
+
+@register("comparison", _COMPARISON_SQL)
+def comparison_query(spark, sf_dir):
+    """T-2: before/after deltas and code sets for every executed candidate."""
+    return _orders_analysis(spark, sf_dir).comparisons
+
+
+_SEV = "CASE severity WHEN 'INFO' THEN 1 WHEN 'WARNING' THEN 2 WHEN 'CRITICAL' THEN 3 ELSE 0 END"
+_REGRESSION_SQL = f"""
+WITH b AS (SELECT * FROM ({_BEFORE_A}) x), a AS (SELECT * FROM ({_AFTER_A}) y),
+bp AS (SELECT code, "column", max({_SEV}) AS sev, sum("count") AS cnt FROM ({_BEFORE_F}) z GROUP BY code, "column"),
+ap AS (SELECT dataset_id, code, "column", max({_SEV}) AS sev, sum("count") AS cnt FROM ({_AFTER_F}) w
+       GROUP BY dataset_id, code, "column"),
+dd AS (SELECT * FROM (VALUES {", ".join(f"('{cid}', {str(any(x == 'REMOVE_EXACT_DUPLICATES' for x, _ in plan)).lower()})" for cid, plan in ORDERS_CANDIDATES.items())}) AS t(candidate_id, has_dedupe)),
+scalar AS (
+  SELECT a.dataset_id AS candidate_id, 'READINESS_REGRESSION' AS rule FROM a JOIN b ON true WHERE b.status = 'READY' AND a.status <> 'READY'
+  UNION ALL SELECT a.dataset_id, 'QUALITY_SCORE_DECREASED' FROM a JOIN b ON true WHERE a.quality_score < b.quality_score
+  UNION ALL SELECT a.dataset_id, 'COLUMN_COUNT_CHANGED' FROM a JOIN b ON true WHERE a.column_count <> b.column_count
+  UNION ALL SELECT a.dataset_id, 'ROWS_ADDED' FROM a JOIN b ON true WHERE a.row_count > b.row_count
+  UNION ALL SELECT a.dataset_id, CASE WHEN NOT dd.has_dedupe THEN 'UNEXPECTED_ROW_REMOVAL' ELSE 'EXCESS_ROW_REMOVAL' END
+     FROM a JOIN b ON true JOIN dd ON dd.candidate_id = a.dataset_id
+     WHERE (b.row_count - a.row_count > 0 AND NOT dd.has_dedupe) OR (dd.has_dedupe AND b.row_count - a.row_count > b.duplicate_row_count)
+  UNION ALL SELECT a.dataset_id, 'DUPLICATES_INCREASED' FROM a JOIN b ON true WHERE a.duplicate_row_count > b.duplicate_row_count),
+per AS (
+  SELECT ap.dataset_id AS candidate_id, 'NEW_FINDING' AS rule, ap.code, ap."column" FROM ap
+    LEFT JOIN bp ON bp.code = ap.code AND bp."column" IS NOT DISTINCT FROM ap."column" WHERE bp.code IS NULL
+  UNION ALL SELECT ap.dataset_id, 'SEVERITY_INCREASED', ap.code, ap."column" FROM ap
+    JOIN bp ON bp.code = ap.code AND bp."column" IS NOT DISTINCT FROM ap."column" WHERE ap.sev > bp.sev
+  UNION ALL SELECT ap.dataset_id, 'FINDING_COUNT_INCREASED', ap.code, ap."column" FROM ap
+    JOIN bp ON bp.code = ap.code AND bp."column" IS NOT DISTINCT FROM ap."column" WHERE ap.cnt > bp.cnt)
+SELECT 'orders' AS dataset_id, candidate_id, rule, CAST(NULL AS VARCHAR) AS code, CAST(NULL AS VARCHAR) AS "column" FROM scalar
+UNION ALL SELECT 'orders', candidate_id, rule, code, "column" FROM per
+"""
+
+
+@register("regressions", _REGRESSION_SQL)
+def regressions_query(spark, sf_dir):
+    """T-4: regression rules fired by each executed candidate."""
+    return _orders_analysis(spark, sf_dir).regressions
+
+
+@register("candidate_evaluations")
+def candidate_evaluations(spark, sf_dir):
+    """T-5/T-6 + C3: evaluation status and disposition of every candidate."""
+    a = _orders_analysis(spark, sf_dir)
+    return a.candidates
+
+
+@register("recommendation")
+def recommendation(spark, sf_dir):
+    """Skyline of improving candidates, tie collapse, outcome."""
+    return _orders_analysis(spark, sf_dir).recommendations

@@ -159,10 +159,10 @@ def fingerprint_sql(source_sql: str, columns: list[str]) -> str:
     parts = ", ".join(
         f"CAST(length(coalesce({ident(c)}, '')) AS VARCHAR) || ':' || coalesce({ident(c)}, '')"
         for c in columns)
-    limbs = ", ".join(f"sum(('0x' || substr(h, {1 + 8 * i}, 8))::UBIGINT::HUGEINT) AS l{i}"
-                      for i in range(8))
+    limbs = ", ".join(f"sum(('0x' || substr(h, {1 + 4 * i}, 4))::UBIGINT::HUGEINT) AS l{i}"
+                      for i in range(16))
     sig = ",".join(f"{len(c)}:{c}" for c in columns)
-    hexes = ", ".join(f"printf('%08x', (l{i} % 4294967296)::UBIGINT)" for i in range(8))
+    hexes = ", ".join(f"printf('%04x', (l{i} % 65536)::UBIGINT)" for i in range(16))
     return f"""
 WITH src AS ({source_sql}),
 r AS (SELECT dataset_id, sha256(concat_ws(',', {parts})) AS h FROM src),
