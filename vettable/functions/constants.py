@@ -96,6 +96,16 @@ PROMPT_INJECTION = (
     r"|(?:\bsystem\s+prompt\b)"
 )
 
+# Contact values hidden in a row preview (email or North-American phone).
+SENSITIVE_PREVIEW = (
+    r"\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b"
+    r"|(?<!\d)(?:\+?1[.\s-]?)?\(?\d{3}\)?[.\s-]?\d{3}[.\s-]?\d{4}(?!\d)"
+)
+PREVIEW_ROWS = 25
+PREVIEW_VALUES_PER_ROW = 12
+PREVIEW_MAX_CHARS = 70
+PREVIEW_KEEP_CHARS = 67
+
 # --- fixed values: scoring ---
 PENALTIES = {"INFO": 2, "WARNING": 10, "CRITICAL": 25}
 SEVERITY_RANK = {"INFO": 1, "WARNING": 2, "CRITICAL": 3}

@@ -152,6 +152,11 @@ def column_checks(df: DataFrame, keys: list[str], columns: list[str], order: Col
     return df.groupBy(*keys).agg(*aggs)
 
 
+def _greatest(cols: list[Column]) -> Column:
+    """Largest non-null value (null when all are null); any number of columns."""
+    return cols[0] if len(cols) == 1 else F.greatest(*cols)
+
+
 def sample_ranks(df: DataFrame, keys: list[str], columns: list[str], order: Column,
                  checks: DataFrame, type_sample_limit: int) -> DataFrame:
     """Pass 2: rank of the type-sample cut, only where both kinds were seen.
@@ -166,13 +171,13 @@ def sample_ranks(df: DataFrame, keys: list[str], columns: list[str], order: Colu
                & (F.col(f"n{i}") > type_sample_limit),
                F.greatest(F.col(f"fn{i}"), F.col(f"ft{i}"))).alias(f"t{i}")
         for i in range(len(columns))])
-    needed = thresholds.filter(F.greatest(*[F.col(f"t{i}") for i in range(len(columns))])
+    needed = thresholds.filter(_greatest([F.col(f"t{i}") for i in range(len(columns))])
                                .isNotNull()) if columns else thresholds.limit(0)
     if not needed.take(1):
         return thresholds.select(*keys, *[F.lit(None).cast("bigint").alias(f"r{i}")
                                           for i in range(len(columns))])
     probe = df.select(*keys, order.alias("_o"), *[qcol(c).alias(f"v{i}") for i, c in enumerate(columns)])
-    cut_at = F.greatest(*[F.col(f"t{i}") for i in range(len(columns))])
+    cut_at = _greatest([F.col(f"t{i}") for i in range(len(columns))])
     joined = probe.join(needed, on=keys, how="inner").filter(F.col("_o") <= cut_at)
     return joined.groupBy(*keys).agg(*[
         F.count_if((F.col("_o") <= F.col(f"t{i}"))

@@ -392,3 +392,93 @@ def candidate_evaluations(spark, sf_dir):
 def recommendation(spark, sf_dir):
     """Skyline of improving candidates, tie collapse, outcome."""
     return _orders_analysis(spark, sf_dir).recommendations
+
+
+# ---------------------------------------------------------------- JSON records (S3)
+from ..sources.json_records import json_cells, json_table, key_union  # noqa: E402
+
+
+@register("json_props_audit", O.audit_sql(
+    "SELECT event_type AS dataset_id, event_id AS _row_id, coalesce(props->>'k', '') AS k FROM events",
+    ["k"]))
+def json_props_audit(spark, sf_dir):
+    """S3 + audit: each event's JSON props as a record; one table per event type."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(
+        F.col("event_type").alias("dataset_id"), F.col("event_id").alias("_row_id"), "props")
+    cells, _ = json_cells(e, "props")
+    cols = [r["column"] for r in key_union(cells).groupBy("column")
+            .agg(F.min("position").alias("p")).orderBy("p").collect()]
+    table = json_table(cells, cols)
+    return audit(table, order_col="_row_id", columns=cols).findings
+
+
+@register("json_rejects", "SELECT event_type AS dataset_id, CAST(count(*) FILTER (WHERE NOT json_valid(props) "
+          "OR json_type(props) <> 'OBJECT') AS BIGINT) AS rejected, CAST(count(*) AS BIGINT) AS records "
+          "FROM events GROUP BY event_type")
+def json_rejects(spark, sf_dir):
+    """S3 rejection counts per event type (invalid, non-object, nested, duplicate keys)."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(
+        F.col("event_type").alias("dataset_id"), F.col("event_id").alias("_row_id"), "props")
+    _, rejects = json_cells(e, "props")
+    per = rejects.groupBy("dataset_id").agg(F.countDistinct("_row_id").alias("rejected"))
+    tot = e.groupBy("dataset_id").agg(F.count("*").alias("records"))
+    return tot.join(per, on="dataset_id", how="left").select(
+        "dataset_id", F.coalesce("rejected", F.lit(0)).cast("bigint").alias("rejected"),
+        F.col("records").cast("bigint").alias("records"))
+
+
+# ---------------------------------------------------------------- preview
+from ..sources.preview import preview  # noqa: E402
+
+_SENS_RE2 = ("(?i)(?:\\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\\.[A-Z]{2,}\\b)"
+             "|(?:(?:^|[^0-9])(?:\\+?1[.\\s-]?)?\\(?\\d{3}\\)?[.\\s-]?\\d{3}[.\\s-]?\\d{4}(?:[^0-9]|$))")
+_S = O.strip_sql("x")
+_PREVIEW_SQL = f"""
+WITH f AS (SELECT doc_id, text, lang, source FROM documents ORDER BY doc_id LIMIT {K.PREVIEW_ROWS}),
+p AS (SELECT doc_id, list_filter([CAST(doc_id AS VARCHAR), text, lang, source],
+                                 lambda x: x IS NOT NULL AND {_S} <> '') AS present FROM f)
+SELECT doc_id AS row_key, CAST(len(present) AS INTEGER) AS populated_cells,
+  array_to_string(list_transform(present[1:{K.PREVIEW_VALUES_PER_ROW}], lambda x:
+    CASE WHEN regexp_matches({_S}, {O.q(_SENS_RE2)}) THEN '[sensitive value]'
+         WHEN length({_S}) > {K.PREVIEW_MAX_CHARS} THEN substr({_S}, 1, {K.PREVIEW_KEEP_CHARS}) || '...'
+         ELSE {_S} END), ' | ') AS preview
+FROM p WHERE len(present) > 0
+"""
+
+
+@register("redacted_preview", _PREVIEW_SQL)
+def redacted_preview(spark, sf_dir):
+    """First 25 documents, redacted and shortened cell previews (top-k is the feature)."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return preview(d, ["doc_id", "text", "lang", "source"], "doc_id")
+
+
+# ---------------------------------------------------------------- preflight (P1-P15), headers
+from ..operators.audit import header_findings  # noqa: E402
+from ..operators.preflight import preflight  # noqa: E402
+from ..sources.files import texts_as_files  # noqa: E402
+
+
+def _documents_as_files(spark, sf_dir):
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select(
+        "doc_id", "text", F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".csv"))
+        .alias("name"))
+    return texts_as_files(d, "doc_id", "text", "name")
+
+
+@register("preflight_documents")
+def preflight_documents(spark, sf_dir):
+    """P3-P15 over every document treated as the bytes of one CSV file."""
+    return preflight(_documents_as_files(spark, sf_dir)).select(
+        "dataset_id", "status", "risk_flag", "encoding", "delimiter", "column_count",
+        "data_row_count", "file_size_bytes")
+
+
+@register("header_findings")
+def header_findings_query(spark, sf_dir):
+    """A1-A3, A6 over the header (first CSV record) of every document-file."""
+    pf = preflight(_documents_as_files(spark, sf_dir), max_cell_length=None, max_rows=None,
+                   max_columns=None)
+    headers = pf.filter(F.col("header").isNotNull()).select(
+        "dataset_id", F.posexplode("header").alias("position", "name"))
+    return header_findings(headers, ["dataset_id"])
