@@ -482,3 +482,189 @@ def header_findings_query(spark, sf_dir):
     headers = pf.filter(F.col("header").isNotNull()).select(
         "dataset_id", F.posexplode("header").alias("position", "name"))
     return header_findings(headers, ["dataset_id"])
+
+
+# ---------------------------------------------------------------- evidence
+from ..operators import evidence as EV  # noqa: E402
+
+_ALIAS_SQL = f"""
+WITH f AS (SELECT * FROM ({O.audit_sql(D.DIRTY_ORDERS_SQL, D.ORDERS_COLUMNS)}) x
+           UNION ALL SELECT * FROM ({O.audit_sql(DOC_SOURCE_SQL, ["text"])}) y),
+al AS (SELECT dataset_id, "column",
+              printf('column_%03d', dense_rank() OVER (PARTITION BY dataset_id ORDER BY "column")) AS alias
+       FROM (SELECT DISTINCT dataset_id, "column" FROM f WHERE "column" IS NOT NULL AND NOT accepted) z)
+SELECT f.dataset_id, f.ord, f.code, f.severity, al.alias AS column_ref, f."count"
+FROM f LEFT JOIN al ON al.dataset_id = f.dataset_id AND al."column" = f."column"
+WHERE NOT f.accepted AND f.ord < {EV.MAX_ISSUES}
+"""
+
+
+@register("aliased_evidence", _ALIAS_SQL)
+def aliased_evidence(spark, sf_dir):
+    """Findings leave only with column aliases, codes and counts."""
+    audits, findings = _two_fleets(spark, sf_dir)
+    return EV.minimized_issues(findings, audits)
+
+
+@register("evidence_documents")
+def evidence_documents(spark, sf_dir):
+    """E3 record: one sorted-key JSON evidence document per dataset."""
+    audits, findings = _two_fleets(spark, sf_dir)
+    return EV.minimized_evidence(findings, audits)
+
+
+# ---------------------------------------------------------------- reviews
+from ..operators import review as RV  # noqa: E402
+from ..operators.audit import contact_conflicts  # noqa: E402
+
+_REVIEW_ROWS = [("orders", "optional", "priority", "analyst-7", "Priority may be blank for bulk orders.", 1767225600)]
+
+
+def _reviews(spark, rows=_REVIEW_ROWS):
+    return spark.createDataFrame(rows, "dataset_id string, kind string, column string, "
+                                       "reviewer_reference string, reason string, reviewed_at bigint")
+
+
+_REVIEWED_F = O.audit_sql(D.DIRTY_ORDERS_SQL, D.ORDERS_COLUMNS,
+                          accepted="(\"column\" = 'priority' AND code = 'MISSING_VALUES')")
+_REVIEWED_A = O.audit_sql(D.DIRTY_ORDERS_SQL, D.ORDERS_COLUMNS, output="audits",
+                          accepted="(\"column\" = 'priority' AND code = 'MISSING_VALUES')")
+
+
+@register("review_split", _REVIEWED_F)
+def review_split(spark, sf_dir):
+    """A declared optional column's missing values are accepted, not penalized."""
+    sets = RV.review_sets(_reviews(spark))
+    return audit(D.dirty_orders(spark, sf_dir), order_col="_row_id", columns=D.ORDERS_COLUMNS,
+                 reviews=sets).findings
+
+
+@register("review_score", _REVIEWED_A)
+def review_score(spark, sf_dir):
+    """R4 + A13: the audit record re-scored after the reviewer's declarations."""
+    sets = RV.review_sets(_reviews(spark))
+    return audit(D.dirty_orders(spark, sf_dir), order_col="_row_id", columns=D.ORDERS_COLUMNS,
+                 reviews=sets).audits.select(*AUDIT_COLS)
+
+
+_CONTACT_SQL = f"""
+SELECT lang AS dataset_id, 'business_email' AS "column",
+  CAST(count(*) FILTER (WHERE {O.strip_sql('text')} <> '' AND (
+        regexp_matches({O.strip_sql('text')}, {O.q(K.SSN_VALUE)})
+     OR (regexp_matches({O.strip_sql('text')}, {O.q(O.PII_RE2)})
+         AND NOT regexp_full_match({O.strip_sql('text')}, {O.q('(?i)' + K.EMAIL_VALUE)})))) AS BIGINT) AS conflicts
+FROM documents GROUP BY lang
+"""
+
+
+@register("review_conflicts", _CONTACT_SQL)
+def review_conflicts(spark, sf_dir):
+    """Document texts declared as a business email column hold other sensitive text."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select(
+        F.col("lang").alias("dataset_id"), F.col("text").alias("business_email"))
+    return contact_conflicts(d, columns=["business_email"])
+
+
+@register("review_violations")
+def review_violations(spark, sf_dir):
+    """Declarations that cannot be applied (unknown column, not a contact column,
+    incompatible values)."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select(
+        F.col("lang").alias("dataset_id"), F.col("doc_id").alias("_row_id"),
+        F.col("text").alias("business_email"), "source")
+    r = audit(d, order_col="_row_id", columns=["business_email", "source"], materialize=True)
+    langs = [x["dataset_id"] for x in r.audits.select("dataset_id").collect()]
+    rows = []
+    for lang in langs:
+        rows += [(lang, "public_contact", "business_email", "rev", "Declared public mailbox", 0),
+                 (lang, "public_contact", "source", "rev", "Declared public mailbox", 0),
+                 (lang, "optional", "missing_col", "rev", "Declared optional column", 0)]
+    reviews = _reviews(spark, rows)
+    headers = _headers(spark, langs, ["business_email", "source"])
+    conflicts = contact_conflicts(d, columns=["business_email", "source"])
+    return RV.review_violations(reviews, headers, r.findings, conflicts)
+
+
+def _headers(spark, datasets, columns):
+    return spark.createDataFrame([(ds, i, c) for ds in datasets for i, c in enumerate(columns)],
+                                 "dataset_id string, position int, name string")
+
+
+# ---------------------------------------------------------------- human review, gate, batch rules
+from ..operators import policy as PO  # noqa: E402
+
+
+@register("human_resolution")
+def human_resolution(spark, sf_dir):
+    """V6: documents' plans held for review (PII) resolved by a reviewer, all-or-nothing."""
+    audits, findings = _two_fleets(spark, sf_dir)
+    langs = [r["dataset_id"] for r in audits.filter(F.col("dataset_id") != "orders")
+             .select("dataset_id").collect()]
+    plans, acts = G.candidate_batch(spark, audits, ORDERS_CANDIDATES, langs)
+    pd_, ad = authorize(audits, findings, plans, acts, G.safe_policy(audits))
+    rows = []
+    for lang in langs:
+        rows += [(lang, "c_dedupe", "reviewer-1", "Duplicates verified by hand.", [0]),
+                 (lang, "c_markers_dedupe", "reviewer-1", "Only the dedupe step is accepted.", [1]),
+                 (lang, "c_trim", " ", "No reviewer given.", [0])]
+    approvals = spark.createDataFrame(rows, "dataset_id string, candidate_id string, "
+                                            "reviewer_reference string, review_reason string, approved array<int>")
+    res, rejected = PO.resolve_human_review(pd_, ad, approvals)
+    return res.select("dataset_id", "candidate_id", "status", "can_execute").unionByName(
+        rejected.select("dataset_id", "candidate_id", F.col("error").alias("status"),
+                        F.lit(False).alias("can_execute")))
+
+
+@register("execution_gate")
+def execution_gate(spark, sf_dir):
+    """V7: which approved plans may run against the source as it is now."""
+    a = _orders_analysis(spark, sf_dir)
+    current = a.before.audits.select("dataset_id", "fingerprint")
+    plans = a.trial.plan_decisions.select(*PO.PLAN_KEYS, "source_fingerprint")
+    acts = a.trial.action_decisions.select(*PO.PLAN_KEYS, "action_idx", "action", "columns")
+    return PO.execution_gate(plans, acts, a.trial.plan_decisions, a.trial.action_decisions, current) \
+        .select(*PO.PLAN_KEYS, "ready", F.array_join("failed_checks", ",").alias("failed_checks"))
+
+
+_BAD_BATCH = dict(ORDERS_CANDIDATES)
+_BAD_BATCH["c_dedupe_again"] = DEDUPE_PLAN
+_BAD_BATCH["bad id!"] = [("FIX_EVERYTHING", ["priority"])]
+
+
+@register("batch_validation")
+def batch_validation(spark, sf_dir):
+    """V1-V3: schema, batch-size, id and repeated-strategy rules on a proposed batch."""
+    o = audit(D.dirty_orders(spark, sf_dir), order_col="_row_id", columns=D.ORDERS_COLUMNS,
+              materialize=True)
+    plans, acts = G.candidate_batch(spark, o.audits, _BAD_BATCH, ["orders"])
+    return PO.plan_violations(plans, acts).unionByName(PO.batch_violations(plans, acts))
+
+
+# ---------------------------------------------------------------- lineage (L1/L2)
+from ..operators.lineage import export_check, lineage as lineage_op  # noqa: E402
+
+
+@register("lineage")
+def lineage_query(spark, sf_dir):
+    """L1: fingerprints recomputed from data; plan, decision and audits must all bind."""
+    a = _orders_analysis(spark, sf_dir)
+    src = D.dirty_orders(spark, sf_dir)
+    cur_src = identity_stats(src, ["dataset_id"], D.ORDERS_COLUMNS).select("dataset_id", "fingerprint")
+    cur_out = identity_stats(a.trial.outputs, PO.PLAN_KEYS, D.ORDERS_COLUMNS).select(
+        *PO.PLAN_KEYS, "fingerprint")
+    plans = a.trial.plan_decisions.select(*PO.PLAN_KEYS, "source_fingerprint")
+    ok, bad = lineage_op(cur_src, cur_out, a.before.audits, a.trial.after.audits, plans,
+                         a.trial.plan_decisions, a.trial.action_decisions)
+    return ok.select(*PO.PLAN_KEYS, "source_audit_status", "output_audit_status", "policy_id",
+                     "executed_actions", "source_preserved")
+
+
+@register("export_check")
+def export_check_query(spark, sf_dir):
+    """L2: the recommended candidate re-run from the source reproduces its trial output."""
+    a = _orders_analysis(spark, sf_dir)
+    chosen = a.recommendations.filter(F.col("recommended_candidate_id").isNotNull()).select(
+        "dataset_id", F.col("recommended_candidate_id").alias("candidate_id"))
+    return export_check(D.dirty_orders(spark, sf_dir), D.ORDERS_COLUMNS, chosen,
+                        a.trial.action_decisions, a.trial.trials,
+                        a.before.audits.select("dataset_id", "fingerprint"))

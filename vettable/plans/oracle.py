@@ -63,8 +63,12 @@ def _header_counts(header: list[str]) -> tuple[int, int]:
 
 def audit_sql(source_sql: str, columns: list[str], *, header: list[str] | None = None,
               order: str = "_row_id", output: str = "findings",
-              codes: tuple[str, ...] | None = None) -> str:
-    """SQL for the findings (or the audit record) of every dataset_id of a source."""
+              codes: tuple[str, ...] | None = None, accepted: str = "false") -> str:
+    """SQL for the findings (or the audit record) of every dataset_id of a source.
+
+    ``accepted`` is a SQL predicate over ``code`` / ``"column"`` marking
+    findings covered by a reviewer declaration (they do not count in the score).
+    """
     header = header or columns
     n = len(columns)
     fold = ", ".join(
@@ -136,7 +140,7 @@ d AS (SELECT dataset_id, CAST(sum(cnt - 1) AS BIGINT) AS dups
 a AS (SELECT g.*, d.dups, {sample_cols} FROM g JOIN d ON d.dataset_id = g.dataset_id {sample_joins}),
 cand AS ({" UNION ALL ".join(parts)}),
 fnd AS (SELECT dataset_id, CAST(row_number() OVER (PARTITION BY dataset_id ORDER BY k) - 1 AS INTEGER) AS ord,
-               code, severity, "column", "count", false AS accepted
+               code, severity, "column", "count", coalesce({accepted}, false) AS accepted
         FROM cand WHERE "count" > 0)
 """
     if output == "findings":
@@ -149,7 +153,8 @@ SELECT a.dataset_id,
   CAST(a.dups AS BIGINT) AS duplicate_row_count,
   CAST(greatest(0, 100 - coalesce(p.pen, 0)) AS INTEGER) AS quality_score,
   CAST(coalesce(p.n, 0) AS INTEGER) AS finding_count
-FROM a LEFT JOIN (SELECT dataset_id, count(*) AS n, sum({pen}) AS pen FROM fnd GROUP BY dataset_id) p
+FROM a LEFT JOIN (SELECT dataset_id, count(*) AS n, sum({pen}) AS pen FROM fnd WHERE NOT accepted
+                  GROUP BY dataset_id) p
   ON p.dataset_id = a.dataset_id
 """
 
