@@ -155,3 +155,22 @@ BINARY_SIGNATURES = (
     b"\x89PNG",             # PNG image
     b"\xff\xd8\xff",         # JPEG image
 )
+
+# --- fixed values: sheet layout detection ---
+MAX_SCAN_ROWS = 60
+MAX_SCAN_COLUMNS = 200
+MAX_CHOICES = 5
+UNEVALUATED_FORMULA = "[UNEVALUATED_EXCEL_FORMULA]"
+# Generic column-label vocabulary.
+COLUMN_LABELS = (
+    "id", "item", "name", "description", "category", "type", "status",
+    "date", "time", "email", "phone", "contact", "manager", "address",
+    "street", "city", "state", "zip", "country", "region", "amount",
+    "price", "cost", "total", "quantity", "qty", "count", "number",
+    "code", "product", "customer", "record", "source", "url", "link",
+    "website", "distance", "miles", "latitude", "longitude", "notes",
+    "location", "first", "last", "company", "department", "score",
+    "rating", "reference", "motel", "hotel", "availability", "room",
+    "reservation", "owner", "team", "order", "identifier", "units",
+    "model", "value", "year", "month", "day", "unit", "revenue",
+)
