@@ -668,3 +668,29 @@ def export_check_query(spark, sf_dir):
     return export_check(D.dirty_orders(spark, sf_dir), D.ORDERS_COLUMNS, chosen,
                         a.trial.action_decisions, a.trial.trials,
                         a.before.audits.select("dataset_id", "fingerprint"))
+
+
+# ---------------------------------------------------------------- sheet grids
+from ..operators import layout as LY  # noqa: E402
+
+
+@register("grid_headers", O.header_candidates_sql(D.ORDER_WORKBOOKS_SQL))
+def grid_headers(spark, sf_dir):
+    """Scored header-row candidates of every order workbook."""
+    return LY.header_candidates(D.order_workbooks(spark, sf_dir))
+
+
+@register("layout_choices")
+def layout_choices(spark, sf_dir):
+    """Neighbour suppression, dominant-area / strong-header choice per workbook."""
+    return LY.layout_summary(LY.choose_tables(LY.header_candidates(D.order_workbooks(spark, sf_dir))))
+
+
+@register("grid_records")
+def grid_records(spark, sf_dir):
+    """Records below each workbook's chosen header, as (workbook, row, column, value)."""
+    cells = D.order_workbooks(spark, sf_dir)
+    ch = LY.choose_tables(LY.header_candidates(cells)).filter("selected").select(
+        "workbook", "sheet", "header_row")
+    recs, _ = LY.grid_to_table(cells, ch)
+    return recs

@@ -138,3 +138,51 @@ SELECT event_type AS dataset_id, event_id AS _row_id,
   props
 FROM events
 """
+
+
+GRID_LABELS = ["order", "customer", "status", "total price", "order date"]
+GRID_BLOCK = 50
+
+
+def order_workbooks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A grid per block of 50 consecutive orders: a note row, a label row, then records.
+
+    ``cells(workbook, sheet, row, col, value)``; every order becomes one row of
+    its block's sheet, so the cells grow with ``orders``.
+    """
+    o = read_table(spark, sf_dir, "orders").select(
+        "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate")
+    block = F.floor(F.col("o_orderkey") / GRID_BLOCK)
+    wb = F.concat(F.lit("wb"), block.cast("string"))
+    row = (F.col("o_orderkey") % GRID_BLOCK + 3).cast("int")
+    vals = [F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string"),
+            F.col("o_orderstatus"), F.col("o_totalprice").cast("string"),
+            F.date_format("o_orderdate", "yyyy-MM-dd")]
+    data = o.select(wb.alias("workbook"), F.lit("Orders").alias("sheet"), row.alias("row"),
+                    F.posexplode(F.array(*vals)).alias("col", "value"))
+    blocks = o.select(block.alias("b")).distinct()
+    notes = blocks.select(F.concat(F.lit("wb"), F.col("b").cast("string")).alias("workbook"),
+                          F.lit("Orders").alias("sheet"), F.lit(1).alias("row"), F.lit(0).alias("col"),
+                          F.concat(F.lit("Orders block "), F.col("b").cast("string")).alias("value"))
+    labels = blocks.select(F.concat(F.lit("wb"), F.col("b").cast("string")).alias("workbook"),
+                           F.lit("Orders").alias("sheet"), F.lit(2).alias("row"),
+                           F.posexplode(F.array(*[F.lit(x) for x in GRID_LABELS])).alias("col", "value"))
+    return notes.unionByName(labels).unionByName(data.select(
+        "workbook", "sheet", "row", F.col("col").cast("int").alias("col"), "value"))
+
+
+ORDER_WORKBOOKS_SQL = f"""
+WITH o AS (SELECT o_orderkey // {GRID_BLOCK} AS b, * FROM orders),
+bl AS (SELECT DISTINCT b FROM o)
+SELECT 'wb' || b AS workbook, 'Orders' AS sheet, 1 AS "row", 0 AS col, 'Orders block ' || b AS value FROM bl
+UNION ALL
+SELECT 'wb' || b, 'Orders', 2, CAST(k - 1 AS INTEGER), lbl FROM (
+  SELECT b, unnest({GRID_LABELS!r}) AS lbl, generate_subscripts({GRID_LABELS!r}, 1) AS k FROM bl)
+UNION ALL
+SELECT 'wb' || b, 'Orders', CAST(o_orderkey % {GRID_BLOCK} + 3 AS INTEGER), CAST(k - 1 AS INTEGER), v FROM (
+  SELECT b, o_orderkey,
+         unnest([CAST(o_orderkey AS VARCHAR), CAST(o_custkey AS VARCHAR), o_orderstatus,
+                 CAST(o_totalprice AS VARCHAR), strftime(o_orderdate, '%Y-%m-%d')]) AS v,
+         generate_subscripts([1, 2, 3, 4, 5], 1) AS k
+  FROM o)
+"""

@@ -208,3 +208,68 @@ def apply_sql(source_sql: str, columns: list[str], actions: list[tuple[str, list
                 sel.append(ident(c))
         sql = f"SELECT {keys}, _row_id, {', '.join(sel)} FROM ({sql}) z"
     return sql
+
+
+def label_score_sql(v: str) -> str:
+    """G2 label score in SQL (same rule order)."""
+    raw = strip_sql(v)
+    words = f"regexp_extract_all({raw}, '[\\p{{L}}\\p{{Nl}}\\p{{No}}]+')"
+    n = f"length({raw})"
+    letters = f"length(regexp_replace({raw}, '[^\\p{{L}}]', '', 'g'))"
+    vocab = "[" + ", ".join(q(w) for w in K.COLUMN_LABELS) + "]"
+    return f"""CASE
+  WHEN {v} IS NULL THEN 0.0
+  WHEN {n} = 0 OR {n} > 90 OR regexp_matches({raw}, '(?i)^(?:https?://|www\\.)') OR strpos({raw}, '@') > 0 THEN 0.0
+  WHEN len({words}) = 0 THEN 0.0
+  WHEN len({words}) > 8 THEN 0.1
+  WHEN {letters} / greatest(1, {n}) < 0.45 THEN 0.1
+  WHEN {n} > 55 THEN 0.2
+  WHEN len({words}) > 5 THEN 0.3
+  WHEN regexp_matches({raw}, '\\p{{Nd}}') THEN 0.3
+  WHEN list_has_any(list_transform({words}, lambda w: lower(w)), {vocab}) THEN 1.0
+  WHEN {n} <= 3 AND NOT regexp_full_match({raw}, '\\p{{L}}+') THEN 0.15
+  WHEN len({words}) = 1 AND {n} <= 2 THEN 0.25
+  WHEN len({words}) >= 3 THEN 0.55
+  ELSE 0.67 END"""
+
+
+def header_candidates_sql(cells_sql: str) -> str:
+    """G3-G5 in SQL: candidate header rows, score and extent."""
+    return f"""
+WITH c AS (SELECT * FROM ({cells_sql}) z WHERE "row" BETWEEN 1 AND {K.MAX_SCAN_ROWS}
+           AND col BETWEEN 0 AND {K.MAX_SCAN_COLUMNS - 1}),
+p AS (SELECT workbook, sheet, "row", col, value, {label_score_sql('value')} AS label
+      FROM c WHERE value IS NOT NULL AND {strip_sql('value')} <> ''),
+ext AS (SELECT workbook, sheet, max("row") AS max_row FROM c GROUP BY workbook, sheet),
+wid AS (SELECT workbook, sheet, max(w) AS width FROM (SELECT workbook, sheet, "row", count(*) AS w
+        FROM p GROUP BY ALL) z GROUP BY workbook, sheet),
+hdr AS (SELECT p.workbook, p.sheet, p."row" AS h, count(*) AS npos, avg(label) AS quality,
+               count(*) FILTER (WHERE label >= 0.95) AS known,
+               count(DISTINCT lower({strip_sql('value')})) AS distinct_labels
+        FROM p GROUP BY ALL),
+hd AS (SELECT hdr.*, ext.max_row, wid.width FROM hdr JOIN ext USING (workbook, sheet) JOIN wid USING (workbook, sheet)
+       WHERE npos >= 2 AND quality >= 0.35 AND width >= 2 AND h < max_row AND max_row >= 2),
+grid AS (SELECT workbook, sheet, h, npos, max_row, unnest(range(h + 1, max_row + 1)) AS r FROM hd),
+hits AS (SELECT a.workbook, a.sheet, a."row" AS h, b."row" AS r, count(*) AS hit
+         FROM p a JOIN p b ON a.workbook = b.workbook AND a.sheet = b.sheet AND a.col = b.col AND b."row" > a."row"
+         GROUP BY ALL),
+cov AS (SELECT grid.*, coalesce(hits.hit, 0) / grid.npos AS cv FROM grid
+        LEFT JOIN hits ON hits.workbook = grid.workbook AND hits.sheet = grid.sheet AND hits.h = grid.h AND hits.r = grid.r),
+per AS (SELECT workbook, sheet, h, min(r) FILTER (WHERE cv < 0.5) AS first_gap,
+               max(cv) FILTER (WHERE r <= h + 6) AS max_cov, avg(cv) FILTER (WHERE r <= h + 6) AS align,
+               count(*) FILTER (WHERE r <= h + 6) AS n_follow
+        FROM cov GROUP BY ALL),
+j AS (SELECT hd.*, per.first_gap, per.max_cov, per.align, per.n_follow,
+             coalesce(per.first_gap, hd.max_row + 1) - hd.h - 1 AS est
+      FROM hd JOIN per USING (workbook, sheet, h) WHERE per.max_cov >= 0.45),
+s AS (SELECT *, least(est, n_follow) AS ongoing,
+             least(1.0, least(est, n_follow) / least(3, n_follow)) AS consistency FROM j)
+SELECT workbook, sheet, CAST(h AS INTEGER) AS header_row,
+  CAST(greatest(0, least(100, round_even(100 * (0.35 * quality + 0.17 * align
+       + 0.15 * least(1.0, npos / width) + 0.12 * consistency + 0.10 * (distinct_labels / npos)
+       + 0.11 * (known / npos))
+       - CASE WHEN consistency < 0.33 THEN 13 ELSE 0 END - CASE WHEN ongoing = 0 THEN 15 ELSE 0 END, 0))) AS INTEGER) AS score,
+  CAST(ongoing AS INTEGER) AS supporting_rows, CAST(npos AS INTEGER) AS column_count,
+  CAST(est AS INTEGER) AS estimated_data_rows, CAST(est * npos AS INTEGER) AS estimated_table_area
+FROM s
+"""
