@@ -236,6 +236,7 @@ def trial_audits(spark, sf_dir):
 
 # ---------------------------------------------------------------- authorization (V4/V5)
 from ..functions import constants as K  # noqa: E402
+from ..functions import text as T  # noqa: E402
 from ..operators.policy import authorize  # noqa: E402
 
 DOC_SOURCE_SQL = "SELECT lang AS dataset_id, doc_id AS _row_id, text FROM documents"
@@ -694,3 +695,72 @@ def grid_records(spark, sf_dir):
         "workbook", "sheet", "header_row")
     recs, _ = LY.grid_to_table(cells, ch)
     return recs
+
+
+# ---------------------------------------------------------------- streaming gate
+import os  # noqa: E402
+import uuid  # noqa: E402
+
+from ..session import ensure_checkpoint_dir  # noqa: E402
+from ..streaming.gate import start_gate, utc_event_time, windowed_quality  # noqa: E402
+
+
+def _stream_events(spark, sf_dir):
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    s = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
+         .option("pathGlobFilter", "events.parquet").parquet(sf_dir))
+    uid = F.when(F.col("event_id") % 23 == 0, F.lit("n/a")).otherwise(F.col("user_id").cast("string"))
+    return s.select(F.col("event_type").alias("dataset_id"), F.col("event_id").alias("_row_id"),
+                    uid.alias("user_id"), "props", utc_event_time(F.col("ts")).alias("ts"))
+
+
+_STREAM_QUALITY_SQL = """
+SELECT CAST(epoch(time_bucket(INTERVAL 1 DAY, ts)) AS BIGINT) AS window_start, event_type AS dataset_id,
+  CAST(count(*) AS BIGINT) AS rows,
+  CAST(count(*) FILTER (WHERE event_id % 23 = 0) AS BIGINT) AS missing_user_id
+FROM events GROUP BY ALL
+"""
+
+
+@register("stream_quality", _STREAM_QUALITY_SQL)
+def stream_quality(spark, sf_dir):
+    """Streaming: watermarked daily missing counts per event type.
+
+    The stream runs to the end of the input (``availableNow``) into a parquet
+    sink in the checkpoint folder. Append mode emits a window once the
+    watermark passes it; windows still open at the end of the input are
+    closed by a final batch aggregate over the same rows, so every row is
+    counted exactly once.
+    """
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    q = (windowed_quality(_stream_events(spark, sf_dir), columns=["user_id"], ts_col="ts",
+                          window="1 day", watermark="1 day")
+         .writeStream.outputMode("append").format("parquet")
+         .option("checkpointLocation", f"{base}/ck").option("path", f"{base}/out")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    emitted = spark.read.schema("window_start bigint, dataset_id string, rows bigint, "
+                                "missing_user_id bigint").parquet(f"{base}/out")
+    full = (spark.read.parquet(f"{sf_dir}/events.parquet")
+            .select(F.col("event_type").alias("dataset_id"), utc_event_time(F.col("ts")).alias("ts"),
+                    F.when(F.col("event_id") % 23 == 0, F.lit("n/a"))
+                    .otherwise(F.col("user_id").cast("string")).alias("user_id")))
+    agg = (full.groupBy(F.unix_seconds(F.window("ts", "1 day").start).alias("window_start"),
+                        "dataset_id")
+           .agg(F.count("*").cast("bigint").alias("rows"),
+                F.count_if(~F.coalesce(T.strip(T.na_fold(F.col("user_id"))) != F.lit(""),
+                                       F.lit(False))).cast("bigint").alias("missing_user_id")))
+    still_open = agg.join(emitted.select("window_start", "dataset_id"),
+                          on=["window_start", "dataset_id"], how="left_anti")
+    return emitted.unionByName(still_open)
+
+
+@register("stream_gate")
+def stream_gate(spark, sf_dir):
+    """Streaming: per micro-batch audit with READY / QUARANTINE routing (foreachBatch)."""
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/gate-{uuid.uuid4().hex}"
+    q = start_gate(_stream_events(spark, sf_dir).drop("ts"), columns=["user_id", "props"],
+                   out=f"{base}/out", checkpoint=f"{base}/ck")
+    q.awaitTermination()
+    return spark.read.parquet(f"{base}/out/audits").select(
+        "batch_id", "dataset_id", "status", "row_count", "quality_score")
