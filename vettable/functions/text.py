@@ -56,12 +56,14 @@ def pii_match(v: Column) -> Column:
     """
     email = (F.instr(v, "@") > 0) & v.rlike("(?i)" + K.PII_EMAIL)
     ssn = (F.instr(v, "-") > 0) & v.rlike(K.PII_SSN)
-    phone = v.rlike(K.PII_PHONE)
+    # Ten digits at least: no shorter text can hold a phone number.
+    phone = (F.length(v) >= 10) & v.rlike(K.PII_PHONE)
     return email | ssn | phone
 
 
 def injection_match(v: Column) -> Column:
-    return v.rlike("(?i)" + K.PROMPT_INJECTION)
+    # The shortest phrase the pattern accepts ("you are a ai") has 12 characters.
+    return (F.length(v) >= 12) & v.rlike("(?i)" + K.PROMPT_INJECTION)
 
 
 _NUMBER_SHAPE = r"(?i)^[+-]?(?:(?:\d+(?:\.\d*)?|\.\d+)(?:e[+-]?\d+)?|inf|infinity)$"
@@ -76,7 +78,9 @@ def is_numeric(v: Column) -> Column:
     """
     as_dbl = v.try_cast("double")
     finite = ~F.isnan(as_dbl) & (F.abs(as_dbl) < F.lit(float("inf")))
-    return v.rlike(_NUMBER_SHAPE) & (v.rlike(_INF_SHAPE) | F.coalesce(finite, F.lit(False)))
+    # Every accepted text starts with a sign, a dot, a digit or the i of inf.
+    lead = F.substring(v, 1, 1).isin(*list("+-.0123456789iI"))
+    return lead & v.rlike(_NUMBER_SHAPE) & (v.rlike(_INF_SHAPE) | F.coalesce(finite, F.lit(False)))
 
 
 def valid_coordinate(v: Column, limit: int) -> Column:

@@ -69,10 +69,18 @@ def recommend(evaluations: DataFrame, before_audits: DataFrame, before_findings:
               after_audits: DataFrame, after_findings: DataFrame, trials: DataFrame,
               plan_actions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """C3-C6. Returns ``(candidate_rows, recommendations)``."""
-    prof = profiles(before_audits, before_findings, after_audits, after_findings)
+    from ..session import cut
+    prof = cut(profiles(before_audits, before_findings, after_audits, after_findings))
     passing = evaluations.filter(F.col("status") == "NO_AUDIT_REGRESSION").select(*PLAN_KEYS)
-    vs_source = improves(passing.select("dataset_id", F.col("candidate_id").alias("x"),
-                                        F.lit(SOURCE).alias("y")), prof)
+    # One improvement pass over both kinds of pairs: (candidate, source) for
+    # C1, and ordered pairs of distinct passing candidates for C2 (a superset
+    # of the improving ones; filtered below).
+    vs_pairs = passing.select("dataset_id", F.col("candidate_id").alias("x"), F.lit(SOURCE).alias("y"))
+    cand_pairs = (passing.select("dataset_id", F.col("candidate_id").alias("x"))
+                  .join(passing.select("dataset_id", F.col("candidate_id").alias("y")), on="dataset_id")
+                  .filter(F.col("x") != F.col("y")))
+    imp_all = cut(improves(vs_pairs.unionByName(cand_pairs), prof))
+    vs_source = imp_all.filter(F.col("y") == SOURCE)
     rows = (evaluations.join(vs_source.select("dataset_id", F.col("x").alias("candidate_id"),
                                               "improves"), on=PLAN_KEYS, how="left")
             .select(*PLAN_KEYS, F.col("status").alias("evaluation_status"),
@@ -82,11 +90,11 @@ def recommend(evaluations: DataFrame, before_audits: DataFrame, before_findings:
     improving = rows.filter(F.col("disposition") == "IMPROVING").select(*PLAN_KEYS)
     a = after_audits.select(*PLAN_KEYS, "status", "quality_score", "fingerprint", "row_count",
                             "column_count", "duplicate_row_count")
-    # Ordered pairs of distinct improving candidates of the same dataset.
-    pairs = (improving.select("dataset_id", F.col("candidate_id").alias("x"))
-             .join(improving.select("dataset_id", F.col("candidate_id").alias("y")), on="dataset_id")
-             .filter(F.col("x") != F.col("y")))
-    imp = improves(pairs, prof)
+    imp = (imp_all.filter(F.col("y") != SOURCE)
+           .join(improving.select("dataset_id", F.col("candidate_id").alias("x")),
+                 on=["dataset_id", "x"], how="left_semi")
+           .join(improving.select("dataset_id", F.col("candidate_id").alias("y")),
+                 on=["dataset_id", "y"], how="left_semi"))
     ax = a.select("dataset_id", F.col("candidate_id").alias("x"), F.col("status").alias("stx"),
                   F.col("quality_score").alias("qx"))
     ay = a.select("dataset_id", F.col("candidate_id").alias("y"), F.col("status").alias("sty"),

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -106,8 +107,13 @@ def run_trials(source: DataFrame, columns: list[str], before: AuditResult, plans
     status = cut(trial_status(plan_decisions, plan_actions, columns))
     runnable = status.filter(F.col("status") == "RUN")
     outputs = execute_candidates(source, runnable, plan_actions, columns)
+    # The re-audit reads the candidate outputs in three passes; keep them for
+    # its duration (spilling to disk as needed; lost blocks recompute from
+    # lineage) instead of re-running every repair three times.
+    outputs.persist(StorageLevel.MEMORY_AND_DISK)
     after = audit(outputs, keys=PLAN_KEYS, columns=columns, order_col=ROW_ID, reviews=reviews,
                   materialize=True)
+    outputs.unpersist()
     trials = (status.join(after.audits.select(*PLAN_KEYS, F.col("status").alias("_after"),
                                               "fingerprint"), on=PLAN_KEYS, how="left")
               .select(*PLAN_KEYS,

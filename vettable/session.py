@@ -47,9 +47,16 @@ def cut(df):
     """Materialize a small evidence table and cut its lineage.
 
     Evidence tables hold one row per dataset, candidate or finding, so they
-    are tiny next to the data. Writing them once to the checkpoint folder
-    (reliable storage, survives executor loss) keeps later plans small and
-    stops every downstream use from re-scanning the source.
+    are tiny next to the data. They are written once as parquet under the
+    shared checkpoint folder (reliable storage, survives executor loss) and
+    read back: one job, later plans stay small, no downstream use re-scans
+    the source, and the optimizer sees the true size when it decides whether
+    a join side is small enough to broadcast.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    import uuid
+
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/evidence/{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
