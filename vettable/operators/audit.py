@@ -28,7 +28,6 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import text as T
-from ..sources.tables import spread
 
 CODE_ORDER = {
     "SUSPICIOUS_COLUMN_NAME": 0,
@@ -210,7 +209,7 @@ def audit(df: DataFrame, *, keys: list[str] | tuple[str, ...] = ("dataset_id",),
         order_col = "_row_order"
         df = df.withColumn(order_col, F.monotonically_increasing_id())
     order = F.col(order_col)
-    df = spread(df.select(*keys, order_col, *[qcol(c) for c in columns]))
+    df = df.select(*keys, order_col, *[qcol(c) for c in columns])
 
     from ..session import cut
     checks = cut(column_checks(df, keys, columns, order))

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.audit import audit
+from ..sources.tables import read_table
 from . import derived as D
 from . import oracle as O
 
@@ -80,7 +81,7 @@ def mixed_numeric_text(spark, sf_dir):
     "SELECT lang AS dataset_id, doc_id AS _row_id, text FROM documents", ["text"]))
 def pii_documents(spark, sf_dir):
     """A7 (with A4/A5/A9/A10) over every document text, one dataset per language."""
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select(
+    d = read_table(spark, sf_dir, "documents").select(
         F.col("lang").alias("dataset_id"), F.col("doc_id").alias("_row_id"), "text")
     return audit(d, order_col="_row_id", columns=["text"]).findings
 
@@ -89,7 +90,7 @@ def pii_documents(spark, sf_dir):
     "SELECT 'pages' AS dataset_id, page_id AS _row_id, url, html FROM pages", ["url", "html"]))
 def pii_pages(spark, sf_dir):
     """A7 over raw web pages (url and html columns)."""
-    p = spark.read.parquet(f"{sf_dir}/pages.parquet").select(
+    p = read_table(spark, sf_dir, "pages").select(
         F.lit("pages").alias("dataset_id"), F.col("page_id").alias("_row_id"), "url", "html")
     return audit(p, order_col="_row_id", columns=["url", "html"]).findings
 
@@ -106,7 +107,7 @@ def prompt_injection(spark, sf_dir):
     "SELECT role AS dataset_id, conv_id * 1000 + turn AS _row_id, text FROM conversations", ["text"]))
 def conversation_audit(spark, sf_dir):
     """Full audit of conversation turns, one dataset per role."""
-    c = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(
+    c = read_table(spark, sf_dir, "conversations").select(
         F.col("role").alias("dataset_id"), (F.col("conv_id") * 1000 + F.col("turn")).alias("_row_id"),
         "text")
     return audit(c, order_col="_row_id", columns=["text"]).findings
@@ -176,7 +177,7 @@ DOC_FP_COLUMNS = ["text", "source"]
     "SELECT lang AS dataset_id, text, source FROM documents", DOC_FP_COLUMNS))
 def table_fingerprint(spark, sf_dir):
     """Order-independent multiset fingerprint of each language's documents."""
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select(
+    d = read_table(spark, sf_dir, "documents").select(
         F.col("lang").alias("dataset_id"), "text", "source")
     return identity_stats(d, ["dataset_id"], DOC_FP_COLUMNS).select(
         "dataset_id", "row_count", "fingerprint")
@@ -185,7 +186,7 @@ def table_fingerprint(spark, sf_dir):
 @register("document_sha256", "SELECT doc_id, sha256(text) AS sha256, CAST(strlen(text) AS BIGINT) AS length FROM documents")
 def document_sha256(spark, sf_dir):
     """S8 on content: SHA-256 and byte length of every document's UTF-8 bytes."""
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    d = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     b = F.encode("text", "UTF-8")
     return d.select("doc_id", F.sha2(b, 256).alias("sha256"), F.octet_length(b).cast("bigint")
                     .alias("length"))
@@ -246,7 +247,7 @@ def _two_fleets(spark, sf_dir):
     """Evidence of two sources with different schemas, unioned as evidence tables."""
     o = audit(D.dirty_orders(spark, sf_dir), order_col="_row_id", columns=D.ORDERS_COLUMNS,
               materialize=True)
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select(
+    d = read_table(spark, sf_dir, "documents").select(
         F.col("lang").alias("dataset_id"), F.col("doc_id").alias("_row_id"), "text")
     dr = audit(d, order_col="_row_id", columns=["text"], materialize=True)
     return o.audits.unionByName(dr.audits), o.findings.unionByName(dr.findings)
@@ -404,7 +405,7 @@ from ..sources.json_records import json_cells, json_table, key_union  # noqa: E4
     ["k"]))
 def json_props_audit(spark, sf_dir):
     """S3 + audit: each event's JSON props as a record; one table per event type."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(
+    e = read_table(spark, sf_dir, "events").select(
         F.col("event_type").alias("dataset_id"), F.col("event_id").alias("_row_id"), "props")
     cells, _ = json_cells(e, "props")
     cols = [r["column"] for r in key_union(cells).groupBy("column")
@@ -418,7 +419,7 @@ def json_props_audit(spark, sf_dir):
           "FROM events GROUP BY event_type")
 def json_rejects(spark, sf_dir):
     """S3 rejection counts per event type (invalid, non-object, nested, duplicate keys)."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(
+    e = read_table(spark, sf_dir, "events").select(
         F.col("event_type").alias("dataset_id"), F.col("event_id").alias("_row_id"), "props")
     _, rejects = json_cells(e, "props")
     per = rejects.groupBy("dataset_id").agg(F.countDistinct("_row_id").alias("rejected"))
@@ -450,7 +451,7 @@ FROM p WHERE len(present) > 0
 @register("redacted_preview", _PREVIEW_SQL)
 def redacted_preview(spark, sf_dir):
     """First 25 documents, redacted and shortened cell previews (top-k is the feature)."""
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    d = read_table(spark, sf_dir, "documents")
     return preview(d, ["doc_id", "text", "lang", "source"], "doc_id")
 
 
@@ -461,7 +462,7 @@ from ..sources.files import texts_as_files  # noqa: E402
 
 
 def _documents_as_files(spark, sf_dir):
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select(
+    d = read_table(spark, sf_dir, "documents").select(
         "doc_id", "text", F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".csv"))
         .alias("name"))
     return texts_as_files(d, "doc_id", "text", "name")
@@ -561,7 +562,7 @@ FROM documents GROUP BY lang
 @register("review_conflicts", _CONTACT_SQL)
 def review_conflicts(spark, sf_dir):
     """Document texts declared as a business email column hold other sensitive text."""
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select(
+    d = read_table(spark, sf_dir, "documents").select(
         F.col("lang").alias("dataset_id"), F.col("text").alias("business_email"))
     return contact_conflicts(d, columns=["business_email"])
 
@@ -570,7 +571,7 @@ def review_conflicts(spark, sf_dir):
 def review_violations(spark, sf_dir):
     """Declarations that cannot be applied (unknown column, not a contact column,
     incompatible values)."""
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select(
+    d = read_table(spark, sf_dir, "documents").select(
         F.col("lang").alias("dataset_id"), F.col("doc_id").alias("_row_id"),
         F.col("text").alias("business_email"), "source")
     r = audit(d, order_col="_row_id", columns=["business_email", "source"], materialize=True)
@@ -706,7 +707,7 @@ from ..streaming.gate import start_gate, utc_event_time, windowed_quality  # noq
 
 
 def _stream_events(spark, sf_dir):
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    schema = read_table(spark, sf_dir, "events").schema
     s = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
          .option("pathGlobFilter", "events.parquet").parquet(sf_dir))
     uid = F.when(F.col("event_id") % 23 == 0, F.lit("n/a")).otherwise(F.col("user_id").cast("string"))
@@ -741,7 +742,7 @@ def stream_quality(spark, sf_dir):
     q.awaitTermination()
     emitted = spark.read.schema("window_start bigint, dataset_id string, rows bigint, "
                                 "missing_user_id bigint").parquet(f"{base}/out")
-    full = (spark.read.parquet(f"{sf_dir}/events.parquet")
+    full = (read_table(spark, sf_dir, "events")
             .select(F.col("event_type").alias("dataset_id"), utc_event_time(F.col("ts")).alias("ts"),
                     F.when(F.col("event_id") % 23 == 0, F.lit("n/a"))
                     .otherwise(F.col("user_id").cast("string")).alias("user_id")))

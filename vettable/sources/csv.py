@@ -73,6 +73,9 @@ def read_csv(spark: SparkSession, path: str, *, with_row_id: bool = True,
     cols = [F.coalesce(F.col(f"_c{i}"), F.lit("")).alias(n) for i, n in enumerate(names)]
     if with_row_id:
         cols.append(F.monotonically_increasing_id().alias(ROW_ID))
+        # Row ids are fixed at the scan (file order); spreading afterwards keeps them.
+        from .tables import spread
+        return spread(df.select(*cols)), raw_header
     return df.select(*cols), raw_header
 
 

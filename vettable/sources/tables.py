@@ -14,7 +14,12 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """The table, spread over the cluster when its files give too few splits.
+
+    Projections and filters written after this still reach the parquet scan
+    (Catalyst pushes them below the round-robin exchange).
+    """
+    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
 
 
 def as_text(df: DataFrame, columns: list[str] | None = None,
