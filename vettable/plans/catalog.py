@@ -270,11 +270,16 @@ def _candidate_values() -> str:
 
 
 _CRIT = ", ".join(O.q(c) for c in K.CRITICAL_REVIEW_CODES)
-_POLICY_SQL = f"""
-WITH f AS (SELECT * FROM ({O.audit_sql(D.DIRTY_ORDERS_SQL, D.ORDERS_COLUMNS)}) x
-           UNION ALL SELECT * FROM ({O.audit_sql(DOC_SOURCE_SQL, ["text"])}) y),
-a AS (SELECT dataset_id, status FROM ({O.audit_sql(D.DIRTY_ORDERS_SQL, D.ORDERS_COLUMNS, output="audits")}) x
-      UNION ALL SELECT dataset_id, status FROM ({O.audit_sql(DOC_SOURCE_SQL, ["text"], output="audits")}) y),
+
+
+def _policy_sql(sources: list[tuple[str, list[str]]]) -> str:
+    """V4 in SQL for every candidate of every dataset of the given sources."""
+    fs = " UNION ALL ".join(f"SELECT * FROM ({O.audit_sql(s, c)}) x{i}" for i, (s, c) in enumerate(sources))
+    aus = " UNION ALL ".join(f"SELECT dataset_id, status FROM ({O.audit_sql(s, c, output='audits')}) y{i}"
+                             for i, (s, c) in enumerate(sources))
+    return f"""
+WITH f AS ({fs}),
+a AS ({aus}),
 crit AS (SELECT dataset_id, string_agg(DISTINCT code, ', ' ORDER BY code) AS codes FROM f
          WHERE NOT accepted AND (severity = 'CRITICAL' OR code IN ({_CRIT})) GROUP BY dataset_id)
 SELECT a.dataset_id, cand.candidate_id,
@@ -290,6 +295,9 @@ LEFT JOIN crit ON crit.dataset_id = a.dataset_id
 """
 
 
+_POLICY_SQL = _policy_sql([(D.DIRTY_ORDERS_SQL, D.ORDERS_COLUMNS), (DOC_SOURCE_SQL, ["text"])])
+
+
 @register("policy_decisions", _POLICY_SQL)
 def policy_decisions(spark, sf_dir):
     """V4/V5: each candidate of each dataset decided against its audit and policy."""
@@ -383,14 +391,119 @@ def regressions_query(spark, sf_dir):
     return _orders_analysis(spark, sf_dir).regressions
 
 
-@register("candidate_evaluations")
+def _actions_values(candidates) -> str:
+    rows = []
+    for cid, plan in candidates.items():
+        for i, (a, cols) in enumerate(plan):
+            lst = "[" + ", ".join(O.q(c) for c in cols) + "]" if cols else "CAST([] AS VARCHAR[])"
+            rows.append(f"({O.q(cid)}, {i}, {O.q(a)}, {lst})")
+    return "(VALUES " + ", ".join(rows) + ") AS t(candidate_id, action_idx, action, cols)"
+
+
+_EXE = ", ".join(O.q(a) for a in K.EXECUTABLE_ACTIONS)
+_KNOWN = "[" + ", ".join(O.q(c) for c in D.ORDERS_COLUMNS) + "]"
+_TRIAL_FP_SQL = O.fingerprint_sql(_trial_outputs_sql(), D.ORDERS_COLUMNS)
+
+# T-1 status, T-5/T-6 evaluation, C1 improvement and C3 disposition restated in
+# SQL over the before/after audits of the dirty orders and the fixed batch.
+_EVAL_CTES = f"""
+pd AS (SELECT candidate_id, status FROM ({_policy_sql([(D.DIRTY_ORDERS_SQL, D.ORDERS_COLUMNS)])}) z),
+acts AS (SELECT * FROM {_actions_values(ORDERS_CANDIDATES)}),
+st AS (SELECT candidate_id, bool_and(action IN ({_EXE})) AS exe,
+         bool_or((action = 'REMOVE_EXACT_DUPLICATES' AND len(cols) > 0)
+              OR (action = 'STANDARDIZE_MISSING_MARKERS' AND len(cols) = 0)
+              OR (action IN ('TRIM_OUTER_WHITESPACE', 'STANDARDIZE_MISSING_MARKERS')
+                  AND NOT list_has_all({_KNOWN}, cols))) AS fails
+       FROM acts GROUP BY candidate_id),
+trial AS (SELECT pd.candidate_id,
+    CASE WHEN pd.status <> 'APPROVED' THEN CASE WHEN pd.status = 'DENIED' THEN 'DENIED' ELSE 'REQUIRES_REVIEW' END
+         WHEN NOT coalesce(st.exe, true) THEN 'UNSUPPORTED'
+         WHEN coalesce(st.fails, false) THEN 'TRIAL_FAILED'
+         ELSE 'REAUDITED' END AS trial_status
+  FROM pd LEFT JOIN st ON st.candidate_id = pd.candidate_id),
+b AS (SELECT * FROM ({_BEFORE_A}) x1),
+a AS (SELECT * FROM ({_AFTER_A}) x2),
+reg AS (SELECT candidate_id, count(*) AS n FROM ({_REGRESSION_SQL}) x3 GROUP BY candidate_id),
+ev AS (SELECT trial.candidate_id,
+    CASE WHEN trial.trial_status <> 'REAUDITED' THEN trial.trial_status
+         WHEN a.dataset_id IS NULL OR b.duplicate_row_count > b.row_count
+              OR a.duplicate_row_count > a.row_count THEN 'EVIDENCE_INVALID'
+         WHEN coalesce(reg.n, 0) > 0 THEN 'REGRESSION_DETECTED'
+         ELSE 'NO_AUDIT_REGRESSION' END AS status
+  FROM trial JOIN b ON true LEFT JOIN a ON a.dataset_id = trial.candidate_id
+  LEFT JOIN reg ON reg.candidate_id = trial.candidate_id),
+prof AS (
+  SELECT '@source' AS cid, code, "column", max({_SEV}) AS sev, sum("count") AS cnt
+    FROM ({_BEFORE_F}) x4 WHERE NOT accepted GROUP BY code, "column"
+  UNION ALL SELECT dataset_id, code, "column", max({_SEV}), sum("count")
+    FROM ({_AFTER_F}) x5 WHERE NOT accepted GROUP BY dataset_id, code, "column"
+  UNION ALL SELECT '@source', '@duplicates', NULL, duplicate_row_count, 0 FROM b
+  UNION ALL SELECT dataset_id, '@duplicates', NULL, duplicate_row_count, 0 FROM a),
+passing AS (SELECT candidate_id FROM ev WHERE status = 'NO_AUDIT_REGRESSION'),
+pairs AS (SELECT candidate_id AS x, '@source' AS y FROM passing
+          UNION ALL SELECT p.candidate_id, q.candidate_id FROM passing p JOIN passing q
+                    ON p.candidate_id <> q.candidate_id),
+pk AS (SELECT DISTINCT pairs.x, pairs.y, prof.code, prof."column" FROM pairs
+       JOIN prof ON prof.cid = pairs.x OR prof.cid = pairs.y),
+cmp AS (SELECT pk.x, pk.y, coalesce(px.sev, 0) AS sx, coalesce(px.cnt, 0) AS cx,
+               coalesce(py.sev, 0) AS sy, coalesce(py.cnt, 0) AS cy
+        FROM pk LEFT JOIN prof px ON px.cid = pk.x AND px.code = pk.code AND px."column" IS NOT DISTINCT FROM pk."column"
+                LEFT JOIN prof py ON py.cid = pk.y AND py.code = pk.code AND py."column" IS NOT DISTINCT FROM pk."column"),
+imp AS (SELECT x, y, bool_and(sx <= sy AND cx <= cy) AND bool_or(sx < sy OR cx < cy) AS improves
+        FROM cmp GROUP BY x, y),
+rows AS (SELECT ev.candidate_id, ev.status AS evaluation_status,
+    CASE WHEN ev.status <> 'NO_AUDIT_REGRESSION' THEN 'EXCLUDED'
+         WHEN coalesce(imp.improves, false) THEN 'IMPROVING' ELSE 'NO_MEASURED_IMPROVEMENT' END AS disposition
+  FROM ev LEFT JOIN imp ON imp.x = ev.candidate_id AND imp.y = '@source')
+"""
+
+_EVALUATIONS_SQL = f"""
+WITH {_EVAL_CTES}
+SELECT 'orders' AS dataset_id, candidate_id, evaluation_status, disposition FROM rows
+"""
+
+# C2 dominance, C4 skyline, C5 identical-output collapse and C6 outcome.
+_RECOMMENDATION_SQL = f"""
+WITH {_EVAL_CTES},
+impr AS (SELECT candidate_id FROM rows WHERE disposition = 'IMPROVING'),
+dom AS (SELECT DISTINCT imp.y AS candidate_id FROM imp
+        JOIN impr ix ON ix.candidate_id = imp.x JOIN impr iy ON iy.candidate_id = imp.y
+        JOIN a ax ON ax.dataset_id = imp.x JOIN a ay ON ay.dataset_id = imp.y
+        WHERE imp.improves AND ax.quality_score >= ay.quality_score
+          AND NOT (ay.status = 'READY' AND ax.status <> 'READY')),
+short AS (SELECT candidate_id FROM impr WHERE candidate_id NOT IN (SELECT candidate_id FROM dom)),
+fp AS (SELECT dataset_id AS candidate_id, fingerprint FROM ({_TRIAL_FP_SQL}) x6),
+pstr AS (SELECT cid, string_agg(code || '|' || coalesce("column", '~') || '|' || sev || '|' || cnt, ';'
+                                ORDER BY code, "column", sev, cnt) AS profile FROM prof GROUP BY cid),
+nact AS (SELECT candidate_id, count(*) AS n_actions FROM acts GROUP BY candidate_id),
+fin AS (SELECT short.candidate_id, coalesce(nact.n_actions, 0) AS n_actions,
+               concat_ws('#', fp.fingerprint, a.status, a.quality_score, a.row_count, a.column_count,
+                         a.duplicate_row_count, pstr.profile) AS ident
+        FROM short JOIN a ON a.dataset_id = short.candidate_id
+        LEFT JOIN fp ON fp.candidate_id = short.candidate_id
+        LEFT JOIN pstr ON pstr.cid = short.candidate_id
+        LEFT JOIN nact ON nact.candidate_id = short.candidate_id),
+agg AS (SELECT count(*) AS n, count(DISTINCT ident) AS nid, min(n_actions) AS mn,
+               count(*) FILTER (WHERE n_actions = (SELECT min(n_actions) FROM fin)) AS nmin FROM fin),
+final AS (SELECT fin.candidate_id FROM fin, agg
+          WHERE NOT (agg.n > 1 AND agg.nid = 1 AND agg.nmin = 1) OR fin.n_actions = agg.mn)
+SELECT 'orders' AS dataset_id,
+  CASE WHEN count(*) = 1 THEN 'RECOMMENDED' WHEN count(*) > 1 THEN 'HUMAN_CHOICE_REQUIRED'
+       ELSE 'NO_IMPROVING_CANDIDATE' END AS status,
+  CASE WHEN count(*) = 1 THEN min(candidate_id) END AS recommended_candidate_id,
+  coalesce(string_agg(candidate_id, ',' ORDER BY candidate_id), '') AS shortlisted_candidate_ids
+FROM final
+"""
+
+
+@register("candidate_evaluations", _EVALUATIONS_SQL)
 def candidate_evaluations(spark, sf_dir):
     """T-5/T-6 + C3: evaluation status and disposition of every candidate."""
     a = _orders_analysis(spark, sf_dir)
     return a.candidates
 
 
-@register("recommendation")
+@register("recommendation", _RECOMMENDATION_SQL)
 def recommendation(spark, sf_dir):
     """Skyline of improving candidates, tie collapse, outcome."""
     return _orders_analysis(spark, sf_dir).recommendations
