@@ -75,7 +75,7 @@ def export_check(source: DataFrame, columns: list[str], chosen: DataFrame, plan_
          .join(src_now, on="dataset_id", how="left")
          .join(source_fingerprint.select("dataset_id", F.col("fingerprint").alias("src_then")),
                on="dataset_id", how="left"))
-    return j.select(*PLAN_KEYS,
+    return j.select(*PLAN_KEYS, F.col("fp").alias("output_fingerprint_sha256"),
                     F.col("fp").eqNullSafe(F.col("output_fingerprint")).alias("output_reproduced"),
                     F.col("src_now").eqNullSafe(F.col("src_then")).alias("source_unchanged"),
                     (F.col("fp").eqNullSafe(F.col("output_fingerprint"))

