@@ -680,7 +680,32 @@ def review_conflicts(spark, sf_dir):
     return contact_conflicts(d, columns=["business_email"])
 
 
-@register("review_violations")
+_DECLARED = [("public_contact", "business_email"), ("public_contact", "source"),
+             ("optional", "missing_col")]
+_NORM_SQL = "trim(regexp_replace(lower(trim({0})), '[^a-z0-9]+', '_', 'g'), '_')"
+_REVIEW_VIOLATIONS_SQL = f"""
+WITH langs AS (SELECT DISTINCT lang AS dataset_id FROM documents),
+rv AS (SELECT langs.dataset_id, v.kind, v."column" FROM langs JOIN (VALUES {", ".join(
+    f"({O.q(k)}, {O.q(c)})" for k, c in _DECLARED)}) AS v(kind, "column") ON true),
+hd AS (SELECT langs.dataset_id, h.name FROM langs JOIN (VALUES ('business_email'), ('source')) AS h(name) ON true),
+cf AS ({_CONTACT_SQL})
+SELECT dataset_id, "column", 'DUPLICATE_DECLARATION' AS violation FROM rv
+  GROUP BY dataset_id, kind, "column" HAVING count(*) > 1
+UNION ALL SELECT rv.dataset_id, rv."column", 'UNKNOWN_COLUMN' FROM rv
+  WHERE NOT EXISTS (SELECT 1 FROM hd WHERE hd.dataset_id = rv.dataset_id AND hd.name = rv."column")
+UNION ALL SELECT DISTINCT dataset_id, CAST(NULL AS VARCHAR), 'AMBIGUOUS_HEADERS' FROM (
+  SELECT dataset_id FROM hd WHERE {_NORM_SQL.format('name')} <> ''
+  GROUP BY dataset_id, {_NORM_SQL.format('name')} HAVING count(*) > 1) z
+UNION ALL SELECT dataset_id, "column", 'NOT_A_PUBLIC_CONTACT_COLUMN' FROM rv
+  WHERE kind = 'public_contact' AND {_NORM_SQL.format('"column"')} NOT IN ({", ".join(O.q(c) for c in K.PUBLIC_CONTACT_COLUMNS)})
+UNION ALL SELECT dataset_id, "column", 'UNKNOWN_KIND' FROM rv WHERE kind NOT IN ('public_contact', 'optional')
+UNION ALL SELECT rv.dataset_id, rv."column", 'INCOMPATIBLE_CONTACT_VALUES' FROM rv
+  JOIN cf ON cf.dataset_id = rv.dataset_id AND cf."column" = rv."column"
+  WHERE rv.kind = 'public_contact' AND cf.conflicts > 0
+"""
+
+
+@register("review_violations", _REVIEW_VIOLATIONS_SQL)
 def review_violations(spark, sf_dir):
     """Declarations that cannot be applied (unknown column, not a contact column,
     incompatible values)."""
@@ -691,9 +716,7 @@ def review_violations(spark, sf_dir):
     langs = [x["dataset_id"] for x in r.audits.select("dataset_id").collect()]
     rows = []
     for lang in langs:
-        rows += [(lang, "public_contact", "business_email", "rev", "Declared public mailbox", 0),
-                 (lang, "public_contact", "source", "rev", "Declared public mailbox", 0),
-                 (lang, "optional", "missing_col", "rev", "Declared optional column", 0)]
+        rows += [(lang, kind, col, "rev", "Declared by the data owner", 0) for kind, col in _DECLARED]
     reviews = _reviews(spark, rows)
     headers = _headers(spark, langs, ["business_email", "source"])
     conflicts = contact_conflicts(d, columns=["business_email", "source"])
@@ -709,7 +732,43 @@ def _headers(spark, datasets, columns):
 from ..operators import policy as PO  # noqa: E402
 
 
-@register("human_resolution")
+_APPROVALS = [("c_dedupe", "reviewer-1", "Duplicates verified by hand.", [0]),
+              ("c_markers_dedupe", "reviewer-1", "Only the dedupe step is accepted.", [1]),
+              ("c_trim", " ", "No reviewer given.", [0])]
+_HUMAN_SQL = f"""
+WITH pd AS ({_policy_sql([(DOC_SOURCE_SQL, ["text"])])}),
+acts AS (SELECT * FROM {_actions_values(ORDERS_CANDIDATES)}),
+ad AS (SELECT pd.dataset_id, acts.candidate_id, acts.action_idx,
+         CASE WHEN pd.reason LIKE 'Critical%' THEN 'REQUIRES_REVIEW'
+              WHEN acts.action IN ({_EXE}) THEN 'APPROVED' ELSE 'REQUIRES_REVIEW' END AS decision
+       FROM pd JOIN acts ON acts.candidate_id = pd.candidate_id),
+ap AS (SELECT d.dataset_id, v.* FROM (SELECT DISTINCT dataset_id FROM pd) d JOIN (VALUES {", ".join(
+    f"({O.q(c)}, {O.q(r)}, {O.q(w)}, [{', '.join(str(i) for i in ix)}])" for c, r, w, ix in _APPROVALS)})
+       AS v(candidate_id, reviewer, why, approved) ON true),
+per AS (SELECT dataset_id, candidate_id, bool_or(decision = 'DENIED') AS any_denied,
+               list(action_idx) FILTER (WHERE decision = 'REQUIRES_REVIEW') AS reviewable
+        FROM ad GROUP BY dataset_id, candidate_id),
+j AS (SELECT ap.*, CASE
+        WHEN length(trim(ap.reviewer)) = 0 THEN 'REVIEWER_REQUIRED'
+        WHEN length(trim(ap.why)) = 0 THEN 'REASON_REQUIRED'
+        WHEN pd.status = 'DENIED' THEN 'DENIED_DECISION'
+        WHEN coalesce(per.any_denied, false) THEN 'DENIED_ACTION'
+        WHEN coalesce(pd.status, '') <> 'REQUIRES_REVIEW' THEN 'NOT_AWAITING_REVIEW'
+        WHEN coalesce(len(per.reviewable), 0) = 0 THEN 'NOTHING_TO_REVIEW'
+        WHEN NOT list_has_all(per.reviewable, ap.approved) THEN 'INDEX_NOT_REVIEWABLE' END AS error
+      FROM ap LEFT JOIN pd ON pd.dataset_id = ap.dataset_id AND pd.candidate_id = ap.candidate_id
+      LEFT JOIN per ON per.dataset_id = ap.dataset_id AND per.candidate_id = ap.candidate_id),
+res AS (SELECT j.dataset_id, j.candidate_id,
+               bool_and(ad.decision = 'APPROVED' OR list_contains(j.approved, ad.action_idx)) AS ok
+        FROM j JOIN ad ON ad.dataset_id = j.dataset_id AND ad.candidate_id = j.candidate_id
+        WHERE j.error IS NULL GROUP BY j.dataset_id, j.candidate_id)
+SELECT dataset_id, candidate_id, CASE WHEN ok THEN 'APPROVED' ELSE 'DENIED' END AS status, ok AS can_execute
+FROM res
+UNION ALL SELECT dataset_id, candidate_id, error, false FROM j WHERE error IS NOT NULL
+"""
+
+
+@register("human_resolution", _HUMAN_SQL)
 def human_resolution(spark, sf_dir):
     """V6: documents' plans held for review (PII) resolved by a reviewer, all-or-nothing."""
     audits, findings = _two_fleets(spark, sf_dir)
@@ -719,9 +778,7 @@ def human_resolution(spark, sf_dir):
     pd_, ad = authorize(audits, findings, plans, acts, G.safe_policy(audits))
     rows = []
     for lang in langs:
-        rows += [(lang, "c_dedupe", "reviewer-1", "Duplicates verified by hand.", [0]),
-                 (lang, "c_markers_dedupe", "reviewer-1", "Only the dedupe step is accepted.", [1]),
-                 (lang, "c_trim", " ", "No reviewer given.", [0])]
+        rows += [(lang, *a) for a in _APPROVALS]
     approvals = spark.createDataFrame(rows, "dataset_id string, candidate_id string, "
                                             "reviewer_reference string, review_reason string, approved array<int>")
     res, rejected = PO.resolve_human_review(pd_, ad, approvals)
@@ -758,7 +815,39 @@ _BAD_BATCH["c_dedupe_again"] = DEDUPE_PLAN
 _BAD_BATCH["bad id!"] = [("FIX_EVERYTHING", ["priority"])]
 
 
-@register("batch_validation")
+_REPAIR = ", ".join(O.q(a) for a in K.REPAIR_ACTIONS)
+_BATCH_SQL = f"""
+WITH fp AS (SELECT dataset_id, fingerprint FROM ({O.fingerprint_sql(D.DIRTY_ORDERS_SQL, D.ORDERS_COLUMNS)}) x),
+acts AS (SELECT * FROM {_actions_values(_BAD_BATCH)}),
+plans AS (SELECT fp.dataset_id, c.candidate_id, 'plan ' || c.candidate_id AS summary, fp.fingerprint
+          FROM fp JOIN (SELECT DISTINCT candidate_id FROM acts) c ON true),
+sig AS (SELECT candidate_id, string_agg(action || ':' || array_to_string(list_sort(list_distinct(cols)), '|'),
+                                        ';' ORDER BY action_idx) AS signature
+        FROM acts GROUP BY candidate_id)
+SELECT dataset_id, candidate_id, 'BAD_SOURCE_FINGERPRINT' AS violation FROM plans
+  WHERE NOT coalesce(regexp_full_match(fingerprint, '[0-9a-f]{{64}}'), false)
+UNION ALL SELECT dataset_id, candidate_id, 'BAD_SUMMARY' FROM plans
+  WHERE summary IS NULL OR length(summary) NOT BETWEEN 1 AND 1000
+UNION ALL SELECT p.dataset_id, a.candidate_id, 'UNKNOWN_ACTION' FROM acts a JOIN plans p USING (candidate_id)
+  WHERE a.action IS NULL OR a.action NOT IN ({_REPAIR})
+UNION ALL SELECT p.dataset_id, a.candidate_id, 'BAD_JUSTIFICATION' FROM acts a JOIN plans p USING (candidate_id)
+  WHERE length('step ' || a.action_idx || ' of ' || a.candidate_id) NOT BETWEEN 1 AND 500
+UNION ALL SELECT dataset_id, NULL, 'TOO_MANY_CANDIDATES' FROM plans GROUP BY dataset_id
+  HAVING count(*) > {K.MAX_CANDIDATES}
+UNION ALL SELECT dataset_id, candidate_id, 'DUPLICATE_CANDIDATE_ID' FROM plans GROUP BY dataset_id, candidate_id
+  HAVING count(*) > 1
+UNION ALL SELECT dataset_id, candidate_id, 'BAD_CANDIDATE_ID' FROM plans
+  WHERE NOT coalesce(regexp_full_match(candidate_id, '[A-Za-z0-9_-]{{1,64}}'), false)
+UNION ALL SELECT dataset_id, NULL, 'MIXED_SOURCE_FINGERPRINTS' FROM plans GROUP BY dataset_id
+  HAVING count(DISTINCT fingerprint) > 1
+UNION ALL SELECT p.dataset_id, p.candidate_id, 'DUPLICATE_STRATEGY' FROM plans p
+  LEFT JOIN sig USING (candidate_id)
+  WHERE (SELECT count(*) FROM plans q LEFT JOIN sig s2 USING (candidate_id)
+         WHERE coalesce(s2.signature, '') = coalesce(sig.signature, '')) > 1
+"""
+
+
+@register("batch_validation", _BATCH_SQL)
 def batch_validation(spark, sf_dir):
     """V1-V3: schema, batch-size, id and repeated-strategy rules on a proposed batch."""
     o = audit(D.dirty_orders(spark, sf_dir), order_col="_row_id", columns=D.ORDERS_COLUMNS,
