@@ -621,7 +621,25 @@ def aliased_evidence(spark, sf_dir):
     return EV.minimized_issues(findings, audits)
 
 
-@register("evidence_documents")
+_ISSUE_JSON = ("CASE WHEN column_ref IS NULL THEN json_object('code', code, 'count', \"count\", 'severity', severity) "
+               "ELSE json_object('code', code, 'column_ref', column_ref, 'count', \"count\", 'severity', severity) END")
+_EVIDENCE_SQL = f"""
+WITH iss AS ({_ALIAS_SQL}),
+a AS (SELECT * FROM ({O.audit_sql(D.DIRTY_ORDERS_SQL, D.ORDERS_COLUMNS, output="audits")}) x1
+      UNION ALL SELECT * FROM ({O.audit_sql(DOC_SOURCE_SQL, ["text"], output="audits")}) x2),
+fp AS (SELECT dataset_id, fingerprint FROM ({O.fingerprint_sql(D.DIRTY_ORDERS_SQL, D.ORDERS_COLUMNS)}) x3
+       UNION ALL SELECT dataset_id, fingerprint FROM ({O.fingerprint_sql(DOC_SOURCE_SQL, ["text"])}) x4),
+arr AS (SELECT dataset_id, '[' || string_agg(({_ISSUE_JSON})::VARCHAR, ',' ORDER BY ord) || ']' AS issues
+        FROM iss GROUP BY dataset_id)
+SELECT a.dataset_id, json_object('column_count', a.column_count, 'duplicate_row_count', a.duplicate_row_count,
+  'issues', json(coalesce(arr.issues, '[]')), 'quality_score', a.quality_score, 'row_count', a.row_count,
+  'source_fingerprint_sha256', fp.fingerprint, 'status', a.status)::VARCHAR AS evidence_json
+FROM a JOIN fp ON fp.dataset_id = a.dataset_id LEFT JOIN arr ON arr.dataset_id = a.dataset_id
+WHERE a.status <> 'BLOCKED' AND regexp_full_match(fp.fingerprint, '[0-9a-f]{{64}}')
+"""
+
+
+@register("evidence_documents", _EVIDENCE_SQL)
 def evidence_documents(spark, sf_dir):
     """E3 record: one sorted-key JSON evidence document per dataset."""
     audits, findings = _two_fleets(spark, sf_dir)
