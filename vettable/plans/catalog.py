@@ -942,13 +942,75 @@ def grid_headers(spark, sf_dir):
     return LY.header_candidates(D.order_workbooks(spark, sf_dir))
 
 
-@register("layout_choices")
+# G6/G7 in SQL: neighbour suppression as a recursive walk over each sheet's
+# candidates in rank order (the kept header rows are the walk's state), then
+# the dominant-area / unique-strong-header selection and the confidence.
+_CHOICE_CTES = f"""
+o AS (SELECT *, row_number() OVER (PARTITION BY workbook, sheet ORDER BY score DESC, header_row) AS k
+      FROM ({O.header_candidates_sql(D.ORDER_WORKBOOKS_SQL)}) z),
+walk AS (
+  SELECT workbook, sheet, CAST(0 AS BIGINT) AS k, CAST([] AS INTEGER[]) AS kept
+  FROM (SELECT DISTINCT workbook, sheet FROM o) s
+  UNION ALL
+  SELECT w.workbook, w.sheet, w.k + 1,
+    CASE WHEN len(list_filter(w.kept, lambda x: abs(x - o.header_row) <= 1)) = 0
+         THEN list_append(w.kept, o.header_row) ELSE w.kept END
+  FROM walk w JOIN o ON o.workbook = w.workbook AND o.sheet = w.sheet AND o.k = w.k + 1),
+fin AS (SELECT workbook, sheet, kept FROM walk
+        QUALIFY row_number() OVER (PARTITION BY workbook, sheet ORDER BY k DESC) = 1),
+rk AS (SELECT o.*, row_number() OVER (PARTITION BY o.workbook ORDER BY o.score DESC, o.sheet, o.header_row) AS rank
+       FROM o JOIN fin ON fin.workbook = o.workbook AND fin.sheet = o.sheet
+       WHERE list_contains(fin.kept, o.header_row)),
+wb AS (SELECT workbook, max(score) FILTER (WHERE rank = 1) AS top_score,
+              max(supporting_rows) FILTER (WHERE rank = 1) AS top_support,
+              max(score) FILTER (WHERE rank = 2) AS run_score
+       FROM rk GROUP BY workbook),
+cred AS (SELECT *, row_number() OVER (PARTITION BY workbook ORDER BY estimated_table_area DESC, score DESC, rank) AS ak
+         FROM rk WHERE score >= 75 AND supporting_rows >= 3 AND estimated_data_rows >= 3),
+dom AS (SELECT a.workbook, a.sheet, a.header_row FROM cred a JOIN cred b ON b.workbook = a.workbook AND b.ak = 2
+        WHERE a.ak = 1 AND a.sheet <> b.sheet AND a.estimated_data_rows >= 10
+          AND a.estimated_data_rows * 2 >= b.estimated_data_rows * 3
+          AND a.estimated_table_area >= 3 * greatest(1, b.estimated_table_area)
+          AND NOT EXISTS (SELECT 1 FROM rk c WHERE c.workbook = a.workbook AND c.sheet = a.sheet
+                          AND c.header_row <> a.header_row AND c.score >= 73)),
+gap AS (SELECT *, CASE WHEN run_score IS NULL THEN 100 ELSE top_score - run_score END AS g FROM wb),
+strong AS (SELECT t.workbook, t.sheet, t.header_row FROM rk t JOIN gap ON gap.workbook = t.workbook
+           WHERE t.rank = 1 AND gap.top_score >= 73 AND gap.g >= 12 AND gap.top_support >= 1
+             AND NOT (gap.run_score IS NOT NULL AND gap.run_score >= 70 AND gap.g < 20)),
+sel AS (SELECT workbook, sheet, header_row, 'dominant_table_area' AS basis FROM dom
+        UNION ALL SELECT workbook, sheet, header_row, 'unique_strong_header' FROM strong
+        WHERE workbook NOT IN (SELECT workbook FROM dom))
+"""
+
+_LAYOUT_SQL = f"""
+WITH RECURSIVE {_CHOICE_CTES}
+SELECT wb.workbook,
+  CASE WHEN sel.workbook IS NOT NULL THEN 'high' WHEN wb.top_score >= 58 THEN 'review' ELSE 'unresolved' END AS confidence,
+  sel.sheet AS recommended_sheet, sel.header_row AS recommended_header_row, sel.basis AS selection_basis,
+  CAST((SELECT count(*) FROM rk WHERE rk.workbook = wb.workbook AND rk.score >= 73
+        AND rk.supporting_rows >= 1) AS INTEGER) AS detected_table_count,
+  sel.header_row - 1 AS leading_note_rows
+FROM wb LEFT JOIN sel ON sel.workbook = wb.workbook
+"""
+
+_GRID_RECORDS_SQL = f"""
+WITH RECURSIVE {_CHOICE_CTES},
+c AS (SELECT cells.*, sel.header_row FROM ({D.ORDER_WORKBOOKS_SQL}) cells
+      JOIN sel ON sel.workbook = cells.workbook AND sel.sheet = cells.sheet),
+hdr AS (SELECT workbook, sheet, col, {O.strip_sql('value')} AS "column" FROM c WHERE "row" = header_row)
+SELECT b.workbook, b.sheet, b."row", hdr."column", coalesce(CAST(b.value AS VARCHAR), '') AS value
+FROM c b JOIN hdr ON hdr.workbook = b.workbook AND hdr.sheet = b.sheet AND hdr.col = b.col
+WHERE b."row" > b.header_row
+"""
+
+
+@register("layout_choices", _LAYOUT_SQL)
 def layout_choices(spark, sf_dir):
     """Neighbour suppression, dominant-area / strong-header choice per workbook."""
     return LY.layout_summary(LY.choose_tables(LY.header_candidates(D.order_workbooks(spark, sf_dir))))
 
 
-@register("grid_records")
+@register("grid_records", _GRID_RECORDS_SQL)
 def grid_records(spark, sf_dir):
     """Records below each workbook's chosen header, as (workbook, row, column, value)."""
     cells = D.order_workbooks(spark, sf_dir)
