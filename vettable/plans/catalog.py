@@ -1078,7 +1078,13 @@ def stream_quality(spark, sf_dir):
     return emitted.unionByName(still_open)
 
 
-@register("stream_gate")
+# The events table is one file and the stream reads one file per trigger, so
+# the whole table is micro-batch 0; its audit is the fleet audit of that batch.
+_STREAM_GATE_SQL = ("SELECT CAST(0 AS BIGINT) AS batch_id, dataset_id, status, row_count, quality_score FROM ("
+                    + O.audit_sql(D.EVENTS_FLEET_SQL, ["user_id", "props"], output="audits") + ") a")
+
+
+@register("stream_gate", _STREAM_GATE_SQL)
 def stream_gate(spark, sf_dir):
     """Streaming: per micro-batch audit with READY / QUARANTINE routing (foreachBatch)."""
     base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/gate-{uuid.uuid4().hex}"
