@@ -55,21 +55,19 @@ def remove_exact_duplicates(df: DataFrame, columns: Sequence[str] = (),
                             ) -> DataFrame:
     """whole-row de-duplication keeping the first copy (lowest ``_row_id``).
 
-    One shuffle keyed by ``(keys, 256-bit row digest)``; the ``min`` of
-    ``struct(_row_id, row)`` is combined map-side, so a row repeated across a
-    third of the table collapses before it is shuffled.
+    Exact duplicates share every cell, so the row itself is the grouping key
+    (null equals null, and differs from ``''``) and only ``min(_row_id)`` is
+    aggregated: a fixed-width buffer, so Spark plans a hash aggregate with
+    map-side combine, and a row repeated across a third of the table
+    collapses before it is shuffled.
     """
     if columns:
         raise RepairError("REMOVE_EXACT_DUPLICATES must apply to complete rows, not selected columns.")
     keys = list(keys)
     data = list(data_columns) if data_columns is not None else [
         c for c in df.columns if c not in keys and c != ROW_ID]
-    digest = T.row_digest([qcol(c) for c in data])
-    kept = (df.withColumn("_dd", digest)
-            .groupBy(*keys, "_dd")
-            .agg(F.min(F.struct(F.col(ROW_ID), *[qcol(c) for c in data])).alias("_first")))
-    return kept.select(*keys, F.col("_first." + ROW_ID).alias(ROW_ID),
-                       *[F.col("_first").getField(c).alias(c) for c in data])
+    kept = df.groupBy(*keys, *[qcol(c) for c in data]).agg(F.min(ROW_ID).alias(ROW_ID))
+    return kept.select(*keys, ROW_ID, *[qcol(c) for c in data])
 
 
 def apply_action(df: DataFrame, action: str, columns: Sequence[str], *, keys: Sequence[str] = (),

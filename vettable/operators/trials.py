@@ -55,18 +55,36 @@ def trial_status(plan_decisions: DataFrame, plan_actions: DataFrame, columns: li
     return j.select(*PLAN_KEYS, status.alias("status"))
 
 
+# Broadcast the runnable plans (one small row each, with their ordered steps)
+# only up to this many; beyond it the join shuffles on dataset_id and AQE
+# splits a dataset that holds a large share of the rows.
+PLAN_BROADCAST_ROWS = 100_000
+
+
 def execute_candidates(source: DataFrame, runnable: DataFrame, plan_actions: DataFrame,
                        columns: list[str]) -> DataFrame:
-    """Apply each runnable candidate's actions, in order, to its own copy of the source."""
-    rows = source.join(runnable.select(*PLAN_KEYS), on="dataset_id", how="inner")
+    """Apply each runnable candidate's actions, in order, to its own copy of the source.
+
+    Each plan's ordered steps travel as one array column on the small plan
+    side, so the source is joined once and step ``s`` reads its action from
+    that array - no per-step join that could partition the copies by
+    candidate. A de-duplication step shuffles only the rows of the candidates
+    that de-duplicate at that step; the others pass through.
+    """
     acts = plan_actions.join(runnable.select(*PLAN_KEYS), on=PLAN_KEYS, how="left_semi")
-    steps = sorted({(r["action_idx"], r["action"])
-                    for r in acts.select("action_idx", "action").distinct().collect()})
-    for s in sorted({i for i, _ in steps}):
-        here = {a for i, a in steps if i == s}
-        step = acts.filter(F.col("action_idx") == s).select(
-            *PLAN_KEYS, F.col("action").alias("_a"), F.col("columns").alias("_cols"))
-        rows = rows.join(step, on=PLAN_KEYS, how="left")
+    steps = acts.groupBy(*PLAN_KEYS).agg(F.sort_array(F.collect_list(
+        F.struct("action_idx", "action", "columns"))).alias("_steps"))
+    plans = cut(runnable.select(*PLAN_KEYS).join(steps, on=PLAN_KEYS, how="left"))
+    # (step, action) -> number of plans, and the plan count: a few numbers.
+    per_step = {(r["action_idx"], r["action"]): r["n"]
+                for r in acts.groupBy("action_idx", "action").agg(F.count("*").alias("n")).collect()}
+    n_plans = plans.count()
+    side = F.broadcast(plans) if n_plans <= PLAN_BROADCAST_ROWS else plans
+    rows = source.join(side, on="dataset_id", how="inner")
+    for s in sorted({i for i, _ in per_step}):
+        here = {a for i, a in per_step if i == s}
+        step = F.get(F.filter("_steps", lambda x: x["action_idx"] == s), 0)
+        rows = rows.withColumns({"_a": step["action"], "_cols": step["columns"]})
 
         def fix(name: str) -> Column:
             c = qcol(name)
@@ -83,15 +101,19 @@ def execute_candidates(source: DataFrame, runnable: DataFrame, plan_actions: Dat
         if here & {"TRIM_OUTER_WHITESPACE", "STANDARDIZE_MISSING_MARKERS"}:
             rows = rows.withColumns({c: fix(c) for c in columns})
         if "REMOVE_EXACT_DUPLICATES" in here:
-            # Rows of candidates that do not dedupe at this step get a unique key.
-            digest = F.when(F.coalesce(F.col("_a") == "REMOVE_EXACT_DUPLICATES", F.lit(False)),
-                            T.row_digest([qcol(c) for c in columns])) \
-                .otherwise(F.unhex(F.sha2(F.concat(F.lit("#"), F.col(ROW_ID).cast("string")), 256)))
-            rows = (rows.withColumn("_dd", digest)
-                    .groupBy(*PLAN_KEYS, "_dd")
-                    .agg(F.min(F.struct(F.col(ROW_ID), *[qcol(c) for c in columns])).alias("_f"))
-                    .select(*PLAN_KEYS, F.col("_f." + ROW_ID).alias(ROW_ID),
-                            *[F.col("_f").getField(c).alias(c) for c in columns]))
+            is_dd = F.coalesce(F.col("_a") == "REMOVE_EXACT_DUPLICATES", F.lit(False))
+            # First copy kept; grouped by the row itself with a fixed-width
+            # min(row id): a hash aggregate, combined map-side.
+            deduped = (rows.filter(is_dd)
+                       .groupBy(*PLAN_KEYS, "_steps", *[qcol(c) for c in columns])
+                       .agg(F.min(ROW_ID).alias(ROW_ID))
+                       .select(*PLAN_KEYS, "_steps", ROW_ID, *[qcol(c) for c in columns]))
+            if per_step[(s, "REMOVE_EXACT_DUPLICATES")] < n_plans:
+                rest = rows.filter(~is_dd).select(*PLAN_KEYS, "_steps", ROW_ID,
+                                                  *[qcol(c) for c in columns])
+                rows = rest.unionByName(deduped)
+            else:
+                rows = deduped
         else:
             rows = rows.drop("_a", "_cols")
     return rows.select(*PLAN_KEYS, ROW_ID, *columns)

@@ -204,6 +204,16 @@ ORDERS_CANDIDATES = {
 }
 
 
+def _orders_trial(spark, sf_dir):
+    """Source audit and trial only: what the trial-level queries need (L4 up to T-1)."""
+    from ..operators.trials import run_trials
+    src = D.dirty_orders(spark, sf_dir)
+    before = audit(src, order_col="_row_id", columns=D.ORDERS_COLUMNS, materialize=True)
+    plans, acts = G.candidate_batch(spark, before.audits, ORDERS_CANDIDATES, ["orders"])
+    trial = run_trials(src, D.ORDERS_COLUMNS, before, plans, acts, G.safe_policy(before.audits))
+    return before, trial, acts
+
+
 def _orders_analysis(spark, sf_dir):
     src = D.dirty_orders(spark, sf_dir)
     before = audit(src, order_col="_row_id", columns=D.ORDERS_COLUMNS, materialize=True)
@@ -231,8 +241,8 @@ _TRIAL_AUDIT_SQL = ("SELECT 'orders' AS dataset_id, dataset_id AS candidate_id,
 @register("trial_audits", _TRIAL_AUDIT_SQL)
 def trial_audits(spark, sf_dir):
     """T-1: every permitted candidate executed and re-audited in one job."""
-    a = _orders_analysis(spark, sf_dir)
-    return a.trial.after.audits.select("dataset_id", "candidate_id", *AUDIT_COLS[1:])
+    _, trial, _ = _orders_trial(spark, sf_dir)
+    return trial.after.audits.select("dataset_id", "candidate_id", *AUDIT_COLS[1:])
 
 
 # ---------------------------------------------------------------- authorization (V4/V5)
@@ -354,7 +364,9 @@ FROM b JOIN a ON true LEFT JOIN bf ON bf.dataset_id = b.dataset_id LEFT JOIN af
 @register("comparison", _COMPARISON_SQL)
 def comparison_query(spark, sf_dir):
     """T-2: before/after deltas and code sets for every executed candidate."""
-    return _orders_analysis(spark, sf_dir).comparisons
+    from ..operators.compare import comparison
+    before, trial, _ = _orders_trial(spark, sf_dir)
+    return comparison(before.audits, before.findings, trial.after.audits, trial.after.findings)
 
 
 _SEV = "CASE severity WHEN 'INFO' THEN 1 WHEN 'WARNING' THEN 2 WHEN 'CRITICAL' THEN 3 ELSE 0 END"
@@ -388,7 +400,10 @@ UNION ALL SELECT 'orders', candidate_id, rule, code, "column" FROM per
 @register("regressions", _REGRESSION_SQL)
 def regressions_query(spark, sf_dir):
     """T-4: regression rules fired by each executed candidate."""
-    return _orders_analysis(spark, sf_dir).regressions
+    from ..operators.compare import regressions
+    before, trial, acts = _orders_trial(spark, sf_dir)
+    return regressions(before.audits, before.findings, trial.after.audits, trial.after.findings,
+                       acts, trial.trials)
 
 
 def _actions_values(candidates) -> str:
@@ -820,11 +835,11 @@ FROM pd LEFT JOIN ex ON ex.candidate_id = pd.candidate_id
 @register("execution_gate", _GATE_SQL)
 def execution_gate(spark, sf_dir):
     """V7: which approved plans may run against the source as it is now."""
-    a = _orders_analysis(spark, sf_dir)
-    current = a.before.audits.select("dataset_id", "fingerprint")
-    plans = a.trial.plan_decisions.select(*PO.PLAN_KEYS, "source_fingerprint")
-    acts = a.trial.action_decisions.select(*PO.PLAN_KEYS, "action_idx", "action", "columns")
-    return PO.execution_gate(plans, acts, a.trial.plan_decisions, a.trial.action_decisions, current) \
+    before, trial, _ = _orders_trial(spark, sf_dir)
+    current = before.audits.select("dataset_id", "fingerprint")
+    plans = trial.plan_decisions.select(*PO.PLAN_KEYS, "source_fingerprint")
+    acts = trial.action_decisions.select(*PO.PLAN_KEYS, "action_idx", "action", "columns")
+    return PO.execution_gate(plans, acts, trial.plan_decisions, trial.action_decisions, current) \
         .select(*PO.PLAN_KEYS, "ready", F.array_join("failed_checks", ",").alias("failed_checks"))
 
 
@@ -898,14 +913,14 @@ LEFT JOIN ex ON ex.candidate_id = a.dataset_id
 @register("lineage", _LINEAGE_SQL)
 def lineage_query(spark, sf_dir):
     """L1: fingerprints recomputed from data; plan, decision and audits must all bind."""
-    a = _orders_analysis(spark, sf_dir)
+    before, trial, _ = _orders_trial(spark, sf_dir)
     src = D.dirty_orders(spark, sf_dir)
     cur_src = identity_stats(src, ["dataset_id"], D.ORDERS_COLUMNS).select("dataset_id", "fingerprint")
-    cur_out = identity_stats(a.trial.outputs, PO.PLAN_KEYS, D.ORDERS_COLUMNS).select(
+    cur_out = identity_stats(trial.outputs, PO.PLAN_KEYS, D.ORDERS_COLUMNS).select(
         *PO.PLAN_KEYS, "fingerprint")
-    plans = a.trial.plan_decisions.select(*PO.PLAN_KEYS, "source_fingerprint")
-    ok, bad = lineage_op(cur_src, cur_out, a.before.audits, a.trial.after.audits, plans,
-                         a.trial.plan_decisions, a.trial.action_decisions)
+    plans = trial.plan_decisions.select(*PO.PLAN_KEYS, "source_fingerprint")
+    ok, bad = lineage_op(cur_src, cur_out, before.audits, trial.after.audits, plans,
+                         trial.plan_decisions, trial.action_decisions)
     return ok.select(*PO.PLAN_KEYS, "source_fingerprint_sha256", "output_fingerprint_sha256",
                      "source_audit_status", "output_audit_status", "policy_id",
                      "executed_actions", "source_preserved")
