@@ -265,8 +265,7 @@ def _two_fleets(spark, sf_dir):
 
 def _decisions(spark, sf_dir):
     audits, findings = _two_fleets(spark, sf_dir)
-    ids = ["orders", "de", "en", "es", "fr"]
-    plans, acts = G.candidate_batch(spark, audits, ORDERS_CANDIDATES, ids)
+    plans, acts = G.candidate_batch(spark, audits, ORDERS_CANDIDATES)
     pol = G.safe_policy(audits)
     return authorize(audits, findings, plans, acts, pol)
 
@@ -746,21 +745,19 @@ def review_violations(spark, sf_dir):
         F.col("lang").alias("dataset_id"), F.col("doc_id").alias("_row_id"),
         F.col("text").alias("business_email"), "source")
     r = audit(d, order_col="_row_id", columns=["business_email", "source"], materialize=True)
-    langs = [x["dataset_id"] for x in r.audits.select("dataset_id").collect()]
-    rows = []
-    for lang in langs:
-        rows += [(lang, kind, col, "rev", "Declared by the data owner", 0) for kind, col in _DECLARED]
-    reviews = _reviews(spark, rows)
-    headers = _headers(spark, langs, ["business_email", "source"])
+    # Declarations and headers per audited dataset, derived from the audits
+    # table (a literal array exploded per row; nothing goes through the driver).
+    decl = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(c).alias("column")) for k, c in _DECLARED])
+    reviews = r.audits.select("dataset_id", F.explode(decl).alias("d")).select(
+        "dataset_id", "d.kind", "d.column", F.lit("rev").alias("reviewer_reference"),
+        F.lit("Declared by the data owner").alias("reason"),
+        F.lit(0).cast("bigint").alias("reviewed_at"))
+    headers = r.audits.select("dataset_id", F.posexplode(
+        F.array(F.lit("business_email"), F.lit("source"))).alias("position", "name"))
     conflicts = contact_conflicts(d, columns=["business_email", "source"])
     return RV.review_violations(reviews, headers, r.findings, conflicts)
 
 
-def _headers(spark, datasets, columns):
-    return spark.createDataFrame([(ds, i, c) for ds in datasets for i, c in enumerate(columns)],
-                                 "dataset_id string, position int, name string")
-
-
 # ---------------------------------------------------------------- human review, gate, batch rules
 from ..operators import policy as PO  # noqa: E402
 
@@ -805,15 +802,14 @@ UNION ALL SELECT dataset_id, candidate_id, error, false FROM j WHERE error IS NO
 def human_resolution(spark, sf_dir):
     """V6: documents' plans held for review (PII) resolved by a reviewer, all-or-nothing."""
     audits, findings = _two_fleets(spark, sf_dir)
-    langs = [r["dataset_id"] for r in audits.filter(F.col("dataset_id") != "orders")
-             .select("dataset_id").collect()]
-    plans, acts = G.candidate_batch(spark, audits, ORDERS_CANDIDATES, langs)
+    docs = audits.filter(F.col("dataset_id") != "orders")
+    plans, acts = G.candidate_batch(spark, docs, ORDERS_CANDIDATES)
     pd_, ad = authorize(audits, findings, plans, acts, G.safe_policy(audits))
-    rows = []
-    for lang in langs:
-        rows += [(lang, *a) for a in _APPROVALS]
-    approvals = spark.createDataFrame(rows, "dataset_id string, candidate_id string, "
-                                            "reviewer_reference string, review_reason string, approved array<int>")
+    requests = F.array(*[F.struct(
+        F.lit(c).alias("candidate_id"), F.lit(r).alias("reviewer_reference"),
+        F.lit(w).alias("review_reason"), F.array(*[F.lit(i) for i in ix]).cast("array<int>")
+        .alias("approved")) for c, r, w, ix in _APPROVALS])
+    approvals = docs.select("dataset_id", F.explode(requests).alias("a")).select("dataset_id", "a.*")
     res, rejected = PO.resolve_human_review(pd_, ad, approvals)
     return res.select("dataset_id", "candidate_id", "status", "can_execute").unionByName(
         rejected.select("dataset_id", "candidate_id", F.col("error").alias("status"),

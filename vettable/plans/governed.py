@@ -48,23 +48,28 @@ def safe_policy(datasets: DataFrame, policy_id: str = "safe-repairs",
 
 def candidate_batch(spark: SparkSession, audits: DataFrame,
                     candidates: dict[str, list[tuple[str, list[str]]]],
-                    dataset_ids: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Plans for the named datasets, bound to each one's audited fingerprint.
+                    dataset_ids: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Plans for every audited dataset (or the named ones), bound to its fingerprint.
 
     ``candidates``: candidate_id -> ordered (action, columns) list; an empty
-    list is a plan with no action. The literal rows carry ``dataset_id`` and
-    are equi-joined to the audits.
+    list is a plan with no action. The batch is one literal array exploded on
+    each audit row, so the plans are derived from the audits table itself -
+    no dataset list passes through the driver and no join is needed.
     """
-    rows = []
-    for ds in dataset_ids:
-        for cid, actions in candidates.items():
-            if not actions:
-                rows.append((ds, cid, f"plan {cid}", -1, None, [], None))
-            for i, (action, cols) in enumerate(actions):
-                rows.append((ds, cid, f"plan {cid}", i, action, list(cols), f"step {i} of {cid}"))
-    lit = spark.createDataFrame(rows, PLAN_ACTION_SCHEMA)
-    target = audits.select("dataset_id", F.col("fingerprint").alias("source_fingerprint"))
-    bound = lit.join(target, on="dataset_id", how="inner")
+    entries = []
+    for cid, actions in candidates.items():
+        if not actions:
+            entries.append((cid, -1, None, [], None))
+        for i, (action, cols) in enumerate(actions):
+            entries.append((cid, i, action, list(cols), f"step {i} of {cid}"))
+    batch = F.array(*[F.struct(
+        F.lit(cid).alias("candidate_id"), F.lit(f"plan {cid}").alias("summary"),
+        F.lit(i).cast("int").alias("action_idx"), F.lit(a).cast("string").alias("action"),
+        F.array(*[F.lit(c) for c in cols]).cast("array<string>").alias("columns"),
+        F.lit(j).cast("string").alias("justification")) for cid, i, a, cols, j in entries])
+    target = audits if dataset_ids is None else audits.filter(F.col("dataset_id").isin(*dataset_ids))
+    bound = target.select("dataset_id", F.col("fingerprint").alias("source_fingerprint"),
+                          F.explode(batch).alias("p")).select("dataset_id", "source_fingerprint", "p.*")
     plans = bound.select(*PLAN_KEYS, "source_fingerprint", "summary").distinct()
     plan_actions = bound.filter(F.col("action_idx") >= 0).select(
         *PLAN_KEYS, "action_idx", "action", "columns", "justification")
