@@ -537,7 +537,7 @@ def json_props_audit(spark, sf_dir):
     cells, _ = json_cells(e, "props")
     cols = [r["column"] for r in key_union(cells).groupBy("column")
             .agg(F.min("position").alias("p")).orderBy("p").collect()]
-    table = json_table(cells, cols)
+    table = json_table(e, "props", cols)
     return audit(table, order_col="_row_id", columns=cols).findings
 
 
@@ -549,7 +549,7 @@ def json_rejects(spark, sf_dir):
     e = read_table(spark, sf_dir, "events").select(
         F.col("event_type").alias("dataset_id"), F.col("event_id").alias("_row_id"), "props")
     _, rejects = json_cells(e, "props")
-    per = rejects.groupBy("dataset_id").agg(F.countDistinct("_row_id").alias("rejected"))
+    per = rejects.groupBy("dataset_id").agg(F.count("*").alias("rejected"))  # one row per record
     tot = e.groupBy("dataset_id").agg(F.count("*").alias("records"))
     return tot.join(per, on="dataset_id", how="left").select(
         "dataset_id", F.coalesce("rejected", F.lit(0)).cast("bigint").alias("rejected"),

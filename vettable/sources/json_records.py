@@ -26,15 +26,9 @@ def _records(df: DataFrame, text_col: str, keys: list[str], order_col: str) -> D
     return base.withColumn("_kind", kind).withColumn("_recs", recs)
 
 
-def json_cells(df: DataFrame, text_col: str, *, keys: list[str] | None = None,
-               order_col: str = "_row_id", documents: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Long cells ``(keys..., _row_id, _pos, column, value, value_type)`` and rejects.
-
-    ``documents=False``: each text is one record. ``True``: each text is an
-    array of records or ``{"records": [...]}``; ``_row_id`` then orders the
-    records by (text order, index).
-    """
-    keys = keys or ["dataset_id"]
+def _parsed(df: DataFrame, text_col: str, keys: list[str], order_col: str,
+            documents: bool) -> DataFrame:
+    """One row per record: ``keys..., _row_id, _v (variant), _raw, _kind, _bad``."""
     if documents:
         b = _records(df, text_col, keys, order_col)
         rec = b.select(*keys, "_doc", F.posexplode_outer(F.col("_recs").cast("array<variant>"))
@@ -45,48 +39,76 @@ def json_cells(df: DataFrame, text_col: str, *, keys: list[str] | None = None,
     else:
         rec = df.select(*keys, F.col(order_col).alias("_row_id"),
                         F.try_parse_json(F.col(text_col)).alias("_v"), F.col(text_col).alias("_raw"))
-    kind = F.schema_of_variant(F.col("_v"))
-    checked = rec.withColumn("_kind", kind)
+    checked = rec.withColumn("_kind", F.schema_of_variant(F.col("_v")))
     bad = (F.when(F.col("_v").isNull(), F.lit("INVALID_JSON_OR_DUPLICATE_KEY"))
            .when(~F.col("_kind").startswith("OBJECT"), F.lit("NOT_AN_OBJECT"))
            .when(F.col("_kind") == "OBJECT<>", F.lit("EMPTY_OBJECT")))
-    checked = checked.withColumn("_bad", bad)
+    good = F.try_variant_get(F.col("_v"), "$", "map<string,variant>")
+    # A nested value rejects its whole record; decided per record, no join.
+    nested = F.exists(F.map_values(good), lambda x: F.schema_of_variant(x).startswith("OBJECT")
+                      | F.schema_of_variant(x).startswith("ARRAY"))
+    bad = bad.when(nested, F.lit("NESTED_VALUE"))
+    return checked.withColumn("_bad", bad)
+
+
+def _text(val) -> F.Column:
+    """A scalar JSON value as text: null -> '', booleans true/false, others as written."""
+    vt = F.schema_of_variant(val)
+    return (F.when(val.isNull(), F.lit(None).cast("string"))
+            .when(vt == "VOID", F.lit(""))
+            .when(vt == "BOOLEAN", F.when(F.variant_get(val, "$", "boolean"), F.lit("true"))
+                  .otherwise(F.lit("false")))
+            .otherwise(F.variant_get(val, "$", "string")))
+
+
+def json_cells(df: DataFrame, text_col: str, *, keys: list[str] | None = None,
+               order_col: str = "_row_id", documents: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Long cells ``(keys..., _row_id, _pos, column, value, value_type)`` and rejects.
+
+    ``documents=False``: each text is one record. ``True``: each text is an
+    array of records or ``{"records": [...]}``; ``_row_id`` then orders the
+    records by (text order, index). Both outputs are narrow transforms of the
+    input: no shuffle.
+    """
+    keys = keys or ["dataset_id"]
+    checked = _parsed(df, text_col, keys, order_col, documents)
     cells = (checked.filter(F.col("_bad").isNull())
-             .select(*keys, "_row_id", F.col("_v").cast("map<string,variant>").alias("_m"),
+             .select(*keys, "_row_id", F.try_variant_get(F.col("_v"), "$", "map<string,variant>").alias("_m"),
                      F.posexplode(F.json_object_keys(F.col("_raw"))).alias("_pos", "column"))
              .select(*keys, "_row_id", "_pos", "column",
                      F.element_at(F.col("_m"), F.col("column")).alias("_val")))
-    vt = F.schema_of_variant(F.col("_val"))
-    text = (F.when(vt == "VOID", F.lit(""))
-            .when(vt == "BOOLEAN", F.when(F.variant_get("_val", "$", "boolean"), F.lit("true"))
-                  .otherwise(F.lit("false")))
-            .otherwise(F.variant_get("_val", "$", "string")))
     cells = cells.select(*keys, "_row_id", F.col("_pos").cast("int").alias("_pos"), "column",
-                         text.alias("value"), vt.alias("value_type"))
-    nested = cells.filter(F.col("value_type").startswith("OBJECT") | F.col("value_type").startswith("ARRAY"))
-    rejects = (checked.filter(F.col("_bad").isNotNull()).select(*keys, "_row_id",
-                                                                F.col("_bad").alias("reason"))
-               .unionByName(nested.select(*keys, "_row_id", F.lit("NESTED_VALUE").alias("reason"))))
-    cells = cells.join(nested.select(*keys, "_row_id").distinct(), on=keys + ["_row_id"],
-                       how="left_anti")
+                         _text(F.col("_val")).alias("value"),
+                         F.schema_of_variant(F.col("_val")).alias("value_type"))
+    rejects = checked.filter(F.col("_bad").isNotNull()).select(*keys, "_row_id",
+                                                               F.col("_bad").alias("reason"))
     return cells, rejects
 
 
 def key_union(cells: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Columns of each dataset in first-seen order: ``keys..., column, position``."""
+    """Columns of each dataset in first-seen order: ``keys..., column, position``.
+
+    A key occurs once per record, so its first sighting is (min record id,
+    that record's position): ``min`` and ``min_by`` have fixed-width buffers,
+    so this is a hash aggregate combined map-side.
+    """
     keys = keys or ["dataset_id"]
-    first = cells.groupBy(*keys, "column").agg(F.min(F.struct("_row_id", "_pos")).alias("_f"))
+    first = cells.groupBy(*keys, "column").agg(F.min("_row_id").alias("_r"),
+                                                F.min_by("_pos", "_row_id").alias("_p"))
     from pyspark.sql import Window
-    w = Window.partitionBy(*keys).orderBy("_f")
+    w = Window.partitionBy(*keys).orderBy("_r", "_p")
     return first.select(*keys, "column", F.row_number().over(w).cast("int").alias("position"))
 
 
-def json_table(cells: DataFrame, columns: list[str], keys: list[str] | None = None) -> DataFrame:
+def json_table(df: DataFrame, text_col: str, columns: list[str], *, keys: list[str] | None = None,
+               order_col: str = "_row_id", documents: bool = False) -> DataFrame:
     """Wide text table over the given key union; absent key -> ``''``.
 
-    ``pivot`` with an explicit value list needs no extra job to find them.
+    Every accepted record becomes one row by a projection over its parsed
+    map - the cells of a record never leave its task.
     """
     keys = keys or ["dataset_id"]
-    wide = cells.groupBy(*keys, "_row_id").pivot("column", columns).agg(F.first("value"))
-    return wide.select(*keys, "_row_id", *[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c)
-                                           for c in columns])
+    good = _parsed(df, text_col, keys, order_col, documents).filter(F.col("_bad").isNull())
+    m = F.try_variant_get(F.col("_v"), "$", "map<string,variant>")
+    return good.select(*keys, "_row_id", *[
+        F.coalesce(_text(F.element_at(m, F.lit(c))), F.lit("")).alias(c) for c in columns])
