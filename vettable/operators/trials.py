@@ -60,9 +60,19 @@ def trial_status(plan_decisions: DataFrame, plan_actions: DataFrame, columns: li
 # splits a dataset that holds a large share of the rows.
 PLAN_BROADCAST_ROWS = 100_000
 
+# Row-keeping candidate copies are cached for the re-audit passes only up to
+# this estimated size; larger ones are derived again from the source per pass.
+TRIAL_CACHE_BYTES = 1 << 30
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """The optimizer's size estimate of a plan (file sizes for a scan), no job."""
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return int(size if isinstance(size, int) else str(size.toString()))
+
 
 def execute_candidates(source: DataFrame, runnable: DataFrame, plan_actions: DataFrame,
-                       columns: list[str]) -> DataFrame:
+                       columns: list[str], split: bool = False):
     """Apply each runnable candidate's actions, in order, to its own copy of the source.
 
     Each plan's ordered steps travel as one array column on the small plan
@@ -70,15 +80,36 @@ def execute_candidates(source: DataFrame, runnable: DataFrame, plan_actions: Dat
     that array - no per-step join that could partition the copies by
     candidate. A de-duplication step shuffles only the rows of the candidates
     that de-duplicate at that step; the others pass through.
+
+    ``split=True`` returns ``(row_keeping, row_dropping, n_row_keeping_plans)``:
+    the outputs of the plans without and with a de-duplication step, from one
+    plan preparation.
     """
     acts = plan_actions.join(runnable.select(*PLAN_KEYS), on=PLAN_KEYS, how="left_semi")
     steps = acts.groupBy(*PLAN_KEYS).agg(F.sort_array(F.collect_list(
         F.struct("action_idx", "action", "columns"))).alias("_steps"))
-    plans = cut(runnable.select(*PLAN_KEYS).join(steps, on=PLAN_KEYS, how="left"))
-    # (step, action) -> number of plans, and the plan count: a few numbers.
-    per_step = {(r["action_idx"], r["action"]): r["n"]
-                for r in acts.groupBy("action_idx", "action").agg(F.count("*").alias("n")).collect()}
-    n_plans = plans.count()
+    plans = cut(runnable.select(*PLAN_KEYS).join(steps, on=PLAN_KEYS, how="left").withColumn(
+        "_drops", F.coalesce(F.exists("_steps", lambda x: x["action"] == "REMOVE_EXACT_DUPLICATES"),
+                             F.lit(False))))
+    # (half, step, action) -> number of plans, and plans per half: a few numbers.
+    counted = (acts.join(plans.select(*PLAN_KEYS, "_drops"), on=PLAN_KEYS)
+               .groupBy("_drops", "action_idx", "action").agg(F.count("*").alias("n")).collect())
+    n_by = {r["_drops"]: r["count"] for r in plans.groupBy("_drops").count().collect()}
+    if not split:
+        per_step: dict = {}
+        for r in counted:
+            key = (r["action_idx"], r["action"])
+            per_step[key] = per_step.get(key, 0) + r["n"]
+        return _apply_steps(source, plans.drop("_drops"), sum(n_by.values()), per_step, columns)
+    keep, drop = (_apply_steps(
+        source, plans.filter(F.col("_drops") == drops).drop("_drops"), n_by.get(drops, 0),
+        {(r["action_idx"], r["action"]): r["n"] for r in counted if r["_drops"] == drops}, columns)
+        for drops in (False, True))
+    return keep, drop, n_by.get(False, 0)
+
+
+def _apply_steps(source: DataFrame, plans: DataFrame, n_plans: int,
+                 per_step: dict, columns: list[str]) -> DataFrame:
     side = F.broadcast(plans) if n_plans <= PLAN_BROADCAST_ROWS else plans
     rows = source.join(side, on="dataset_id", how="inner")
     for s in sorted({i for i, _ in per_step}):
@@ -128,14 +159,25 @@ def run_trials(source: DataFrame, columns: list[str], before: AuditResult, plans
     plan_decisions, action_decisions = cut(plan_decisions), cut(action_decisions)
     status = cut(trial_status(plan_decisions, plan_actions, columns))
     runnable = status.filter(F.col("status") == "RUN")
-    outputs = execute_candidates(source, runnable, plan_actions, columns)
-    # The re-audit reads the candidate outputs in three passes; keep them for
-    # its duration (spilling to disk as needed; lost blocks recompute from
-    # lineage) instead of re-running every repair three times.
-    outputs.persist(StorageLevel.MEMORY_AND_DISK)
+    # Candidates without de-duplication keep every source row: their copies
+    # are never stored - each re-audit pass derives them again from the
+    # source scan (a broadcast join replicates rows inside the task). Only
+    # the outputs of de-duplicating candidates, which leave a shuffle anyway,
+    # are written once to the shared checkpoint folder and read by the three
+    # passes. Storage stays at most one source size per such candidate
+    # instead of one per candidate, and survives executor loss. Row-keeping
+    # copies are cached only while their estimated size (optimizer estimate
+    # of the source times the copies) is within TRIAL_CACHE_BYTES.
+    keeps_rows, drops_rows, n_keep = execute_candidates(source, runnable, plan_actions, columns,
+                                                        split=True)
+    cached = n_keep * estimated_bytes(source) <= TRIAL_CACHE_BYTES
+    if cached:
+        keeps_rows = keeps_rows.persist(StorageLevel.MEMORY_AND_DISK)
+    outputs = keeps_rows.unionByName(cut(drops_rows))
     after = audit(outputs, keys=PLAN_KEYS, columns=columns, order_col=ROW_ID, reviews=reviews,
                   materialize=True)
-    outputs.unpersist()
+    if cached:
+        keeps_rows.unpersist()
     trials = (status.join(after.audits.select(*PLAN_KEYS, F.col("status").alias("_after"),
                                               "fingerprint"), on=PLAN_KEYS, how="left")
               .select(*PLAN_KEYS,
