@@ -86,3 +86,24 @@ def test_copies_are_never_partitioned_by_candidate(spark):
     assert "SortMergeJoin" not in plan
     assert "Broadcast" in plan
     assert "SortAggregate" not in plan
+
+
+def test_uncached_copies_give_the_same_reaudit(spark, monkeypatch):
+    """Above the cache budget the row-keeping copies are re-derived in each
+    re-audit pass; the audits must not change."""
+    from vettable.operators import trials as TR
+    from vettable.operators.audit import audit
+    from vettable.plans.governed import safe_policy
+
+    rows, src, _, _ = _setup(spark)
+    before = audit(src, columns=COLS, order_col="_row_id", materialize=True)
+    plans, acts = candidate_batch(spark, before.audits, CANDIDATES)
+    pol = safe_policy(before.audits)
+
+    def audits_with(budget):
+        monkeypatch.setattr(TR, "TRIAL_CACHE_BYTES", budget)
+        t = TR.run_trials(src, COLS, before, plans, acts, pol)
+        return sorted(tuple(r) for r in t.after.audits.collect())
+
+    cached, uncached = audits_with(1 << 40), audits_with(0)
+    assert cached == uncached and len(cached) == 3 * len(CANDIDATES)
