@@ -107,3 +107,19 @@ def test_uncached_copies_give_the_same_reaudit(spark, monkeypatch):
 
     cached, uncached = audits_with(1 << 40), audits_with(0)
     assert cached == uncached and len(cached) == 3 * len(CANDIDATES)
+
+
+def test_unbroadcast_plan_join_gives_the_same_outputs(spark, monkeypatch):
+    """Beyond the broadcast bound the plans join by a shuffle on dataset_id."""
+    from vettable.operators import trials as TR
+
+    rows, src, runnable, acts = _setup(spark)
+    monkeypatch.setattr(TR, "PLAN_BROADCAST_ROWS", 0)
+    out = TR.execute_candidates(src, runnable, acts, COLS).collect()
+    got = {}
+    for r in out:
+        got.setdefault((r["dataset_id"], r["candidate_id"]), []).append((r["_row_id"], r["a"], r["b"]))
+    for ds in ("d1", "d2", "d3"):
+        part = [r for r in rows if r[0] == ds]
+        for cid, plan in CANDIDATES.items():
+            assert sorted(got[(ds, cid)], key=lambda r: r[0]) == _replay(part, plan), (ds, cid)
