@@ -49,3 +49,21 @@ def test_report_completeness(spark):
                                 "dataset_id string, outcome string, audit_after string, comparison string, lineage string")
     rows = {r["dataset_id"]: r["complete"] for r in report_json(run).collect()}
     assert rows == {"d1": False, "d2": True}
+
+
+def test_write_report_refuses_incomplete_and_writes_json(spark, tmp_path):
+    import pytest
+
+    from vettable.sources.sinks import SinkError, parse_report, write_report
+    run = spark.createDataFrame(
+        [("d1", "REPAIRED", "a", "c", "l"), ("d2", "READY", None, None, None)],
+        "dataset_id string, outcome string, audit_after string, comparison string, lineage string")
+    dest = str(tmp_path / "reports.json")
+    write_report(report_json(run), dest)
+    lines = [ln for p in (tmp_path / "reports.json").glob("part-*")
+             for ln in p.read_text().splitlines() if ln.strip()]
+    docs = {d["outcome"]: d for d in map(parse_report, lines)}
+    assert set(docs) == {"REPAIRED", "READY"} and docs["REPAIRED"]["schema_version"] == "1.0"
+    incomplete = run.withColumn("lineage", F.lit(None).cast("string"))
+    with pytest.raises(SinkError):
+        write_report(report_json(incomplete), str(tmp_path / "bad.json"))

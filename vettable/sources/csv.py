@@ -77,11 +77,3 @@ def read_csv(spark: SparkSession, path: str, *, with_row_id: bool = True,
         from .tables import spread
         return spread(df.select(*cols)), raw_header
     return df.select(*cols), raw_header
-
-
-def structural_scan(spark: SparkSession, path: str, n_columns: int) -> DataFrame:
-    """Rows of one CSV with width checks kept (input of preflight P11-P15)."""
-    schema = Ty.StructType([Ty.StructField(f"_c{i}", Ty.StringType()) for i in range(n_columns)]
-                           + [Ty.StructField(CORRUPT, Ty.StringType())])
-    spark.conf.set("spark.sql.csv.parser.columnPruning.enabled", "false")
-    return _reader(spark, schema, True).csv(path)
