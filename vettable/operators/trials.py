@@ -60,8 +60,8 @@ def trial_status(plan_decisions: DataFrame, plan_actions: DataFrame, columns: li
 # splits a dataset that holds a large share of the rows.
 PLAN_BROADCAST_ROWS = 100_000
 
-# Row-keeping candidate copies are cached for the re-audit passes only up to
-# this estimated size; larger ones are derived again from the source per pass.
+# Candidate copies are cached for the re-audit passes while all of them fit
+# this estimated size; above it see run_trials.
 TRIAL_CACHE_BYTES = 1 << 30
 
 
@@ -159,25 +159,27 @@ def run_trials(source: DataFrame, columns: list[str], before: AuditResult, plans
     plan_decisions, action_decisions = cut(plan_decisions), cut(action_decisions)
     status = cut(trial_status(plan_decisions, plan_actions, columns))
     runnable = status.filter(F.col("status") == "RUN")
-    # Candidates without de-duplication keep every source row: their copies
-    # are never stored - each re-audit pass derives them again from the
-    # source scan (a broadcast join replicates rows inside the task). Only
-    # the outputs of de-duplicating candidates, which leave a shuffle anyway,
-    # are written once to the shared checkpoint folder and read by the three
-    # passes. Storage stays at most one source size per such candidate
-    # instead of one per candidate, and survives executor loss. Row-keeping
-    # copies are cached only while their estimated size (optimizer estimate
-    # of the source times the copies) is within TRIAL_CACHE_BYTES.
-    keeps_rows, drops_rows, n_keep = execute_candidates(source, runnable, plan_actions, columns,
-                                                        split=True)
-    cached = n_keep * estimated_bytes(source) <= TRIAL_CACHE_BYTES
-    if cached:
-        keeps_rows = keeps_rows.persist(StorageLevel.MEMORY_AND_DISK)
-    outputs = keeps_rows.unionByName(cut(drops_rows))
-    after = audit(outputs, keys=PLAN_KEYS, columns=columns, order_col=ROW_ID, reviews=reviews,
-                  materialize=True)
-    if cached:
-        keeps_rows.unpersist()
+    # Every copy together is at most MAX_CANDIDATES times the source (the
+    # batch rule caps candidates per dataset). When that fits the cache
+    # budget, all outputs are cached for the three re-audit passes. Above it,
+    # copies of row-keeping candidates are never stored - each pass derives
+    # them again from the source scan (a broadcast join replicates rows inside
+    # the task) - and only the outputs of de-duplicating candidates, which
+    # leave a shuffle anyway, are written once to the shared checkpoint
+    # folder: storage stays at most one source size per such candidate and
+    # survives executor loss.
+    if K.MAX_CANDIDATES * estimated_bytes(source) <= TRIAL_CACHE_BYTES:
+        outputs = execute_candidates(source, runnable, plan_actions, columns)
+        outputs.persist(StorageLevel.MEMORY_AND_DISK)
+        after = audit(outputs, keys=PLAN_KEYS, columns=columns, order_col=ROW_ID,
+                      reviews=reviews, materialize=True)
+        outputs.unpersist()
+    else:
+        keeps_rows, drops_rows, _ = execute_candidates(source, runnable, plan_actions, columns,
+                                                       split=True)
+        outputs = keeps_rows.unionByName(cut(drops_rows))
+        after = audit(outputs, keys=PLAN_KEYS, columns=columns, order_col=ROW_ID,
+                      reviews=reviews, materialize=True)
     trials = (status.join(after.audits.select(*PLAN_KEYS, F.col("status").alias("_after"),
                                               "fingerprint"), on=PLAN_KEYS, how="left")
               .select(*PLAN_KEYS,
