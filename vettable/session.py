@@ -32,14 +32,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder of the cluster; a scratch one only when unset.
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder; it is read from
-    the session and never overridden. Only an unset value (local tests) gets a
-    fresh scratch folder.
+    the session and never overridden. Only an unset value in local mode (one
+    process, one disk) gets a fresh scratch folder; on a cluster it is an error,
+    since every executor would write to its own disk.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if current:
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(current)
         return current
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     path = tempfile.mkdtemp(prefix="vettable-ckpt-")
     spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)
