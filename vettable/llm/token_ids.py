@@ -130,8 +130,10 @@ def frequency_ranks(tokens: DataFrame, vocab_size: int, width: str) -> np.ndarra
         unpack = zstandard.ZstdDecompressor().decompress
         total = np.zeros(vocab_size, np.int64)
         for b in batches:
-            for v in b.column("ids").to_pylist():
-                total += np.bincount(np.frombuffer(unpack(v), width), minlength=vocab_size)
+            values = b.column("ids").to_pylist()
+            for at in range(0, len(values), 512):
+                flat = b"".join([unpack(v) for v in values[at:at + 512]])
+                total += np.bincount(np.frombuffer(flat, width), minlength=vocab_size)
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen])], names=["id", "n"])
 

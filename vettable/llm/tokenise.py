@@ -21,12 +21,19 @@ from pyspark.sql import types as T
 from .common import append_columns
 
 #: Pieces remembered per Python worker before the memo starts anew.
-MEMO_PIECES = 800_000
+MEMO_PIECES = 400_000
 _INNER_RUN = re.compile(r"\s \s")
 _TAIL = ",.;:!?"
 _WORKER: dict = {}
 
 
+def _byte_characters() -> dict[int, str]:
+    """The printable stand-in of each byte in byte-level vocabularies (a rule of the format)."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class PieceEncoder:
     """Ids of texts as little-endian unsigned 16- or 32-bit integers."""
 
@@ -36,63 +43,65 @@ class PieceEncoder:
         spec = json.loads(definition)
         self.tok = Tokenizer.from_str(definition)
         self.tok.encode_special_tokens = special_as_text
+        self.model = self.tok.model
         self.code = "H" if self.tok.get_vocab_size() <= 1 << 16 else "I"
         pre = spec.get("pre_tokenizer") or {}
         self.added = [] if special_as_text else [a["content"] for a in spec.get("added_tokens", [])]
         self.by_piece = (pre.get("type") == "ByteLevel" and pre.get("use_regex", True)
                          and not pre.get("add_prefix_space") and not spec.get("normalizer")
                          and not spec.get("post_processor"))
+        if self.by_piece and hasattr(self.model, "_resize_cache"):
+            self.model._resize_cache(0)  # the memo takes its place
+        self.stand_ins = _byte_characters()
         self.memo: dict[str, bytes] = {}
 
-    def _pack(self, ids: list[int]) -> bytes:
-        return array(self.code, ids).tobytes()
-
     def _whole(self, texts: list[str]) -> list[bytes]:
-        return [self._pack(e.ids) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array(self.code, e.ids).tobytes()
+                for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _word(self, letters: str) -> bytes:
+        """Ids of a blank and letters: always one word of the model, so the model alone is asked."""
+        form = (" " + letters).encode().decode("latin-1").translate(self.stand_ins)
+        return array(self.code, [t.id for t in self.model.tokenize(form)]).tobytes()
 
     def _learn(self, pieces: set[str]) -> None:
-        """Encode pieces that the memo lacks; letters and a closing mark are always separate tokens."""
-        memo, plain, tailed = self.memo, set(), []
+        """Ids of pieces that the memo lacks; letters and a closing mark are always separate words."""
+        memo, word, other = self.memo, self._word, []
+        marks = dict(zip(_TAIL, self._whole(list(_TAIL))))
         for p in pieces:
-            if p and p[-1] in _TAIL and p[:-1].isalpha():
-                tailed.append(p)
-                if p[:-1] not in memo:
-                    plain.add(p[:-1])
+            if p.isalpha():
+                memo[p] = word(p)
+            elif p and p[-1] in marks and p[:-1].isalpha():
+                stem = memo.get(p[:-1])
+                memo[p] = (word(p[:-1]) if stem is None else stem) + marks[p[-1]]
             else:
-                plain.add(p)
-        order = list(plain)
-        for p, ids in zip(order, self._whole([" " + p for p in order])):
+                other.append(p)
+        for p, ids in zip(other, self._whole([" " + p for p in other])):
             memo[p] = ids
-        if tailed:
-            marks = dict(zip(_TAIL, self._whole(list(_TAIL))))
-            for p in tailed:
-                memo[p] = memo[p[:-1]] + marks[p[-1]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_piece:
             return self._whole(texts)
         if len(self.memo) > MEMO_PIECES:
             self.memo.clear()
-        out: list[bytes | None] = [None] * len(texts)
-        cut: list[tuple[int, list[str]]] = []
-        odd: list[int] = []
-        for i, t in enumerate(texts):
-            if "  " in t or _INNER_RUN.search(t) or any(a in t for a in self.added):
-                odd.append(i)
-            else:
-                cut.append((i, t.split(" ")))
         memo = self.memo
-        heads = self._whole([p[0] for _, p in cut])
-        for at in range(0, len(cut), 256):
-            part = cut[at:at + 256]
-            got = [[memo.get(w) for w in p[1:]] for _, p in part]
-            missing = {w for (_, p), g in zip(part, got) if None in g for w, x in zip(p[1:], g) if x is None}
-            if missing:
-                self._learn(missing)
-            for k, ((i, p), g) in enumerate(zip(part, got)):
-                if None in g:
-                    g = [memo[w] for w in p[1:]]
-                out[i] = heads[at + k] + b"".join(g)
+        out: list[bytes] = [b""] * len(texts)
+        odd: list[int] = []
+        for at in range(0, len(texts), 64):
+            cut: list[tuple[int, str, list[str]]] = []
+            seen: set[str] = set()
+            for i, t in enumerate(texts[at:at + 64], at):
+                if "  " in t or _INNER_RUN.search(t) or any(a in t for a in self.added):
+                    odd.append(i)
+                else:
+                    head, *rest = t.split(" ")
+                    cut.append((i, head, rest))
+                    seen.update(rest)
+            seen = seen.difference(memo)
+            if seen:
+                self._learn(seen)
+            for (i, _, rest), head in zip(cut, self._whole([h for _, h, _ in cut])):
+                out[i] = head + b"".join(map(memo.__getitem__, rest))
         for i, ids in zip(odd, self._whole([texts[i] for i in odd])):
             out[i] = ids
         return out
