@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (decontaminate, language, license_scan, quality, token_counts, token_ids)
+from . import decontaminate, fingerprints, language, license_scan, mixing, quality, token_counts, token_ids
 from .sampling import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,6 +56,18 @@ def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids.token_id_output(docs, tokenizer_file(), end_id=2)
 
 
+@register
+def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixing.schedule(docs).select("doc_id", "source", "block", "release", "deadline", "slot", "balanced")
+
+
+@register
+def op8_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return fingerprints.edit_likeness(docs)
+
+
 @register
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")

@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from .common import append_columns
 
 #: Pieces remembered per Python worker before the memo starts anew.
-MEMO_PIECES = 400_000
+MEMO_PIECES = 300_000
 _INNER_RUN = re.compile(r"\s \s")
 _TAIL = ",.;:!?"
 _WORKER: dict = {}
