@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprints, language, license_scan, mixing, quality, token_counts, token_ids
+from . import (decontaminate, fingerprints, jaccard_join, language, license_scan, mixing, paragraph_dedup, quality,
+               token_counts, token_ids)
 from .sampling import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,12 +51,24 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(docs, tokenizer_file(), "<|endoftext|>")
 
 
+@register
+def op4_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return paragraph_dedup.repeated_paragraphs(docs)
+
+
 @register
 def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_ids.token_id_output(docs, tokenizer_file(), end_id=2)
 
 
+@register
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard_join.components_by_jaccard(docs)
+
+
 @register
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
