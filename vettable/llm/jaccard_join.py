@@ -48,10 +48,10 @@ from pyspark.sql import functions as F
 from .common import components, raw_texts, sized_broadcast, space_words, written
 
 #: Shingles that make a part of a set worth a key.
-STRONG = 3
+STRONG = 2
 #: Ways of cutting a set before weak parts are used.
 WAYS = 6
-GROWTH = 1.5
+GROWTH = 1.25
 #: Sets and shingles of one block of a cluster.
 BLOCK_SETS = 2_000
 BLOCK_SHINGLES = 2_000_000
@@ -77,7 +77,11 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
 
 def shingle_hashes(words: list[bytes], k: int) -> np.ndarray:
     """Hash of each run of ``k`` words in order; fewer words are one run, none are no run."""
-    h = word_hashes(words)
+    return run_hashes(word_hashes(words), k)
+
+
+def run_hashes(h: np.ndarray, k: int) -> np.ndarray:
+    """``shingle_hashes`` from the words' hashes."""
     n = len(h)
     if n == 0:
         return h
