@@ -82,14 +82,15 @@ def _source_key(source: str) -> Column:
 
 def schedule(docs: DataFrame, weights: dict[str | None, float] | None = None, *, source: str = "source",
              text: str = "text", doc_id: str = "doc_id", block_chars: int = BLOCK_CHARS,
-             resolution: int = RESOLUTION, temper: float = 0.5) -> DataFrame:
+             resolution: int = RESOLUTION, temper: float = 0.5, keep: list[str] | None = None) -> DataFrame:
     """``docs`` plus ``block, release, deadline, slot, balanced`` and the order key ``mix_key``.
 
     ``weights`` are target shares of the sources (any scale). Without them a
-    source weighs its size in characters to the power ``temper``.
+    source weighs its size in characters to the power ``temper``. ``keep`` names
+    the columns of ``docs`` to return (default: all); others are not shuffled.
     """
     spark = docs.sparkSession
-    names = [c for c in docs.columns if c not in (*RESULTS, "mix_key")]
+    names = [c for c in keep or docs.columns if c not in (*RESULTS, "mix_key")]
     rows = docs.select(
         F.struct(*names).alias("row"), _source_key(source).alias("s"),
         F.greatest(F.coalesce(F.length(F.col(text)), F.lit(0)), F.lit(1)).cast("long").alias("size"),

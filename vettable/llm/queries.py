@@ -72,7 +72,8 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mixing.schedule(docs).select("doc_id", "source", "block", "release", "deadline", "slot", "balanced")
+    return mixing.schedule(docs, keep=["doc_id", "source"]).select(
+        "doc_id", "source", "block", "release", "deadline", "slot", "balanced")
 
 
 @register
