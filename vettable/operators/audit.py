@@ -119,10 +119,10 @@ def identity_stats(df: DataFrame, keys: list[str], columns: list[str]) -> DataFr
         (F.sum("_n") - F.count("*")).alias("duplicate_row_count"),
         *[F.sum(f"_l{i}").alias(f"_l{i}") for i in range(N_LIMBS)])
     schema_sig = ",".join(f"{len(c)}:{c}" for c in columns)
-    limb_hex = [F.lpad(F.lower(F.hex(F.pmod(F.col(f"_l{i}"), F.lit(65536)))), 4, "0")
-                for i in range(N_LIMBS)]
+    # The sums are hashed unreduced: modulo 65,536 that many copies of any row would add nothing.
+    limb_sums = [F.col(f"_l{i}").cast("string") for i in range(N_LIMBS)]
     fingerprint = F.sha2(F.concat_ws("|", F.lit(schema_sig), F.col("row_count").cast("string"),
-                                     *limb_hex), 256)
+                                     *limb_sums), 256)
     return agg.select(*keys, F.col("row_count").cast("bigint").alias("row_count"),
                       F.col("duplicate_row_count").cast("bigint").alias("duplicate_row_count"),
                       fingerprint.alias("fingerprint"))

@@ -35,10 +35,16 @@ def minimized_issues(findings: DataFrame, audits: DataFrame, keys=("dataset_id",
     rem = findings.filter(~F.col("accepted"))
     aliases = column_aliases(findings, keys)
     ok = eligible_audits(audits).select(*keys)
-    out = (rem.join(ok, on=keys, how="left_semi")
+    return (rem.join(ok, on=keys, how="left_semi")
            .join(aliases, on=keys + ["column"], how="left")
            .select(*keys, "ord", "code", "severity", F.col("alias").alias("column_ref"), "count"))
-    return out.filter(F.col("ord") < MAX_ISSUES)
+
+
+def oversized_evidence(findings: DataFrame, keys=("dataset_id",)) -> DataFrame:
+    """Datasets whose issue list is too long to be accepted: refused whole, never cut."""
+    keys = list(keys)
+    return (findings.filter(~F.col("accepted")).groupBy(*keys).agg(F.count("*").alias("issues"))
+            .filter(F.col("issues") > MAX_ISSUES))
 
 
 def minimized_evidence(findings: DataFrame, audits: DataFrame, keys=("dataset_id",)) -> DataFrame:

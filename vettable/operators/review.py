@@ -111,10 +111,10 @@ def review_validity(reviews: DataFrame, findings: DataFrame, audits: DataFrame,
     offered = offerable_choices(findings, keys)
     sets = review_sets(reviews, keys)
     meta = reviews.groupBy(*keys).agg(
-        F.min(F.length(F.trim("reviewer_reference"))).alias("rl_min"),
-        F.max(F.length(F.trim("reviewer_reference"))).alias("rl_max"),
-        F.min(F.length(F.trim("reason"))).alias("rs_min"),
-        F.max(F.length(F.trim("reason"))).alias("rs_max"))
+        F.min(F.length(T.strip(F.col("reviewer_reference")))).alias("rl_min"),
+        F.max(F.length(T.strip(F.col("reviewer_reference")))).alias("rl_max"),
+        F.min(F.length(T.strip(F.col("reason")))).alias("rs_min"),
+        F.max(F.length(T.strip(F.col("reason")))).alias("rs_max"))
     j = (sets.join(meta, on=keys).join(offered, on=keys, how="left")
          .join(audits.select(*keys, F.col("fingerprint").alias("_fresh")), on=keys, how="left")
          .join(claimed.select(*keys, F.col("fingerprint").alias("_claimed")), on=keys, how="left"))

@@ -29,11 +29,11 @@ def profiles(before_audits: DataFrame, before_findings: DataFrame, after_audits:
     ap = finding_profile(after_findings, PLAN_KEYS)
     bd = before_audits.select("dataset_id", F.lit(SOURCE).alias("candidate_id"),
                               F.lit(DUPS).alias("code"), F.lit(None).cast("string").alias("column"),
-                              F.col("duplicate_row_count").cast("int").alias("sev"),
+                              F.col("duplicate_row_count").cast("bigint").alias("sev"),
                               F.lit(0).cast("bigint").alias("cnt"))
     ad = after_audits.select(*PLAN_KEYS, F.lit(DUPS).alias("code"),
                              F.lit(None).cast("string").alias("column"),
-                             F.col("duplicate_row_count").cast("int").alias("sev"),
+                             F.col("duplicate_row_count").cast("bigint").alias("sev"),
                              F.lit(0).cast("bigint").alias("cnt"))
     cols = ["dataset_id", "candidate_id", "code", "column",
             F.col("sev").cast("bigint").alias("sev"), F.col("cnt").cast("bigint").alias("cnt")]

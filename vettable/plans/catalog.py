@@ -629,7 +629,7 @@ al AS (SELECT dataset_id, "column",
        FROM (SELECT DISTINCT dataset_id, "column" FROM f WHERE "column" IS NOT NULL AND NOT accepted) z)
 SELECT f.dataset_id, f.ord, f.code, f.severity, al.alias AS column_ref, f."count"
 FROM f LEFT JOIN al ON al.dataset_id = f.dataset_id AND al."column" = f."column"
-WHERE NOT f.accepted AND f.ord < {EV.MAX_ISSUES}
+WHERE NOT f.accepted
 """
 
 
@@ -871,7 +871,7 @@ UNION ALL SELECT dataset_id, NULL, 'TOO_MANY_CANDIDATES' FROM plans GROUP BY dat
 UNION ALL SELECT dataset_id, candidate_id, 'DUPLICATE_CANDIDATE_ID' FROM plans GROUP BY dataset_id, candidate_id
   HAVING count(*) > 1
 UNION ALL SELECT dataset_id, candidate_id, 'BAD_CANDIDATE_ID' FROM plans
-  WHERE NOT coalesce(regexp_full_match(candidate_id, '[A-Za-z0-9_-]{{1,64}}'), false)
+  WHERE NOT coalesce(regexp_full_match(candidate_id, '[A-Za-z0-9][A-Za-z0-9_-]{{0,63}}'), false)
 UNION ALL SELECT dataset_id, NULL, 'MIXED_SOURCE_FINGERPRINTS' FROM plans GROUP BY dataset_id
   HAVING count(DISTINCT fingerprint) > 1
 UNION ALL SELECT p.dataset_id, p.candidate_id, 'DUPLICATE_STRATEGY' FROM plans p

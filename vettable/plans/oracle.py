@@ -167,7 +167,7 @@ def fingerprint_sql(source_sql: str, columns: list[str]) -> str:
     limbs = ", ".join(f"sum(('0x' || substr(h, {1 + 4 * i}, 4))::UBIGINT::HUGEINT) AS l{i}"
                       for i in range(16))
     sig = ",".join(f"{len(c)}:{c}" for c in columns)
-    hexes = ", ".join(f"printf('%04x', (l{i} % 65536)::UBIGINT)" for i in range(16))
+    hexes = ", ".join(f"l{i}::VARCHAR" for i in range(16))
     return f"""
 WITH src AS ({source_sql}),
 r AS (SELECT dataset_id, sha256(concat_ws(',', {parts})) AS h FROM src),
