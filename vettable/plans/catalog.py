@@ -603,7 +603,8 @@ def _documents_as_files(spark, sf_dir):
 @register("preflight_documents")
 def preflight_documents(spark, sf_dir):
     """P3-P15 over every document treated as the bytes of one CSV file."""
-    return preflight(_documents_as_files(spark, sf_dir)).select(
+    return preflight(_documents_as_files(spark, sf_dir), max_file_size_bytes=K.MAX_FILE_SIZE_BYTES,
+                     max_rows=K.MAX_ROWS, max_columns=K.MAX_COLUMNS, max_cell_length=K.MAX_CELL_LENGTH).select(
         "dataset_id", "status", "risk_flag", "encoding", "delimiter", "column_count",
         "data_row_count", "file_size_bytes")
 
@@ -611,8 +612,7 @@ def preflight_documents(spark, sf_dir):
 @register("header_findings")
 def header_findings_query(spark, sf_dir):
     """A1-A3, A6 over the header (first CSV record) of every document-file."""
-    pf = preflight(_documents_as_files(spark, sf_dir), max_cell_length=None, max_rows=None,
-                   max_columns=None)
+    pf = preflight(_documents_as_files(spark, sf_dir))
     headers = pf.filter(F.col("header").isNotNull()).select(
         "dataset_id", F.posexplode("header").alias("position", "name"))
     return header_findings(headers, ["dataset_id"])
