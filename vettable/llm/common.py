@@ -72,6 +72,22 @@ def sized_broadcast(df: DataFrame, rows: int, row_bytes: int, limit: int = 32 <<
     return F.broadcast(df) if rows * row_bytes <= limit else df
 
 
+#: Bytes of one piece of an Arrow batch.
+PIECE_BYTES = 4 << 20
+
+
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All rows of ``batches``, in slices of about ``PIECE_BYTES``, a row at least.
+
+    What a task derives from a batch (words, hashes, output rows) can be several
+    times the batch; slices bound it whatever the rows hold.
+    """
+    for b in batches:
+        step = max(1, b.num_rows * PIECE_BYTES // max(b.nbytes, PIECE_BYTES))
+        for at in range(0, b.num_rows, step):
+            yield b.slice(at, step)
+
+
 def append_columns(df: DataFrame, fields: list[T.StructField],
                    make: Callable[[Iterator[pa.RecordBatch]], Iterator[list[pa.Array]]]) -> DataFrame:
     """``df`` plus ``fields``, computed batch by batch; same-named input columns are replaced.
@@ -87,7 +103,7 @@ def append_columns(df: DataFrame, fields: list[T.StructField],
         held: list[pa.RecordBatch] = []
 
         def tap():
-            for b in batches:
+            for b in pieces(batches):
                 held.append(b)
                 yield b
         for arrays in make(tap()):

@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, raw_texts, sized_broadcast, space_words, written
+from .common import components, pieces, raw_texts, sized_broadcast, space_words, written
 
 #: Shingles that make a part of a set worth a key.
 STRONG = 2
@@ -315,7 +315,7 @@ def _grouped(percent: int, cross: bool) -> Callable[[Iterator[pa.RecordBatch]],
             got = block_links(rows, percent, cross) if len(rows) > 1 else []
             return pa.RecordBatch.from_arrays([pa.array([x for x, _ in got], pa.int64()),
                                                pa.array([y for _, y in got], pa.int64())], names=["a", "b"])
-        for batch in batches:
+        for batch in pieces(batches):
             cols = [batch.column(c) for c in ("g", "id", "component", "side", "hashes")]
             for g, i, comp, side, raw in zip(*(c.to_pylist() for c in cols)):
                 if g != now:
@@ -400,7 +400,7 @@ def shingle_sets(docs: DataFrame, k: int, percent: int, hashes: bool) -> DataFra
         import xxhash
 
         parts = Parts(percent)
-        for b in batches:
+        for b in pieces(batches):
             n, ids, more = [], [], []
             for raw in raw_texts(b, "text"):
                 s = np.unique(shingle_hashes(space_words(raw), k))
