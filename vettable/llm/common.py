@@ -74,6 +74,25 @@ def sized_broadcast(df: DataFrame, rows: int, row_bytes: int, limit: int = 32 <<
 
 #: Bytes of one piece of an Arrow batch.
 PIECE_BYTES = 4 << 20
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bound the bytes of Arrow batches to Python, if the session leaves Spark's default (64 MB).
+
+    A batch is held in the JVM's direct memory and in the worker, once per task
+    that runs; by Spark's rule of 10,000 rows it is a whole split of documents.
+    Results don't depend on it. A value that the user has set stays.
+    """
+    if _BATCH_BYTES not in spark.conf.getAll:
+        spark.conf.set(_BATCH_BYTES, str(PIECE_BYTES))
+
+
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
+              schema: T.StructType | str) -> DataFrame:
+    """``df.mapInArrow`` on batches of bounded size."""
+    bound_batches(df.sparkSession)
+    return df.mapInArrow(run, schema)
 
 
 def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,7 +129,7 @@ def append_columns(df: DataFrame, fields: list[T.StructField],
             b = held.pop(0)
             yield pa.RecordBatch.from_arrays([b.column(k) for k in keep] + arrays, names=keep + names)
 
-    return df.mapInArrow(run, schema)
+    return map_arrow(df, run, schema)
 
 
 def components(edges: DataFrame, kind: str = "cc", max_rounds: int = 60) -> DataFrame:

@@ -30,11 +30,12 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, ascii_words, raw_texts
+from .common import append_columns, ascii_words, raw_texts, written
 
 #: Item words of one automaton.
 BLOCK_WORDS = 100_000
@@ -206,38 +207,65 @@ SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.Struct
 
 
 def match_spans(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id",
-                item_text: str = "text", window: int = 10, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """``docs`` plus ``n_words``, ``spans`` (hit words) and ``items`` (ids, ascending as strings)."""
+                item_text: str = "text", window: int = 10, block_words: int = BLOCK_WORDS,
+                removal: tuple[int, float] | None = None) -> DataFrame:
+    """``docs`` plus ``n_words``, ``spans`` (hit words) and ``items`` (ids, ascending as strings).
+
+    With ``removal`` (max_span, max_coverage) the pass over the last block also
+    applies the decision: ``text`` comes out without the cut spans, and
+    ``covered`` (instead of the three columns) marks documents to drop.
+    """
     sc = docs.sparkSession.sparkContext
-    out = docs
-    for k, m in enumerate(matchers(benchmark, item_id=item_id, text=item_text, window=window,
-                                   block_words=block_words)):
-        out = _one_block(out, sc.broadcast(m), text, first=k == 0)
+    blocks = matchers(benchmark, item_id=item_id, text=item_text, window=window, block_words=block_words)
+    out, first, m = docs, True, next(blocks)
+    while m is not None:
+        following = next(blocks, None)
+        out = _one_block(out, sc.broadcast(m), text, first, removal if following is None else None)
+        if following is not None:  # one Python worker per task, however many blocks there are
+            out = written(out, "decontamination-block")
+        first, m = False, following
     return out
 
 
-def _one_block(docs: DataFrame, shared, text: str, first: bool) -> DataFrame:
+def _one_block(docs: DataFrame, shared, text: str, first: bool, removal: tuple[int, float] | None) -> DataFrame:
+    fields = [T.StructField("n_words", T.LongType()), T.StructField("spans", SPANS),
+              T.StructField("items", T.ArrayType(T.StringType()))]
     kinds = [pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.list_(pa.string())]
+    if removal:
+        fields = [T.StructField(text, T.StringType()), T.StructField("covered", T.BooleanType())]
+
+    def found(b, m):
+        """(text, number of words, hit spans, item ids) of each row."""
+        old = None if first else list(zip(b.column("spans").to_pylist(), b.column("items").to_pylist()))
+        for i, raw in enumerate(raw_texts(b, text)):
+            words = ascii_words(raw)
+            spans, items = m.spans(words)
+            ids = {m.ids[x] for x in items if m.ids[x] is not None}
+            if old is not None:
+                spans = _merge([(s["start"], s["end"]) for s in old[i][0]] + spans)
+                ids |= set(old[i][1])
+            yield raw, len(words), spans, ids
+
+    def report(batches):
+        m = shared.value
+        for b in batches:
+            rows = [(n, [{"start": a, "end": z} for a, z in spans], sorted(ids)) for _, n, spans, ids in found(b, m)]
+            yield [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
 
-    def make(batches):
+    def remove(batches):
         m = shared.value
+        max_span, max_coverage = removal
         for b in batches:
-            counts, spans, items = [], [], []
-            old = None if first else list(zip(b.column("spans").to_pylist(), b.column("items").to_pylist()))
-            for i, raw in enumerate(raw_texts(b, text)):
-                words = ascii_words(raw)
-                got, found = m.spans(words)
-                ids = {m.ids[x] for x in found if m.ids[x] is not None}
-                if old is not None:
-                    got = _merge([(s["start"], s["end"]) for s in old[i][0]] + got)
-                    ids |= set(old[i][1])
-                counts.append(len(words))
-                spans.append([{"start": a, "end": z} for a, z in got])
-                items.append(sorted(ids))
-            yield [pa.array(v, k) for v, k in zip((counts, spans, items), kinds)]
-
-    return append_columns(docs, [T.StructField("n_words", T.LongType()), T.StructField("spans", SPANS),
-                                 T.StructField("items", T.ArrayType(T.StringType()))], make)
+            texts, covered = [], []
+            for raw, n, spans, _ in found(b, m):
+                cuts = [(lo, hi) for lo, hi in spans if hi - lo >= max_span]
+                covered.append(n > 0 and sum(hi - lo for lo, hi in spans) >= max_coverage * n)
+                texts.append(cut_spans(raw, cuts) if cuts else raw)
+            whole = pa.array(texts, pa.binary()).cast(pa.string())
+            old = b.column(text).cast(pa.string())
+            yield [pc.if_else(pc.is_valid(old), whole, old), pa.array(covered, pa.bool_())]
+
+    return append_columns(docs, fields, remove if removal else report)
 
 
 def hit_words() -> F.Column:
@@ -271,17 +299,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
     words. Elsewhere each merged hit span of ``max_span`` or more words is cut.
     """
     names = docs.columns
-    work = docs.select(F.struct(*names).alias("row"), F.col(text).alias("text"))
-    m = match_spans(work, benchmark, **options)
-    m = m.filter((F.col("n_words") == 0) | (hit_words() < max_coverage * F.col("n_words")))
-
-    def make(batches):
-        for b in batches:
-            out = []
-            for raw, spans in zip(b.column("text").cast(pa.binary()).to_pylist(), b.column("spans").to_pylist()):
-                cuts = [(s["start"], s["end"]) for s in spans if s["end"] - s["start"] >= max_span]
-                out.append(raw if raw is None or not cuts else cut_spans(raw, cuts))
-            yield [pa.array(out, pa.binary()).cast(pa.string())]
-
-    cleaned = append_columns(m.select("row", "text", "spans"), [T.StructField("cleaned", T.StringType())], make)
-    return cleaned.select(*[F.col("cleaned").alias(text) if n == text else F.col("row")[n].alias(n) for n in names])
+    place = {n: f"c{i}" for i, n in enumerate(names)}  # names that no column of the match clashes with
+    work = docs.select(*[F.col(n).alias(c) for n, c in place.items()])
+    m = match_spans(work, benchmark, text=place[text], removal=(max_span, max_coverage), **options)
+    return m.filter(~F.col("covered")).select(*[F.col(c).alias(n) for n, c in place.items()])

@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, pieces, raw_texts, sized_broadcast, space_words, written
+from .common import components, map_arrow, pieces, raw_texts, sized_broadcast, space_words, written
 
 #: Shingles that make a part of a set worth a key.
 STRONG = 2
@@ -347,8 +347,9 @@ def links_within_clusters(sets: DataFrame, percent: int, kind: str) -> DataFrame
                .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))))
 
     def joined(rows: DataFrame, cross: bool) -> DataFrame:
-        return (rows.repartition("g").sortWithinPartitions("g", "side", "id")
-                .select("g", "id", "component", "side", "hashes").mapInArrow(_grouped(percent, cross), "a long, b long"))
+        grouped = rows.repartition("g").sortWithinPartitions("g", "side", "id")
+        return map_arrow(grouped.select("g", "id", "component", "side", "hashes"), _grouped(percent, cross),
+                         "a long, b long")
 
     first = blocked.select(F.concat_ws(":", "cluster", "block").alias("g"), "id", F.lit(0).cast("long").alias("component"),
                            F.lit(0).cast("long").alias("side"), "hashes")
@@ -413,7 +414,7 @@ def shingle_sets(docs: DataFrame, k: int, percent: int, hashes: bool) -> DataFra
                 names=["doc_id", "n", "id", "hashes" if hashes else "keys"])
 
     last = "hashes binary" if hashes else "keys array<long>"
-    return docs.mapInArrow(run, f"doc_id long, n long, id long, {last}")
+    return map_arrow(docs, run, f"doc_id long, n long, id long, {last}")
 
 
 def components_by_jaccard(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", k: int = 3,

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns
+from .common import append_columns, map_arrow
 from .sampling import held_out, per_class
 
 BITS = 15
@@ -135,7 +135,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
         yield pa.RecordBatch.from_arrays([pa.array(np.append(seen, -1), pa.int64()),
                                           pa.array(np.append(total[seen], n))], names=["g", "n"])
 
-    rows = docs.select("text").mapInArrow(count, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).collect()
+    rows = map_arrow(docs.select("text"), count, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(BUCKETS, np.int64)
     n = 0
     for r in rows:

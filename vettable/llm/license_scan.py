@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, ascii_words, raw_texts
+from .common import append_columns, ascii_words, map_arrow, raw_texts
 
 # The base phrases with their labels.
 PHRASES = [
@@ -101,7 +101,7 @@ def word_counts(docs: DataFrame, templates: list[Template], text: str = "text")
         yield pa.RecordBatch.from_arrays([pa.array(range(len(vocabulary)), pa.int64()), pa.array(total[:-1])],
                                          names=["w", "n"])
 
-    rows = (docs.select(F.col(text).alias("text")).mapInArrow(count, "w long, n long")
+    rows = (map_arrow(docs.select(F.col(text).alias("text")), count, "w long, n long")
             .groupBy("w").agg(F.sum("n").alias("n")).collect())
     return {vocabulary[r["w"]]: r["n"] for r in rows}
 

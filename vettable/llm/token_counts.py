@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .common import shared_path
+from .common import map_arrow, shared_path
 from .tokenise import id_bytes, read_definition, worker_encoder
 
 BLOCK_IDS = 1 << 20
@@ -78,8 +78,8 @@ def write_flat_files(docs: DataFrame, tokenizer_path: str, end_token: str, *, te
 
     path = shared_path(docs.sparkSession, "flat-tokens")
     # The text writer closes each row with the separator: that is the end id itself.
-    (docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-     .mapInArrow(flat, "kind string, seq long, value binary")
+    base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    (map_arrow(base, flat, "kind string, seq long, value binary")
      .sortWithinPartitions("kind", "seq").select("kind", F.col("value").cast("string").alias("value"))
      .write.partitionBy("kind").option("maxRecordsPerFile", FILE_DOCS)
      .option("encoding", "ISO-8859-1").option("lineSep", end.decode("latin-1")).text(path))
@@ -117,8 +117,8 @@ def separator_scan(spark: SparkSession, path: str, end_id: int, width: int = 2,
                          pa.array([np.diff(ends, prepend=-1) - 1], pa.list_(pa.int64()))],
                         names=["part", "block", "n_ends", "carry", "lengths"])
 
-    found = (_files(spark, path)
-             .mapInArrow(scan, "part long, block long, n_ends long, carry long, lengths array<long>"))
+    found = map_arrow(_files(spark, path), scan,
+                      "part long, block long, n_ends long, carry long, lengths array<long>")
     # The prefix scan, over one row per block. A run is a stretch of blocks without a separator and the
     # block with one that ends it; the open carry before a block is what its run has gathered so far,
     # and the carry of the block with a separator before the run.
@@ -154,8 +154,7 @@ def document_ids(spark: SparkSession, files: FlatFiles) -> DataFrame:
                     [pa.array(np.full(len(ids), part)), pa.array(np.arange(len(ids))),
                      pa.array(ids, mask=ids == NULL_ID)], names=["part", "ordinal", "doc_id"])
 
-    return (_files(spark, f"{files.path}/kind=ids")
-            .mapInArrow(read, "part long, ordinal long, doc_id long"))
+    return map_arrow(_files(spark, f"{files.path}/kind=ids"), read, "part long, ordinal long, doc_id long")
 
 
 def token_counts(docs: DataFrame, tokenizer_path: str, end_token: str, **columns: str) -> DataFrame:

@@ -40,7 +40,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import shared_path, written
+from .common import map_arrow, shared_path, written
 from .tokenise import read_definition, token_ids
 
 MAGIC = b"TIDV"
@@ -137,7 +137,7 @@ def frequency_ranks(tokens: DataFrame, vocab_size: int, width: str) -> np.ndarra
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen])], names=["id", "n"])
 
-    rows = tokens.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    rows = map_arrow(tokens.select("ids"), count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(vocab_size, np.int64)
     for r in rows:
         counts[r["id"]] = r["n"]
@@ -184,8 +184,8 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, *, text
             yield pa.RecordBatch.from_arrays([pa.array([encode_block(ids, values)], pa.binary())], names=["b"])
 
     path = shared_path(spark, "token-files")
-    (tokens.repartitionByRange(n_files, *keys, "doc_id").sortWithinPartitions(*keys, "doc_id", "ids")
-     .select("doc_id", "ids").mapInArrow(pack, "b binary")
+    ordered = tokens.repartitionByRange(n_files, *keys, "doc_id").sortWithinPartitions(*keys, "doc_id", "ids")
+    (map_arrow(ordered.select("doc_id", "ids"), pack, "b binary")
      .select(F.col("b").cast("string").alias("value"))  # raw bytes: the cast changes none
      .write.option("encoding", "ISO-8859-1").option("lineSep", MARKER.decode("latin-1")).text(path))
     return TokenFiles(path, vocabulary, n_files)
@@ -212,7 +212,7 @@ def read_token_files(spark: SparkSession, files: TokenFiles) -> DataFrame:
 
     raw = (spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(files.path)
            .filter("length > 0").select("path", "content"))
-    rows = written(raw.mapInArrow(unpack, "part long, doc_id long, at long, n_tokens long, ids_crc32 long"),
+    rows = written(map_arrow(raw, unpack, "part long, doc_id long, at long, n_tokens long, ids_crc32 long"),
                    "token-rows")
     # One row per file: the running total over files is small however large the corpus is.
     over = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
