@@ -47,23 +47,34 @@ def normalize_name_col(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(lowered, r"[^a-z0-9]+", "_"), r"^_+|_+$", "")
 
 
+def unicode_pattern(pattern: str, ignore_case: bool = True) -> str:
+    r"""Java form of ``pattern`` where ``\d``, ``\s``, ``\w`` and ``\b`` cover all of Unicode.
+
+    ``\s`` also takes the separators U+001C to U+001F, which Java's class leaves out.
+    """
+    return ("(?iU)" if ignore_case else "(?U)") + pattern.replace(r"\s", r"[\s\x1C-\x1F]")
+
+
 def pii_match(v: Column) -> Column:
     """Email, NNN-NN-NNNN or North-American phone contained in ``v``.
 
+    Digits, blanks and word boundaries are those of Unicode: a phone number
+    written with no-break spaces or full-width digits counts.
+
     The alternation is split into three searches; each has a cheap literal
     pre-filter that every match must satisfy, so long texts without '@' or
     '-' skip the costlier regex entirely.
     """
-    email = (F.instr(v, "@") > 0) & v.rlike("(?i)" + K.PII_EMAIL)
-    ssn = (F.instr(v, "-") > 0) & v.rlike(K.PII_SSN)
+    email = (F.instr(v, "@") > 0) & v.rlike(unicode_pattern(K.PII_EMAIL))
+    ssn = (F.instr(v, "-") > 0) & v.rlike(unicode_pattern(K.PII_SSN, False))
     # Ten digits at least: no shorter text can hold a phone number.
-    phone = (F.length(v) >= 10) & v.rlike(K.PII_PHONE)
+    phone = (F.length(v) >= 10) & v.rlike(unicode_pattern(K.PII_PHONE, False))
     return email | ssn | phone
 
 
 def injection_match(v: Column) -> Column:
     # The shortest phrase the pattern accepts ("you are a ai") has 12 characters.
-    return (F.length(v) >= 12) & v.rlike("(?i)" + K.PROMPT_INJECTION)
+    return (F.length(v) >= 12) & v.rlike(unicode_pattern(K.PROMPT_INJECTION))
 
 
 _NUMBER_SHAPE = r"(?i)^[+-]?(?:(?:\d+(?:\.\d*)?|\.\d+)(?:e[+-]?\d+)?|inf|infinity)$"
@@ -97,7 +108,8 @@ def valid_coordinate(v: Column, limit: int) -> Column:
 def contact_incompatible(v: Column, kind: str) -> Column:
     """A declared public phone/email cell that also looks like other PII."""
     whole = K.PHONE_VALUE if kind == "phone" else K.EMAIL_VALUE
-    return v.rlike(K.SSN_VALUE) | (pii_match(v) & ~v.rlike("(?i)^(?:" + whole + ")$"))
+    ssn = v.rlike(unicode_pattern(K.SSN_VALUE, False))
+    return ssn | (pii_match(v) & ~v.rlike(unicode_pattern(r"^(?:" + whole + r")\z")))
 
 
 def severity_rank(sev: Column) -> Column:

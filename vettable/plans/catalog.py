@@ -86,6 +86,17 @@ def pii_documents(spark, sf_dir):
     return audit(d, order_col="_row_id", columns=["text"]).findings
 
 
+@register("unicode_documents", O.audit_sql(
+    "SELECT lang AS dataset_id, doc_id AS _row_id, translate(text, ' 0123', chr(160) || '\uff10\uff11\uff12\uff13') AS text "
+    "FROM documents", ["text"]))
+def unicode_documents(spark, sf_dir):
+    """A7/A9 over every document text with no-break spaces for blanks and full-width digits for 0 to 3."""
+    d = read_table(spark, sf_dir, "documents").select(
+        F.col("lang").alias("dataset_id"), F.col("doc_id").alias("_row_id"),
+        F.translate("text", " 0123", "\u00a0\uff10\uff11\uff12\uff13").alias("text"))
+    return audit(d, order_col="_row_id", columns=["text"]).findings
+
+
 @register("pii_pages", O.audit_sql(
     "SELECT 'pages' AS dataset_id, page_id AS _row_id, url, html FROM pages", ["url", "html"]))
 def pii_pages(spark, sf_dir):
@@ -702,7 +713,7 @@ def review_score(spark, sf_dir):
 _CONTACT_SQL = f"""
 SELECT lang AS dataset_id, 'business_email' AS "column",
   CAST(count(*) FILTER (WHERE {O.strip_sql('text')} <> '' AND (
-        regexp_matches({O.strip_sql('text')}, {O.q(K.SSN_VALUE)})
+        regexp_matches({O.strip_sql('text')}, {O.q(O.SSN_RE2)})
      OR (regexp_matches({O.strip_sql('text')}, {O.q(O.PII_RE2)})
          AND NOT regexp_full_match({O.strip_sql('text')}, {O.q('(?i)' + K.EMAIL_VALUE)})))) AS BIGINT) AS conflicts
 FROM documents GROUP BY lang

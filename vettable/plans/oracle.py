@@ -12,12 +12,26 @@ from __future__ import annotations
 from ..functions import constants as K
 from ..functions.text import normalize_name
 
+# RE2 knows neither lookaround nor Unicode classes by letter, so blanks, digits and word edges are
+# spelled out; an edge consumes its neighbour, which changes nothing for a containment test.
+_S = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_SEP = "[-." + _S[1:]
+_D = r"\p{Nd}"
+_W = r"[\p{L}\p{N}_]"
+_OPEN, _CLOSE = r"(?:^|[^\p{L}\p{N}_])", r"(?:[^\p{L}\p{N}_]|$)"
+SSN_RE2 = f"{_OPEN}{_D}{{3}}-{_D}{{2}}-{_D}{{4}}{_CLOSE}"
 PII_RE2 = (
-    r"(?i)(?:\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b)"
-    r"|(?:\b\d{3}-\d{2}-\d{4}\b)"
-    r"|(?:(?:^|[^0-9])(?:\+?1[-.\s]?)?(?:\(?\d{3}\)?[-.\s]?)\d{3}[-.\s]?\d{4}(?:[^0-9]|$))"
+    f"(?i)(?:(?:{_OPEN}[A-Z0-9_]|{_W}[.%+-])[A-Z0-9._%+-]*@[A-Z0-9.-]+\\.[A-Z]{{2,}}{_CLOSE})"
+    f"|(?:{SSN_RE2})"
+    f"|(?:(?:^|[^{_D}])(?:\\+?1{_SEP}?)?(?:\\(?{_D}{{3}}\\)?{_SEP}?){_D}{{3}}{_SEP}?{_D}{{4}}(?:[^{_D}]|$))"
+)
+INJECTION_RE2 = (
+    f"(?i){_OPEN}(?:(?:ignore|disregard|override){_S}+(?:all{_S}+)?(?:previous|prior|system){_S}+instructions?"
+    f"|reveal{_S}+(?:the{_S}+)?system{_S}+prompt"
+    f"|you{_S}+are{_S}+(?:now{_S}+)?(?:chatgpt|an?{_S}+ai)"
+    f"|developer{_S}+message"
+    f"|system{_S}+prompt){_CLOSE}"
 )
-INJECTION_RE2 = "(?i)" + K.PROMPT_INJECTION
 NUMBER_RE2 = r"(?i)[+-]?(?:(?:\d+(?:\.\d*)?|\.\d+)(?:e[+-]?\d+)?|inf|infinity)"
 INF_RE2 = r"(?i)[+-]?(?:inf|infinity)"
 
