@@ -37,3 +37,13 @@ def test_table_values(spark):
     rows = {r["_row_id"]: (r["a"], r["b"], r["c"], r["d"]) for r in t.collect()}
     assert rows == {0: ("1", "x", "", ""), 1: ("", "y", "true", ""), 2: ("", "", "", ""),
                     8: ("", "", "false", "2.5")}
+
+
+def test_records_of_documents_are_ordered_beyond_a_million_places(spark):
+    rows = [("d", 0, "[" + ",".join(['{"a": 1}'] * 3) + "]"), ("d", 1, '{"records": [{"b": 2}, [], {"a": 3}]}')]
+    cells, rejects = json_cells(spark.createDataFrame(rows, "dataset_id string, _row_id bigint, t string"), "t",
+                                documents=True)
+    got = sorted((tuple(r["_row_id"]), r["column"], r["value"]) for r in cells.collect())
+    assert got == [((0, 0), "a", "1"), ((0, 1), "a", "1"), ((0, 2), "a", "1"), ((1, 0), "b", "2"), ((1, 2), "a", "3")]
+    assert [(tuple(r["_row_id"]), r["reason"]) for r in rejects.collect()] == [((1, 1), "NOT_AN_OBJECT")]
+    assert [r["column"] for r in key_union(cells).orderBy("position").collect()] == ["a", "b"]

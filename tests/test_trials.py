@@ -109,13 +109,16 @@ def test_uncached_copies_give_the_same_reaudit(spark, monkeypatch):
     assert cached == uncached and len(cached) == 3 * len(CANDIDATES)
 
 
-def test_unbroadcast_plan_join_gives_the_same_outputs(spark, monkeypatch):
-    """Beyond the broadcast bound the plans join by a shuffle on dataset_id."""
+def test_unbroadcast_plan_join_gives_the_same_outputs(spark):
+    """Beyond Spark's broadcast threshold the plans join by a shuffle on dataset_id."""
     from vettable.operators import trials as TR
 
     rows, src, runnable, acts = _setup(spark)
-    monkeypatch.setattr(TR, "PLAN_BROADCAST_ROWS", 0)
-    out = TR.execute_candidates(src, runnable, acts, COLS).collect()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = TR.execute_candidates(src, runnable, acts, COLS).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     got = {}
     for r in out:
         got.setdefault((r["dataset_id"], r["candidate_id"]), []).append((r["_row_id"], r["a"], r["b"]))

@@ -22,6 +22,7 @@ from ..functions import text as T
 from .audit import AuditResult, audit, qcol
 from .policy import PLAN_KEYS, authorize
 from ..session import cut
+from ..sources.tables import estimated_bytes
 
 ROW_ID = "_row_id"
 
@@ -55,22 +56,11 @@ def trial_status(plan_decisions: DataFrame, plan_actions: DataFrame, columns: li
     return j.select(*PLAN_KEYS, status.alias("status"))
 
 
-# Broadcast the runnable plans (one small row each, with their ordered steps)
-# only up to this many; beyond it the join shuffles on dataset_id and AQE
-# splits a dataset that holds a large share of the rows.
-PLAN_BROADCAST_ROWS = 100_000
-
 # Candidate copies are cached for the re-audit passes while all of them fit
 # this estimated size; above it see run_trials.
 TRIAL_CACHE_BYTES = 1 << 30
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate of a plan (file sizes for a scan), no job."""
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(size if isinstance(size, int) else str(size.toString()))
-
-
 def execute_candidates(source: DataFrame, runnable: DataFrame, plan_actions: DataFrame,
                        columns: list[str], split: bool = False):
     """Apply each runnable candidate's actions, in order, to its own copy of the source.
@@ -110,8 +100,9 @@ def execute_candidates(source: DataFrame, runnable: DataFrame, plan_actions: Dat
 
 def _apply_steps(source: DataFrame, plans: DataFrame, n_plans: int,
                  per_step: dict, columns: list[str]) -> DataFrame:
-    side = F.broadcast(plans) if n_plans <= PLAN_BROADCAST_ROWS else plans
-    rows = source.join(side, on="dataset_id", how="inner")
+    # No hint: the plans are a written table whose bytes Spark knows, so it broadcasts them only under
+    # its own threshold; beyond it AQE splits a dataset that holds a large share of the rows.
+    rows = source.join(plans, on="dataset_id", how="inner")
     for s in sorted({i for i, _ in per_step}):
         here = {a for i, a in per_step if i == s}
         step = F.get(F.filter("_steps", lambda x: x["action_idx"] == s), 0)

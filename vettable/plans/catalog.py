@@ -115,16 +115,14 @@ def prompt_injection(spark, sf_dir):
 
 
 @register("conversation_audit", O.audit_sql(
-    "SELECT role AS dataset_id, conv_id * 1000 + turn AS _row_id, text FROM conversations", ["text"]))
+    "SELECT role AS dataset_id, {'c': conv_id, 't': turn} AS _row_id, text FROM conversations", ["text"]))
 def conversation_audit(spark, sf_dir):
     """Full audit of conversation turns, one dataset per role.
 
-    Row order (for the A10 type sample) is conversation, then turn; the key
-    ``conv_id * 1000 + turn`` is injective while turns stay below 1000 (the
-    tables hold turns 0-7).
+    Row order (for the A10 type sample) is conversation, then turn.
     """
     c = read_table(spark, sf_dir, "conversations").select(
-        F.col("role").alias("dataset_id"), (F.col("conv_id") * 1000 + F.col("turn")).alias("_row_id"),
+        F.col("role").alias("dataset_id"), F.struct("conv_id", "turn").alias("_row_id"),
         "text")
     return audit(c, order_col="_row_id", columns=["text"]).findings
 

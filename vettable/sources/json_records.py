@@ -34,7 +34,7 @@ def _parsed(df: DataFrame, text_col: str, keys: list[str], order_col: str,
         rec = b.select(*keys, "_doc", F.posexplode_outer(F.col("_recs").cast("array<variant>"))
                        .alias("_i", "_r"))
         # Keys of records inside a document come back in VARIANT (sorted) order.
-        rec = rec.select(*keys, (F.col("_doc") * F.lit(1_000_000) + F.col("_i")).alias("_row_id"),
+        rec = rec.select(*keys, F.struct("_doc", "_i").alias("_row_id"),
                          F.col("_r").alias("_v"), F.to_json(F.col("_r")).alias("_raw"))
     else:
         rec = df.select(*keys, F.col(order_col).alias("_row_id"),
@@ -66,8 +66,8 @@ def json_cells(df: DataFrame, text_col: str, *, keys: list[str] | None = None,
     """Long cells ``(keys..., _row_id, _pos, column, value, value_type)`` and rejects.
 
     ``documents=False``: each text is one record. ``True``: each text is an
-    array of records or ``{"records": [...]}``; ``_row_id`` then orders the
-    records by (text order, index). Both outputs are narrow transforms of the
+    array of records or ``{"records": [...]}``; ``_row_id`` is then the struct
+    (text order, index), which orders the records however many a text holds. Both outputs are narrow transforms of the
     input: no shuffle.
     """
     keys = keys or ["dataset_id"]

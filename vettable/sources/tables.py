@@ -22,6 +22,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
 
 
+#: The most that ``spread`` shuffles.
+SPREAD_BYTES = 256 << 20
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """The optimizer's size estimate of a plan (file sizes for a scan), no job."""
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return int(size if isinstance(size, int) else str(size.toString()))
+
+
 def as_text(df: DataFrame, columns: list[str] | None = None,
             keep: list[str] | None = None) -> DataFrame:
     """Project ``columns`` cast to string, plus untouched ``keep`` columns."""
@@ -32,13 +42,15 @@ def as_text(df: DataFrame, columns: list[str] | None = None,
 
 
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin the rows over the cluster when the scan yields too few splits.
+    """Round-robin a scan of few bytes over the cluster when it yields too few splits.
 
-    A large table arrives in thousands of splits and is returned untouched.
-    A small file with one row group would otherwise run all the per-row
-    checks in a single task. The check reads only the planned partition
-    count, never the data.
+    A small file with one row group would otherwise run all the per-row checks in
+    a single task. A scan of more than ``SPREAD_BYTES`` is never shuffled, however
+    many cores there are: its row groups give it splits. The checks read file
+    sizes and the planned partition count, never the data.
     """
+    if estimated_bytes(df) > SPREAD_BYTES:
+        return df
     target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= target:
         return df
