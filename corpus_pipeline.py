@@ -5,8 +5,8 @@ as Parquet to the shared checkpoint folder and read again as the next stage's
 documents. All but the last return the columns of the documents.
 
 1. quality: documents that the compression classifier scores under 0.3 go.
-2. near_duplicates: of every component of the n-gram Jaccard join the document
-   with the smallest id stays.
+2. near_duplicates: of every component of the n-gram Jaccard join (shingles of
+   five words, 0.8 or more) the document with the smallest id stays.
 3. decontamination: documents that are mostly benchmark passages go; in the
    others the passages are cut out of the text (and ``n_chars`` follows).
 4. mix: the documents are put in the order of the Pfair schedule of their
@@ -39,7 +39,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return jaccard_join.keep_one_of_each(docs)
+    return jaccard_join.keep_one_of_each(docs, k=5, percent=80)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ def test_each_stage_against_brute_force(spark):
     assert np.mean([d in kept for d, q in labels.items() if q == 1]) > 0.9
 
     before, after = out["near_duplicates"]
-    want = sorted(d for d, n, c in jaccard(pairs(before)) if d == c)
+    want = sorted(d for d, n, c in jaccard(pairs(before), percent=80, k=5) if d == c)
     assert sorted(d for d, _ in pairs(after)) == want
 
     before, after = out["decontamination"]
@@ -60,6 +60,14 @@ def test_each_stage_against_brute_force(spark):
     assert len(rows) == len(order)
 
 
+def test_near_duplicates_link_at_five_words_and_four_fifths(spark):
+    words = [f"w{i}" for i in range(105)]
+    edited = [*words[:50], "x", *words[51:70], "y", *words[71:]]  # 10 of 101 five-word shingles differ: 91 / 111
+    far = [*words[:20], "x", *words[21:50], "y", *words[51:80], "z", *words[81:]]  # 15 differ: 86 / 116
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate([words, edited, far])], "doc_id long, text string")
+    assert sorted(H.rows(C.near_duplicate_stage(spark, docs, H.SF), "doc_id")) == [(0,), (2,)]
+
+
 def test_run_gives_the_last_stage(spark):
     got = C.run(spark, H.SF)
     assert got.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and 0 < got.count() <= 200
