@@ -1055,8 +1055,9 @@ from ..streaming.gate import start_gate, utc_event_time, windowed_quality  # noq
 
 def _stream_events(spark, sf_dir):
     schema = read_table(spark, sf_dir, "events").schema
+    # A pattern, because a stream takes a plain path for a folder: the table may be a file or a folder of parts.
     s = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
-         .option("pathGlobFilter", "events.parquet").parquet(sf_dir))
+         .parquet(f"{sf_dir.rstrip('/')}/events.parque[t]"))
     uid = F.when(F.col("event_id") % 23 == 0, F.lit("n/a")).otherwise(F.col("user_id").cast("string"))
     return s.select(F.col("event_type").alias("dataset_id"), F.col("event_id").alias("_row_id"),
                     uid.alias("user_id"), "props", utc_event_time(F.col("ts")).alias("ts"))
@@ -1076,9 +1077,10 @@ def stream_quality(spark, sf_dir):
 
     The stream runs to the end of the input (``availableNow``) into a parquet
     sink in the checkpoint folder. Append mode emits a window once the
-    watermark passes it; windows still open at the end of the input are
-    closed by a final batch aggregate over the same rows, so every row is
-    counted exactly once.
+    watermark passes it; rows later than the watermark are not in it. A final
+    batch aggregate over the same rows gives the windows still open at the end
+    of the input and replaces emitted ones that lack late rows, so every row
+    is counted exactly once.
     """
     base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
     q = (windowed_quality(_stream_events(spark, sf_dir), columns=["user_id"], ts_col="ts",
@@ -1098,9 +1100,10 @@ def stream_quality(spark, sf_dir):
            .agg(F.count("*").cast("bigint").alias("rows"),
                 F.count_if(~F.coalesce(T.strip(T.na_fold(F.col("user_id"))) != F.lit(""),
                                        F.lit(False))).cast("bigint").alias("missing_user_id")))
-    still_open = agg.join(emitted.select("window_start", "dataset_id"),
-                          on=["window_start", "dataset_id"], how="left_anti")
-    return emitted.unionByName(still_open)
+    # Counts are never null, so an emitted row is whole when it equals the aggregate's.
+    every = ["window_start", "dataset_id", "rows", "missing_user_id"]
+    whole = emitted.join(agg, on=every, how="left_semi")
+    return whole.unionByName(agg.join(emitted, on=every, how="left_anti").select(*every))
 
 
 # The events table is one file and the stream reads one file per trigger, so
