@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (decontaminate, fingerprints, jaccard_join, language, license_scan, mixing, paragraph_dedup, quality,
-               token_counts, token_ids)
+from . import (collocations, decontaminate, fingerprints, jaccard_join, language, license_scan, mixing,
+               paragraph_dedup, quality, spelling, token_counts, token_ids, warc)
 from .sampling import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -123,3 +123,64 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language.fit_language(docs)
     return (language.predict_language(docs.select("doc_id", "text"), model)
             .select("doc_id", held_out().alias("held_out"), "lang_pred", "score"))
+
+
+@register
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = collocations.collocations(table(spark, sf_dir, "documents").select("lang", "text"))
+    return collocations.top_phrases(found).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
+# Phrases as lists of words, counted by grouping.
+ORACLE["op11_phrase_collocations"] = r"""
+WITH p AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w
+  FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents) z),
+f AS MATERIALIZED (
+  SELECT lang, k, w[i:i + k - 1] AS ph, count(*) AS c
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i
+        FROM p JOIN (VALUES (1), (2), (3)) AS s(k) ON len(w) >= k) z GROUP BY ALL),
+tot AS (SELECT lang, sum(c) AS n FROM f WHERE k = 1 GROUP BY lang),
+cand AS MATERIALIZED (SELECT lang, k, ph, c AS a FROM f WHERE k > 1 AND c >= 10),
+cut AS (
+  SELECT cand.lang, cand.k, cand.ph, cand.a, s.pos, fl.c AS l, fr.c AS r,
+         (1000000::HUGEINT * cand.a * cand.a) // (fl.c::HUGEINT * fr.c) AS score
+  FROM cand JOIN (VALUES (1), (2)) AS s(pos) ON s.pos < cand.k
+  JOIN f fl ON fl.lang = cand.lang AND fl.ph = cand.ph[1:s.pos]
+  JOIN f fr ON fr.lang = cand.lang AND fr.ph = cand.ph[s.pos + 1:cand.k]),
+best AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, ph ORDER BY score, pos) = 1),
+held AS (SELECT lang, ph, max(a) AS longer
+         FROM (SELECT lang, ph[1:2] AS ph, a FROM cand WHERE k = 3
+               UNION ALL SELECT lang, ph[2:3], a FROM cand WHERE k = 3) z GROUP BY ALL),
+kept AS (SELECT best.*, array_to_string(best.ph, ' ') AS phrase FROM best
+         LEFT JOIN held ON held.lang = best.lang AND held.ph = best.ph
+         WHERE held.longer IS NULL OR 100 * held.longer < 50 * best.a)
+SELECT kept.lang, CAST(row_number() OVER (PARTITION BY kept.lang ORDER BY score DESC, a DESC, phrase) AS BIGINT) AS rank,
+       phrase, a, l, r, CAST(tot.n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM kept JOIN tot ON tot.lang = kept.lang QUALIFY rank <= 2000
+"""
+
+
+@register
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spelling.spelling_forms(docs).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+@register
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return warc.round_trip(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+# No archive: sizes, digests and the smallest id of equal payloads straight from the table.
+ORACLE["op13_warc"] = """
+WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes,
+                  sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN CAST(first_id AS BIGINT) END AS refers_to
+FROM f
+"""
