@@ -145,6 +145,7 @@ MAX_ROWS = 100_000
 MAX_COLUMNS = 200
 MAX_CELL_LENGTH = 10_000
 SNIFF_BYTES = 64 * 1024
+READER_FIELD_LIMIT = 131072  # longest field that a CSV reader takes
 # Leading bytes of binary, archive or encrypted content.
 BINARY_SIGNATURES = (
     b"PK\x03\x04",          # ZIP or Office archive

@@ -93,10 +93,10 @@ def _finding(code: str, severity: str, column: str | None, count: Column) -> Col
 N_LIMBS = 16  # 16 x 16-bit limbs = the 256 bits of SHA-256
 
 
-def _limbs(hexdigest: Column) -> list[Column]:
+def limbs(hexdigest: Column) -> list[Column]:
     """Split a hex SHA-256 into 16-bit limbs. Summed as BIGINT they cannot
     overflow below 2^47 rows per dataset."""
-    return [F.conv(F.substring(hexdigest, 1 + 4 * i, 4), 16, 10).cast("bigint")
+    return [F.conv(F.substring(hexdigest, 1 + 4 * i, 4), 16, 10).cast("bigint").alias(f"_l{i}")
             for i in range(N_LIMBS)]
 
 
@@ -109,23 +109,35 @@ def identity_stats(df: DataFrame, keys: list[str], columns: list[str]) -> DataFr
     verbatim = [F.coalesce(qcol(c), F.lit("")) for c in columns]
     fp_hex = F.sha2(F.concat_ws(",", *[F.concat(F.length(v).cast("string"), F.lit(":"), v)
                                        for v in verbatim]), 256)
-    rows = df.select(*[F.col(k) for k in keys],
-                     T.row_digest(folded).alias("_d"),
-                     *[x.alias(f"_l{i}") for i, x in enumerate(_limbs(fp_hex))])
+    rows = df.select(*[F.col(k) for k in keys], T.row_digest(folded).alias("_d"), *limbs(fp_hex))
+    return fold_identity(rows, keys, F.lit(signature(columns)))
+
+
+def signature(columns: list[str]) -> str:
+    """The columns' part of a fingerprint."""
+    return ",".join(f"{len(c)}:{c}" for c in columns)
+
+
+def fingerprint_of(sig: Column, rows: Column, sums: list[Column]) -> Column:
+    """S9 of the number of rows and the summed limbs.
+
+    The sums are hashed unreduced: modulo 65,536 that many copies of any row would add nothing.
+    """
+    return F.sha2(F.concat_ws("|", sig, rows.cast("string"), *[x.cast("string") for x in sums]), 256)
+
+
+def fold_identity(rows: DataFrame, keys: list[str], sig: Column) -> DataFrame:
+    """Counts and fingerprint of ``rows(keys..., _d digest, _l0 .. _l15)``; ``sig`` is constant per key."""
     per_digest = rows.groupBy(*keys, "_d").agg(
         F.count("*").alias("_n"), *[F.sum(f"_l{i}").alias(f"_l{i}") for i in range(N_LIMBS)])
     agg = per_digest.groupBy(*keys).agg(
         F.sum("_n").alias("row_count"),
         (F.sum("_n") - F.count("*")).alias("duplicate_row_count"),
         *[F.sum(f"_l{i}").alias(f"_l{i}") for i in range(N_LIMBS)])
-    schema_sig = ",".join(f"{len(c)}:{c}" for c in columns)
-    # The sums are hashed unreduced: modulo 65,536 that many copies of any row would add nothing.
-    limb_sums = [F.col(f"_l{i}").cast("string") for i in range(N_LIMBS)]
-    fingerprint = F.sha2(F.concat_ws("|", F.lit(schema_sig), F.col("row_count").cast("string"),
-                                     *limb_sums), 256)
     return agg.select(*keys, F.col("row_count").cast("bigint").alias("row_count"),
                       F.col("duplicate_row_count").cast("bigint").alias("duplicate_row_count"),
-                      fingerprint.alias("fingerprint"))
+                      fingerprint_of(sig, F.col("row_count"), [F.col(f"_l{i}") for i in range(N_LIMBS)])
+                      .alias("fingerprint"))
 
 
 def column_checks(df: DataFrame, keys: list[str], columns: list[str], order: Column) -> DataFrame:

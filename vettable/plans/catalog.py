@@ -596,37 +596,6 @@ def redacted_preview(spark, sf_dir):
     return preview(d, ["doc_id", "text", "lang", "source"], "doc_id")
 
 
-# ---------------------------------------------------------------- preflight (P1-P15), headers
-from ..operators.audit import header_findings  # noqa: E402
-from ..operators.preflight import preflight  # noqa: E402
-from ..sources.files import texts_as_files  # noqa: E402
-
-
-def _documents_as_files(spark, sf_dir):
-    d = read_table(spark, sf_dir, "documents").select(
-        "doc_id", "text", F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".csv"))
-        .alias("name"))
-    return texts_as_files(d, "doc_id", "text", "name")
-
-
-@register("preflight_documents")
-def preflight_documents(spark, sf_dir):
-    """P3-P15 over every document treated as the bytes of one CSV file."""
-    return preflight(_documents_as_files(spark, sf_dir), max_file_size_bytes=K.MAX_FILE_SIZE_BYTES,
-                     max_rows=K.MAX_ROWS, max_columns=K.MAX_COLUMNS, max_cell_length=K.MAX_CELL_LENGTH).select(
-        "dataset_id", "status", "risk_flag", "encoding", "delimiter", "column_count",
-        "data_row_count", "file_size_bytes")
-
-
-@register("header_findings")
-def header_findings_query(spark, sf_dir):
-    """A1-A3, A6 over the header (first CSV record) of every document-file."""
-    pf = preflight(_documents_as_files(spark, sf_dir))
-    headers = pf.filter(F.col("header").isNotNull()).select(
-        "dataset_id", F.posexplode("header").alias("position", "name"))
-    return header_findings(headers, ["dataset_id"])
-
-
 # ---------------------------------------------------------------- evidence
 from ..operators import evidence as EV  # noqa: E402
 
