@@ -28,13 +28,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import text as T
-
-CODE_ORDER = {
-    "SUSPICIOUS_COLUMN_NAME": 0,
-    "AMBIGUOUS_COLUMN_NAMES": 1,
-}
-
-FINDING_SCHEMA = "code string, severity string, column string, count bigint"
+from ..session import cut
 
 
 def qcol(name: str) -> Column:
@@ -93,11 +87,16 @@ def _finding(code: str, severity: str, column: str | None, count: Column) -> Col
 N_LIMBS = 16  # 16 x 16-bit limbs = the 256 bits of SHA-256
 
 
-def limbs(hexdigest: Column) -> list[Column]:
-    """Split a hex SHA-256 into 16-bit limbs. Summed as BIGINT they cannot
-    overflow below 2^47 rows per dataset."""
-    return [F.conv(F.substring(hexdigest, 1 + 4 * i, 4), 16, 10).cast("bigint").alias(f"_l{i}")
-            for i in range(N_LIMBS)]
+def limb_words(hexdigest: str) -> list[str]:
+    """SQL of a hex SHA-256 column as 48-bit words ``<name>_w0`` .. (three limbs a word), to select before :func:`limbs`."""
+    return [f"cast(conv(substring({hexdigest}, {1 + 12 * g}, 12), 16, 10) as bigint) as {hexdigest}_w{g}"
+            for g in range(-(-N_LIMBS // 3))]
+
+
+def limbs(hexdigest: str) -> list[str]:
+    """SQL of the 16-bit limbs from the words of :func:`limb_words`. Summed as BIGINT
+    they cannot overflow below 2^47 rows per dataset."""
+    return [f"(shiftright({hexdigest}_w{i // 3}, {16 * (2 - i % 3 if i < N_LIMBS - 1 else 0)}) & 65535)" for i in range(N_LIMBS)]
 
 
 def identity_stats(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
@@ -109,7 +108,7 @@ def identity_stats(df: DataFrame, keys: list[str], columns: list[str]) -> DataFr
     verbatim = [F.coalesce(qcol(c), F.lit("")) for c in columns]
     fp_hex = F.sha2(F.concat_ws(",", *[F.concat(F.length(v).cast("string"), F.lit(":"), v)
                                        for v in verbatim]), 256)
-    rows = df.select(*[F.col(k) for k in keys], T.row_digest(folded).alias("_d"), *limbs(fp_hex))
+    rows = df.select(*[F.col(k) for k in keys], T.row_digest(folded).alias("_d"), fp_hex.alias("_h"))
     return fold_identity(rows, keys, F.lit(signature(columns)))
 
 
@@ -127,22 +126,27 @@ def fingerprint_of(sig: Column, rows: Column, sums: list[Column]) -> Column:
 
 
 def fold_identity(rows: DataFrame, keys: list[str], sig: Column) -> DataFrame:
-    """Counts and fingerprint of ``rows(keys..., _d digest, _l0 .. _l15)``; ``sig`` is constant per key."""
-    per_digest = rows.groupBy(*keys, "_d").agg(
-        F.count("*").alias("_n"), *[F.sum(f"_l{i}").alias(f"_l{i}") for i in range(N_LIMBS)])
+    """Counts and fingerprint of ``rows(keys..., _d digest, _h hex SHA-256)``; ``sig`` is constant per key."""
+    per_digest = rows.selectExpr(*[f"`{k}`" for k in keys], "_d", *limb_words("_h")).groupBy(*keys, "_d").agg(
+        F.expr("count(*) as _n"), *[F.expr(f"sum({x}) as _l{i}") for i, x in enumerate(limbs("_h"))])
     agg = per_digest.groupBy(*keys).agg(
-        F.sum("_n").alias("row_count"),
-        (F.sum("_n") - F.count("*")).alias("duplicate_row_count"),
-        *[F.sum(f"_l{i}").alias(f"_l{i}") for i in range(N_LIMBS)])
-    return agg.select(*keys, F.col("row_count").cast("bigint").alias("row_count"),
-                      F.col("duplicate_row_count").cast("bigint").alias("duplicate_row_count"),
+        F.expr("sum(_n) as row_count"), F.expr("sum(_n) - count(*) as duplicate_row_count"),
+        *[F.expr(f"sum(_l{i}) as _l{i}") for i in range(N_LIMBS)])
+    return agg.select(*keys, "row_count", "duplicate_row_count",
                       fingerprint_of(sig, F.col("row_count"), [F.col(f"_l{i}") for i in range(N_LIMBS)])
                       .alias("fingerprint"))
 
 
 def column_checks(df: DataFrame, keys: list[str], columns: list[str], order: Column) -> DataFrame:
-    """Pass 1: every per-column conditional count in one aggregation."""
-    aggs: list[Column] = []
+    """Pass 1: every per-column conditional count in one aggregation.
+
+    ``live`` counts the rows with a non-blank cell: a dataset without any holds no
+    records for the gate, whatever its number of rows.
+    """
+    blank = F.lit(True)
+    for name in columns:
+        blank = blank & (T.strip(F.coalesce(qcol(name), F.lit(""))) == "")
+    aggs: list[Column] = [F.count_if(~blank).alias("live")]
     for i, name in enumerate(columns):
         v = T.strip(T.na_fold(qcol(name)))
         ne = F.coalesce(v != F.lit(""), F.lit(False))
@@ -212,18 +216,19 @@ def audit(df: DataFrame, *, keys: list[str] | tuple[str, ...] = ("dataset_id",),
     fingerprint`` (file SHA-256, S8); default is the table fingerprint (S9).
     ``materialize`` checkpoints the one-row-per-dataset result so that later
     evidence joins neither re-scan the source nor grow the plan.
+
+    A dataset none of whose rows holds a non-blank cell is BLOCKED (A12): score 0,
+    one CRITICAL finding, as a file that the gate finds without records.
     """
     keys = list(keys)
     if columns is None:
         columns = [c for c in df.columns if c not in keys and c != order_col]
-    raw_header = list(raw_header) if raw_header is not None else list(columns)
     if order_col is None:
         order_col = "_row_order"
         df = df.withColumn(order_col, F.monotonically_increasing_id())
     order = F.col(order_col)
     df = df.select(*keys, order_col, *[qcol(c) for c in columns])
 
-    from ..session import cut
     checks = cut(column_checks(df, keys, columns, order))
     ranked = sample_ranks(df, keys, columns, order, checks, type_sample_limit)
 
@@ -233,7 +238,15 @@ def audit(df: DataFrame, *, keys: list[str] | tuple[str, ...] = ("dataset_id",),
             fingerprints, on=[k for k in keys if k in fingerprints.columns], how="left")
 
     wide = checks.join(ranked, on=keys, how="left").join(ident, on=keys, how="left")
+    return assemble(wide, keys, columns, raw_header, reviews=reviews, type_sample_limit=type_sample_limit,
+                    materialize=materialize)
 
+
+def assemble(wide: DataFrame, keys: list[str], columns: list[str], raw_header: list[str] | None = None, *,
+             reviews: DataFrame | None = None, type_sample_limit: int = K.TYPE_SAMPLE_LIMIT,
+             materialize: bool = False) -> AuditResult:
+    """Findings, score and status from the counts of every dataset (one row per ``keys``)."""
+    raw_header = list(raw_header) if raw_header is not None else list(columns)
     # ---- findings in emission order ----
     suspicious, ambiguous = header_issue_counts(raw_header)
     items: list[Column] = []
@@ -257,7 +270,9 @@ def audit(df: DataFrame, *, keys: list[str] | tuple[str, ...] = ("dataset_id",),
         sample = F.least(F.col(f"n{i}"), F.lit(type_sample_limit))
         items.append(_finding("MIXED_NUMERIC_TEXT", "WARNING", name,
                               F.when(both & in_sample, sample).otherwise(F.lit(0))))
-    found = F.filter(F.array(*items), lambda x: x["count"] > 0)
+    dead = F.coalesce(F.col("live") == 0, F.lit(False))
+    found = F.when(dead, F.array(_finding("HEADER_ONLY_FILE", "CRITICAL", None, F.lit(1)))).otherwise(
+        F.filter(F.array(*items), lambda x: x["count"] > 0))
 
     if reviews is not None:
         wide = wide.join(reviews, on=[k for k in keys if k in reviews.columns], how="left")
@@ -277,21 +292,23 @@ def audit(df: DataFrame, *, keys: list[str] | tuple[str, ...] = ("dataset_id",),
         x["code"].alias("code"), x["severity"].alias("severity"),
         x["column"].alias("column"), x["count"].alias("count"),
         accepted(x).alias("accepted")))
-    wide = wide.withColumn("_f", tagged)
+    wide = wide.select(*keys, tagged.alias("_f"), "fingerprint", dead.alias("dead"),
+                       *[F.when(dead, 0).otherwise(F.col(c)).alias(c) for c in ("row_count", "duplicate_row_count")])
     if materialize:
-        from ..session import cut
-        wide = cut(wide.select(*keys, "_f", "fingerprint", "row_count", "duplicate_row_count"))
+        wide = cut(wide)
     remaining = F.filter(F.col("_f"), lambda x: ~x["accepted"])
     total_penalty = F.aggregate(remaining, F.lit(0), lambda acc, x: acc + T.penalty(x["severity"]))
 
     audits = wide.select(
         *keys,
-        F.when(F.size(remaining) == 0, F.lit("READY")).otherwise(F.lit("QUARANTINED")).alias("status"),
+        F.when(F.col("dead"), F.lit("BLOCKED")).when(F.size(remaining) == 0, F.lit("READY"))
+        .otherwise(F.lit("QUARANTINED")).alias("status"),
         F.col("fingerprint"),
         F.col("row_count"),
-        F.lit(len(columns)).alias("column_count"),
+        F.when(F.col("dead"), 0).otherwise(len(columns)).alias("column_count"),
         F.col("duplicate_row_count"),
-        F.greatest(F.lit(0), F.lit(100) - total_penalty).cast("int").alias("quality_score"),
+        F.when(F.col("dead"), 0).otherwise(F.greatest(F.lit(0), F.lit(100) - total_penalty)).cast("int")
+        .alias("quality_score"),
         F.size(remaining).alias("finding_count"),
     )
     findings = wide.select(*keys, F.posexplode("_f").alias("ord", "f")).select(

@@ -1,4 +1,4 @@
-"""T-2 to T-6: before/after comparison, regression rules, evidence checks.
+"""T-2 to T-6: before/after comparison, regression rules, evidence checks, matching of trials and plans.
 
 ``before`` audits are keyed by ``dataset_id``; ``after`` audits and findings
 by ``(dataset_id, candidate_id)``. Everything is a join on those keys (the
@@ -7,11 +7,12 @@ finding-level rules join on ``(code, column)`` with a null-safe column).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .policy import PLAN_KEYS
+from .audit import AuditResult
+from .policy import PLAN_KEYS, authorize, plan_hashes
 
 HEX64 = "^[0-9a-f]{64}$"
 
@@ -119,38 +120,88 @@ def regressions(before_audits: DataFrame, before_findings: DataFrame, after_audi
     return scalar.unionByName(per_finding)
 
 
-def evaluate(trials: DataFrame, plan_decisions: DataFrame, before_audits: DataFrame,
-             after_audits: DataFrame, plans: DataFrame, regression_rows: DataFrame) -> DataFrame:
-    """T-5/T-6: evaluation status of every candidate.
+def _scored(findings: DataFrame, keys: list[str]) -> DataFrame:
+    """A13/A14 worked out again from the findings that were not accepted."""
+    left = findings.filter(~F.col("accepted"))
+    return left.groupBy(*keys).agg(F.sum(T.penalty(F.col("severity"))).alias("lost"), F.count("*").alias("open"))
 
-    Non-completed trials keep their status. Completed ones are
-    EVIDENCE_INVALID when their evidence does not hold together (decision not
-    APPROVED, bad hashes, plan/audit mismatch, output hash differs,
-    duplicates over rows), else REGRESSION_DETECTED / NO_AUDIT_REGRESSION.
+
+def _audit_differs(keys: list[str], audits: DataFrame, findings: DataFrame, name: str) -> DataFrame:
+    """``keys, name``: the recorded status, score or number of findings is not what the findings give."""
+    j = audits.join(_scored(findings, keys), keys, "left")
+    lost, number = F.coalesce("lost", F.lit(0)), F.coalesce("open", F.lit(0))
+    blocked = F.col("status") == "BLOCKED"
+    score = F.when(blocked, 0).otherwise(F.greatest(F.lit(0), F.lit(100) - lost))
+    status = F.when(blocked, "BLOCKED").when(number == 0, "READY").otherwise("QUARANTINED")
+    differs = ~F.col("quality_score").eqNullSafe(score) | ~F.col("status").eqNullSafe(status) | (F.col("finding_count") != number)
+    return j.select(*keys, differs.alias(name))
+
+
+def evidence_checks(trials: DataFrame, plan_decisions: DataFrame, before: AuditResult, after: AuditResult, plans: DataFrame,
+                    plan_actions: DataFrame, policies: DataFrame, comparisons: DataFrame,
+                    reproduced: DataFrame | None = None) -> DataFrame:
+    """T-5: ``PLAN_KEYS, checks``: for every completed trial the names of the checks its evidence fails.
+
+    Nothing recorded is taken on trust: decisions are authorized again, comparisons
+    and scores worked out again from the audits, hashes compared along plan, audit,
+    trial and, with ``reproduced(PLAN_KEYS, fingerprint)``, with the output computed again.
+    """
+    expected, _ = authorize(before.audits, before.findings, plans, plan_actions, policies)
+    fields = ("status", "can_execute", "policy_id", "source_fingerprint", "reasons")
+    j = (trials.filter("status = 'REAUDITED'").select(*PLAN_KEYS, "output_fingerprint")
+         .join(plans.select(*PLAN_KEYS, "source_fingerprint"), PLAN_KEYS, "left")
+         .join(expected.select(*PLAN_KEYS, F.struct(*fields).alias("expected")), PLAN_KEYS, "left")
+         .join(plan_decisions.select(*PLAN_KEYS, F.struct(*fields).alias("decision")), PLAN_KEYS, "left"))
+    told = comparisons.columns[2:]
+    again = comparison(before.audits, before.findings, after.audits, after.findings)
+    j = (j.join(comparisons.select(*PLAN_KEYS, F.struct(*told).alias("told")), PLAN_KEYS, "left")
+         .join(again.select(*PLAN_KEYS, F.struct(*told).alias("again")), PLAN_KEYS, "left"))
+    b = before.audits.select("dataset_id", F.col("status").alias("bs"), F.col("fingerprint").alias("bfp"),
+                             F.col("row_count").alias("br"), F.col("duplicate_row_count").alias("bd"))
+    a = after.audits.select(*PLAN_KEYS, F.col("fingerprint").alias("afp"), F.col("row_count").alias("ar"),
+                            F.col("duplicate_row_count").alias("ad"))
+    j = (j.join(b, "dataset_id", "left").join(a, PLAN_KEYS, "left")
+         .join(_audit_differs(["dataset_id"], before.audits, before.findings, "before_differs"), "dataset_id", "left")
+         .join(_audit_differs(PLAN_KEYS, after.audits, after.findings, "after_differs"), PLAN_KEYS, "left"))
+    other = F.lit(False)
+    if reproduced is not None:
+        j = j.join(reproduced.select(*PLAN_KEYS, F.col("fingerprint").alias("now")), PLAN_KEYS, "left")
+        other = ~F.col("now").eqNullSafe(F.col("output_fingerprint"))
+
+    def bad_hash(c: str) -> Column:
+        return ~F.coalesce(F.col(c).rlike(HEX64), F.lit(False))
+    checks = F.array_compact(F.array(*[F.when(F.coalesce(fails, F.lit(True)), F.lit(name)) for name, fails in (
+        ("NOT_APPROVED", ~((F.col("decision.status") == "APPROVED") & F.col("decision.can_execute"))),
+        ("DECISION_DIFFERS", ~F.col("decision").eqNullSafe(F.col("expected"))),
+        ("SOURCE_BLOCKED", F.col("bs") == "BLOCKED"),
+        ("BAD_SOURCE_HASH", bad_hash("bfp")),
+        ("PLAN_NOT_BOUND", ~F.col("source_fingerprint").eqNullSafe(F.col("bfp"))),
+        ("BAD_OUTPUT_HASH", bad_hash("output_fingerprint")),
+        ("OUTPUT_HASH_DIFFERS", ~F.col("afp").eqNullSafe(F.col("output_fingerprint"))),
+        ("OUTPUT_NOT_REPRODUCED", other),
+        ("COMPARISON_DIFFERS", F.col("told").isNull() | ~F.col("told").eqNullSafe(F.col("again"))),
+        ("BEFORE_AUDIT_DIFFERS", F.col("before_differs")), ("AFTER_AUDIT_DIFFERS", F.col("after_differs")),
+        ("MORE_DUPLICATES_THAN_ROWS", (F.col("bd") > F.col("br")) | (F.col("ad") > F.col("ar"))))]))
+    return j.select(*PLAN_KEYS, checks.alias("checks"))
+
+
+def evaluate(trials: DataFrame, plans: DataFrame, plan_actions: DataFrame, checks: DataFrame,
+             regression_rows: DataFrame) -> DataFrame:
+    """T-5/T-6: ``PLAN_KEYS, trial_status, status, checks`` of every requested plan and every trial.
+
+    Requests and trials must match both ways: a plan without a trial is
+    TRIAL_MISSING, a trial without a plan PLAN_MISSING, a trial of a plan that says
+    something else PLAN_DIFFERS. Trials that were not completed keep their status;
+    completed ones are EVIDENCE_INVALID when a check of :func:`evidence_checks`
+    fails, else REGRESSION_DETECTED or NO_AUDIT_REGRESSION.
     """
     n_reg = regression_rows.groupBy(*PLAN_KEYS).agg(F.count("*").alias("n_reg"))
-    j = (trials.join(plan_decisions.select(*PLAN_KEYS, F.col("status").alias("decision"),
-                                           "can_execute"), on=PLAN_KEYS, how="left")
-         .join(plans.select(*PLAN_KEYS, "source_fingerprint"), on=PLAN_KEYS, how="left")
-         .join(before_audits.select("dataset_id", F.col("status").alias("bs"),
-                                    F.col("fingerprint").alias("bfp"),
-                                    F.col("row_count").alias("br"),
-                                    F.col("duplicate_row_count").alias("bd")),
-               on="dataset_id", how="left")
-         .join(after_audits.select(*PLAN_KEYS, F.col("fingerprint").alias("afp"),
-                                   F.col("row_count").alias("ar"),
-                                   F.col("duplicate_row_count").alias("ad")),
-               on=PLAN_KEYS, how="left")
-         .join(n_reg, on=PLAN_KEYS, how="left"))
-    invalid = (~((F.col("decision") == "APPROVED") & F.col("can_execute"))
-               | (F.col("bs") == "BLOCKED")
-               | ~F.coalesce(F.col("bfp").rlike(HEX64), F.lit(False))
-               | ~F.col("source_fingerprint").eqNullSafe(F.col("bfp"))
-               | ~F.coalesce(F.col("output_fingerprint").rlike(HEX64), F.lit(False))
-               | ~F.col("afp").eqNullSafe(F.col("output_fingerprint"))
-               | (F.col("bd") > F.col("br")) | (F.col("ad") > F.col("ar")))
-    status = (F.when(F.col("status") != "REAUDITED", F.col("status"))
-              .when(F.coalesce(invalid, F.lit(True)), F.lit("EVIDENCE_INVALID"))
-              .when(F.coalesce(F.col("n_reg"), F.lit(0)) > 0, F.lit("REGRESSION_DETECTED"))
-              .otherwise(F.lit("NO_AUDIT_REGRESSION")))
-    return j.select(*PLAN_KEYS, F.col("status").alias("trial_status"), status.alias("status"))
+    asked = plan_hashes(plans, plan_actions).select(*PLAN_KEYS, F.col("plan_hash").alias("asked"))
+    ran = trials.select(*PLAN_KEYS, F.col("status").alias("trial_status"), "plan_hash", F.lit(True).alias("ran"))
+    j = (asked.join(ran, PLAN_KEYS, "full_outer").join(checks, PLAN_KEYS, "left").join(n_reg, PLAN_KEYS, "left"))
+    status = (F.when(F.col("ran").isNull(), "TRIAL_MISSING").when(F.col("asked").isNull(), "PLAN_MISSING")
+              .when(~F.col("plan_hash").eqNullSafe(F.col("asked")), "PLAN_DIFFERS")
+              .when(F.col("trial_status") != "REAUDITED", F.col("trial_status"))
+              .when(F.coalesce(F.size("checks") != 0, F.lit(True)), "EVIDENCE_INVALID")
+              .when(F.coalesce("n_reg", F.lit(0)) > 0, "REGRESSION_DETECTED").otherwise("NO_AUDIT_REGRESSION"))
+    return j.select(*PLAN_KEYS, "trial_status", status.alias("status"), "checks")

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions import text as T
 from ..session import cut
-from .audit import AuditResult, fold_identity, limbs
+from .audit import AuditResult, fold_identity
 from .preflight import fields, preflight, text_of
 
 READ_FAILURE = "CSV_READ_FAILURE"
@@ -54,7 +54,7 @@ def _array_identity(rows: DataFrame, keys: list[str]) -> DataFrame:
     digest = F.unhex(F.sha2(F.array_join(folded, ","), 256))
     signature = F.array_join(F.transform("frame", encoded), ",")
     return fold_identity(rows.select(*keys, signature.alias("_sig"), digest.alias("_d"),
-                                     *limbs(F.sha2(F.array_join(verbatim, ","), 256))), [*keys, "_sig"], F.col("_sig"))
+                                     F.sha2(F.array_join(verbatim, ","), 256).alias("_h")), [*keys, "_sig"], F.col("_sig"))
 
 
 def _cell_stats(cells: DataFrame, keys: list[str], sample: int) -> DataFrame:

@@ -10,9 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .audit import identity_stats
 from .policy import PLAN_KEYS
-from .trials import execute_candidates
+from .trials import output_fingerprints, source_fingerprints
 
 
 def lineage(current_source: DataFrame, current_output: DataFrame, before_audits: DataFrame,
@@ -54,7 +53,7 @@ def lineage(current_source: DataFrame, current_output: DataFrame, before_audits:
         *PLAN_KEYS, F.col("src_fp").alias("source_fingerprint_sha256"),
         F.col("out_fp").alias("output_fingerprint_sha256"), "source_audit_status",
         "output_audit_status", "policy_id", F.coalesce("executed_actions", F.lit(""))
-        .alias("executed_actions"), F.lit(True).alias("source_preserved"))
+        .alias("executed_actions"), F.col("src_fp").eqNullSafe(F.col("before_fp")).alias("source_preserved"))
     return ok, failures
 
 
@@ -66,10 +65,8 @@ def export_check(source: DataFrame, columns: list[str], chosen: DataFrame, plan_
     ``chosen(dataset_id, candidate_id)``; ``source_fingerprint(dataset_id,
     fingerprint)`` is the fingerprint the trial ran on.
     """
-    out = execute_candidates(source, chosen, plan_actions, columns)
-    now = identity_stats(out, PLAN_KEYS, columns).select(*PLAN_KEYS, F.col("fingerprint").alias("fp"))
-    src_now = identity_stats(source, ["dataset_id"], columns).select(
-        "dataset_id", F.col("fingerprint").alias("src_now"))
+    now = output_fingerprints(source, chosen, plan_actions, columns).withColumnRenamed("fingerprint", "fp")
+    src_now = source_fingerprints(source, columns).withColumnRenamed("fingerprint", "src_now")
     j = (chosen.select(*PLAN_KEYS).join(now, on=PLAN_KEYS, how="left")
          .join(trials.select(*PLAN_KEYS, "output_fingerprint"), on=PLAN_KEYS, how="left")
          .join(src_now, on="dataset_id", how="left")

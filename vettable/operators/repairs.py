@@ -27,7 +27,7 @@ class RepairError(ValueError):
 def _require(df: DataFrame, columns: Iterable[str]) -> None:
     missing = [c for c in columns if c not in df.columns]
     if missing:
-        raise RepairError(f"Unknown column(s): {missing}")
+        raise RepairError(f"no such columns: {missing}")
 
 
 def trim_outer_whitespace(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -41,7 +41,7 @@ def trim_outer_whitespace(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def standardize_missing_markers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """cells whose stripped lower-case text is a missing marker become null."""
     if not columns:
-        raise RepairError("STANDARDIZE_MISSING_MARKERS requires explicitly approved columns.")
+        raise RepairError("marking missing values needs a list of columns")
     _require(df, columns)
 
     def fix(c: Column) -> Column:
@@ -56,13 +56,13 @@ def remove_exact_duplicates(df: DataFrame, columns: Sequence[str] = (),
     """whole-row de-duplication keeping the first copy (lowest ``_row_id``).
 
     Exact duplicates share every cell, so the row itself is the grouping key
-    (null equals null, and differs from ``''``) and only ``min(_row_id)`` is
-    aggregated: a fixed-width buffer, so Spark plans a hash aggregate with
+    (null, a cell marked as missing, equals null; ``apply_plan`` reads source
+    nulls as ``''``) and only ``min(_row_id)`` is aggregated: a fixed-width buffer, so Spark plans a hash aggregate with
     map-side combine, and a row repeated across a third of the table
     collapses before it is shuffled.
     """
     if columns:
-        raise RepairError("REMOVE_EXACT_DUPLICATES must apply to complete rows, not selected columns.")
+        raise RepairError("rows are de-duplicated whole; no columns can be named")
     keys = list(keys)
     data = list(data_columns) if data_columns is not None else [
         c for c in df.columns if c not in keys and c != ROW_ID]
@@ -79,8 +79,8 @@ def apply_action(df: DataFrame, action: str, columns: Sequence[str], *, keys: Se
     if action == "STANDARDIZE_MISSING_MARKERS":
         return standardize_missing_markers(df, columns)
     if action in K.REPAIR_ACTIONS:
-        raise RepairError(f"Repair action {action} is not implemented by the executor.")
-    raise RepairError(f"Unknown repair action {action}.")
+        raise RepairError(f"{action} is known but never executed")
+    raise RepairError(f"no such action: {action}")
 
 
 def apply_plan(df: DataFrame, actions: Sequence[tuple[str, Sequence[str]]], *,
@@ -88,7 +88,8 @@ def apply_plan(df: DataFrame, actions: Sequence[tuple[str, Sequence[str]]], *,
     """compose the actions in plan order into one lazy plan."""
     data = list(data_columns) if data_columns is not None else [
         c for c in df.columns if c not in keys and c != ROW_ID]
-    out = df
+    # The verbatim view holds text; a null cell is an empty one.
+    out = df.withColumns({c: F.coalesce(qcol(c), F.lit("")) for c in data})
     for action, columns in actions:
         out = apply_action(out, action, list(columns), keys=keys, data_columns=data)
     return out
@@ -102,4 +103,4 @@ def only_action(actions: Sequence[tuple[str, Sequence[str]]], action: str) -> No
     """a single-action execution context may contain only that action."""
     others = [a for a, _ in actions if a != action]
     if others:
-        raise RepairError(f"This executor runs only {action}; found {others}.")
+        raise RepairError(f"only {action} may run here, not {others}")

@@ -1,183 +1,377 @@
-"""T-1: run every permitted candidate of every dataset in one Spark plan.
-
-The plan actions are data, not driver code: source rows are replicated once
-per runnable candidate (at most five per dataset), then action step ``s`` of
-every candidate is applied together - trim and marker steps as conditional
-column expressions, a de-duplication step as one shuffle keyed by
-``(dataset_id, candidate_id, row digest)``. One audit grouped by
-``(dataset_id, candidate_id)`` then measures all outputs at once. The driver
-only learns which (step, action) pairs exist: a handful of rows.
+"""T-1: run every permitted candidate of every dataset from one scan of the source.
+
+A plan's trim and marker steps between two de-duplications are a pair of column
+lists: marking tests the stripped text, so both orders of the two actions give the
+same cell. What a plan does is therefore an array of such pairs, one more than it
+has de-duplications, and travels with its dataset as data.
+
+* Plans that keep all rows are **column variants of one row**. Stripping and the
+  patterns of a cell are worked out once; a variant only changes whether the cell is
+  present. One aggregate per dataset counts all variants (no copy of a row per
+  candidate), sums their fingerprint limbs, and sums the source's own limbs, which
+  must give the audited fingerprint: the trials read what was audited. Duplicate
+  counts shuffle one digest per row and variant.
+* Plans that drop rows are grouped by the row itself (``min`` of the row id, combined
+  map-side) and their outputs written once.
+
+Both parts are audited by the same rules. No plan that policy, batch rules or the
+execution gate hold back reads a row. A candidate that can't run has an ``error`` in
+place of a failing job; a source that changed after its audit, or while the trials
+ran, makes all trials of its dataset SOURCE_CHANGED.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import text as T
-from .audit import AuditResult, audit, qcol
-from .policy import PLAN_KEYS, authorize
 from ..session import cut
-from ..sources.tables import estimated_bytes
+from .audit import N_LIMBS, AuditResult, assemble, audit, fingerprint_of, limb_words, limbs, qcol, signature
+from .policy import PLAN_KEYS, authorize, batch_violations, execution_gate, plan_hashes, plan_violations
 
 ROW_ID = "_row_id"
+_SEGMENT = "struct<trim:array<string>,mark:array<string>>"
 
 
 @dataclass
 class TrialResult:
     plan_decisions: DataFrame
     action_decisions: DataFrame
-    trials: DataFrame          # dataset_id, candidate_id, status, output_fingerprint
+    trials: DataFrame          # dataset_id, candidate_id, status, error, output_fingerprint, plan_hash
     after: AuditResult         # keyed by (dataset_id, candidate_id), only executed trials
-    outputs: DataFrame         # repaired rows of executed trials (lazy)
+    rows: Callable[[], DataFrame]
+
+    @property
+    def outputs(self) -> DataFrame:
+        """Repaired rows of the executed trials (lazy)."""
+        return self.rows()
 
 
-def trial_status(plan_decisions: DataFrame, plan_actions: DataFrame, columns: list[str]) -> DataFrame:
-    """Status before execution: DENIED / REQUIRES_REVIEW / UNSUPPORTED / TRIAL_FAILED / RUN."""
+# ------------------------------------------------------------------ what may run
+
+def action_errors(plan_actions: DataFrame, columns: list[str]) -> DataFrame:
+    """``PLAN_KEYS, executable, error``: why a plan's actions can't run on these columns (first in step order)."""
     known = F.array(*[F.lit(c) for c in columns])
-    per = plan_actions.groupBy(*PLAN_KEYS).agg(
-        F.bool_and(F.col("action").isin(*K.EXECUTABLE_ACTIONS)).alias("exe"),
-        F.bool_or(
-            ((F.col("action") == "REMOVE_EXACT_DUPLICATES") & (F.size("columns") > 0))
-            | ((F.col("action") == "STANDARDIZE_MISSING_MARKERS") & (F.size("columns") == 0))
-            | (F.col("action").isin("TRIM_OUTER_WHITESPACE", "STANDARDIZE_MISSING_MARKERS")
-               & (F.size(F.array_except("columns", known)) > 0))).alias("fails"))
-    j = plan_decisions.join(per, on=PLAN_KEYS, how="left")
-    status = (F.when(~((F.col("status") == "APPROVED") & F.col("can_execute")),
-                     F.when(F.col("status") == "DENIED", F.lit("DENIED"))
-                     .otherwise(F.lit("REQUIRES_REVIEW")))
-              .when(~F.coalesce(F.col("exe"), F.lit(True)), F.lit("UNSUPPORTED"))
-              .when(F.coalesce(F.col("fails"), F.lit(False)), F.lit("TRIAL_FAILED"))
-              .otherwise(F.lit("RUN")))
-    return j.select(*PLAN_KEYS, status.alias("status"))
-
-
-# Candidate copies are cached for the re-audit passes while all of them fit
-# this estimated size; above it see run_trials.
-TRIAL_CACHE_BYTES = 1 << 30
-
-
-def execute_candidates(source: DataFrame, runnable: DataFrame, plan_actions: DataFrame,
-                       columns: list[str], split: bool = False):
-    """Apply each runnable candidate's actions, in order, to its own copy of the source.
-
-    Each plan's ordered steps travel as one array column on the small plan
-    side, so the source is joined once and step ``s`` reads its action from
-    that array - no per-step join that could partition the copies by
-    candidate. A de-duplication step shuffles only the rows of the candidates
-    that de-duplicate at that step; the others pass through.
-
-    ``split=True`` returns ``(row_keeping, row_dropping, n_row_keeping_plans)``:
-    the outputs of the plans without and with a de-duplication step, from one
-    plan preparation.
+    asks, named = F.col("action"), F.size("columns") > 0
+    error = (F.when((asks == "REMOVE_EXACT_DUPLICATES") & named, "ROWS_TAKE_NO_COLUMNS")
+             .when((asks == "STANDARDIZE_MISSING_MARKERS") & ~named, "COLUMNS_REQUIRED")
+             .when(F.size(F.array_except("columns", known)) > 0, "UNKNOWN_COLUMN"))
+    return plan_actions.groupBy(*PLAN_KEYS).agg(
+        F.bool_and(asks.isin(*K.EXECUTABLE_ACTIONS)).alias("executable"),
+        F.min_by(error, F.when(error.isNotNull(), F.col("action_idx"))).alias("error"))
+
+
+def trial_status(plan_decisions: DataFrame, action_decisions: DataFrame, plans: DataFrame, plan_actions: DataFrame,
+                 columns: list[str], current: DataFrame) -> DataFrame:
+    """``PLAN_KEYS, status, error`` before execution; ``RUN`` where nothing holds the plan back.
+
+    BATCH_INVALID (V1/V2) covers all candidates of a dataset; then policy, support,
+    the execution gate (V7) against ``current(dataset_id, fingerprint)``, and the columns.
     """
-    acts = plan_actions.join(runnable.select(*PLAN_KEYS), on=PLAN_KEYS, how="left_semi")
-    steps = acts.groupBy(*PLAN_KEYS).agg(F.sort_array(F.collect_list(
-        F.struct("action_idx", "action", "columns"))).alias("_steps"))
-    plans = cut(runnable.select(*PLAN_KEYS).join(steps, on=PLAN_KEYS, how="left").withColumn(
-        "_drops", F.coalesce(F.exists("_steps", lambda x: x["action"] == "REMOVE_EXACT_DUPLICATES"),
-                             F.lit(False))))
-    # (half, step, action) -> number of plans, and plans per half: a few numbers.
-    counted = (acts.join(plans.select(*PLAN_KEYS, "_drops"), on=PLAN_KEYS)
-               .groupBy("_drops", "action_idx", "action").agg(F.count("*").alias("n")).collect())
-    n_by = {r["_drops"]: r["count"] for r in plans.groupBy("_drops").count().collect()}
-    if not split:
-        per_step: dict = {}
-        for r in counted:
-            key = (r["action_idx"], r["action"])
-            per_step[key] = per_step.get(key, 0) + r["n"]
-        return _apply_steps(source, plans.drop("_drops"), sum(n_by.values()), per_step, columns)
-    keep, drop = (_apply_steps(
-        source, plans.filter(F.col("_drops") == drops).drop("_drops"), n_by.get(drops, 0),
-        {(r["action_idx"], r["action"]): r["n"] for r in counted if r["_drops"] == drops}, columns)
-        for drops in (False, True))
-    return keep, drop, n_by.get(False, 0)
-
-
-def _apply_steps(source: DataFrame, plans: DataFrame, n_plans: int,
-                 per_step: dict, columns: list[str]) -> DataFrame:
-    # No hint: the plans are a written table whose bytes Spark knows, so it broadcasts them only under
-    # its own threshold; beyond it AQE splits a dataset that holds a large share of the rows.
-    rows = source.join(plans, on="dataset_id", how="inner")
-    for s in sorted({i for i, _ in per_step}):
-        here = {a for i, a in per_step if i == s}
-        step = F.get(F.filter("_steps", lambda x: x["action_idx"] == s), 0)
-        rows = rows.withColumns({"_a": step["action"], "_cols": step["columns"]})
-
-        def fix(name: str) -> Column:
-            c = qcol(name)
-            out = F.when(F.lit(False), c)
-            if "TRIM_OUTER_WHITESPACE" in here:
-                out = out.when((F.col("_a") == "TRIM_OUTER_WHITESPACE")
-                               & F.array_contains("_cols", name), T.strip(c))
-            if "STANDARDIZE_MISSING_MARKERS" in here:
-                out = out.when((F.col("_a") == "STANDARDIZE_MISSING_MARKERS")
-                               & F.array_contains("_cols", name)
-                               & F.lower(T.strip(c)).isin(*K.MISSING_MARKERS),
-                               F.lit(None).cast("string"))
-            return out.otherwise(c)
-        if here & {"TRIM_OUTER_WHITESPACE", "STANDARDIZE_MISSING_MARKERS"}:
-            rows = rows.withColumns({c: fix(c) for c in columns})
-        if "REMOVE_EXACT_DUPLICATES" in here:
-            is_dd = F.coalesce(F.col("_a") == "REMOVE_EXACT_DUPLICATES", F.lit(False))
-            # First copy kept; grouped by the row itself with a fixed-width
-            # min(row id): a hash aggregate, combined map-side.
-            deduped = (rows.filter(is_dd)
-                       .groupBy(*PLAN_KEYS, "_steps", *[qcol(c) for c in columns])
-                       .agg(F.min(ROW_ID).alias(ROW_ID))
-                       .select(*PLAN_KEYS, "_steps", ROW_ID, *[qcol(c) for c in columns]))
-            if per_step[(s, "REMOVE_EXACT_DUPLICATES")] < n_plans:
-                rest = rows.filter(~is_dd).select(*PLAN_KEYS, "_steps", ROW_ID,
-                                                  *[qcol(c) for c in columns])
-                rows = rest.unionByName(deduped)
-            else:
-                rows = deduped
-        else:
-            rows = rows.drop("_a", "_cols")
-    return rows.select(*PLAN_KEYS, ROW_ID, *columns)
+    broken = plan_violations(plans, plan_actions).unionByName(batch_violations(plans, plan_actions))
+    broken = broken.groupBy("dataset_id").agg(F.array_join(F.array_sort(F.collect_set("violation")), ",").alias("broken"))
+    gate = execution_gate(plans, plan_actions, plan_decisions, action_decisions, current)
+    j = (plans.select(*PLAN_KEYS).distinct().join(plan_decisions.select(*PLAN_KEYS, "status", "can_execute"), PLAN_KEYS, "left")
+         .join(action_errors(plan_actions, columns), PLAN_KEYS, "left")
+         .join(gate.select(*PLAN_KEYS, F.array_join("failed_checks", ",").alias("checks")), PLAN_KEYS, "left")
+         .join(broken, "dataset_id", "left"))
+    permitted = F.coalesce((F.col("status") == "APPROVED") & F.col("can_execute"), F.lit(False))
+    supported = F.coalesce("executable", F.lit(True))
+    error = F.coalesce(F.nullif("checks", F.lit("")), F.col("error"))
+    status = (F.when(F.col("broken").isNotNull(), "BATCH_INVALID")
+              .when(~permitted, F.when(F.col("status") == "DENIED", "DENIED").otherwise("REQUIRES_REVIEW"))
+              .when(~supported, "UNSUPPORTED").when(error.isNotNull(), "TRIAL_FAILED").otherwise("RUN"))
+    return j.select(*PLAN_KEYS, status.alias("status"), F.when(F.col("broken").isNotNull(), F.col("broken"))
+                    .when(permitted & supported, error).alias("error"))
+
+
+# ------------------------------------------------------------------ what plans do
+
+@dataclass
+class Programs:
+    plans: DataFrame   # PLAN_KEYS, segments, slot (number among the dataset's row-keeping plans, else null)
+    slots: int         # row-keeping plans of the dataset with most of them (the batch rule bounds it)
+    drops: int         # de-duplications of the plan with most of them
+
+
+def programs(runnable: DataFrame, plan_actions: DataFrame) -> Programs:
+    """What each plan of ``runnable(dataset_id, candidate_id)`` does; two numbers reach the driver."""
+    steps = plan_actions.join(runnable.select(*PLAN_KEYS), PLAN_KEYS, "left_semi").groupBy(*PLAN_KEYS).agg(
+        F.sort_array(F.collect_list(F.struct("action_idx", "action", "columns"))).alias("steps"))
+    none = F.array().cast("array<string>")
+    fresh = F.struct(none.alias("trim"), none.alias("mark"))
+
+    def add(done: Column, step: Column) -> Column:
+        now = F.element_at(done, -1)
+        kept = F.slice(done, F.lit(1), F.size(done) - 1)
+
+        def wider(part: str, action: str) -> Column:
+            return F.when(step["action"] == action, F.concat(now[part], step["columns"])).otherwise(now[part]).alias(part)
+        return F.when(step["action"] == "REMOVE_EXACT_DUPLICATES", F.concat(done, F.array(fresh))).otherwise(
+            F.concat(kept, F.array(F.struct(wider("trim", "TRIM_OUTER_WHITESPACE"),
+                                            wider("mark", "STANDARDIZE_MISSING_MARKERS")))))
+    folded = F.aggregate(F.coalesce("steps", F.array().cast("array<struct<action_idx:int,action:string,columns:array<string>>>")),
+                         F.array(fresh).cast(f"array<{_SEGMENT}>"), add)
+    each = runnable.select(*PLAN_KEYS).join(steps, PLAN_KEYS, "left").select(*PLAN_KEYS, folded.alias("segments"))
+    keeps = F.size("segments") == 1
+    nth = F.row_number().over(Window.partitionBy("dataset_id", keeps).orderBy("candidate_id")) - 1
+    plans = cut(each.withColumn("slot", F.when(keeps, nth)))
+    most = plans.agg(F.max("slot"), F.max(F.size("segments"))).first()
+    return Programs(plans, 0 if most[0] is None else most[0] + 1, (most[1] or 1) - 1)
+
+
+def entry_cell(name: str) -> Column:
+    """A source cell as the executor reads it: text, never null."""
+    return F.coalesce(qcol(name), F.lit(""))
+
+
+def _repaired(cell: Column, trimmed: Column, marked: Column) -> Column:
+    missing = F.lower(T.strip(cell)).isin(*K.MISSING_MARKERS)
+    return F.when(marked & missing, F.lit(None).cast("string")).otherwise(F.when(trimmed, T.strip(cell)).otherwise(cell))
+
+
+def _segment_cells(columns: list[str], segment: Column) -> list[Column]:
+    return [_repaired(qcol(c), F.array_contains(segment["trim"], c), F.array_contains(segment["mark"], c)).alias(c)
+            for c in columns]
+
+
+def dropped_rows(source: DataFrame, plans: DataFrame, drops: int, columns: list[str]) -> DataFrame:
+    """``PLAN_KEYS, _row_id, columns`` of the plans with de-duplications (``segments`` of two or more)."""
+    cells = [qcol(c) for c in columns]
+    rows = (source.select("dataset_id", ROW_ID, *[entry_cell(c).alias(c) for c in columns])
+            .join(plans.select(*PLAN_KEYS, "segments"), "dataset_id"))
+    rows = rows.select(*PLAN_KEYS, ROW_ID, "segments", *_segment_cells(columns, F.col("segments")[0]))
+    out = None
+    for k in range(1, drops + 1):
+        # First copy kept; a fixed-width buffer, so a hash aggregate with map-side combine.
+        alike = rows.groupBy(*PLAN_KEYS, *cells).agg(F.min(ROW_ID).alias(ROW_ID))
+        rows = (alike.join(plans.select(*PLAN_KEYS, "segments"), PLAN_KEYS)
+                .select(*PLAN_KEYS, ROW_ID, "segments", *_segment_cells(columns, F.get("segments", F.lit(k)))))
+        done = rows.filter(F.size("segments") == k + 1).select(*PLAN_KEYS, ROW_ID, *cells)
+        out = done if out is None else out.unionByName(done)
+        rows = rows.filter(F.size("segments") > k + 1)
+    return out
+
+
+def execute_candidates(source: DataFrame, runnable: DataFrame, plan_actions: DataFrame, columns: list[str]) -> DataFrame:
+    """``PLAN_KEYS, _row_id, columns``: the output rows of every plan of ``runnable`` (a copy per plan; lazy)."""
+    return _outputs(source, programs(runnable, plan_actions), columns)
+
+
+def _outputs(source: DataFrame, p: Programs, columns: list[str]) -> DataFrame:
+    keepers = p.plans.filter("slot is not null")
+    rows = (source.select("dataset_id", ROW_ID, *[entry_cell(c).alias(c) for c in columns])
+            .join(keepers.select(*PLAN_KEYS, "segments"), "dataset_id")
+            .select(*PLAN_KEYS, ROW_ID, *_segment_cells(columns, F.col("segments")[0])))
+    if p.drops == 0:
+        return rows
+    return rows.unionByName(dropped_rows(source, p.plans.filter("slot is null"), p.drops, columns))
+
+
+# ------------------------------------------------------------------ row-keeping plans: variants of one row
+
+def slot_table(p: Programs, columns: list[str]) -> DataFrame:
+    """One row per dataset with a runnable plan: per slot the candidate and what it does to each column."""
+    out: list[Column] = []
+    for i in range(p.slots):
+        here = F.col("slot") == i
+        out.append(F.max(F.when(here, F.col("candidate_id"))).alias(f"cid{i}"))
+        for k, c in enumerate(columns):
+            for part in ("trim", "mark"):
+                asked = F.array_contains(F.col("segments")[0][part], c)
+                out.append(F.coalesce(F.max(F.when(here, asked)), F.lit(False)).alias(f"{part}{i}_{k}"))
+    return cut(p.plans.groupBy("dataset_id").agg(F.count("*").alias("n_plans"), *out))
+
+
+def _cell_facts(columns: list[str]) -> list[Column]:
+    """What every variant needs of a cell, worked out once."""
+    out: list[Column] = []
+    for k, c in enumerate(columns):
+        raw = entry_cell(c)
+        v = T.strip(raw)
+        limit = K.COORDINATE_LIMITS.get(T.normalize_name(c))
+        valid = T.valid_coordinate(v, limit) if limit is not None else F.lit(False)
+        some = v != ""
+        out += [raw.alias(f"raw{k}"), v.alias(f"v{k}"), some.alias(f"some{k}"), raw.isin(*K.NA_TOKENS).alias(f"na{k}"),
+                v.isin(*K.NA_TOKENS).alias(f"nav{k}"), F.lower(v).isin(*K.MISSING_MARKERS).alias(f"mk{k}"),
+                (some & T.pii_match(v) & ~valid).alias(f"pii{k}"), (some & T.injection_match(v)).alias(f"told{k}"),
+                (some & T.is_numeric(v)).alias(f"num{k}"), (some & ~valid).alias(f"off{k}")]
+    return out
+
+
+def _written(i: int, k: int) -> str:
+    """SQL: the cell is not turned into a missing one by slot ``i``."""
+    return f"not (mark{i}_{k} and mk{k})"
+
+
+def _token(i: int, k: int) -> str:
+    """SQL: the audit takes slot ``i``'s cell for a missing-value token."""
+    return f"if(trim{i}_{k}, nav{k}, na{k})"
+
+
+def _present(i: int, k: int) -> str:
+    """SQL: the audit sees text in slot ``i``'s cell (then it is the stripped source text)."""
+    return f"(some{k} and not {_token(i, k)} and {_written(i, k)})"
+
+
+def _text(i: int, k: int) -> str:
+    """SQL: the text of slot ``i``'s cell where it is written."""
+    return f"if(trim{i}_{k}, v{k}, raw{k})"
+
+
+def _encoded(cells: list[str]) -> str:
+    """SQL of a row's hex SHA-256 over cells of which none is null."""
+    return "sha2(concat_ws(',', " + ", ".join(f"concat(length({c}), ':', {c})" for c in cells) + "), 256)"
+
+
+def variant_audits(source: DataFrame, slots: DataFrame, n_slots: int, columns: list[str],
+                   type_sample_limit: int = K.TYPE_SAMPLE_LIMIT) -> tuple[DataFrame, DataFrame]:
+    """Counts of every row-keeping plan (as ``audit.assemble`` takes them), and the source's fingerprint as read.
+
+    ``slots`` is :func:`slot_table`; only datasets with a runnable plan are read.
+    """
+    n, all_slots = len(columns), range(n_slots)
+    facts = source.select("dataset_id", F.col(ROW_ID).alias("_o"), *_cell_facts(columns)).join(slots, "dataset_id")
+    hashes = [_encoded([f"raw{k}" for k in range(n)]) + " as _src"]
+    for i in all_slots:
+        cells = [f"if({_written(i, k)}, {_text(i, k)}, '')" for k in range(n)]
+        hashes.append(f"{_encoded(cells)} as _h{i}")
+    aggs = ["count(*) as row_count"] + [f"sum({x}) as src_{j}" for j, x in enumerate(limbs("_src"))]
+    for i in all_slots:
+        aggs += [f"sum({x}) as l{i}_{j}" for j, x in enumerate(limbs(f"_h{i}"))]
+        for k in range(n):
+            here = _present(i, k)
+            aggs += [f"count_if(not {here}) as m{i}_{k}", f"count_if({here}) as n{i}_{k}",
+                     f"count_if({here} and off{k}) as c{i}_{k}", f"count_if({here} and pii{k}) as p{i}_{k}",
+                     f"count_if({here} and told{k}) as j{i}_{k}", f"min(if({here} and num{k}, _o, null)) as fn{i}_{k}",
+                     f"min(if({here} and not num{k}, _o, null)) as ft{i}_{k}"]
+        live = " or ".join(f"(some{k} and {_written(i, k)})" for k in range(n))
+        aggs.append(f"count_if({live}) as live{i}")
+    words = [w for h in ["_src", *[f"_h{i}" for i in all_slots]] for w in limb_words(h)]
+    counted = cut(facts.selectExpr("*", *hashes).selectExpr("*", *words).groupBy("dataset_id").agg(*[F.expr(a) for a in aggs]))
+    sig = F.lit(signature(columns))
+    seen = counted.select("dataset_id", fingerprint_of(sig, F.col("row_count"), [F.col(f"src_{j}") for j in range(N_LIMBS)])
+                          .alias("fingerprint"))
+    if n_slots == 0:
+        return counted.limit(0), seen
+    ids = slots.select("dataset_id", *[f"cid{i}" for i in all_slots])
+    per_slot = [F.struct(
+        F.expr(f"cid{i} as candidate_id"), F.lit(i).alias("slot"), "row_count", F.expr(f"live{i} as live"),
+        fingerprint_of(sig, F.col("row_count"), [F.col(f"l{i}_{j}") for j in range(N_LIMBS)]).alias("fingerprint"),
+        *[F.expr(f"{x}{i}_{k} as {x}{k}") for x in ("m", "n", "c", "p", "j", "fn", "ft") for k in range(n)])
+        for i in all_slots]
+    wide = cut(counted.join(ids, "dataset_id").select("dataset_id", F.inline(F.array(*per_slot))).filter("candidate_id is not null"))
+
+    # The rows as the audit sees them: missing cells and tokens are "~".
+    def folded(i: int, k: int) -> str:
+        return (f"if({_written(i, k)} and not {_token(i, k)}, concat(length({_text(i, k)}), ':', {_text(i, k)}), '~')")
+    rows = ", ".join(f"struct(cid{i} as candidate_id, unhex(sha2(concat_ws(',', "
+                     + ", ".join(folded(i, k) for k in range(n)) + "), 256)) as _d)" for i in all_slots)
+    digests = facts.selectExpr("dataset_id", f"inline(array({rows}))").filter("candidate_id is not null")
+    copies = (digests.groupBy(*PLAN_KEYS, "_d").agg(F.count("*").alias("_n")).groupBy(*PLAN_KEYS)
+              .agg((F.sum("_n") - F.count("*")).alias("duplicate_row_count")))
+    ranks = _variant_ranks(facts, wide, n_slots, n, type_sample_limit)
+    return wide.join(ranks, PLAN_KEYS, "left").join(copies, PLAN_KEYS, "left"), seen
+
+
+def _variant_ranks(facts: DataFrame, wide: DataFrame, n_slots: int, n: int, limit: int) -> DataFrame:
+    """Rank of the type-sample cut per variant; the source is read again only where a column needs it."""
+    late = wide.selectExpr("dataset_id", "candidate_id", "slot", *[
+        f"if(fn{k} is not null and ft{k} is not null and n{k} > {limit}, greatest(fn{k}, ft{k}), null) as t{k}" for k in range(n)])
+    asked = late.filter("coalesce(" + ", ".join(f"t{k}" for k in range(n)) + ") is not null")
+    if not asked.take(1):
+        return late.selectExpr(*PLAN_KEYS, *[f"cast(null as bigint) as r{k}" for k in range(n)])
+    every = [(i, k) for i in range(n_slots) for k in range(n)]
+    cuts = asked.groupBy("dataset_id").agg(*[F.expr(f"max(if(slot = {i}, t{k}, null)) as t{i}_{k}") for i, k in every])
+    ends = ", ".join(f"t{i}_{k}" for i, k in every)
+    last = ends if len(every) == 1 else f"greatest({ends})"
+    ranks = facts.join(cuts, "dataset_id").filter(f"_o <= {last}").groupBy("dataset_id").agg(*[
+        F.expr(f"count_if(_o <= t{i}_{k} and {_present(i, k)}) as r{i}_{k}") for i, k in every])
+    each = ", ".join(f"struct({i} as slot, " + ", ".join(f"r{i}_{k} as r{k}" for k in range(n)) + ")" for i in range(n_slots))
+    return ranks.selectExpr("dataset_id", f"inline(array({each}))").join(
+        late.select(*PLAN_KEYS, "slot"), ["dataset_id", "slot"]).drop("slot")
+
+
+def source_fingerprints(source: DataFrame, columns: list[str]) -> DataFrame:
+    """``dataset_id, fingerprint`` (S9) as of now: one combined aggregate, no digest shuffled."""
+    cells = source.select("dataset_id", *[entry_cell(c).alias(f"c{k}") for k, c in enumerate(columns)])
+    hashed = cells.selectExpr("dataset_id", _encoded([f"c{k}" for k in range(len(columns))]) + " as _h")
+    summed = hashed.selectExpr("dataset_id", *limb_words("_h")).groupBy("dataset_id").agg(F.count("*").alias("n"), *[
+        F.expr(f"sum({x}) as l{j}") for j, x in enumerate(limbs("_h"))])
+    return summed.select("dataset_id", fingerprint_of(F.lit(signature(columns)), F.col("n"), [F.col(f"l{j}") for j in range(N_LIMBS)])
+                         .alias("fingerprint"))
+
+
+def output_fingerprints(source: DataFrame, runnable: DataFrame, plan_actions: DataFrame, columns: list[str]) -> DataFrame:
+    """``PLAN_KEYS, fingerprint``: outputs worked out again from the source, for lineage and export."""
+    out = execute_candidates(source, runnable, plan_actions, columns)
+    one = F.struct(*PLAN_KEYS)
+    return source_fingerprints(out.withColumn("dataset_id", one), columns).select("dataset_id.*", "fingerprint")
+
+
+# ------------------------------------------------------------------ trials
+
+def _either(a: AuditResult | None, b: AuditResult | None) -> AuditResult:
+    if a is None or b is None:
+        return a or b
+    return AuditResult(findings=a.findings.unionByName(b.findings), audits=a.audits.unionByName(b.audits))
 
 
 def run_trials(source: DataFrame, columns: list[str], before: AuditResult, plans: DataFrame,
-               plan_actions: DataFrame, policies: DataFrame,
-               reviews: DataFrame | None = None) -> TrialResult:
-    """Authorize, execute and re-audit every candidate; one job for all of them."""
+               plan_actions: DataFrame, policies: DataFrame, reviews: DataFrame | None = None,
+               recheck: bool = True) -> TrialResult:
+    """Authorize, execute and re-audit every candidate; see the module text.
+
+    ``recheck`` reads the source once more after the outputs, so that a change
+    while the trials ran is seen too.
+    """
     plan_decisions, action_decisions = authorize(before.audits, before.findings, plans,
                                                  plan_actions, policies)
     plan_decisions, action_decisions = cut(plan_decisions), cut(action_decisions)
-    status = cut(trial_status(plan_decisions, plan_actions, columns))
-    runnable = status.filter(F.col("status") == "RUN")
-    # Every copy together is at most MAX_CANDIDATES times the source (the
-    # batch rule caps candidates per dataset). When that fits the cache
-    # budget, all outputs are cached for the three re-audit passes. Above it,
-    # copies of row-keeping candidates are never stored - each pass derives
-    # them again from the source scan (a broadcast join replicates rows inside
-    # the task) - and only the outputs of de-duplicating candidates, which
-    # leave a shuffle anyway, are written once to the shared checkpoint
-    # folder: storage stays at most one source size per such candidate and
-    # survives executor loss.
-    if K.MAX_CANDIDATES * estimated_bytes(source) <= TRIAL_CACHE_BYTES:
-        outputs = execute_candidates(source, runnable, plan_actions, columns)
-        outputs.persist(StorageLevel.MEMORY_AND_DISK)
-        after = audit(outputs, keys=PLAN_KEYS, columns=columns, order_col=ROW_ID,
-                      reviews=reviews, materialize=True)
-        outputs.unpersist()
-    else:
-        keeps_rows, drops_rows, _ = execute_candidates(source, runnable, plan_actions, columns,
-                                                       split=True)
-        outputs = keeps_rows.unionByName(cut(drops_rows))
-        after = audit(outputs, keys=PLAN_KEYS, columns=columns, order_col=ROW_ID,
-                      reviews=reviews, materialize=True)
-    trials = (status.join(after.audits.select(*PLAN_KEYS, F.col("status").alias("_after"),
-                                              "fingerprint"), on=PLAN_KEYS, how="left")
-              .select(*PLAN_KEYS,
-                      F.when(F.col("status") != "RUN", F.col("status"))
-                      .when(F.col("_after") == "BLOCKED", F.lit("OUTPUT_BLOCKED"))
-                      .when(F.col("_after").isNull(), F.lit("REAUDITED"))
-                      .otherwise(F.lit("REAUDITED")).alias("status"),
-                      F.when(F.col("status") == "RUN", F.col("fingerprint"))
-                      .alias("output_fingerprint")))
+    audited = before.audits.select("dataset_id", "fingerprint")
+    status = cut(trial_status(plan_decisions, action_decisions, plans, plan_actions, columns, audited)
+                 .join(plan_hashes(plans, plan_actions), PLAN_KEYS, "left"))
+    p = programs(status.filter("status = 'RUN'"), plan_actions)
+    slots = slot_table(p, columns)
+    wide, seen = variant_audits(source, slots, p.slots, columns)
+    kept = dropped = None
+    outputs = lambda: _outputs(source, p, columns)
+    if p.slots:
+        kept = assemble(wide, PLAN_KEYS, columns, reviews=reviews, materialize=True)
+    if p.drops:
+        rows = cut(dropped_rows(source, p.plans.filter("slot is null"), p.drops, columns))
+        dropped = audit(rows, keys=PLAN_KEYS, columns=columns, order_col=ROW_ID, reviews=reviews, materialize=True)
+        keepers = Programs(p.plans.filter("slot is not null"), p.slots, 0)
+        outputs = lambda: _outputs(source, keepers, columns).unionByName(rows)
+    after = _either(kept, dropped)
+    if after is None:  # nothing may run
+        after = assemble(audit_counts_of_none(source, columns), PLAN_KEYS, columns)
+    if recheck:
+        seen = seen.unionByName(source_fingerprints(source.join(slots.select("dataset_id"), "dataset_id", "left_semi"), columns))
+    changed = seen.join(audited.withColumnRenamed("fingerprint", "then"), "dataset_id").groupBy("dataset_id").agg(
+        F.bool_or(~F.col("fingerprint").eqNullSafe(F.col("then"))).alias("changed"))
+    ran = F.col("status") == "RUN"
+    result = (F.when(F.coalesce("changed", F.lit(False)), "SOURCE_CHANGED").when(~ran, F.col("status"))
+              .when(F.col("_after").isNull(), "TRIAL_FAILED").when(F.col("_after") == "BLOCKED", "OUTPUT_BLOCKED")
+              .otherwise("REAUDITED"))
+    trials = (status.join(after.audits.select(*PLAN_KEYS, F.col("status").alias("_after"), "fingerprint"), PLAN_KEYS, "left")
+              .join(changed, "dataset_id", "left")
+              .select(*PLAN_KEYS, result.alias("status"),
+                      F.when(ran & F.col("_after").isNull(), "NO_OUTPUT").otherwise(F.col("error")).alias("error"),
+                      F.when(result.isin("REAUDITED", "OUTPUT_BLOCKED"), F.col("fingerprint")).alias("output_fingerprint"),
+                      "plan_hash"))
     return TrialResult(plan_decisions, action_decisions, cut(trials), after, outputs)
+
+
+def audit_counts_of_none(source: DataFrame, columns: list[str]) -> DataFrame:
+    """The empty table of counts (no candidate ran)."""
+    counts = [f"{x}{k} bigint" for x in ("m", "n", "c", "p", "j", "r") for k in range(len(columns))]
+    firsts = [f"{x}{k} bigint" for x in ("fn", "ft") for k in range(len(columns))]
+    return source.sparkSession.createDataFrame([], ", ".join(
+        ["dataset_id string", "candidate_id string", "live bigint", "row_count bigint", "duplicate_row_count bigint",
+         "fingerprint string", *counts, *firsts]))

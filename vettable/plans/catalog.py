@@ -310,9 +310,9 @@ SELECT a.dataset_id, cand.candidate_id,
        WHEN cand.n_actions = 0 AND a.status = 'READY' THEN 'APPROVED'
        WHEN cand.n_actions = 0 THEN 'REQUIRES_REVIEW'
        WHEN NOT cand.all_allowed THEN 'REQUIRES_REVIEW' ELSE 'APPROVED' END AS status,
-  CASE WHEN crit.codes IS NOT NULL THEN 'Critical or meaning-sensitive findings require human review: ' || crit.codes || '.'
-       WHEN NOT cand.all_allowed THEN 'At least one proposed action lacks explicit authorization.'
-       ELSE 'Every proposed action is explicitly authorized by the dataset policy.' END AS reason
+  CASE WHEN crit.codes IS NOT NULL THEN 'CRITICAL_FINDINGS: ' || crit.codes
+       WHEN NOT cand.all_allowed THEN 'NOT_ALLOWED: an action is outside the policy'
+       ELSE 'ALL_ALLOWED: the policy lists every action' END AS reason
 FROM a JOIN {_candidate_values()} ON true
 LEFT JOIN crit ON crit.dataset_id = a.dataset_id
 """
@@ -334,7 +334,7 @@ acts AS (SELECT * FROM (VALUES {", ".join(
     f"('{cid}', {i}, '{a}')" for cid, plan in ORDERS_CANDIDATES.items() for i, (a, _) in enumerate(plan))})
     AS t(candidate_id, action_idx, action))
 SELECT pd.dataset_id, acts.candidate_id, CAST(acts.action_idx AS INTEGER) AS action_idx, acts.action,
-  CASE WHEN pd.reason LIKE 'Critical%' THEN 'REQUIRES_REVIEW'
+  CASE WHEN pd.reason LIKE 'CRITICAL%' THEN 'REQUIRES_REVIEW'
        WHEN acts.action IN ({", ".join(O.q(a) for a in K.EXECUTABLE_ACTIONS)}) THEN 'APPROVED'
        ELSE 'REQUIRES_REVIEW' END AS decision
 FROM pd JOIN acts ON acts.candidate_id = pd.candidate_id
@@ -743,6 +743,7 @@ def review_violations(spark, sf_dir):
 
 # ---------------------------------------------------------------- human review, gate, batch rules
 from ..operators import policy as PO  # noqa: E402
+from ..operators.trials import source_fingerprints  # noqa: E402
 
 
 _APPROVALS = [("c_dedupe", "reviewer-1", "Duplicates verified by hand.", [0]),
@@ -752,7 +753,7 @@ _HUMAN_SQL = f"""
 WITH pd AS ({_policy_sql([(DOC_SOURCE_SQL, ["text"])])}),
 acts AS (SELECT * FROM {_actions_values(ORDERS_CANDIDATES)}),
 ad AS (SELECT pd.dataset_id, acts.candidate_id, acts.action_idx,
-         CASE WHEN pd.reason LIKE 'Critical%' THEN 'REQUIRES_REVIEW'
+         CASE WHEN pd.reason LIKE 'CRITICAL%' THEN 'REQUIRES_REVIEW'
               WHEN acts.action IN ({_EXE}) THEN 'APPROVED' ELSE 'REQUIRES_REVIEW' END AS decision
        FROM pd JOIN acts ON acts.candidate_id = pd.candidate_id),
 ap AS (SELECT d.dataset_id, v.* FROM (SELECT DISTINCT dataset_id FROM pd) d JOIN (VALUES {", ".join(
@@ -806,6 +807,7 @@ ex AS (SELECT candidate_id, bool_and(action IN ({_EXE})) AS exe FROM acts GROUP
 SELECT 'orders' AS dataset_id, pd.candidate_id,
   (pd.status = 'APPROVED' AND coalesce(ex.exe, true)) AS ready,
   concat_ws(',', CASE WHEN pd.status <> 'APPROVED' THEN 'NOT_APPROVED' END,
+                 CASE WHEN NOT coalesce(ex.exe, true) THEN 'ACTION_NOT_APPROVED' END,
                  CASE WHEN NOT coalesce(ex.exe, true) THEN 'ACTION_NOT_EXECUTABLE' END) AS failed_checks
 FROM pd LEFT JOIN ex ON ex.candidate_id = pd.candidate_id
 """
@@ -814,11 +816,11 @@ FROM pd LEFT JOIN ex ON ex.candidate_id = pd.candidate_id
 @register("execution_gate", _GATE_SQL)
 def execution_gate(spark, sf_dir):
     """V7: which approved plans may run against the source as it is now."""
-    before, trial, _ = _orders_trial(spark, sf_dir)
-    current = before.audits.select("dataset_id", "fingerprint")
-    plans = trial.plan_decisions.select(*PO.PLAN_KEYS, "source_fingerprint")
-    acts = trial.action_decisions.select(*PO.PLAN_KEYS, "action_idx", "action", "columns")
-    return PO.execution_gate(plans, acts, trial.plan_decisions, trial.action_decisions, current) \
+    src = D.dirty_orders(spark, sf_dir)
+    before = audit(src, order_col="_row_id", columns=D.ORDERS_COLUMNS, materialize=True)
+    plans, acts = G.candidate_batch(spark, before.audits, ORDERS_CANDIDATES, ["orders"])
+    decided, per_action = authorize(before.audits, before.findings, plans, acts, G.safe_policy(before.audits))
+    return PO.execution_gate(plans, acts, decided, per_action, source_fingerprints(src, D.ORDERS_COLUMNS)) \
         .select(*PO.PLAN_KEYS, "ready", F.array_join("failed_checks", ",").alias("failed_checks"))
 
 

@@ -35,6 +35,7 @@ def dirty_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
                 .when(k % 13 == 0, F.lit("NA"))
                 .when(k % 17 == 0, F.lit("  "))
                 .when(k % 19 == 0, F.lit(None).cast("string"))
+                .when(k % 23 == 0, F.lit(""))
                 .otherwise(F.col("o_orderpriority")))
     amount = F.when(k % 7 == 0, F.lit("unknown")).otherwise((F.col("o_custkey") % 50).cast("string"))
     code = F.when((k >= 5000) & (k % 100 == 0), F.lit("pending")).otherwise((k % 90).cast("string"))
@@ -53,7 +54,7 @@ DIRTY_ORDERS_SQL = """
 SELECT 'orders' AS dataset_id, o_orderkey AS _row_id,
   CASE WHEN o_orderkey % 11 = 0 THEN ' N/A ' WHEN o_orderkey % 13 = 0 THEN 'NA'
        WHEN o_orderkey % 17 = 0 THEN '  ' WHEN o_orderkey % 19 = 0 THEN NULL
-       ELSE o_orderpriority END AS priority,
+       WHEN o_orderkey % 23 = 0 THEN '' ELSE o_orderpriority END AS priority,
   CAST(o_custkey % 50 AS VARCHAR) AS cust,
   o_orderstatus AS status,
   CASE WHEN o_orderkey % 7 = 0 THEN 'unknown' ELSE CAST(o_custkey % 50 AS VARCHAR) END AS amount,
@@ -186,3 +187,34 @@ SELECT 'wb' || b, 'Orders', CAST(o_orderkey % {GRID_BLOCK} + 3 AS INTEGER), CAST
          generate_subscripts([1, 2, 3, 4, 5], 1) AS k
   FROM o)
 """
+
+
+#: One dataset per kind of trouble; orders are dealt out by key.
+FLEET_COLUMNS = ["ref", "priority", "note"]
+_FLEET = ["clean", "marked", "contacts", "blank", "stale", "emptied", "unsupported", "misnamed", "unplanned"]
+FLEET_ORDERS_SQL = f"""
+SELECT ({_FLEET!r})[o_orderkey % {len(_FLEET)} + 1] AS dataset_id, o_orderkey AS _row_id,
+  CASE WHEN o_orderkey % {len(_FLEET)} = 3 THEN ' ' WHEN o_orderkey % {len(_FLEET)} = 5 THEN 'null'
+       WHEN o_orderkey % {len(_FLEET)} = 0 THEN 'R' || o_orderkey ELSE 'R' || (o_orderkey % 900) END AS ref,
+  CASE WHEN o_orderkey % {len(_FLEET)} = 3 THEN '' WHEN o_orderkey % {len(_FLEET)} = 5 THEN 'None'
+       WHEN o_orderkey % {len(_FLEET)} = 0 THEN o_orderpriority
+       WHEN o_orderkey % 7 = 0 THEN 'NA' WHEN o_orderkey % 11 = 0 THEN ' n/a ' ELSE o_orderpriority END AS priority,
+  CASE WHEN o_orderkey % {len(_FLEET)} = 3 THEN NULL WHEN o_orderkey % {len(_FLEET)} = 5 THEN ' null '
+       WHEN o_orderkey % {len(_FLEET)} = 2 THEN 'clerk' || o_custkey || '@example.com' ELSE 'as ordered' END AS note
+FROM orders
+"""
+
+
+def fleet_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``orders`` dealt out to datasets of which each has its own kind of trouble (see ``FLEET_ORDERS_SQL``)."""
+    o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    k, which = _k("o_orderkey"), _k("o_orderkey") % len(_FLEET)
+    ref = (F.when(which == 3, " ").when(which == 5, "null").when(which == 0, F.concat(F.lit("R"), k.cast("string")))
+           .otherwise(F.concat(F.lit("R"), (k % 900).cast("string"))))
+    priority = (F.when(which == 3, "").when(which == 5, "None").when(which == 0, F.col("o_orderpriority"))
+                .when(k % 7 == 0, "NA").when(k % 11 == 0, " n/a ").otherwise(F.col("o_orderpriority")))
+    note = (F.when(which == 3, F.lit(None).cast("string")).when(which == 5, " null ")
+            .when(which == 2, F.concat(F.lit("clerk"), F.col("o_custkey").cast("string"), F.lit("@example.com")))
+            .otherwise("as ordered"))
+    return o.select(F.get(F.array(*[F.lit(x) for x in _FLEET]), which.cast("int")).alias("dataset_id"), k.alias("_row_id"),
+                    ref.alias("ref"), priority.alias("priority"), note.alias("note"))

@@ -19,10 +19,11 @@ from pyspark.sql import types as Ty
 
 from ..functions import constants as K
 from ..operators.audit import AuditResult, audit
-from ..operators.compare import comparison, evaluate, regressions
-from ..operators.policy import PLAN_KEYS
+from ..operators.compare import comparison, evaluate, evidence_checks, regressions
+from ..operators.lineage import lineage
+from ..operators.policy import PLAN_KEYS, plan_hashes  # noqa: F401
 from ..operators.select import recommend
-from ..operators.trials import TrialResult, run_trials
+from ..operators.trials import TrialResult, run_trials, source_fingerprints
 from ..session import cut
 
 PLAN_ACTION_SCHEMA = Ty.StructType([
@@ -99,9 +100,9 @@ def evaluate_candidates(source: DataFrame, columns: list[str], plans: DataFrame,
     comp = comparison(before.audits, before.findings, trial.after.audits, trial.after.findings)
     regs = regressions(before.audits, before.findings, trial.after.audits, trial.after.findings,
                        plan_actions, trial.trials)
-    regs = cut(regs)
-    evals = cut(evaluate(trial.trials, trial.plan_decisions, before.audits, trial.after.audits,
-                         plans, regs))
+    regs, comp = cut(regs), cut(comp)
+    checks = evidence_checks(trial.trials, trial.plan_decisions, before, trial.after, plans, plan_actions, policies, comp)
+    evals = cut(evaluate(trial.trials, plans, plan_actions, checks, regs))
     cands, recs = recommend(evals, before.audits, before.findings, trial.after.audits,
                             trial.after.findings, trial.trials, plan_actions)
     return CandidateAnalysis(before, trial, comp, regs, evals, cands, recs)
@@ -109,28 +110,43 @@ def evaluate_candidates(source: DataFrame, columns: list[str], plans: DataFrame,
 
 def govern(source: DataFrame, columns: list[str], plans: DataFrame, plan_actions: DataFrame,
            policies: DataFrame, reviews: DataFrame | None = None) -> DataFrame:
-    """L3: one plan per dataset; terminal state per dataset.
-
-    BLOCKED / READY stop after the audit; DENIED / REQUIRES_REVIEW after
-    authorization; otherwise the plan runs, is re-audited and compared, and
-    the dataset ends REPAIRED (or REPAIR_REGRESSED when a rule fired).
+    """L3: one plan per dataset; every dataset ends in one row with its terminal state and evidence.
+
+    The route is worked out before anything runs: BLOCKED and READY datasets end
+    after the audit (their plans are neither authorized nor run); a QUARANTINED one
+    ends NO_PLAN or PLAN_NOT_UNIQUE without exactly one plan, DENIED or
+    REQUIRES_REVIEW after authorization. Only datasets with an approved plan are read
+    again. Those end REPAIRED with comparison and lineage, or EXECUTION_FAILED with
+    the reason.
     """
-    a = evaluate_candidates(source, columns, plans, plan_actions, policies, reviews=reviews)
-    before = a.before.audits.select("dataset_id", F.col("status").alias("audit_status"),
-                                    F.col("quality_score").alias("score_before"))
-    dec = a.trial.plan_decisions.select("dataset_id", F.col("status").alias("decision"))
-    ev = a.evaluations.select("dataset_id", F.col("status").alias("evaluation"))
-    after = a.trial.after.audits.select("dataset_id", F.col("status").alias("after_status"),
-                                        F.col("quality_score").alias("score_after"),
-                                        F.col("fingerprint").alias("output_fingerprint"))
-    j = (before.join(dec, on="dataset_id", how="left").join(ev, on="dataset_id", how="left")
-         .join(after, on="dataset_id", how="left"))
-    state = (F.when(F.col("audit_status") == "BLOCKED", F.lit("BLOCKED"))
-             .when(F.col("audit_status") == "READY", F.lit("READY"))
-             .when(F.col("decision") == "DENIED", F.lit("DENIED"))
-             .when(F.col("decision") != "APPROVED", F.lit("REQUIRES_REVIEW"))
-             .when(F.col("evaluation") == "NO_AUDIT_REGRESSION", F.lit("REPAIRED"))
-             .when(F.col("evaluation") == "REGRESSION_DETECTED", F.lit("REPAIR_REGRESSED"))
-             .otherwise(F.col("evaluation")))
-    return j.select("dataset_id", state.alias("outcome"), "audit_status", "decision",
-                    "score_before", "score_after", "after_status", "output_fingerprint")
+    before = audit(source, columns=columns, order_col="_row_id", reviews=reviews, materialize=True)
+    asked = plans.groupBy("dataset_id").agg(F.count("*").alias("n_plans"), F.min("candidate_id").alias("candidate_id"))
+    route = cut(before.audits.join(asked, "dataset_id", "left").select(
+        "dataset_id", "candidate_id", F.col("status").alias("audit_status"), F.col("quality_score").alias("score_before"),
+        F.when(F.col("status") != "QUARANTINED", F.col("status")).when(F.col("n_plans").isNull(), "NO_PLAN")
+        .when(F.col("n_plans") > 1, "PLAN_NOT_UNIQUE").alias("ends")))
+    active = route.filter("ends is null").select("dataset_id")
+    plans, plan_actions = (cut(x.join(active, "dataset_id", "left_semi")) for x in (plans, plan_actions))
+    trial = run_trials(source, columns, before, plans, plan_actions, policies, reviews=reviews)
+    comp = comparison(before.audits, before.findings, trial.after.audits, trial.after.findings)
+    told = [c for c in comp.columns if c not in PLAN_KEYS]
+    now = source_fingerprints(source.join(active, "dataset_id", "left_semi"), columns)
+    proven, _ = lineage(now, trial.trials.select(*PLAN_KEYS, F.col("output_fingerprint").alias("fingerprint")), before.audits,
+                        trial.after.audits, plans, trial.plan_decisions, trial.action_decisions)
+    proof = [c for c in proven.columns if c not in PLAN_KEYS]
+    after = trial.after.audits
+    j = (route.join(trial.plan_decisions.select(*PLAN_KEYS, F.col("status").alias("decision"), "reasons"), PLAN_KEYS, "left")
+         .join(trial.trials.select(*PLAN_KEYS, F.col("status").alias("trial_status"), "error"), PLAN_KEYS, "left")
+         .join(after.select(*PLAN_KEYS, F.struct(*[c for c in after.columns if c not in PLAN_KEYS]).alias("audit_after")),
+               PLAN_KEYS, "left")
+         .join(comp.select(*PLAN_KEYS, F.struct(*told).alias("comparison")), PLAN_KEYS, "left")
+         .join(proven.select(*PLAN_KEYS, F.struct(*proof).alias("lineage")), PLAN_KEYS, "left"))
+    repaired = F.coalesce((F.col("trial_status") == "REAUDITED") & F.col("lineage").isNotNull(), F.lit(False))
+    held = F.col("trial_status").isin("DENIED", "REQUIRES_REVIEW")
+    outcome = (F.when(F.col("ends").isNotNull(), F.col("ends")).when(held, F.col("trial_status"))
+               .when(repaired, "REPAIRED").otherwise("EXECUTION_FAILED"))
+    reason = F.when(F.col("ends").isNull() & ~held & ~repaired, F.coalesce("error", "trial_status"))
+    ran = F.col("ends").isNull() & ~held
+    return j.select("dataset_id", "candidate_id", outcome.alias("outcome"), "audit_status", "score_before", "decision", "reasons",
+                    reason.alias("reason"), *[F.when(ran & repaired, F.col(c)).alias(c)
+                                              for c in ("audit_after", "comparison", "lineage")])

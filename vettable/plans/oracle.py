@@ -88,6 +88,7 @@ def audit_sql(source_sql: str, columns: list[str], *, header: list[str] | None =
     fold = ", ".join(
         f"CASE WHEN {ident(c)} IN ({NA_LIST}) THEN NULL ELSE {ident(c)} END AS f{i}"
         for i, c in enumerate(columns))
+    live = "(" + " OR ".join(f"coalesce({strip_sql(ident(c))} <> '', false)" for c in columns) + ")"
     strips = ", ".join(f"{strip_sql(f'f{i}')} AS s{i}" for i in range(n))
     metrics = []
     for i, c in enumerate(columns):
@@ -145,9 +146,9 @@ def audit_sql(source_sql: str, columns: list[str], *, header: list[str] | None =
         code_filter = " AND code IN (" + ", ".join(q(c) for c in codes) + ")"
     sql = f"""
 WITH src AS ({source_sql}),
-v AS (SELECT dataset_id, {order}, {fold} FROM src),
+v AS (SELECT dataset_id, {order}, {fold}, {live} AS live FROM src),
 s AS (SELECT *, {strips} FROM v),
-g AS (SELECT dataset_id, count(*) AS row_count, {", ".join(metrics)} FROM s GROUP BY dataset_id),
+g AS (SELECT dataset_id, count(*) AS row_count, count(*) FILTER (WHERE live) AS live_rows, {", ".join(metrics)} FROM s GROUP BY dataset_id),
 d AS (SELECT dataset_id, CAST(sum(cnt - 1) AS BIGINT) AS dups
       FROM (SELECT dataset_id, count(*) AS cnt FROM v GROUP BY dataset_id, {fcols}) z GROUP BY dataset_id),
 {", ".join(samples)},
@@ -155,17 +156,19 @@ a AS (SELECT g.*, d.dups, {sample_cols} FROM g JOIN d ON d.dataset_id = g.datase
 cand AS ({" UNION ALL ".join(parts)}),
 fnd AS (SELECT dataset_id, CAST(row_number() OVER (PARTITION BY dataset_id ORDER BY k) - 1 AS INTEGER) AS ord,
                code, severity, "column", "count", coalesce({accepted}, false) AS accepted
-        FROM cand WHERE "count" > 0)
+        FROM cand WHERE "count" > 0 AND dataset_id IN (SELECT dataset_id FROM g WHERE live_rows > 0)
+        UNION ALL SELECT dataset_id, 0, 'HEADER_ONLY_FILE', 'CRITICAL', NULL, 1, false FROM g WHERE live_rows = 0)
 """
     if output == "findings":
         return sql + f"SELECT * FROM fnd WHERE true{code_filter}"
     pen = "CASE severity WHEN 'INFO' THEN 2 WHEN 'WARNING' THEN 10 WHEN 'CRITICAL' THEN 25 ELSE 0 END"
     return sql + f"""
 SELECT a.dataset_id,
-  CASE WHEN coalesce(p.n, 0) = 0 THEN 'READY' ELSE 'QUARANTINED' END AS status,
-  CAST(a.row_count AS BIGINT) AS row_count, CAST({n} AS INTEGER) AS column_count,
-  CAST(a.dups AS BIGINT) AS duplicate_row_count,
-  CAST(greatest(0, 100 - coalesce(p.pen, 0)) AS INTEGER) AS quality_score,
+  CASE WHEN a.live_rows = 0 THEN 'BLOCKED' WHEN coalesce(p.n, 0) = 0 THEN 'READY' ELSE 'QUARANTINED' END AS status,
+  CAST(CASE WHEN a.live_rows = 0 THEN 0 ELSE a.row_count END AS BIGINT) AS row_count,
+  CAST(CASE WHEN a.live_rows = 0 THEN 0 ELSE {n} END AS INTEGER) AS column_count,
+  CAST(CASE WHEN a.live_rows = 0 THEN 0 ELSE a.dups END AS BIGINT) AS duplicate_row_count,
+  CAST(CASE WHEN a.live_rows = 0 THEN 0 ELSE greatest(0, 100 - coalesce(p.pen, 0)) END AS INTEGER) AS quality_score,
   CAST(coalesce(p.n, 0) AS INTEGER) AS finding_count
 FROM a LEFT JOIN (SELECT dataset_id, count(*) AS n, sum({pen}) AS pen FROM fnd WHERE NOT accepted
                   GROUP BY dataset_id) p
@@ -206,8 +209,9 @@ def dedupe_sql(source_sql: str, columns: list[str], keys: str = "dataset_id") ->
 
 def apply_sql(source_sql: str, columns: list[str], actions: list[tuple[str, list[str]]],
               keys: str = "dataset_id") -> str:
-    """A plan's output as SQL: each action wraps the previous query."""
-    sql = source_sql
+    """A plan's output as SQL: each action wraps the previous query; source nulls are empty cells."""
+    sql = (f"SELECT {keys}, _row_id, " + ", ".join(f"coalesce({ident(c)}, '') AS {ident(c)}" for c in columns)
+           + f" FROM ({source_sql}) y")
     for action, cols in actions:
         if action == "REMOVE_EXACT_DUPLICATES":
             sql = dedupe_sql(sql, columns, keys)

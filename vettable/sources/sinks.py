@@ -26,7 +26,7 @@ def write_csv(df: DataFrame, path: str, columns: list[str], *, source_path: str
     outputs); otherwise rows are range-partitioned by ``order_col`` and each part
     is sorted, so parts concatenated in name order keep row order."""
     if source_path is not None and source_path.rstrip("/") == path.rstrip("/"):
-        raise SinkError("The repair output must be different from the original source.")
+        raise SinkError("output and source have the same path")
     out = df
     one_col = len(columns) == 1
     if one_col:
@@ -71,10 +71,10 @@ def report_json(run: DataFrame) -> DataFrame:
 def write_report(reports: DataFrame, path: str) -> None:
     """Write complete reports as JSON lines; refuses any incomplete REPAIRED report."""
     if not path.endswith(".json") and not path.endswith(".jsonl") and "." in path.rsplit("/", 1)[-1]:
-        raise SinkError("Reports are written as .json")
+        raise SinkError("reports have the suffix .json")
     bad = reports.filter(~F.col("complete")).limit(1).count()
     if bad:
-        raise SinkError("A REPAIRED report lacks its post-repair evidence.")
+        raise SinkError("a REPAIRED report without its evidence")
     reports.select(F.col("report").alias("value")).write.mode("overwrite").text(path)
 
 
