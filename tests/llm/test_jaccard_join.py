@@ -69,26 +69,41 @@ def test_near_copies_in_blocks(spark, monkeypatch, block):
     assert sorted(H.rows(J.components_by_jaccard(frame), *NAMES)) == sorted(brute(docs))
 
 
-def test_linked_sets_always_share_a_key():
+@pytest.mark.parametrize("percent, strong", [(90, 2), (80, 1), (80, 2), (50, 1)])
+def test_linked_sets_always_share_a_key(percent, strong):
     rng = np.random.default_rng(4)
-    parts = J.Parts(90)
-    for n in [*range(9, 60), 100, 150, 400, 1000, 3000]:
+    parts = J.Parts(percent, strong)
+    for n in [*range(parts.least, 60), 100, 150, 400, 1000, 3000]:
         for _ in range(12):
             a = rng.integers(0, 1 << 63, n, dtype=np.uint64)
-            least = -(-90 * n // 100)
+            least = -(-percent * n // 100)
             grow = rng.integers(0, 2)
             keep = int(rng.integers(least, n + 1))
-            b = a[:keep] if not grow else np.concatenate([a, rng.integers(0, 1 << 63, n * 100 // 90 - n, dtype=np.uint64)])
+            b = a[:keep] if not grow else np.concatenate([a, rng.integers(0, 1 << 63, n * 100 // percent - n, dtype=np.uint64)])
             if not grow and rng.integers(0, 2):  # exchange as many as the threshold lets
-                m = n // 19
+                m = n * (100 - percent) // (100 + percent)
                 b = np.concatenate([a[:n - m], rng.integers(0, 1 << 63, m, dtype=np.uint64)])
             x, y = np.unique(a), np.unique(b)
             both = len(np.intersect1d(x, y))
-            assert 100 * both >= 90 * (len(x) + len(y) - both)
+            assert 100 * both >= percent * (len(x) + len(y) - both)
             if len(np.union1d(x, y)) > both:
                 assert len(np.intersect1d(parts.keys(x), parts.keys(y)))
 
 
+def test_five_word_sets_at_four_fifths_have_less_than_a_key_a_shingle():
+    rng = np.random.default_rng(2)
+    parts = J.Parts(80, J.strong_part(5))
+    sets = [np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64)) for n in rng.integers(20, 2000, 300)]
+    assert sum(len(parts.keys(s)) for s in sets) < 0.8 * sum(map(len, sets))
+
+
+def test_one_of_each_stays_whatever_columns_are_called(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f", 1, 2), (2, "a b c d e f", 3, 4), (3, "x", 5, 6), (3, "x", 5, 6)],
+                                 "doc_id long, text string, gone int, Twice int")
+    got = J.keep_one_of_each(docs, k=5, percent=80)
+    assert got.columns == docs.columns and sorted(H.rows(got, "doc_id", "gone")) == [(1, 1), (3, 5)]
+
+
 def test_trees_connect_what_brute_force_links():
     rng = np.random.default_rng(1)
     for _ in range(30):

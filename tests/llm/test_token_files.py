@@ -109,3 +109,19 @@ def test_scan_stitches_documents_across_blocks(spark, tmp_path, block):
             s = ends[k - 1] + 1 if k else 0
             want.append((i * 1_000_000, k, s, e - s))
     assert sorted(got) == sorted(want)
+
+
+def test_a_folder_decodes_by_itself(spark):
+    docs = spark.createDataFrame([(2, "second text"), (1, "first one, the first"), (3, None)], "doc_id long, text string")
+    path = token_ids.write_token_files(docs, PATH, 2)
+    vocabulary, end_id, digest = token_ids.read_ranks(spark.newSession(), path)
+    assert end_id == 2 and len(digest) == 64 and sorted(vocabulary.tolist()) == list(range(len(vocabulary)))
+    read = token_ids.read_token_files(spark.newSession(), path)
+    assert sorted(map(list, read.collect())) == expected_files(H.rows(docs, "doc_id", "text"))
+
+
+def test_the_memo_keeps_two_generations(monkeypatch):
+    monkeypatch.setattr(tokenise, "MEMO_PIECES", 3)
+    enc = tokenise.PieceEncoder(tokenise.read_definition(PATH), False)
+    for t in ["one two three, four.\nFive six", "Éins zwei.\nDrei. one", "x\ny one two\n three four", "Five .\n six;seven"] * 3:
+        assert [np.frombuffer(x, "<u2").tolist() for x in enc.encode([t])] == [reference(t)]

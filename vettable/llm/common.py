@@ -65,11 +65,13 @@ def written(df: DataFrame, kind: str, codec: str = "zstd") -> DataFrame:
 
 
 def sized_broadcast(df: DataFrame, rows: int, row_bytes: int, limit: int = 32 << 20) -> DataFrame:
-    """Broadcast hint only when ``rows * row_bytes`` (a counted size) is under ``limit``.
+    """Broadcast hint only when ``rows`` (a counted number) of ``row_bytes`` in memory are under ``limit``.
+
+    A row in a broadcast relation takes 64 bytes at least, however short its values.
 
     Beyond it Spark's own choice (sort-merge join, AQE skew handling) applies.
     """
-    return F.broadcast(df) if rows * row_bytes <= limit else df
+    return F.broadcast(df) if rows * max(row_bytes, 64) <= limit else df
 
 
 #: Bytes of one piece of an Arrow batch.
@@ -177,17 +179,9 @@ def _chained(e: DataFrame) -> bool:
     return bool(e.select("b").distinct().join(e.select(F.col("a").alias("b")), "b", "left_semi").take(1))
 
 
-def prefix_sums(df: DataFrame, group: str, order: str, value: str, out: str) -> DataFrame:
-    """Exclusive running sum of ``value`` in ``order``, where ``df`` has few rows per ``group``.
-
-    Two levels: a window inside each group, and one over the group totals (one
-    row per group), so no task holds all rows.
-    """
-    from pyspark.sql import Window
-
-    inside = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    totals = df.groupBy(group).agg(F.sum(value).alias("_total"))
-    over = Window.orderBy(group).rowsBetween(Window.unboundedPreceding, -1)
-    base = totals.select(F.col(group), F.coalesce(F.sum("_total").over(over), F.lit(0)).alias("_base"))
-    return (df.withColumn(out, F.coalesce(F.sum(value).over(inside), F.lit(0)))
-            .join(base, group).withColumn(out, F.col(out) + F.col("_base")).drop("_base"))
+def unused_name(names: list[str], stem: str) -> str:
+    """A column name that is none of ``names``."""
+    taken = {n.lower() for n in names}
+    while stem in taken:
+        stem += "_"
+    return stem

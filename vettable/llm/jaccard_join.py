@@ -9,8 +9,8 @@ component of every document.
    shingles, at most ``a * (100 - percent) / percent`` shingles differ. Sets are cut
    by hash into more parts than can differ, so linked sets agree in a whole part,
    and the hash of the part is a key both have. The number of parts depends on a
-   size class; sets near the end of a class use the next one too. Parts of fewer
-   than ``STRONG`` shingles say little, so they are left out as long as fewer parts
+   size class; a set uses the classes of all larger sets that may link with it too. Parts of fewer
+   than ``strong_part(k)`` shingles say little, so they are left out as long as fewer parts
    are weak than must agree; otherwise the set also uses a second (third, ...)
    way of cutting. Only when all fail are weak parts used.
 2. Sets that share a key form candidate clusters (connected components of a
@@ -45,10 +45,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, map_arrow, pieces, raw_texts, sized_broadcast, space_words, written
+from .common import components, map_arrow, pieces, raw_texts, sized_broadcast, space_words, unused_name, written
+
+def strong_part(k: int) -> int:
+    """Shingles that make a part of a set worth a key: one of five words is seldom shared by chance."""
+    return 1 if k >= 5 else 2
+
 
-#: Shingles that make a part of a set worth a key.
-STRONG = 2
 #: Ways of cutting a set before weak parts are used.
 WAYS = 6
 GROWTH = 1.25
@@ -94,10 +97,10 @@ def run_hashes(h: np.ndarray, k: int) -> np.ndarray:
 
 
 class Parts:
-    """The part keys of sets, for a threshold of ``percent`` / 100."""
+    """The part keys of sets, for a threshold of ``percent`` / 100; parts of fewer than ``strong`` shingles are weak."""
 
-    def __init__(self, percent: int):
-        self.percent = percent
+    def __init__(self, percent: int, strong: int = 2):
+        self.percent, self.strong = percent, strong
         self.classes: list[tuple[int, int, int, int]] = []  # first size, last size, parts, spare
         lo = math.ceil(percent / (100 - percent)) if percent < 100 else 1 << 62
         self.least = lo
@@ -110,7 +113,7 @@ class Parts:
             parts, spare = differ + 1, 0
             for k in range(differ + 1, 2 * differ + 9):
                 m = lo * self.percent / 100 / k
-                weak = k * sum(math.exp(-m) * m ** i / math.factorial(i) for i in range(STRONG))
+                weak = k * sum(math.exp(-m) * m ** i / math.factorial(i) for i in range(self.strong))
                 if k - differ - 1 >= weak + 2 * math.sqrt(weak):
                     parts, spare = k, k - differ - 1
                     break
@@ -123,10 +126,11 @@ class Parts:
             return np.zeros(0, np.uint64)
         while self.size_class(c)[1] < n:
             c += 1
-        out = self._class_keys(s, c)
-        if self.size_class(c + 1)[0] <= n * 100 // self.percent:
-            out = np.concatenate([out, self._class_keys(s, c + 1)])
-        return out
+        out = [self._class_keys(s, c)]
+        while self.size_class(c + 1)[0] <= n * 100 // self.percent:  # classes of larger sets that may link
+            c += 1
+            out.append(self._class_keys(s, c))
+        return np.concatenate(out)
 
     def _class_keys(self, s: np.ndarray, c: int) -> np.ndarray:
         _, _, parts, spare = self.size_class(c)
@@ -141,7 +145,7 @@ class Parts:
             sums[full] = np.add.reduceat(mix(turned[order]), (np.cumsum(count) - count)[full])
             key = mix(sums + (np.arange(parts, dtype=np.uint64) * np.uint64(977) + np.uint64(c)) * _M1
                       + count.astype(np.uint64) * _M3 + np.uint64(way))
-            weak = count < STRONG
+            weak = count < self.strong
             if weak.sum() <= spare:
                 found.append(key[~weak])
                 break
@@ -400,7 +404,7 @@ def shingle_sets(docs: DataFrame, k: int, percent: int, hashes: bool) -> DataFra
     def run(batches):
         import xxhash
 
-        parts = Parts(percent)
+        parts = Parts(percent, strong_part(k))
         for b in pieces(batches):
             n, ids, more = [], [], []
             for raw in raw_texts(b, "text"):
@@ -454,12 +458,14 @@ def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
     doc_id = options.get("doc_id", "doc_id")
     names = docs.columns
     found = components_by_jaccard(docs, **options)
-    gone = found.filter("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
+    # Names that no column of the input bears.
+    gone_id, twice_id = unused_name(names, "gone"), unused_name(names, "twice")
+    gone = found.filter("component_id <> doc_id").select(F.col("doc_id").alias(gone_id)).distinct()
     gone = written(gone, "jaccard-gone")
-    left = docs.join(sized_broadcast(gone, gone.count(), 8, 16 << 20), F.col(doc_id) == F.col("_gone"), "left_anti")
+    left = docs.join(sized_broadcast(gone, gone.count(), 8, 16 << 20), F.col(doc_id) == F.col(gone_id), "left_anti")
     twice = written(found.filter("n_shingles > 0 and doc_id is not null").groupBy("doc_id").count().filter("count > 1")
-                    .select(F.col("doc_id").alias("_twice")), "jaccard-twice")
+                    .select(F.col("doc_id").alias(twice_id)), "jaccard-twice")
     if not twice.take(1):
         return left.select(*names)
-    again = left.join(twice, F.col(doc_id) == F.col("_twice"), "left_semi").dropDuplicates([doc_id])
-    return left.join(twice, F.col(doc_id) == F.col("_twice"), "left_anti").select(*names).unionByName(again.select(*names))
+    again = left.join(twice, F.col(doc_id) == F.col(twice_id), "left_semi").dropDuplicates([doc_id])
+    return left.join(twice, F.col(doc_id) == F.col(twice_id), "left_anti").select(*names).unionByName(again.select(*names))

@@ -10,7 +10,9 @@ marker byte ``\\n``::
     doc_id i64 x n_docs | has_doc_id u8 x n_docs | tokens u32 x n_docs
     control bytes ceil(n_ids / 4) | data bytes n_data | b"\\n"
 
-Files are named by ascending position (``part-00000``, ``part-00001``, ...), and
+A folder holds the files (``parts``) and beside them the table that decodes them (``ranks``:
+one Parquet row with ``vocabulary[rank] = id`` as bytes, the end id and the SHA-256 of the
+tokenizer's definition), so a reader needs the folder alone. Files are named by ascending position (``part-00000``, ``part-00001``, ...), and
 inside them documents stand in order, so the concatenation of all files is the
 corpus in ascending ``doc_id`` order. A block holds about ``BLOCK_IDS`` ids (more
 only if one document is longer). Decoding is a numpy table lookup on the
@@ -30,15 +32,14 @@ of the input are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import zlib
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import map_arrow, shared_path, written
 from .tokenise import read_definition, token_ids
@@ -109,13 +110,14 @@ def decode_blocks(content: bytes):
         yield [int(i) if k else None for i, k in zip(ids, known)], tokens, values
 
 
-@dataclass
-class TokenFiles:
-    """Written files and the rank table that decodes them (``vocabulary[rank] = id``)."""
+def parts_path(path: str) -> str:
+    return f"{path.rstrip('/')}/parts"
 
-    path: str
-    vocabulary: np.ndarray
-    n_files: int
+
+def read_ranks(spark: SparkSession, path: str) -> tuple[np.ndarray, int, str]:
+    """(``vocabulary[rank] = id``, end id, tokenizer's SHA-256) of a folder of token files."""
+    row = spark.read.parquet(f"{path.rstrip('/')}/ranks").first()
+    return np.frombuffer(bytes(row["vocabulary"]), "<u4"), row["end_id"], row["tokenizer_sha256"]
 
 
 def frequency_ranks(tokens: DataFrame, vocab_size: int, width: str) -> np.ndarray:
@@ -145,8 +147,11 @@ def frequency_ranks(tokens: DataFrame, vocab_size: int, width: str) -> np.ndarra
 
 
 def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, *, text: str = "text",
-                      doc_id: str = "doc_id", order: list[str] | None = None) -> TokenFiles:
-    """Tokenise ``docs``, append ``end_id`` to each and write the files in ``order`` (default ``doc_id``)."""
+                      doc_id: str = "doc_id", order: list[str] | None = None) -> str:
+    """Tokenise ``docs``, append ``end_id`` to each and write the files in ``order`` (default ``doc_id``).
+
+    The folder of the files.
+    """
     from tokenizers import Tokenizer
 
     spark = docs.sparkSession
@@ -187,13 +192,16 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, *, text
     ordered = tokens.repartitionByRange(n_files, *keys, "doc_id").sortWithinPartitions(*keys, "doc_id", "ids")
     (map_arrow(ordered.select("doc_id", "ids"), pack, "b binary")
      .select(F.col("b").cast("string").alias("value"))  # raw bytes: the cast changes none
-     .write.option("encoding", "ISO-8859-1").option("lineSep", MARKER.decode("latin-1")).text(path))
-    return TokenFiles(path, vocabulary, n_files)
+     .write.option("encoding", "ISO-8859-1").option("lineSep", MARKER.decode("latin-1")).text(parts_path(path)))
+    ranks = [(bytearray(vocabulary.astype("<u4").tobytes()), end_id, hashlib.sha256(definition.encode()).hexdigest())]
+    (spark.createDataFrame(ranks, "vocabulary binary, end_id long, tokenizer_sha256 string").coalesce(1)
+     .write.parquet(f"{path}/ranks"))
+    return path
 
 
-def read_token_files(spark: SparkSession, files: TokenFiles) -> DataFrame:
-    """Per document, from the files alone: ``doc_id, start, n_tokens, ids_crc32``."""
-    vocabulary = files.vocabulary
+def read_token_files(spark: SparkSession, path: str) -> DataFrame:
+    """Per document, from the files of a folder alone: ``doc_id, start, n_tokens, ids_crc32``."""
+    vocabulary, _, _ = read_ranks(spark, path)
 
     def unpack(batches):
         for b in batches:
@@ -210,7 +218,7 @@ def read_token_files(spark: SparkSession, files: TokenFiles) -> DataFrame:
                         names=["part", "doc_id", "at", "n_tokens", "ids_crc32"])
                     at += int(ends[-1]) if len(ends) else 0
 
-    raw = (spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(files.path)
+    raw = (spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(parts_path(path))
            .filter("length > 0").select("path", "content"))
     rows = written(map_arrow(raw, unpack, "part long, doc_id long, at long, n_tokens long, ids_crc32 long"),
                    "token-rows")
@@ -225,9 +233,5 @@ def read_token_files(spark: SparkSession, files: TokenFiles) -> DataFrame:
 def token_id_output(docs: DataFrame, tokenizer_path: str, end_id: int, *, text: str = "text",
                     doc_id: str = "doc_id", order: list[str] | None = None) -> DataFrame:
     """Write ``docs`` as token files and read them back: one row per document."""
-    files = write_token_files(docs, tokenizer_path, end_id, text=text, doc_id=doc_id, order=order)
-    return read_token_files(docs.sparkSession, files)
-
-
-def empty_schema() -> T.StructType:
-    return T.StructType([T.StructField(n, T.LongType()) for n in ("doc_id", "start", "n_tokens", "ids_crc32")])
+    path = write_token_files(docs, tokenizer_path, end_id, text=text, doc_id=doc_id, order=order)
+    return read_token_files(docs.sparkSession, path)

@@ -3,8 +3,7 @@
 The tokenizer file is read once on the driver (its path is a parameter, the
 file holds one vocabulary) and shipped to the tasks. Byte-level BPE never
 merges across the start of a blank-prefixed word, so a text is cut before such
-blanks and each distinct piece is encoded once per worker; a bounded memo keeps
-its ids. Texts where the cut would not be exact (runs of white space around a
+blanks and a memo of two bounded generations keeps the ids of the pieces. Texts where the cut would not be exact (runs of white space around a
 blank, the strings of added tokens) are encoded whole.
 """
 
@@ -20,7 +19,7 @@ from pyspark.sql import types as T
 
 from .common import append_columns
 
-#: Pieces remembered per Python worker before the memo starts anew.
+#: Pieces of one generation of the memo; a worker holds two, so what is seen often is never learned again.
 MEMO_PIECES = 300_000
 _INNER_RUN = re.compile(r"\s \s")
 _TAIL = ",.;:!?"
@@ -54,28 +53,50 @@ class PieceEncoder:
             self.model._resize_cache(0)  # the memo takes its place
         self.stand_ins = _byte_characters()
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [array(self.code, e.ids).tobytes()
                 for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _word(self, letters: str) -> bytes:
-        """Ids of a blank and letters: always one word of the model, so the model alone is asked."""
-        form = (" " + letters).encode().decode("latin-1").translate(self.stand_ins)
-        return array(self.code, [t.id for t in self.model.tokenize(form)]).tobytes()
+    def _word(self, letters: str, blank: str = "\u0120") -> bytes:
+        """Ids of (a blank and) letters: always one word of the model, so the model alone is asked."""
+        if not letters.isascii():
+            letters = letters.encode().decode("latin-1").translate(self.stand_ins)
+        return array(self.code, [t.id for t in self.model.tokenize(blank + letters)]).tobytes()
+
+    def _known(self, key: str, letters: str, blank: str = "\u0120") -> bytes:
+        """``_word`` through the memo."""
+        got = self.memo.get(key)
+        if got is None:
+            got = self.older.get(key)
+            self.memo[key] = got = self._word(letters, blank) if got is None else got
+        return got
 
     def _learn(self, pieces: set[str]) -> None:
-        """Ids of pieces that the memo lacks; letters and a closing mark are always separate words."""
-        memo, word, other = self.memo, self._word, []
-        marks = dict(zip(_TAIL, self._whole(list(_TAIL))))
+        """Ids of pieces that the memo lacks; letters, a closing mark and a line end are always separate words."""
+        memo, older, word, known, other = self.memo, self.older.get, self._word, self._known, []
+        if not self.marks:
+            self.marks = dict(zip(_TAIL + "\n", self._whole(list(_TAIL + "\n"))))
+        marks, line = self.marks, self.marks["\n"]
         for p in pieces:
-            if p.isalpha():
+            got = older(p)
+            if got is not None:
+                memo[p] = got
+            elif p.isalpha():
                 memo[p] = word(p)
-            elif p and p[-1] in marks and p[:-1].isalpha():
-                stem = memo.get(p[:-1])
-                memo[p] = (word(p[:-1]) if stem is None else stem) + marks[p[-1]]
             else:
-                other.append(p)
+                stem, end, rest = p.partition("\n")
+                mark = marks.get(stem[-1:], b"")
+                if mark:
+                    stem = stem[:-1]
+                if not stem.isalpha() or end and not rest.isalpha():
+                    other.append(p)
+                elif end:
+                    memo[p] = known(stem, stem) + mark + line + known(end + rest, rest, "")
+                else:
+                    memo[p] = known(stem, stem) + mark
         for p, ids in zip(other, self._whole([" " + p for p in other])):
             memo[p] = ids
 
@@ -83,7 +104,7 @@ class PieceEncoder:
         if not self.by_piece:
             return self._whole(texts)
         if len(self.memo) > MEMO_PIECES:
-            self.memo.clear()
+            self.older, self.memo = self.memo, {}
         memo = self.memo
         out: list[bytes] = [b""] * len(texts)
         odd: list[int] = []
