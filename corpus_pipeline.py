@@ -14,6 +14,12 @@ documents. All but the last return the columns of the documents.
 5. token_ids: token-id files in the order of the rows that stage 4 wrote; one
    row per document, read back from the files.
 
+Defined results: a null or empty text is scored as it is, has no shingles or benchmark
+words (so it stays), and is the end id alone in the files; rows with a null id all stay
+and are never linked; of rows that repeat an id the second stage keeps one, if they
+have words; ties go to the smallest id; an empty table passes through all stages and
+gives no rows; extra columns pass through stages 1 to 4 whatever their names.
+
 Token ids, compressed sizes and shingle components are beyond SQL, so there is
 no ORACLE_SQL; the tests replay the stages by brute force.
 """
@@ -54,15 +60,15 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.in_mixed_order(docs)
 
 
-def row_order(docs: DataFrame) -> DataFrame:
-    """``docs`` with its place in the files it was read from: ``_part`` and ``_row``."""
+def row_order(docs: DataFrame, part: str = "_part", row: str = "_row") -> DataFrame:
+    """Id and text of ``docs`` with their place in the files they were read from: columns ``part`` and ``row``."""
     try:
-        part = F.regexp_extract(F.col("_metadata.file_name"), r"^part-(\d+)", 1)
+        name = F.regexp_extract(F.col("_metadata.file_name"), r"^part-(\d+)", 1)
         # Files of other names (no number) count as the first part.
-        number = F.when(part == "", F.lit("0")).otherwise(part).cast("long")
-        return docs.select("*", number.alias("_part"), F.col("_metadata.row_index").alias("_row"))
+        number = F.when(name == "", F.lit("0")).otherwise(name).cast("long")
+        return docs.select("doc_id", "text", number.alias(part), F.col("_metadata.row_index").alias(row))
     except AnalysisException:  # not read from files
-        return docs.select("*", F.lit(0).cast("long").alias("_part"), F.monotonically_increasing_id().alias("_row"))
+        return docs.select("doc_id", "text", F.lit(0).cast("long").alias(part), F.monotonically_increasing_id().alias(row))
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
