@@ -5,14 +5,13 @@ at white space, A-Z lowered; a text of fewer words is one shingle). Two document
 link when ``100 * |A & B| >= percent * |A | B|``. The result names the connected
 component of every document.
 
-1. Signatures that lose no link. If A and B link and the smaller has ``a``
-   shingles, at most ``a * (100 - percent) / percent`` shingles differ. Sets are cut
-   by hash into more parts than can differ, so linked sets agree in a whole part,
-   and the hash of the part is a key both have. The number of parts depends on a
-   size class; a set uses the classes of all larger sets that may link with it too. Parts of fewer
-   than ``strong_part(k)`` shingles say little, so they are left out as long as fewer parts
-   are weak than must agree; otherwise the set also uses a second (third, ...)
-   way of cutting. Only when all fail are weak parts used.
+1. Keys that lose no link. If A and B link, they share at least ``percent`` / 100 of
+   the shingles of either, so in any order of all shingles that is the same for every
+   set, the first ``n - ceil(n * percent / 100) + 1`` shingles of A and those of B have
+   one in common: these are a set's keys. The order puts rare shingles first, by a
+   sketch of ``SLOTS`` counters over the shingles of all documents, so passages that
+   very many documents share make no keys unless a document holds little else. The
+   sketch has a fixed size and decides only how many candidates there are.
 2. Sets that share a key form candidate clusters (connected components of a
    chain through each key); equal sets are one set beforehand.
 3. Inside a cluster, signature trees decide: leaves hold a few sets, nodes the
@@ -37,7 +36,6 @@ non-null ``doc_id``. Columns of ``docs`` other than id and text are ignored by
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -47,14 +45,9 @@ from pyspark.sql import functions as F
 
 from .common import components, map_arrow, pieces, raw_texts, sized_broadcast, space_words, unused_name, written
 
-def strong_part(k: int) -> int:
-    """Shingles that make a part of a set worth a key: one of five words is seldom shared by chance."""
-    return 1 if k >= 5 else 2
-
-
-#: Ways of cutting a set before weak parts are used.
-WAYS = 6
-GROWTH = 1.25
+#: Counters of the sketch that orders shingles; rows of it that tasks exchange.
+SLOTS = 1 << 18
+SLOT_BLOCKS = 64
 #: Sets and shingles of one block of a cluster.
 BLOCK_SETS = 2_000
 BLOCK_SHINGLES = 2_000_000
@@ -96,61 +89,48 @@ def run_hashes(h: np.ndarray, k: int) -> np.ndarray:
     return mix(total)
 
 
-class Parts:
-    """The part keys of sets, for a threshold of ``percent`` / 100; parts of fewer than ``strong`` shingles are weak."""
-
-    def __init__(self, percent: int, strong: int = 2):
-        self.percent, self.strong = percent, strong
-        self.classes: list[tuple[int, int, int, int]] = []  # first size, last size, parts, spare
-        lo = math.ceil(percent / (100 - percent)) if percent < 100 else 1 << 62
-        self.least = lo
-
-    def size_class(self, c: int) -> tuple[int, int, int, int]:
-        while len(self.classes) <= c:
-            lo = self.classes[-1][1] + 1 if self.classes else self.least
-            hi = max(lo, int(lo * GROWTH))
-            differ = hi * (100 - self.percent) // self.percent
-            parts, spare = differ + 1, 0
-            for k in range(differ + 1, 2 * differ + 9):
-                m = lo * self.percent / 100 / k
-                weak = k * sum(math.exp(-m) * m ** i / math.factorial(i) for i in range(self.strong))
-                if k - differ - 1 >= weak + 2 * math.sqrt(weak):
-                    parts, spare = k, k - differ - 1
-                    break
-            self.classes.append((lo, hi, parts, spare))
-        return self.classes[c]
-
-    def keys(self, s: np.ndarray) -> np.ndarray:
-        n, c = len(s), 0
-        if n < self.least:
-            return np.zeros(0, np.uint64)
-        while self.size_class(c)[1] < n:
-            c += 1
-        out = [self._class_keys(s, c)]
-        while self.size_class(c + 1)[0] <= n * 100 // self.percent:  # classes of larger sets that may link
-            c += 1
-            out.append(self._class_keys(s, c))
-        return np.concatenate(out)
-
-    def _class_keys(self, s: np.ndarray, c: int) -> np.ndarray:
-        _, _, parts, spare = self.size_class(c)
-        found = []
-        for way in range(WAYS):
-            turned = mix(s + np.uint64((way + 1) * int(_M1) & 0xFFFFFFFFFFFFFFFF))
-            part = ((turned >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
-            count = np.bincount(part, minlength=parts)
-            order = np.argsort(part, kind="stable")
-            sums = np.zeros(parts, np.uint64)
-            full = np.flatnonzero(count)
-            sums[full] = np.add.reduceat(mix(turned[order]), (np.cumsum(count) - count)[full])
-            key = mix(sums + (np.arange(parts, dtype=np.uint64) * np.uint64(977) + np.uint64(c)) * _M1
-                      + count.astype(np.uint64) * _M3 + np.uint64(way))
-            weak = count < self.strong
-            if weak.sum() <= spare:
-                found.append(key[~weak])
-                break
-            found.append(key if way == WAYS - 1 else key[~weak])
-        return np.concatenate(found)
+def slots_of(s: np.ndarray) -> np.ndarray:
+    return (s >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64)
+
+
+def prefix_keys(s: np.ndarray, weights: np.ndarray, percent: int) -> np.ndarray:
+    """The first shingles of a set (ascending, distinct) in the order of the sketch's counts, ties by hash."""
+    n = len(s)
+    first = n - -(-n * percent // 100) + 1
+    return s[np.lexsort((s, weights[slots_of(s)]))[:first]] if n else s
+
+
+def shingle_weights(docs: DataFrame, k: int):
+    """A broadcast array: how many sets of ``docs(text)`` hold a shingle of each slot.
+
+    One row per task and block of slots is exchanged; a block's task adds them up as
+    they come, so it holds ``SLOTS / SLOT_BLOCKS`` counters however many there are.
+    """
+    size = SLOTS // SLOT_BLOCKS
+
+    def count(batches):
+        total = np.zeros(SLOTS, np.int64)
+        for b in pieces(batches):
+            held = [slots_of(np.unique(shingle_hashes(space_words(raw), k))) for raw in raw_texts(b, "text")]
+            total += np.bincount(np.concatenate([*held, np.zeros(0, np.int64)]), minlength=SLOTS)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(range(SLOT_BLOCKS), pa.int64()), pa.array([x.tobytes() for x in total.reshape(-1, size)], pa.binary())],
+            names=["block", "counts"])
+
+    def add(batches):
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for block, raw in zip(b.column("block").to_pylist(), b.column("counts").to_pylist()):
+                sums[block] = sums.get(block, 0) + np.frombuffer(raw, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()),
+                                          pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["block", "counts"])
+
+    schema = "block long, counts binary"
+    rows = map_arrow(map_arrow(docs.select("text"), count, schema).repartition("block"), add, schema).collect()
+    whole = np.zeros((SLOT_BLOCKS, size), np.int64)
+    for r in rows:
+        whole[r["block"]] = np.frombuffer(r["counts"], np.int64)
+    return docs.sparkSession.sparkContext.broadcast(whole.reshape(-1))
 
 
 class Forest:
@@ -399,25 +379,25 @@ def candidate_clusters(keyed: DataFrame, kind: str) -> DataFrame:
     return components(edges, f"{kind}-candidates")
 
 
-def shingle_sets(docs: DataFrame, k: int, percent: int, hashes: bool) -> DataFrame:
-    """Per document ``(doc_id, n, id)`` and its part keys, or the set itself."""
+def shingle_sets(docs: DataFrame, k: int, percent: int, weights=None) -> DataFrame:
+    """Per document ``(doc_id, n, id)`` and its keys in the order of ``weights``; without them, the set itself."""
     def run(batches):
         import xxhash
 
-        parts = Parts(percent, strong_part(k))
+        hashes, ranks = weights is None, None if weights is None else weights.value
         for b in pieces(batches):
             n, ids, more = [], [], []
             for raw in raw_texts(b, "text"):
                 s = np.unique(shingle_hashes(space_words(raw), k))
                 n.append(len(s))
                 ids.append(int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())))) if len(s) else None)
-                more.append(s.tobytes() if hashes else parts.keys(s).view(np.int64))
+                more.append(s.tobytes() if hashes else prefix_keys(s, ranks, percent).view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.int64()),
                  pa.array(more, pa.binary() if hashes else pa.list_(pa.int64()))],
                 names=["doc_id", "n", "id", "hashes" if hashes else "keys"])
 
-    last = "hashes binary" if hashes else "keys array<long>"
+    last = "hashes binary" if weights is None else "keys array<long>"
     return map_arrow(docs, run, f"doc_id long, n long, id long, {last}")
 
 
@@ -425,7 +405,7 @@ def components_by_jaccard(docs: DataFrame, *, text: str = "text", doc_id: str =
                           percent: int = 90) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every document."""
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    signed = written(shingle_sets(base, k, percent, False), "jaccard-signed")
+    signed = written(shingle_sets(base, k, percent, shingle_weights(base, k)), "jaccard-signed")
     sets = signed.filter("id is not null").groupBy("id").agg(F.min("doc_id").alias("low"), F.max("n").alias("n"))
     keyed = signed.select("id", F.explode("keys").alias("key"))
     clusters = written(candidate_clusters(keyed, "jaccard"), "jaccard-clusters")
@@ -435,7 +415,7 @@ def components_by_jaccard(docs: DataFrame, *, text: str = "text", doc_id: str =
     count = chosen.count()
     wanted = sized_broadcast(chosen.select("low").distinct(), count, 8, 16 << 20)
     texts = base.join(wanted, F.col("doc_id").eqNullSafe(F.col("low")), "left_semi")
-    members = (shingle_sets(texts, k, percent, True).select("id", "n", "hashes")
+    members = (shingle_sets(texts, k, percent).select("id", "n", "hashes")
                .join(sized_broadcast(chosen.select("id", "cluster"), count, 16, 16 << 20), "id"))
     links = links_within_clusters(members.select("cluster", "id", "n", "hashes"), percent, "jaccard")
     roots = components(links, "jaccard-cc")
