@@ -7,7 +7,7 @@ stay in a local alias table. All steps are relational: a filter, a
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_ISSUES = 500
@@ -48,8 +48,13 @@ def oversized_evidence(findings: DataFrame, keys=("dataset_id",)) -> DataFrame:
 
 
 def minimized_evidence(findings: DataFrame, audits: DataFrame, keys=("dataset_id",)) -> DataFrame:
-    """E3 (record): one JSON document per dataset, sorted keys, issues in order."""
+    """E3 (record): one JSON document per dataset, sorted keys, issues in order.
+
+    A dataset with more than ``MAX_ISSUES`` issues is refused whole (:func:`oversized_evidence` names it).
+    """
     keys = list(keys)
+    refused = oversized_evidence(findings, keys)
+    audits = audits.join(refused.select(*keys), keys, "left_anti")
     issues = minimized_issues(findings, audits, keys)
     per = issues.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(
         "ord", "code", "column_ref", "count", "severity"))).alias("issues"))
@@ -91,7 +96,15 @@ def restore_columns(plan_actions: DataFrame, aliases: DataFrame, keys=("dataset_
     return restored, unknown
 
 
-def public_audit(audits: DataFrame) -> DataFrame:
-    """E5: audit projection without messages or values."""
-    return audits.select("dataset_id", "status", "fingerprint", "row_count", "column_count",
-                         "duplicate_row_count", "quality_score")
+def public_audit(audits: DataFrame, findings: DataFrame) -> DataFrame:
+    """E5: audits for readers outside: counts, score and status, issues by code and column, no messages or values."""
+    issue = F.struct("ord", "code", "severity", "column", "count", "accepted")
+    per = findings.groupBy("dataset_id").agg(F.sort_array(F.collect_list(issue)).alias("issues"))
+
+    def told(accepted: Column) -> Column:
+        kept = F.filter(F.coalesce("issues", F.array().cast(per.schema["issues"].dataType)), lambda x: x["accepted"] == accepted)
+        return F.to_json(F.transform(kept, lambda x: F.struct(x["code"].alias("code"), x["severity"].alias("severity"),
+                                                              x["column"].alias("column"), x["count"].alias("count"))))
+    return audits.join(per, "dataset_id", "left").select(
+        "dataset_id", "status", "fingerprint", "row_count", "column_count", "duplicate_row_count", "quality_score",
+        told(F.lit(False)).alias("issues"), told(F.lit(True)).alias("accepted_issues"))

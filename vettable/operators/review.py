@@ -55,8 +55,10 @@ def review_violations(reviews: DataFrame, headers: DataFrame, findings: DataFram
                    .select(*keys, "column", F.lit("NOT_A_PUBLIC_CONTACT_COLUMN").alias("violation")))
     bad_kind = (reviews.filter(~F.col("kind").isin("public_contact", "optional"))
                 .select(*keys, "column", F.lit("UNKNOWN_KIND").alias("violation")))
-    out = dup.unionByName(unknown).unionByName(ambiguous).unionByName(not_contact) \
-        .unionByName(bad_kind)
+    nothing = (reviews.groupBy(*keys).agg(F.count("column").alias("n")).filter("n = 0")
+               .select(*keys, F.lit(None).cast("string").alias("column"), F.lit("NOTHING_DECLARED").alias("violation")))
+    out = dup.unionByName(unknown.filter(F.col("column").isNotNull())).unionByName(ambiguous).unionByName(
+        not_contact.filter(F.col("column").isNotNull())).unionByName(bad_kind).unionByName(nothing)
     if conflicts is not None:
         inc = (reviews.filter(F.col("kind") == "public_contact")
                .join(conflicts.filter(F.col("conflicts") > 0), on=keys + ["column"], how="inner")
@@ -88,23 +90,24 @@ def offerable_choices(findings: DataFrame, keys=("dataset_id",)) -> DataFrame:
 
 
 def review_digest(reviews: DataFrame, keys=("dataset_id",)) -> DataFrame:
-    """SHA-256 of the canonical (sorted) declaration per dataset."""
+    """SHA-256 of the canonical declarations per dataset.
+
+    Every declaration with its reviewer, reason and time is in the document, in a
+    fixed order, so two reviewers give another digest than one.
+    """
     keys = list(keys)
-    sets = review_sets(reviews, keys)
-    meta = reviews.groupBy(*keys).agg(F.min("reviewer_reference").alias("reviewer_reference"),
-                                      F.min("reason").alias("reason"),
-                                      F.min("reviewed_at").alias("reviewed_at"))
-    j = sets.join(meta, on=keys)
-    doc = F.to_json(F.struct(F.col("optional_columns"), F.col("public_columns"),
-                             F.col("reason"), F.col("reviewed_at"), F.col("reviewer_reference")))
-    return j.select(*keys, F.sha2(doc, 256).alias("review_digest"))
+    entry = F.struct("column", "kind", "reason", "reviewed_at", "reviewer_reference")
+    docs = reviews.groupBy(*keys).agg(F.sort_array(F.collect_set(entry)).alias("declarations"))
+    return docs.select(*keys, F.sha2(F.to_json(F.struct("declarations"), {"ignoreNullFields": "false"}), 256)
+                       .alias("review_digest"))
 
 
 def review_validity(reviews: DataFrame, findings: DataFrame, audits: DataFrame,
                     claimed: DataFrame, keys=("dataset_id",)) -> DataFrame:
     """Reviewer 1-100 chars, reason 10-500, choices offered, fingerprint fresh.
 
-    ``claimed(keys..., fingerprint)`` is the fingerprint the review was made on.
+    A review that declares no column is not valid. ``claimed(keys..., fingerprint)`` is
+    the fingerprint the review was made on.
     Output: one row per dataset with ``valid`` and the failed ``checks``.
     """
     keys = list(keys)
@@ -120,6 +123,7 @@ def review_validity(reviews: DataFrame, findings: DataFrame, audits: DataFrame,
          .join(claimed.select(*keys, F.col("fingerprint").alias("_claimed")), on=keys, how="left"))
     empty = F.array().cast("array<string>")
     checks = F.array_compact(F.array(
+        F.when(F.size("public_columns") + F.size("optional_columns") == 0, F.lit("NOTHING_DECLARED")),
         F.when((F.col("rl_min") < 1) | (F.col("rl_max") > 100), F.lit("REVIEWER_REFERENCE")),
         F.when((F.col("rs_min") < 10) | (F.col("rs_max") > 500), F.lit("REASON_LENGTH")),
         F.when(F.size(F.array_except(F.col("public_columns"),

@@ -538,21 +538,19 @@ def recommendation(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- JSON records (S3)
-from ..sources.json_records import json_cells, json_table, key_union  # noqa: E402
+from ..operators.file_audit import audit_rows  # noqa: E402
+from ..sources.json_records import json_cells, json_rows  # noqa: E402
 
 
 @register("json_props_audit", O.audit_sql(
     "SELECT event_type AS dataset_id, event_id AS _row_id, coalesce(props->>'k', '') AS k FROM events",
     ["k"]))
 def json_props_audit(spark, sf_dir):
-    """S3 + audit: each event's JSON props as a record; one table per event type."""
+    """S3 + audit: each event's JSON props as a record; one table per event type, each with its own key union."""
     e = read_table(spark, sf_dir, "events").select(
         F.col("event_type").alias("dataset_id"), F.col("event_id").alias("_row_id"), "props")
-    cells, _ = json_cells(e, "props")
-    cols = [r["column"] for r in key_union(cells).groupBy("column")
-            .agg(F.min("position").alias("p")).orderBy("p").collect()]
-    table = json_table(e, "props", cols)
-    return audit(table, order_col="_row_id", columns=cols).findings
+    rows, headers = json_rows(e, "props")
+    return audit_rows(rows, headers).findings
 
 
 @register("json_rejects", "SELECT event_type AS dataset_id, CAST(count(*) FILTER (WHERE NOT json_valid(props) "
@@ -942,7 +940,7 @@ def grid_headers(spark, sf_dir):
 # candidates in rank order (the kept header rows are the walk's state), then
 # the dominant-area / unique-strong-header selection and the confidence.
 _CHOICE_CTES = f"""
-o AS (SELECT *, row_number() OVER (PARTITION BY workbook, sheet ORDER BY score DESC, header_row) AS k
+o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY workbook, sheet ORDER BY score DESC, header_row) AS k
       FROM ({O.header_candidates_sql(D.ORDER_WORKBOOKS_SQL)}) z),
 walk AS (
   SELECT workbook, sheet, CAST(0 AS BIGINT) AS k, CAST([] AS INTEGER[]) AS kept
@@ -952,9 +950,9 @@ walk AS (
     CASE WHEN len(list_filter(w.kept, lambda x: abs(x - o.header_row) <= 1)) = 0
          THEN list_append(w.kept, o.header_row) ELSE w.kept END
   FROM walk w JOIN o ON o.workbook = w.workbook AND o.sheet = w.sheet AND o.k = w.k + 1),
-fin AS (SELECT workbook, sheet, kept FROM walk
+fin AS MATERIALIZED (SELECT workbook, sheet, kept FROM walk
         QUALIFY row_number() OVER (PARTITION BY workbook, sheet ORDER BY k DESC) = 1),
-rk AS (SELECT o.*, row_number() OVER (PARTITION BY o.workbook ORDER BY o.score DESC, o.sheet, o.header_row) AS rank
+rk AS MATERIALIZED (SELECT o.*, row_number() OVER (PARTITION BY o.workbook ORDER BY o.score DESC, o.sheet, o.header_row) AS rank
        FROM o JOIN fin ON fin.workbook = o.workbook AND fin.sheet = o.sheet
        WHERE list_contains(fin.kept, o.header_row)),
 wb AS (SELECT workbook, max(score) FILTER (WHERE rank = 1) AS top_score,
@@ -973,7 +971,7 @@ gap AS (SELECT *, CASE WHEN run_score IS NULL THEN 100 ELSE top_score - run_scor
 strong AS (SELECT t.workbook, t.sheet, t.header_row FROM rk t JOIN gap ON gap.workbook = t.workbook
            WHERE t.rank = 1 AND gap.top_score >= 73 AND gap.g >= 12 AND gap.top_support >= 1
              AND NOT (gap.run_score IS NOT NULL AND gap.run_score >= 70 AND gap.g < 20)),
-sel AS (SELECT workbook, sheet, header_row, 'dominant_table_area' AS basis FROM dom
+sel AS MATERIALIZED (SELECT workbook, sheet, header_row, 'dominant_table_area' AS basis FROM dom
         UNION ALL SELECT workbook, sheet, header_row, 'unique_strong_header' FROM strong
         WHERE workbook NOT IN (SELECT workbook FROM dom))
 """
@@ -991,11 +989,11 @@ FROM wb LEFT JOIN sel ON sel.workbook = wb.workbook
 
 _GRID_RECORDS_SQL = f"""
 WITH RECURSIVE {_CHOICE_CTES},
-c AS (SELECT cells.*, sel.header_row FROM ({D.ORDER_WORKBOOKS_SQL}) cells
-      JOIN sel ON sel.workbook = cells.workbook AND sel.sheet = cells.sheet),
+cells AS MATERIALIZED (SELECT * FROM ({D.ORDER_WORKBOOKS_SQL}) z),
+c AS MATERIALIZED (SELECT cells.*, sel.header_row FROM cells JOIN sel ON sel.workbook = cells.workbook AND sel.sheet = cells.sheet),
 hdr AS (SELECT workbook, sheet, col, {O.strip_sql('value')} AS "column" FROM c WHERE "row" = header_row)
-SELECT b.workbook, b.sheet, b."row", hdr."column", coalesce(CAST(b.value AS VARCHAR), '') AS value
-FROM c b JOIN hdr ON hdr.workbook = b.workbook AND hdr.sheet = b.sheet AND hdr.col = b.col
+SELECT b.workbook, b.sheet, b."row", b.col, coalesce(hdr."column", '') AS "column", coalesce(CAST(b.value AS VARCHAR), '') AS value
+FROM c b LEFT JOIN hdr ON hdr.workbook = b.workbook AND hdr.sheet = b.sheet AND hdr.col = b.col
 WHERE b."row" > b.header_row
 """
 
@@ -1021,7 +1019,7 @@ import os  # noqa: E402
 import uuid  # noqa: E402
 
 from ..session import ensure_checkpoint_dir  # noqa: E402
-from ..streaming.gate import start_gate, utc_event_time, windowed_quality  # noqa: E402
+from ..streaming.gate import start_gate, start_windows, utc_event_time, window_totals  # noqa: E402
 
 
 def _stream_events(spark, sf_dir):
@@ -1044,37 +1042,17 @@ FROM events GROUP BY ALL
 
 @register("stream_quality", _STREAM_QUALITY_SQL)
 def stream_quality(spark, sf_dir):
-    """Streaming: watermarked daily missing counts per event type.
-
-    The stream runs to the end of the input (``availableNow``) into a parquet
-    sink in the checkpoint folder. Append mode emits a window once the
-    watermark passes it; rows later than the watermark are not in it. A final
-    batch aggregate over the same rows gives the windows still open at the end
-    of the input and replaces emitted ones that lack late rows, so every row
-    is counted exactly once.
+    """Streaming: daily row and missing counts per event type, counted by the stream alone.
+
+    The stream runs to the end of the input (``availableNow``); every micro-batch adds
+    its counts per window, so rows that come late are in the totals.
     """
     base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
-    q = (windowed_quality(_stream_events(spark, sf_dir), columns=["user_id"], ts_col="ts",
-                          window="1 day", watermark="1 day")
-         .writeStream.outputMode("append").format("parquet")
-         .option("checkpointLocation", f"{base}/ck").option("path", f"{base}/out")
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    emitted = spark.read.schema("window_start bigint, dataset_id string, rows bigint, "
-                                "missing_user_id bigint").parquet(f"{base}/out")
-    full = (read_table(spark, sf_dir, "events")
-            .select(F.col("event_type").alias("dataset_id"), utc_event_time(F.col("ts")).alias("ts"),
-                    F.when(F.col("event_id") % 23 == 0, F.lit("n/a"))
-                    .otherwise(F.col("user_id").cast("string")).alias("user_id")))
-    agg = (full.groupBy(F.unix_seconds(F.window("ts", "1 day").start).alias("window_start"),
-                        "dataset_id")
-           .agg(F.count("*").cast("bigint").alias("rows"),
-                F.count_if(~F.coalesce(T.strip(T.na_fold(F.col("user_id"))) != F.lit(""),
-                                       F.lit(False))).cast("bigint").alias("missing_user_id")))
-    # Counts are never null, so an emitted row is whole when it equals the aggregate's.
-    every = ["window_start", "dataset_id", "rows", "missing_user_id"]
-    whole = emitted.join(agg, on=every, how="left_semi")
-    return whole.unionByName(agg.join(emitted, on=every, how="left_anti").select(*every))
+    start_windows(_stream_events(spark, sf_dir), columns=["user_id"], ts_col="ts", window="1 day",
+                  out=f"{base}/out", checkpoint=f"{base}/ck").awaitTermination()
+    counts = spark.read.schema("window_start bigint, dataset_id string, rows bigint, missing_user_id bigint, "
+                               "batch_id bigint").parquet(f"{base}/out")
+    return window_totals(counts, ["user_id"])
 
 
 # The events table is one file and the stream reads one file per trigger, so

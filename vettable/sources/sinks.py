@@ -46,34 +46,34 @@ def write_csv(df: DataFrame, path: str, columns: list[str], *, source_path: str
     w.csv(path)
 
 
+REPORT_FIELDS = ("outcome", "reason", "audit_before", "plan", "decision", "audit_after", "comparison", "lineage")
 REQUIRED_FOR_REPAIRED = ("audit_after", "comparison", "lineage")
 
 
 def report_json(run: DataFrame) -> DataFrame:
-    """One JSON document per dataset from a governed-run row set.
+    """``dataset_id, report, complete, missing``: one nested JSON document per dataset of a governed run.
 
-    ``run`` holds one row per dataset with the evidence as columns (nested
-    structs allowed). A REPAIRED outcome without its post-repair evidence is
-    flagged ``complete = false``.
+    Every report has the same fields in the same order (``REPORT_FIELDS``, then any
+    others); a column that the run lacks is null in it. A REPAIRED outcome needs its
+    audit, comparison and lineage after the repair: what is absent, as a value or as
+    a column, is named in ``missing`` and makes the report incomplete.
     """
-    cols = [c for c in run.columns if c != "dataset_id"]
-    doc = F.to_json(F.struct(F.lit("1.0").alias("schema_version"), *[F.col(c) for c in cols]))
-    missing = [F.col(c).isNull() for c in REQUIRED_FOR_REPAIRED if c in run.columns]
-    complete = F.lit(True)
-    if "outcome" in run.columns and missing:
-        bad = missing[0]
-        for m in missing[1:]:
-            bad = bad | m
-        complete = ~((F.col("outcome") == "REPAIRED") & bad)
-    return run.select("dataset_id", doc.alias("report"), complete.alias("complete"))
+    def held(name: str):
+        return F.col(name) if name in run.columns else F.lit(None).cast("string")
+    others = [c for c in run.columns if c not in ("dataset_id", *REPORT_FIELDS)]
+    doc = F.to_json(F.struct(F.lit("1.0").alias("schema_version"), "dataset_id", *[held(c).alias(c) for c in REPORT_FIELDS],
+                             *others), {"ignoreNullFields": "false"})
+    missing = F.when(held("outcome") == "REPAIRED", F.array_compact(F.array(*[
+        F.when(held(c).isNull(), F.lit(c)) for c in REQUIRED_FOR_REPAIRED])))
+    missing = F.coalesce(missing, F.array().cast("array<string>"))
+    return run.select("dataset_id", doc.alias("report"), (F.size(missing) == 0).alias("complete"), missing.alias("missing"))
 
 
 def write_report(reports: DataFrame, path: str) -> None:
     """Write complete reports as JSON lines; refuses any incomplete REPAIRED report."""
     if not path.endswith(".json") and not path.endswith(".jsonl") and "." in path.rsplit("/", 1)[-1]:
         raise SinkError("reports have the suffix .json")
-    bad = reports.filter(~F.col("complete")).limit(1).count()
-    if bad:
+    if reports.filter(~F.col("complete")).take(1):
         raise SinkError("a REPAIRED report without its evidence")
     reports.select(F.col("report").alias("value")).write.mode("overwrite").text(path)
 

@@ -8,6 +8,9 @@
 * :func:`windowed_quality` keeps running missing/blank counts per dataset in
   event-time windows with a watermark, so late rows are counted until the
   watermark passes and state stays bounded.
+* :func:`start_windows` counts every row exactly once, however late: each
+  micro-batch adds its own counts per window as rows under its batch id
+  (overwritten when a batch is replayed), and :func:`window_totals` adds them up.
 
 All state and output live under folders given by the caller (on a cluster:
 under the shared folder named by ``spark.checkpoint.dir``).
@@ -30,6 +33,7 @@ def _write(df: DataFrame, path: str) -> None:
 def gate_batch(batch: DataFrame, batch_id: int, *, columns: list[str], out: str,
                order_col: str = "_row_id") -> None:
     """Audit one micro-batch and route its rows (used by ``foreachBatch``)."""
+    batch.persist()  # the audit and both routes read it; its source may not be read twice alike
     r = audit(batch, columns=columns, order_col=order_col, materialize=True)
     tag = F.lit(batch_id).cast("bigint").alias("batch_id")
     _write(r.audits.select(tag, "*"), f"{out}/audits")
@@ -38,6 +42,7 @@ def gate_batch(batch: DataFrame, batch_id: int, *, columns: list[str], out: str,
     rows = batch.select(tag, "*")
     _write(rows.join(ready, on="dataset_id", how="left_semi"), f"{out}/ready")
     _write(rows.join(ready, on="dataset_id", how="left_anti"), f"{out}/quarantine")
+    batch.unpersist()
 
 
 def start_gate(stream: DataFrame, *, columns: list[str], out: str, checkpoint: str,
@@ -66,3 +71,28 @@ def windowed_quality(stream: DataFrame, *, columns: list[str], ts_col: str, wind
             .groupBy(F.window(ts_col, window).alias("window"), "dataset_id").agg(*aggs)
             .select(F.unix_seconds(F.col("window.start")).alias("window_start"), "dataset_id",
                     *["rows"] + [f"missing_{c}" for c in columns]))
+
+
+def start_windows(stream: DataFrame, *, columns: list[str], ts_col: str, out: str, checkpoint: str, window: str = "1 hour"):
+    """Start counting rows and missing cells per dataset and event-time window; returns the ``StreamingQuery``.
+
+    State is the table under ``out``: one small row per batch, window and dataset, so
+    nothing is dropped for being late and nothing is kept in memory.
+    """
+    aggs = [F.count("*").alias("rows")]
+    for c in columns:
+        v = T.strip(T.na_fold(qcol(c)))
+        aggs.append(F.count_if(~F.coalesce(v != F.lit(""), F.lit(False))).alias(f"missing_{c}"))
+
+    def add(batch: DataFrame, batch_id: int) -> None:
+        counts = batch.groupBy(F.window(ts_col, window).alias("window"), "dataset_id").agg(*aggs)
+        _write(counts.select(F.lit(batch_id).cast("bigint").alias("batch_id"),
+                             F.unix_seconds(F.col("window.start")).alias("window_start"), "dataset_id",
+                             "rows", *[f"missing_{c}" for c in columns]), out)
+    return (stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(add).trigger(availableNow=True).start())
+
+
+def window_totals(counts: DataFrame, columns: list[str]) -> DataFrame:
+    """The windows of :func:`start_windows` so far: late rows of later batches added to those before."""
+    return counts.groupBy("window_start", "dataset_id").agg(
+        F.sum("rows").alias("rows"), *[F.sum(f"missing_{c}").alias(f"missing_{c}") for c in columns])
