@@ -1,5 +1,7 @@
 """R4-R7 (split, offer, digest, validity), E4/E5 (alias restore, public projection)
 and F5 (single-action guard) on small fixtures."""
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,9 +75,36 @@ def test_alias_restore_and_public_projection(spark, write_csv):
     assert got[("c1", 0)] == ["notes", "business_email"]
     assert got[("c1", 1)] == []
     assert [(x["candidate_id"], x["alias"]) for x in unknown.collect()] == [("c2", "column_009")]
-    assert EV.public_audit(r.audits).columns == [
-        "dataset_id", "status", "fingerprint", "row_count", "column_count", "duplicate_row_count",
-        "quality_score"]
+    told = EV.public_audit(r.audits, r.findings).collect()[0]
+    issues = json.loads(told["issues"])
+    assert [(i["code"], i["column"], i["count"]) for i in issues] == [
+        ("MISSING_VALUES", "notes", 2), ("MISSING_VALUES", "city", 1), ("PII_VALUE_PATTERN", "business_email", 3)]
+    assert json.loads(told["accepted_issues"]) == [] and "example.com" not in str(told)
+
+
+def test_reviewers_and_choices_count(spark, write_csv):
+    r = _audit(spark, write_csv)
+    one = [("ds", "optional", "notes", "analyst-1", "Notes may be blank.", 1), ("ds", "optional", "city", "analyst-1", "Notes may be blank.", 1)]
+    two = [one[0], one[1][:3] + ("analyst-2",) + one[1][4:]]
+    digests = {RV.review_digest(_reviews(spark, x)).collect()[0]["review_digest"] for x in (one, two, two[::-1])}
+    assert len(digests) == 2
+    empty = [("ds", "optional", None, "analyst-1", "Nothing is declared here.", 1)]
+    fresh = r.audits.select("dataset_id", "fingerprint")
+    v = RV.review_validity(_reviews(spark, empty), r.findings, r.audits, fresh).collect()[0]
+    assert not v["valid"] and v["checks"] == ["NOTHING_DECLARED"]
+    heads = spark.createDataFrame([("ds", 0, "notes")], "dataset_id string, position int, name string")
+    assert [x["violation"] for x in RV.review_violations(_reviews(spark, empty), heads, r.findings).collect()] == ["NOTHING_DECLARED"]
+
+
+def test_too_many_issues_are_refused_whole(spark):
+    audits = spark.createDataFrame([(d, "QUARANTINED", "a" * 64, 1, 1, 0, 0) for d in ("few", "many")],
+                                   "dataset_id string, status string, fingerprint string, row_count long, column_count int, "
+                                   "duplicate_row_count long, quality_score int")
+    found = spark.createDataFrame([(d, i, "MISSING_VALUES", "WARNING", f"c{i}", 1, False) for d, n in (("few", 500), ("many", 501))
+                                   for i in range(n)], "dataset_id string, ord int, code string, severity string, column string, "
+                                                       "count long, accepted boolean")
+    assert [x["dataset_id"] for x in EV.minimized_evidence(found, audits).collect()] == ["few"]
+    assert [(x["dataset_id"], x["issues"]) for x in EV.oversized_evidence(found).collect()] == [("many", 501)]
 
 
 def test_single_action_guard():

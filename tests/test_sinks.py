@@ -23,7 +23,7 @@ def test_repaired_bytes_match_published_sample(spark, write_csv, tmp_path):
     out = apply_plan(df, [("STANDARDIZE_MISSING_MARKERS", ["category"]),
                           ("REMOVE_EXACT_DUPLICATES", [])], keys=["dataset_id"], data_columns=cols)
     dest = str(tmp_path / "out")
-    sink_csv(out, dest, cols, source_path=src)
+    sink_csv(out, dest, cols, source_path=src, single_file=True)
     data = _bytes(dest)
     assert data == b"item,category\nA,tools\nB,\nC,parts\n"
     assert hashlib.sha256(data).hexdigest() == \
@@ -33,14 +33,14 @@ def test_repaired_bytes_match_published_sample(spark, write_csv, tmp_path):
 def test_single_column_empty_row_kept(spark, tmp_path):
     df = spark.createDataFrame([(0, "a"), (1, None), (2, "b")], "_row_id long, v string")
     dest = str(tmp_path / "one")
-    sink_csv(df, dest, ["v"])
+    sink_csv(df, dest, ["v"], single_file=True)
     assert _bytes(dest) == b'v\na\n""\nb\n'
 
 
 def test_quoting_minimal(spark, tmp_path):
     df = spark.createDataFrame([(0, 'x,y', 'say "hi"', " pad ")], "_row_id long, a string, b string, c string")
     dest = str(tmp_path / "q")
-    sink_csv(df, dest, ["a", "b", "c"])
+    sink_csv(df, dest, ["a", "b", "c"], single_file=True)
     assert _bytes(dest) == b'a,b,c\n"x,y","say ""hi""", pad \n'
 
 
@@ -67,3 +67,19 @@ def test_write_report_refuses_incomplete_and_writes_json(spark, tmp_path):
     incomplete = run.withColumn("lineage", F.lit(None).cast("string"))
     with pytest.raises(SinkError):
         write_report(report_json(incomplete), str(tmp_path / "bad.json"))
+
+
+def test_a_missing_column_is_missing_evidence(spark):
+    run = spark.createDataFrame([("d1", "REPAIRED", "c"), ("d2", "DENIED", None)], "dataset_id string, outcome string, comparison string")
+    got = {r.dataset_id: (r.complete, r.missing, r.report) for r in report_json(run).collect()}
+    assert got["d1"][:2] == (False, ["audit_after", "lineage"]) and got["d2"][:2] == (True, [])
+    assert list(__import__("json").loads(got["d2"][2])) == ["schema_version", "dataset_id", "outcome", "reason", "audit_before", "plan",
+                                                            "decision", "audit_after", "comparison", "lineage"]
+
+
+def test_parts_in_name_order_keep_the_rows(spark, tmp_path):
+    df = spark.range(1000).selectExpr("id as _row_id", "cast(1000 - id as string) as v").repartition(7)
+    dest = str(tmp_path / "many")
+    sink_csv(df, dest, ["v"])
+    lines = [x for x in _bytes(dest).decode().split("\n") if x and x != "v"]
+    assert lines == [str(1000 - i) for i in range(1000)]

@@ -21,10 +21,10 @@ class SinkError(ValueError):
 
 
 def write_csv(df: DataFrame, path: str, columns: list[str], *, source_path: str | None = None,
-              order_col: str | None = "_row_id", single_file: bool = True) -> None:
-    """Write the repaired rows. ``single_file`` gives one part file (for bounded
-    outputs); otherwise rows are range-partitioned by ``order_col`` and each part
-    is sorted, so parts concatenated in name order keep row order."""
+              order_col: str | None = "_row_id", single_file: bool = False) -> None:
+    """Write the repaired rows: range-partitioned by ``order_col`` and sorted, so that
+    parts in name order keep row order. ``single_file`` gives one part through one
+    task, for outputs known to be small."""
     if source_path is not None and source_path.rstrip("/") == path.rstrip("/"):
         raise SinkError("output and source have the same path")
     out = df
