@@ -3,8 +3,9 @@
 Each JSON text is one flat record (JSON lines), or a document holding an
 array of records / ``{"records": [...]}``. ``try_parse_json`` (VARIANT) decides
 what is valid: invalid JSON, duplicate keys and non-finite numbers give null.
-``from_json`` to a map gives keys in the order of the text and scalars as they are
-written there (``1.0`` stays ``1.0``, null becomes ``''``, booleans ``true`` / ``false``).
+``from_json`` to a map gives keys in the order of the text and scalars as text: integers
+as written, other numbers in the shortest form of a double (``1.0`` stays ``1.0``,
+``1.50`` becomes ``1.5``), null as ``''``, booleans as ``true`` / ``false``.
 Nested values, empty objects, scalars, empty keys and, where limits are given, keys
 or values that are too long reject a record; too many rows or columns refuse a
 dataset (:func:`refusals`). The key union keeps first-seen order (row order, then
@@ -28,12 +29,12 @@ def _parsed(df: DataFrame, text_col: str, keys: list[str], order_col: str, docum
         one = F.json_object_keys(F.col(text_col))
         wrapped = (F.size(one) == 1) & (F.get(one, 0) == "records")
         found = F.when(wrapped, F.variant_get(v, "$.records", "variant")).otherwise(v)
-        maps = F.when(wrapped, F.from_json(text_col, f"struct<records:array<{_MAP}>>")["records"]).otherwise(
-            F.from_json(text_col, f"array<{_MAP}>"))
-        whole = df.select(*keys, F.col(order_col).alias("_doc"), found.alias("_found"), maps.alias("_maps"))
-        rec = whole.select(*keys, "_doc", "_maps", F.posexplode_outer(F.try_variant_get("_found", "$", "array<variant>"))
+        texts = F.when(wrapped, F.from_json(text_col, "struct<records:array<string>>")["records"]).otherwise(
+            F.from_json(text_col, "array<string>"))
+        whole = df.select(*keys, F.col(order_col).alias("_doc"), found.alias("_found"), texts.alias("_texts"))
+        rec = whole.select(*keys, "_doc", "_texts", F.posexplode_outer(F.try_variant_get("_found", "$", "array<variant>"))
                            .alias("_i", "_v"))
-        rec = rec.select(*keys, F.struct("_doc", "_i").alias("_row_id"), "_v", F.get("_maps", F.col("_i")).alias("_m"))
+        rec = rec.select(*keys, F.struct("_doc", "_i").alias("_row_id"), "_v", F.from_json(F.get("_texts", F.col("_i")), _MAP).alias("_m"))
     else:
         rec = df.select(*keys, F.col(order_col).alias("_row_id"), v.alias("_v"), F.from_json(text_col, _MAP).alias("_m"))
     kind = F.schema_of_variant("_v")
