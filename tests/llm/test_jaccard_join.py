@@ -137,3 +137,29 @@ def test_awkward_rows_and_keeping_one(spark):
     ids = sorted(str(r["doc_id"]) for r in kept.collect())
     assert ids == sorted(["1", "2", "3", "None", "None", "4", "5", "6", "7", "-9", "8"])
     assert J.keep_one_of_each(H.empty(spark)).count() == 0
+
+
+def test_signatures_never_drop_a_link():
+    rng = np.random.default_rng(7)
+    for n in (1, 2, 5, 30, 127, 128, 129, 700, 3000):
+        for _ in range(20):
+            a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+            drop = int(rng.integers(0, n // 9 + 1))
+            b = np.unique(np.concatenate([a[drop:], rng.integers(0, 1 << 63, int(rng.integers(0, n // 9 + 1)), dtype=np.uint64)]))
+            rows = [(i, len(x), J.bitmap(x), i, 0) for i, x in enumerate((a, b))]
+            both = len(np.intersect1d(a, b))
+            if 100 * both >= 80 * (len(a) + len(b) - both):
+                assert [set(p) for p in J.possible_pairs(rows, 80)] == [{0, 1}]
+            assert J.possible_pairs([r[:3] + (5, 0) for r in rows], 80) == []  # one component already
+    far = [np.unique(rng.integers(0, 1 << 63, 400, dtype=np.uint64)) for _ in range(60)]
+    assert J.possible_pairs([(i, len(x), J.bitmap(x), i, i % 2) for i, x in enumerate(far)], 80) == []
+
+
+def test_small_blocks_and_shares_give_the_same(spark, monkeypatch):
+    rng = random.Random(2)
+    rows = near_copies(rng, 120, edits=9) + [(1000 + i, t) for i, (_, t) in enumerate(near_copies(rng, 60, words=25, edits=5))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    monkeypatch.setattr(J, "BLOCK_SETS", 7)
+    for percent, k in ((90, 3), (80, 5)):
+        got = H.rows(J.components_by_jaccard(docs, k=k, percent=percent), *NAMES)
+        assert sorted(got) == sorted(brute(rows, percent, k))

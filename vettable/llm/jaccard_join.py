@@ -12,17 +12,20 @@ component of every document.
    sketch of ``SLOTS`` counters over the shingles of all documents, so passages that
    very many documents share make no keys unless a document holds little else. The
    sketch has a fixed size and decides only how many candidates there are.
-2. Sets that share a key form candidate clusters (connected components of a
-   chain through each key); equal sets are one set beforehand.
-3. Inside a cluster, signature trees decide: leaves hold a few sets, nodes the
-   OR of their members' shingle bitmaps and the range of their sizes. Dual
-   traversal drops node pairs whose greatest possible overlap is too small, and
-   pairs whose members are all connected already; what remains is counted
-   exactly. A cluster is cut into blocks of bounded size. Blocks are joined with
-   themselves first; then only sets outside the largest component of their
-   cluster still need the other blocks (pairs of blocks, again bounded tasks).
-   So a group of near copies costs about one comparison per set, and the result
-   is exact for any cluster size.
+2. The sets that share a key are a group; groups with the same members count once
+   (all shingles of a passage give one group). A set carries a signature: a bitmap
+   of its shingles, as long as the set asks for.
+3. First, every set meets the smallest set of each of its groups: pairs whose greatest
+   possible overlap by signatures and sizes is too small drop out, the others are
+   counted exactly. That joins nearly all of a group of near copies, however large,
+   with one comparison a set.
+4. Then only groups whose members are still in several components are searched:
+   signature trees hold the OR of their members' bitmaps and the range of their sizes;
+   dual traversal drops node pairs whose greatest possible overlap is too small and
+   pairs whose members are in one component; the pairs that remain are counted exactly.
+   Very large groups are cut into blocks, and pairs of blocks are bounded tasks.
+
+``links_within_clusters`` does the same for clusters whose sets travel whole (operator 4).
 
 Sets are 64-bit hashes, and sets are named by 64-bit hashes: with n different
 shingles or sets about n * n / 2**65 collide by chance.
@@ -263,6 +266,84 @@ class DualJoin:
                 self.links.append((x, y))
 
 
+def bitmap(s: np.ndarray) -> bytes:
+    """The signature of a set: a power of two of bits, about two a member."""
+    n_bits = min(max(256, 1 << (2 * len(s)).bit_length()), 1 << 16)
+    bits = np.zeros(n_bits, np.uint8)
+    bits[((s >> np.uint64(20)) & np.uint64(n_bits - 1)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """Signatures (rows of 64-bit words) as they would be with fewer bits."""
+    while bits.shape[1] > words:
+        half = bits.shape[1] // 2
+        bits = bits[:, :half] | bits[:, half:]
+    return bits
+
+
+class BitmapTree(SignatureTree):
+    """A tree over signatures and sizes alone."""
+
+    def __init__(self, members: np.ndarray, sizes: np.ndarray, bits: np.ndarray):
+        order = np.argsort(sizes, kind="stable")
+        self.members, self.sizes, self.bits = members[order].tolist(), sizes[order], bits[order]
+        self.spare = self.sizes - np.bitwise_count(self.bits).sum(axis=1).astype(np.int64)
+        self.root = self._build(0, len(order)) if len(order) else None
+
+
+class PairSearch(DualJoin):
+    """Finds the pairs of different components that may link by signatures and sizes."""
+
+    def _leaves(self, ta: SignatureTree, a: Node, tb: SignatureTree, b: Node) -> None:
+        p, find = self.percent, self.forest.find
+        may = may_link(ta.sizes[a.lo:a.hi, None], ta.bits[a.lo:a.hi, None, :], ta.spare[a.lo:a.hi, None],
+                       tb.sizes[None, b.lo:b.hi], tb.bits[None, b.lo:b.hi, :], tb.spare[None, b.lo:b.hi], p)
+        for i, j in zip(*(x.tolist() for x in np.nonzero(may))):
+            if not (ta is tb and a is b and i >= j):
+                x, y = ta.members[a.lo + i], tb.members[b.lo + j]
+                if find(x) != find(y):
+                    self.links.append((x, y))
+
+
+def may_link(na, bits_a, spare_a, nb, bits_b, spare_b, percent: int) -> np.ndarray:
+    """Whether sets may reach the threshold: common bits, and members beyond a set's bits, bound their overlap."""
+    common = np.bitwise_count(bits_a & bits_b).sum(axis=-1).astype(np.int64)
+    most = np.minimum(common + np.minimum(spare_a, spare_b), np.minimum(na, nb))
+    return most * (100 + percent) >= percent * (na + nb)
+
+
+def possible_pairs(rows: list[tuple[int, int, bytes, int, int]], percent: int) -> list[tuple[int, int]]:
+    """Pairs that may link among ``rows`` of (id, size, signature, component, side); with two sides, pairs across them."""
+    forest, first = Forest(len(rows)), {}
+    for i, r in enumerate(rows):
+        forest.join(i, first.setdefault(r[3], i))
+    search = PairSearch(percent, forest)
+    sizes = np.array([r[1] for r in rows], np.int64)
+
+    def classes(side: int) -> dict[int, list[int]]:
+        out: dict[int, list[int]] = {}
+        for i, r in enumerate(rows):
+            if r[4] == side:
+                out.setdefault(len(r[2]) // 8, []).append(i)
+        return out
+
+    def tree(at: list[int], words: int) -> BitmapTree:
+        bits = folded(np.frombuffer(b"".join(rows[i][2] for i in at), np.uint64).reshape(len(at), -1), words)
+        return BitmapTree(np.array(at), sizes[at], bits)
+    left = classes(0)
+    right = classes(1)
+    for wa, a in left.items():
+        for wb, b in (right or left).items():
+            if not right and wa == wb:
+                whole = tree(a, wa)
+                search.run(whole, whole)
+            elif right or wa < wb:
+                words = min(wa, wb)
+                search.run(tree(a, words), tree(b, words))
+    return [(rows[x][0], rows[y][0]) for x, y in search.links]
+
+
 def block_links(rows: list[tuple[int, np.ndarray, int, int]], percent: int, cross: bool) -> list[tuple[int, int]]:
     """Links that connect what is linked among ``rows`` of (id, set, component, side).
 
@@ -380,44 +461,153 @@ def candidate_clusters(keyed: DataFrame, kind: str) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, k: int, percent: int, weights=None) -> DataFrame:
-    """Per document ``(doc_id, n, id)`` and its keys in the order of ``weights``; without them, the set itself."""
+    """Per document ``(doc_id, n, id)``, and its signature and keys in the order of ``weights``; without them, the set itself."""
     def run(batches):
         import xxhash
 
         hashes, ranks = weights is None, None if weights is None else weights.value
         for b in pieces(batches):
-            n, ids, more = [], [], []
+            n, ids, bits, more = [], [], [], []
             for raw in raw_texts(b, "text"):
                 s = np.unique(shingle_hashes(space_words(raw), k))
                 n.append(len(s))
                 ids.append(int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())))) if len(s) else None)
-                more.append(s.tobytes() if hashes else prefix_keys(s, ranks, percent).view(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.int64()),
-                 pa.array(more, pa.binary() if hashes else pa.list_(pa.int64()))],
-                names=["doc_id", "n", "id", "hashes" if hashes else "keys"])
+                if hashes:
+                    more.append(s.tobytes())
+                else:
+                    bits.append(bitmap(s))
+                    more.append(prefix_keys(s, ranks, percent).view(np.int64))
+            last = [pa.array(more, pa.binary())] if hashes else [pa.array(bits, pa.binary()), pa.array(more, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), *last],
+                                             names=["doc_id", "n", "id", *(["hashes"] if hashes else ["bits", "keys"])])
 
-    last = "hashes binary" if weights is None else "keys array<long>"
+    last = "hashes binary" if weights is None else "bits binary, keys array<long>"
     return map_arrow(docs, run, f"doc_id long, n long, id long, {last}")
 
 
+def key_groups(signed: DataFrame) -> DataFrame:
+    """``(key, id, low)``: the members of every group of two or more sets that share a key, and its smallest id.
+
+    Of groups with the same members one stays.
+    """
+    keyed = signed.select("id", F.explode("keys").alias("key"))
+    shared = written(keyed.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"))
+                     .filter("low < high").select("key", "low"), "jaccard-keys")
+    some = sized_broadcast(shared, shared.count(), 16, 16 << 20)
+    members = written(keyed.join(some, "key").select("key", "id", "low").distinct(), "jaccard-members")
+    sums = [F.sum(F.xxhash64("id", F.lit(i)).cast("decimal(38,0)")).alias(f"s{i}") for i in range(2)]
+    one = (members.groupBy("key").agg(F.count("*").alias("c"), *sums).groupBy("c", "s0", "s1")
+           .agg(F.min("key").alias("key")).select("key"))
+    return written(members.join(written(one, "jaccard-groups"), "key"), "jaccard-group-members")
+
+
+def possible_stars(pairs: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
+    """The pairs of ``pairs(a, b)`` that may link by ``signatures(id, n, bits)``."""
+    def run(batches):
+        for batch in pieces(batches):
+            got = [batch.column(c).to_pylist() for c in ("a", "b", "n_a", "n_b", "bits_a", "bits_b")]
+            kept = []
+            for a, b, na, nb, x, y in zip(*got):
+                words = min(len(x), len(y)) // 8
+                x, y = (folded(np.frombuffer(v, np.uint64)[None, :], words)[0] for v in (x, y))
+                spare = [n - int(np.bitwise_count(v).sum()) for n, v in ((na, x), (nb, y))]
+                if may_link(na, x, spare[0], nb, y, spare[1], percent):
+                    kept.append((a, b))
+            yield _pairs(kept)
+
+    side = [signatures.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}")) for c in "ab"]
+    return map_arrow(pairs.join(side[0], "a").join(side[1], "b"), run, "a long, b long")
+
+
+def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()),
+                                       pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
+
+
+def possible_in_groups(groups: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
+    """Pairs that may link among ``groups(key, id, component)``, each group by its trees; large groups by pairs of blocks."""
+    def run(batches):
+        now, rows, last = None, [], None
+        for batch in pieces(batches):
+            cols = [batch.column(c).to_pylist() for c in ("g", "id", "n", "bits", "component", "side")]
+            for g, i, n, bits, comp, side in zip(*cols):
+                if g != now:
+                    if len(rows) > 1:
+                        yield _pairs(possible_pairs(rows, percent))
+                    now, rows, last = g, [], None
+                if (i, side) != last:
+                    rows.append((i, n, bits, comp, side))
+                    last = (i, side)
+        yield _pairs(possible_pairs(rows, percent) if len(rows) > 1 else [])
+
+    size = written(groups.groupBy("key").agg(F.ceil(F.count("*") / BLOCK_SETS).cast("long").alias("blocks")).filter("blocks > 1"),
+                   "jaccard-large")
+    cut = (groups.join(size, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
+           .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+           .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))))
+    side = (F.col("block") > F.col("other")).cast("int")
+    placed = cut.select(F.concat_ws(":", "key", F.least("block", "other"), F.greatest("block", "other")).alias("g"), "id",
+                        "component", side.alias("side"))
+    rows = placed.join(signatures.select("id", "n", "bits"), "id").repartition("g").sortWithinPartitions("g", "side", "id")
+    return map_arrow(rows.select("g", "id", "n", "bits", "component", "side"), run, "a long, b long").distinct()
+
+
+def counted_links(base: DataFrame, sets: DataFrame, pairs: DataFrame, k: int, percent: int, kind: str) -> DataFrame:
+    """The pairs of ``pairs(a, b)`` that reach the threshold, counted exactly.
+
+    The sets come from one document each (``sets(id, low)``). A set ``a`` stands first in
+    its group and its partners pass by it; one with very many partners has several groups.
+    """
+    def run(batches):
+        own = None
+        for batch in pieces(batches):
+            found = []
+            for a, side, i, raw in zip(*(batch.column(c).to_pylist() for c in ("a", "side", "id", "hashes"))):
+                s = np.frombuffer(raw, np.uint64)
+                if side == 0:
+                    own = s
+                else:
+                    both = overlap(own, s)
+                    if 100 * both >= percent * (len(own) + len(s) - both):
+                        found.append((a, i))
+            yield _pairs(found)
+
+    pairs = written(pairs, f"{kind}-pairs")
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    chosen = written(ids.join(sets.select("id", "low"), "id"), f"{kind}-chosen")
+    n = chosen.count()
+    wanted = sized_broadcast(chosen.select("low").distinct(), n, 8, 16 << 20)
+    texts = base.join(wanted, F.col("doc_id").eqNullSafe(F.col("low")), "left_semi")
+    whole = written(shingle_sets(texts, k, percent).select("id", "hashes")
+                    .join(sized_broadcast(chosen.select("id"), n, 8, 16 << 20), "id", "left_semi"), f"{kind}-sets")
+    shares = written(pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK_SETS).cast("long").alias("shares")), f"{kind}-shares")
+    own = (shares.withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)))
+           .select("a", "share", F.lit(0).alias("side"), F.col("a").alias("id")))
+    others = pairs.join(shares, "a").select("a", F.pmod(F.xxhash64("b"), F.col("shares")).alias("share"), F.lit(1).alias("side"),
+                                            F.col("b").alias("id"))
+    rows = own.union(others).join(whole, "id").repartition("a", "share").sortWithinPartitions("a", "share", "side", "id")
+    return written(map_arrow(rows.select("a", "side", "id", "hashes"), run, "a long, b long"), f"{kind}-links")
+
+
 def components_by_jaccard(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", k: int = 3,
                           percent: int = 90) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every document."""
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     signed = written(shingle_sets(base, k, percent, shingle_weights(base, k)), "jaccard-signed")
     sets = signed.filter("id is not null").groupBy("id").agg(F.min("doc_id").alias("low"), F.max("n").alias("n"))
-    keyed = signed.select("id", F.explode("keys").alias("key"))
-    clusters = written(candidate_clusters(keyed, "jaccard"), "jaccard-clusters")
-
-    # The sets of the candidates come from one document each.
-    chosen = written(clusters.join(sets, "id").select("id", F.col("root").alias("cluster"), "low"), "jaccard-chosen")
-    count = chosen.count()
-    wanted = sized_broadcast(chosen.select("low").distinct(), count, 8, 16 << 20)
-    texts = base.join(wanted, F.col("doc_id").eqNullSafe(F.col("low")), "left_semi")
-    members = (shingle_sets(texts, k, percent).select("id", "n", "hashes")
-               .join(sized_broadcast(chosen.select("id", "cluster"), count, 16, 16 << 20), "id"))
-    links = links_within_clusters(members.select("cluster", "id", "n", "hashes"), percent, "jaccard")
+    groups = key_groups(signed)
+    ids = groups.select("id").distinct()
+    signatures = written(signed.select("id", "n", "bits").join(ids, "id", "left_semi").dropDuplicates(["id"]), "jaccard-signatures")
+
+    stars = groups.filter("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct()
+    links = counted_links(base, sets, possible_stars(stars, signatures, percent), k, percent, "jaccard-star")
+    known = written(components(links, "jaccard-star-cc"), "jaccard-known")
+    placed = written(groups.select("key", "id").join(known, "id", "left").select("key", "id", F.coalesce("root", "id").alias("component")),
+                     "jaccard-placed")
+    open_keys = written(placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y")
+                        .select("key"), "jaccard-open")
+    more = possible_in_groups(placed.join(open_keys, "key"), signatures, percent)
+    links = links.union(counted_links(base, sets, more, k, percent, "jaccard-rest"))
     roots = components(links, "jaccard-cc")
 
     named = sets.join(roots, "id", "left").select("id", "low", F.coalesce("root", "id").alias("root"))
