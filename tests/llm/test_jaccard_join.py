@@ -122,7 +122,7 @@ def test_trees_connect_what_brute_force_links():
                 if 100 * both >= percent * (len(a) + len(sets[j]) - both):
                     forest.join(i, j)
         got = J.Forest(40)
-        for a, b in J.block_links([(i, s, 0, 0) for i, s in enumerate(sets)], percent, False):
+        for a, b in J.block_links([(i, s, i, 0) for i, s in enumerate(sets)], percent):
             got.join(a, b)
         same = [[f.find(i) == f.find(j) for i in range(40) for j in range(i)] for f in (forest, got)]
         assert same[0] == same[1]
@@ -146,13 +146,13 @@ def test_signatures_never_drop_a_link():
             a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
             drop = int(rng.integers(0, n // 9 + 1))
             b = np.unique(np.concatenate([a[drop:], rng.integers(0, 1 << 63, int(rng.integers(0, n // 9 + 1)), dtype=np.uint64)]))
-            rows = [(i, len(x), J.bitmap(x), i, 0) for i, x in enumerate((a, b))]
+            x, y = (np.frombuffer(J.bitmap(v), np.uint64)[None, :] for v in (a, b))
+            words = min(x.shape[1], y.shape[1])
+            x, y = (J.folded(v, words)[0] for v in (x, y))
+            spare = [len(v) - int(np.bitwise_count(w).sum()) for v, w in ((a, x), (b, y))]
             both = len(np.intersect1d(a, b))
             if 100 * both >= 80 * (len(a) + len(b) - both):
-                assert [set(p) for p in J.possible_pairs(rows, 80)] == [{0, 1}]
-            assert J.possible_pairs([r[:3] + (5, 0) for r in rows], 80) == []  # one component already
-    far = [np.unique(rng.integers(0, 1 << 63, 400, dtype=np.uint64)) for _ in range(60)]
-    assert J.possible_pairs([(i, len(x), J.bitmap(x), i, i % 2) for i, x in enumerate(far)], 80) == []
+                assert J.may_link(len(a), x, spare[0], len(b), y, spare[1], 80)
 
 
 def test_small_blocks_and_shares_give_the_same(spark, monkeypatch):

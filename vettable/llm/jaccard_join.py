@@ -15,15 +15,17 @@ component of every document.
 2. The sets that share a key are a group; groups with the same members count once
    (all shingles of a passage give one group). A set carries a signature: a bitmap
    of its shingles, as long as the set asks for.
-3. First, every set meets the smallest set of each of its groups: pairs whose greatest
-   possible overlap by signatures and sizes is too small drop out, the others are
-   counted exactly. That joins nearly all of a group of near copies, however large,
-   with one comparison a set.
-4. Then only groups whose members are still in several components are searched:
-   signature trees hold the OR of their members' bitmaps and the range of their sizes;
-   dual traversal drops node pairs whose greatest possible overlap is too small and
-   pairs whose members are in one component; the pairs that remain are counted exactly.
-   Very large groups are cut into blocks, and pairs of blocks are bounded tasks.
+3. First come ``STAR_TURNS`` turns of stars: every set meets one set of each of its
+   groups (the smallest; then, of what is not joined yet, one of each component meets
+   another member). Pairs whose greatest possible overlap by signatures and sizes is
+   too small drop out, the others are counted exactly. That joins nearly all of a group
+   of near copies, however large, with a few comparisons a set.
+4. Then only groups whose members are still in several components are searched with
+   signature trees: nodes hold the OR of their members' bitmaps and the range of their
+   sizes; dual traversal drops node pairs whose greatest possible overlap is too small
+   and pairs whose members are in one component; what remains is counted exactly, and
+   only links that join components are emitted. Very large groups are cut into blocks,
+   and pairs of blocks are bounded tasks.
 
 ``links_within_clusters`` does the same for clusters whose sets travel whole (operator 4).
 
@@ -54,6 +56,8 @@ SLOT_BLOCKS = 64
 #: Sets and shingles of one block of a cluster.
 BLOCK_SETS = 2_000
 BLOCK_SHINGLES = 2_000_000
+#: Turns in which groups are joined by stars, before they are searched.
+STAR_TURNS = 3
 LEAF = 16
 
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -249,10 +253,8 @@ class DualJoin:
 
     def _leaves(self, ta: SignatureTree, a: Node, tb: SignatureTree, b: Node) -> None:
         p, find = self.percent, self.forest.find
-        na, nb = ta.sizes[a.lo:a.hi, None], tb.sizes[None, b.lo:b.hi]
-        common = np.bitwise_count(ta.bits[a.lo:a.hi, None, :] & tb.bits[None, b.lo:b.hi, :]).sum(axis=2).astype(np.int64)
-        most = np.minimum(common + np.minimum(ta.spare[a.lo:a.hi, None], tb.spare[None, b.lo:b.hi]), np.minimum(na, nb))
-        may = most * (100 + p) >= p * (na + nb)
+        may = may_link(ta.sizes[a.lo:a.hi, None], ta.bits[a.lo:a.hi, None, :], ta.spare[a.lo:a.hi, None],
+                       tb.sizes[None, b.lo:b.hi], tb.bits[None, b.lo:b.hi, :], tb.spare[None, b.lo:b.hi], p)
         for i, j in zip(*(x.tolist() for x in np.nonzero(may))):
             if ta is tb and a is b and i >= j:
                 continue
@@ -282,30 +284,6 @@ def folded(bits: np.ndarray, words: int) -> np.ndarray:
     return bits
 
 
-class BitmapTree(SignatureTree):
-    """A tree over signatures and sizes alone."""
-
-    def __init__(self, members: np.ndarray, sizes: np.ndarray, bits: np.ndarray):
-        order = np.argsort(sizes, kind="stable")
-        self.members, self.sizes, self.bits = members[order].tolist(), sizes[order], bits[order]
-        self.spare = self.sizes - np.bitwise_count(self.bits).sum(axis=1).astype(np.int64)
-        self.root = self._build(0, len(order)) if len(order) else None
-
-
-class PairSearch(DualJoin):
-    """Finds the pairs of different components that may link by signatures and sizes."""
-
-    def _leaves(self, ta: SignatureTree, a: Node, tb: SignatureTree, b: Node) -> None:
-        p, find = self.percent, self.forest.find
-        may = may_link(ta.sizes[a.lo:a.hi, None], ta.bits[a.lo:a.hi, None, :], ta.spare[a.lo:a.hi, None],
-                       tb.sizes[None, b.lo:b.hi], tb.bits[None, b.lo:b.hi, :], tb.spare[None, b.lo:b.hi], p)
-        for i, j in zip(*(x.tolist() for x in np.nonzero(may))):
-            if not (ta is tb and a is b and i >= j):
-                x, y = ta.members[a.lo + i], tb.members[b.lo + j]
-                if find(x) != find(y):
-                    self.links.append((x, y))
-
-
 def may_link(na, bits_a, spare_a, nb, bits_b, spare_b, percent: int) -> np.ndarray:
     """Whether sets may reach the threshold: common bits, and members beyond a set's bits, bound their overlap."""
     common = np.bitwise_count(bits_a & bits_b).sum(axis=-1).astype(np.int64)
@@ -313,88 +291,54 @@ def may_link(na, bits_a, spare_a, nb, bits_b, spare_b, percent: int) -> np.ndarr
     return most * (100 + percent) >= percent * (na + nb)
 
 
-def possible_pairs(rows: list[tuple[int, int, bytes, int, int]], percent: int) -> list[tuple[int, int]]:
-    """Pairs that may link among ``rows`` of (id, size, signature, component, side); with two sides, pairs across them."""
-    forest, first = Forest(len(rows)), {}
-    for i, r in enumerate(rows):
-        forest.join(i, first.setdefault(r[3], i))
-    search = PairSearch(percent, forest)
-    sizes = np.array([r[1] for r in rows], np.int64)
-
-    def classes(side: int) -> dict[int, list[int]]:
-        out: dict[int, list[int]] = {}
-        for i, r in enumerate(rows):
-            if r[4] == side:
-                out.setdefault(len(r[2]) // 8, []).append(i)
-        return out
-
-    def tree(at: list[int], words: int) -> BitmapTree:
-        bits = folded(np.frombuffer(b"".join(rows[i][2] for i in at), np.uint64).reshape(len(at), -1), words)
-        return BitmapTree(np.array(at), sizes[at], bits)
-    left = classes(0)
-    right = classes(1)
-    for wa, a in left.items():
-        for wb, b in (right or left).items():
-            if not right and wa == wb:
-                whole = tree(a, wa)
-                search.run(whole, whole)
-            elif right or wa < wb:
-                words = min(wa, wb)
-                search.run(tree(a, words), tree(b, words))
-    return [(rows[x][0], rows[y][0]) for x, y in search.links]
-
-
-def block_links(rows: list[tuple[int, np.ndarray, int, int]], percent: int, cross: bool) -> list[tuple[int, int]]:
-    """Links that connect what is linked among ``rows`` of (id, set, component, side).
-
-    ``cross``: only pairs of side 0 with side 1, given the components so far.
+def block_links(rows: list[tuple[int, np.ndarray, int, int]], percent: int) -> list[tuple[int, int]]:
+    """Links that connect what is linked among ``rows`` of (id, set, component, side), given the components so far.
+
+    With rows of both sides, only pairs of side 0 with side 1.
     """
     n_bits = 256
     while n_bits < min(1 << 16, 2 * max(len(r[1]) for r in rows)):
         n_bits *= 2
     forest = Forest(len(rows))
     join = DualJoin(percent, forest)
-    if not cross:
-        tree = SignatureTree([r[1] for r in rows], 0, n_bits)
-        join.run(tree, tree)
-    else:
-        first: dict[int, int] = {}
-        for i, r in enumerate(rows):
-            forest.join(i, first.setdefault(r[2], i))
-        left = [i for i, r in enumerate(rows) if r[3] == 0]
-        right = [i for i, r in enumerate(rows) if r[3] == 1]
-        ta = SignatureTree([rows[i][1] for i in left], 0, n_bits)
+    first: dict[int, int] = {}
+    for i, r in enumerate(rows):
+        forest.join(i, first.setdefault(r[2], i))
+    left = [i for i, r in enumerate(rows) if r[3] == 0]
+    right = [i for i, r in enumerate(rows) if r[3] == 1]
+    ta = SignatureTree([rows[i][1] for i in left], 0, n_bits)
+    ta.members = [left[m] for m in ta.members]
+    tb = ta
+    if right:
         tb = SignatureTree([rows[i][1] for i in right], 0, n_bits)
-        ta.members = [left[m] for m in ta.members]
         tb.members = [right[m] for m in tb.members]
-        join.run(ta, tb)
+    join.run(ta, tb)
     return [(rows[a][0], rows[b][0]) for a, b in join.links]
 
 
-def _grouped(percent: int, cross: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _grouped(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Streams sorted rows (g, id, component, side, hashes) and joins each group ``g``."""
     def run(batches):
         now, rows, last = None, [], None
-
-        def links():
-            got = block_links(rows, percent, cross) if len(rows) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in got], pa.int64()),
-                                               pa.array([y for _, y in got], pa.int64())], names=["a", "b"])
         for batch in pieces(batches):
             cols = [batch.column(c) for c in ("g", "id", "component", "side", "hashes")]
             for g, i, comp, side, raw in zip(*(c.to_pylist() for c in cols)):
                 if g != now:
-                    if rows:
-                        yield links()
+                    if len(rows) > 1:
+                        yield _pairs(block_links(rows, percent))
                     now, rows, last = g, [], None
                 if (i, side) != last:  # a row that is there twice counts once
                     rows.append((i, np.frombuffer(raw, np.uint64), comp, side))
                     last = (i, side)
-        if rows:
-            yield links()
+        yield _pairs(block_links(rows, percent) if len(rows) > 1 else [])
     return run
 
 
+def _joined(rows: DataFrame, percent: int) -> DataFrame:
+    grouped = rows.select("g", "id", "component", "side", "hashes").repartition("g").sortWithinPartitions("g", "side", "id")
+    return map_arrow(grouped, _grouped(percent), "a long, b long")
+
+
 def links_within_clusters(sets: DataFrame, percent: int, kind: str) -> DataFrame:
     """Links ``(a, b)`` that connect all linked sets of ``sets(cluster, id, n, hashes)``.
 
@@ -411,14 +355,9 @@ def links_within_clusters(sets: DataFrame, percent: int, kind: str) -> DataFrame
                .withColumn("blocks", F.coalesce("blocks", F.lit(1)))
                .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))))
 
-    def joined(rows: DataFrame, cross: bool) -> DataFrame:
-        grouped = rows.repartition("g").sortWithinPartitions("g", "side", "id")
-        return map_arrow(grouped.select("g", "id", "component", "side", "hashes"), _grouped(percent, cross),
-                         "a long, b long")
-
-    first = blocked.select(F.concat_ws(":", "cluster", "block").alias("g"), "id", F.lit(0).cast("long").alias("component"),
+    first = blocked.select(F.concat_ws(":", "cluster", "block").alias("g"), "id", F.col("id").alias("component"),
                            F.lit(0).cast("long").alias("side"), "hashes")
-    links = written(joined(first, False), f"{kind}-links")
+    links = written(_joined(first, percent), f"{kind}-links")
     if not big.take(1):
         return links
     # Clusters of several blocks: sets outside the largest component of the cluster meet the other blocks.
@@ -443,7 +382,7 @@ def links_within_clusters(sets: DataFrame, percent: int, kind: str) -> DataFrame
             .select("cluster", "mine", F.col("block").alias("other"), "id", "component",
                     F.lit(1).cast("long").alias("side"), "hashes"))
     both = small.unionByName(full).withColumn("g", F.concat_ws(":", "cluster", "mine", "other"))
-    return written(links.union(joined(both, True)), f"{kind}-all-links")
+    return written(links.union(_joined(both, percent)), f"{kind}-all-links")
 
 
 def candidate_clusters(keyed: DataFrame, kind: str) -> DataFrame:
@@ -524,32 +463,37 @@ def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
                                        pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
 
 
-def possible_in_groups(groups: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
-    """Pairs that may link among ``groups(key, id, component)``, each group by its trees; large groups by pairs of blocks."""
-    def run(batches):
-        now, rows, last = None, [], None
-        for batch in pieces(batches):
-            cols = [batch.column(c).to_pylist() for c in ("g", "id", "n", "bits", "component", "side")]
-            for g, i, n, bits, comp, side in zip(*cols):
-                if g != now:
-                    if len(rows) > 1:
-                        yield _pairs(possible_pairs(rows, percent))
-                    now, rows, last = g, [], None
-                if (i, side) != last:
-                    rows.append((i, n, bits, comp, side))
-                    last = (i, side)
-        yield _pairs(possible_pairs(rows, percent) if len(rows) > 1 else [])
+def stars(placed: DataFrame, turn: int) -> DataFrame:
+    """``a, b``: in every group of ``placed(key, id, component)`` one member, another at every turn, with one of each other component."""
+    by = [F.xxhash64("id", F.lit(2 * turn + i)) for i in range(2)]
+    centre = placed.groupBy("key").agg(F.min_by(F.struct("id", "component"), by[0]).alias("c"))
+    ends = placed.groupBy("key", "component").agg(F.min_by("id", by[1]).alias("b"))
+    return (ends.join(centre, "key").filter(F.col("component") != F.col("c.component"))
+            .select(F.col("c.id").alias("a"), "b").distinct())
+
 
-    size = written(groups.groupBy("key").agg(F.ceil(F.count("*") / BLOCK_SETS).cast("long").alias("blocks")).filter("blocks > 1"),
-                   "jaccard-large")
-    cut = (groups.join(size, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
+def group_links(base: DataFrame, sets: DataFrame, placed: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links that connect what is linked in the groups of ``placed(key, id, component)``; large groups by pairs of blocks."""
+    whole = whole_sets(base, sets, placed.select("id").distinct(), k, percent, "jaccard-open")
+    large = written(placed.groupBy("key").agg(F.ceil(F.count("*") / BLOCK_SETS).cast("long").alias("blocks")).filter("blocks > 1"),
+                    "jaccard-large")
+    cut = (placed.join(large, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
            .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
            .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))))
-    side = (F.col("block") > F.col("other")).cast("int")
-    placed = cut.select(F.concat_ws(":", "key", F.least("block", "other"), F.greatest("block", "other")).alias("g"), "id",
-                        "component", side.alias("side"))
-    rows = placed.join(signatures.select("id", "n", "bits"), "id").repartition("g").sortWithinPartitions("g", "side", "id")
-    return map_arrow(rows.select("g", "id", "n", "bits", "component", "side"), run, "a long, b long").distinct()
+    side = (F.col("block") > F.col("other")).cast("long")
+    rows = cut.select(F.concat_ws(":", "key", F.least("block", "other"), F.greatest("block", "other")).alias("g"), "id",
+                      "component", side.alias("side"))
+    return written(_joined(rows.join(whole, "id"), percent), "jaccard-open-links")
+
+
+def whole_sets(base: DataFrame, sets: DataFrame, ids: DataFrame, k: int, percent: int, kind: str) -> DataFrame:
+    """``id, hashes`` of the sets named by ``ids(id)``, each from one document (``sets(id, low)``)."""
+    chosen = written(ids.join(sets.select("id", "low"), "id"), f"{kind}-chosen")
+    n = chosen.count()
+    wanted = sized_broadcast(chosen.select("low").distinct(), n, 8, 16 << 20)
+    texts = base.join(wanted, F.col("doc_id").eqNullSafe(F.col("low")), "left_semi")
+    return written(shingle_sets(texts, k, percent).select("id", "hashes")
+                   .join(sized_broadcast(chosen.select("id"), n, 8, 16 << 20), "id", "left_semi"), f"{kind}-sets")
 
 
 def counted_links(base: DataFrame, sets: DataFrame, pairs: DataFrame, k: int, percent: int, kind: str) -> DataFrame:
@@ -574,12 +518,7 @@ def counted_links(base: DataFrame, sets: DataFrame, pairs: DataFrame, k: int, pe
 
     pairs = written(pairs, f"{kind}-pairs")
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    chosen = written(ids.join(sets.select("id", "low"), "id"), f"{kind}-chosen")
-    n = chosen.count()
-    wanted = sized_broadcast(chosen.select("low").distinct(), n, 8, 16 << 20)
-    texts = base.join(wanted, F.col("doc_id").eqNullSafe(F.col("low")), "left_semi")
-    whole = written(shingle_sets(texts, k, percent).select("id", "hashes")
-                    .join(sized_broadcast(chosen.select("id"), n, 8, 16 << 20), "id", "left_semi"), f"{kind}-sets")
+    whole = whole_sets(base, sets, ids, k, percent, kind)
     shares = written(pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK_SETS).cast("long").alias("shares")), f"{kind}-shares")
     own = (shares.withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)))
            .select("a", "share", F.lit(0).alias("side"), F.col("a").alias("id")))
@@ -599,16 +538,18 @@ def components_by_jaccard(docs: DataFrame, *, text: str = "text", doc_id: str =
     ids = groups.select("id").distinct()
     signatures = written(signed.select("id", "n", "bits").join(ids, "id", "left_semi").dropDuplicates(["id"]), "jaccard-signatures")
 
-    stars = groups.filter("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct()
-    links = counted_links(base, sets, possible_stars(stars, signatures, percent), k, percent, "jaccard-star")
-    known = written(components(links, "jaccard-star-cc"), "jaccard-known")
-    placed = written(groups.select("key", "id").join(known, "id", "left").select("key", "id", F.coalesce("root", "id").alias("component")),
-                     "jaccard-placed")
-    open_keys = written(placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y")
-                        .select("key"), "jaccard-open")
-    more = possible_in_groups(placed.join(open_keys, "key"), signatures, percent)
-    links = links.union(counted_links(base, sets, more, k, percent, "jaccard-rest"))
-    roots = components(links, "jaccard-cc")
+    placed = groups.select("key", "id", F.col("id").alias("component"))
+    pairs = groups.filter("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct()
+    links = None
+    for turn in range(STAR_TURNS):
+        found = counted_links(base, sets, possible_stars(pairs if turn == 0 else stars(placed, turn), signatures, percent), k, percent,
+                              f"jaccard-star-{turn}")
+        links = found if links is None else links.union(found)
+        known = written(components(links, "jaccard-star-cc"), "jaccard-known")
+        placed = placed.select("key", "id").join(known, "id", "left").select("key", "id", F.coalesce("root", "id").alias("component"))
+        ends = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"))
+        placed = written(placed.join(written(ends.filter("x < y").select("key"), "jaccard-open-keys"), "key"), "jaccard-placed")
+    roots = components(links.union(group_links(base, sets, placed, k, percent)), "jaccard-cc")
 
     named = sets.join(roots, "id", "left").select("id", "low", F.coalesce("root", "id").alias("root"))
     lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
