@@ -153,6 +153,11 @@ def test_signatures_never_drop_a_link():
             both = len(np.intersect1d(a, b))
             if 100 * both >= 80 * (len(a) + len(b) - both):
                 assert J.may_link(len(a), x, spare[0], len(b), y, spare[1], 80)
+                rows = [(i, len(v), J.bitmap(v), i, 0) for i, v in enumerate((a, b))]
+                assert J.possible_members(rows, 80) == [0, 1]
+                assert J.possible_members([r[:3] + (5, 0) for r in rows], 80) == []  # one component already
+    far = [np.unique(rng.integers(0, 1 << 63, 400, dtype=np.uint64)) for _ in range(60)]
+    assert J.possible_members([(i, len(x), J.bitmap(x), i, i % 2) for i, x in enumerate(far)], 80) == []
 
 
 def test_small_blocks_and_shares_give_the_same(spark, monkeypatch):

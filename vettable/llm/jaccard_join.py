@@ -23,9 +23,10 @@ component of every document.
 4. Then only groups whose members are still in several components are searched with
    signature trees: nodes hold the OR of their members' bitmaps and the range of their
    sizes; dual traversal drops node pairs whose greatest possible overlap is too small
-   and pairs whose members are in one component; what remains is counted exactly, and
-   only links that join components are emitted. Very large groups are cut into blocks,
-   and pairs of blocks are bounded tasks.
+   and pairs whose members are in one component. It runs on signatures alone first,
+   which leaves the members that may link at all, then on their sets, where pairs are
+   counted exactly and only links that join components are emitted. Very large groups
+   are cut into blocks, and pairs of blocks are bounded tasks.
 
 ``links_within_clusters`` does the same for clusters whose sets travel whole (operator 4).
 
@@ -284,6 +285,34 @@ def folded(bits: np.ndarray, words: int) -> np.ndarray:
     return bits
 
 
+class BitmapTree(SignatureTree):
+    """A tree over signatures and sizes alone."""
+
+    def __init__(self, members: np.ndarray, sizes: np.ndarray, bits: np.ndarray):
+        order = np.argsort(sizes, kind="stable")
+        self.members, self.sizes, self.bits = members[order].tolist(), sizes[order], bits[order]
+        self.spare = self.sizes - np.bitwise_count(self.bits).sum(axis=1).astype(np.int64)
+        self.root = self._build(0, len(order)) if len(order) else None
+
+
+class MemberSearch(DualJoin):
+    """Finds the members that may link with one of another component by signatures and sizes."""
+
+    def __init__(self, percent: int, forest: Forest):
+        super().__init__(percent, forest)
+        self.found: set[int] = set()
+
+    def _leaves(self, ta: SignatureTree, a: Node, tb: SignatureTree, b: Node) -> None:
+        p, find = self.percent, self.forest.find
+        may = may_link(ta.sizes[a.lo:a.hi, None], ta.bits[a.lo:a.hi, None, :], ta.spare[a.lo:a.hi, None],
+                       tb.sizes[None, b.lo:b.hi], tb.bits[None, b.lo:b.hi, :], tb.spare[None, b.lo:b.hi], p)
+        for i, j in zip(*(x.tolist() for x in np.nonzero(may))):
+            if not (ta is tb and a is b and i >= j):
+                x, y = ta.members[a.lo + i], tb.members[b.lo + j]
+                if find(x) != find(y):
+                    self.found |= {x, y}
+
+
 def may_link(na, bits_a, spare_a, nb, bits_b, spare_b, percent: int) -> np.ndarray:
     """Whether sets may reach the threshold: common bits, and members beyond a set's bits, bound their overlap."""
     common = np.bitwise_count(bits_a & bits_b).sum(axis=-1).astype(np.int64)
@@ -291,6 +320,37 @@ def may_link(na, bits_a, spare_a, nb, bits_b, spare_b, percent: int) -> np.ndarr
     return most * (100 + percent) >= percent * (na + nb)
 
 
+def possible_members(rows: list[tuple[int, int, bytes, int, int]], percent: int) -> list[int]:
+    """The places in ``rows`` (id, size, signature, component, side) that may link; with two sides, across them."""
+    forest, first = Forest(len(rows)), {}
+    for i, r in enumerate(rows):
+        forest.join(i, first.setdefault(r[3], i))
+    search = MemberSearch(percent, forest)
+    sizes = np.array([r[1] for r in rows], np.int64)
+
+    def classes(side: int) -> dict[int, list[int]]:
+        out: dict[int, list[int]] = {}
+        for i, r in enumerate(rows):
+            if r[4] == side:
+                out.setdefault(len(r[2]) // 8, []).append(i)
+        return out
+
+    def tree(at: list[int], words: int) -> BitmapTree:
+        bits = folded(np.frombuffer(b"".join(rows[i][2] for i in at), np.uint64).reshape(len(at), -1), words)
+        return BitmapTree(np.array(at), sizes[at], bits)
+    left = classes(0)
+    right = classes(1)
+    for wa, a in left.items():
+        for wb, b in (right or left).items():
+            if not right and wa == wb:
+                whole = tree(a, wa)
+                search.run(whole, whole)
+            elif right or wa < wb:
+                words = min(wa, wb)
+                search.run(tree(a, words), tree(b, words))
+    return sorted(search.found)
+
+
 def block_links(rows: list[tuple[int, np.ndarray, int, int]], percent: int) -> list[tuple[int, int]]:
     """Links that connect what is linked among ``rows`` of (id, set, component, side), given the components so far.
 
@@ -472,9 +532,30 @@ def stars(placed: DataFrame, turn: int) -> DataFrame:
             .select(F.col("c.id").alias("a"), "b").distinct())
 
 
-def group_links(base: DataFrame, sets: DataFrame, placed: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links that connect what is linked in the groups of ``placed(key, id, component)``; large groups by pairs of blocks."""
-    whole = whole_sets(base, sets, placed.select("id").distinct(), k, percent, "jaccard-open")
+def group_links(base: DataFrame, sets: DataFrame, placed: DataFrame, signatures: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links that connect what is linked in the groups of ``placed(key, id, component)``; large groups by pairs of blocks.
+
+    Trees of signatures find the members that may link at all; only their sets are read and counted.
+    """
+    def run(batches):
+        now, rows, last = None, [], None
+
+        def may():
+            at = possible_members(rows, percent) if len(rows) > 1 else []
+            return pa.RecordBatch.from_arrays(
+                [pa.array([now] * len(at), pa.string())] + [pa.array([rows[i][j] for i in at], pa.int64()) for j in (0, 3, 4)],
+                names=["g", "id", "component", "side"])
+        for batch in pieces(batches):
+            cols = [batch.column(c).to_pylist() for c in ("g", "id", "n", "bits", "component", "side")]
+            for g, i, n, bits, comp, side in zip(*cols):
+                if g != now:
+                    yield may()
+                    now, rows, last = g, [], None
+                if (i, side) != last:
+                    rows.append((i, n, bits, comp, side))
+                    last = (i, side)
+        yield may()
+
     large = written(placed.groupBy("key").agg(F.ceil(F.count("*") / BLOCK_SETS).cast("long").alias("blocks")).filter("blocks > 1"),
                     "jaccard-large")
     cut = (placed.join(large, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
@@ -483,7 +564,11 @@ def group_links(base: DataFrame, sets: DataFrame, placed: DataFrame, k: int, per
     side = (F.col("block") > F.col("other")).cast("long")
     rows = cut.select(F.concat_ws(":", "key", F.least("block", "other"), F.greatest("block", "other")).alias("g"), "id",
                       "component", side.alias("side"))
-    return written(_joined(rows.join(whole, "id"), percent), "jaccard-open-links")
+    signed = rows.join(signatures, "id").select("g", "id", "n", "bits", "component", "side")
+    found = written(map_arrow(signed.repartition("g").sortWithinPartitions("g", "side", "id"), run,
+                              "g string, id long, component long, side long"), "jaccard-may")
+    whole = whole_sets(base, sets, found.select("id").distinct(), k, percent, "jaccard-open")
+    return written(_joined(found.join(whole, "id"), percent), "jaccard-open-links")
 
 
 def whole_sets(base: DataFrame, sets: DataFrame, ids: DataFrame, k: int, percent: int, kind: str) -> DataFrame:
@@ -549,7 +634,7 @@ def components_by_jaccard(docs: DataFrame, *, text: str = "text", doc_id: str =
         placed = placed.select("key", "id").join(known, "id", "left").select("key", "id", F.coalesce("root", "id").alias("component"))
         ends = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"))
         placed = written(placed.join(written(ends.filter("x < y").select("key"), "jaccard-open-keys"), "key"), "jaccard-placed")
-    roots = components(links.union(group_links(base, sets, placed, k, percent)), "jaccard-cc")
+    roots = components(links.union(group_links(base, sets, placed, signatures, k, percent)), "jaccard-cc")
 
     named = sets.join(roots, "id", "left").select("id", "low", F.coalesce("root", "id").alias("root"))
     lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
