@@ -72,7 +72,7 @@ def test_near_copies_in_blocks(spark, monkeypatch, block):
 @pytest.mark.parametrize("percent", [90, 80, 50])
 def test_linked_sets_always_share_a_key(percent):
     rng = np.random.default_rng(4)
-    weights = rng.integers(0, 50, J.SLOTS)
+    weights, parts = rng.integers(0, 50, J.SLOTS), J.Parts(percent)
     for n in [*range(1, 60), 100, 150, 400, 1000, 3000]:
         for _ in range(12):
             a = rng.integers(0, 1 << 63, n, dtype=np.uint64)
@@ -87,6 +87,8 @@ def test_linked_sets_always_share_a_key(percent):
             both = len(np.intersect1d(x, y))
             assert 100 * both >= percent * (len(x) + len(y) - both)
             assert len(np.intersect1d(J.prefix_keys(x, weights, percent), J.prefix_keys(y, weights, percent)))
+            if len(np.union1d(x, y)) > both:
+                assert len(np.intersect1d(parts.keys(x), parts.keys(y)))
 
 
 def test_passages_that_many_documents_share_make_no_keys(spark):
@@ -165,6 +167,6 @@ def test_small_blocks_and_shares_give_the_same(spark, monkeypatch):
     rows = near_copies(rng, 120, edits=9) + [(1000 + i, t) for i, (_, t) in enumerate(near_copies(rng, 60, words=25, edits=5))]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
     monkeypatch.setattr(J, "BLOCK_SETS", 7)
-    for percent, k in ((90, 3), (80, 5)):
-        got = H.rows(J.components_by_jaccard(docs, k=k, percent=percent), *NAMES)
+    for percent, k, keys in ((90, 3, "parts"), (80, 5, "rare"), (80, 5, "parts")):
+        got = H.rows(J.components_by_jaccard(docs, k=k, percent=percent, keys=keys), *NAMES)
         assert sorted(got) == sorted(brute(rows, percent, k))

@@ -5,6 +5,19 @@ at white space, A-Z lowered; a text of fewer words is one shingle). Two document
 link when ``100 * |A & B| >= percent * |A | B|``. The result names the connected
 component of every document.
 
+Candidates come from keys that lose no link, by one of two ways.
+
+**Parts** (from 90 percent on). If the smaller of two linked sets has ``a`` shingles, at
+most ``a * (100 - percent) / percent`` differ. Sets are cut by hash into more parts than
+can differ, so linked sets agree in a whole part, and its hash is a key both have. The
+number of parts depends on a size class; a set uses the classes of all larger sets that
+may link with it too. Parts of fewer than ``STRONG`` shingles say little, so they are left
+out as long as fewer parts are weak than must agree; otherwise the set also uses a
+second (third, ...) way of cutting. Sets that share keys form candidate clusters, and
+signature trees decide inside them (``links_within_clusters``).
+
+**Rare shingles** (below).
+
 1. Keys that lose no link. If A and B link, they share at least ``percent`` / 100 of
    the shingles of either, so in any order of all shingles that is the same for every
    set, the first ``n - ceil(n * percent / 100) + 1`` shingles of A and those of B have
@@ -28,8 +41,6 @@ component of every document.
    counted exactly and only links that join components are emitted. Very large groups
    are cut into blocks, and pairs of blocks are bounded tasks.
 
-``links_within_clusters`` does the same for clusters whose sets travel whole (operator 4).
-
 Sets are 64-bit hashes, and sets are named by 64-bit hashes: with n different
 shingles or sets about n * n / 2**65 collide by chance.
 
@@ -42,6 +53,7 @@ non-null ``doc_id``. Columns of ``docs`` other than id and text are ignored by
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -51,6 +63,10 @@ from pyspark.sql import functions as F
 
 from .common import components, map_arrow, pieces, raw_texts, sized_broadcast, space_words, unused_name, written
 
+#: Shingles that make a part of a set worth a key, and ways of cutting a set before weak parts are used.
+STRONG = 2
+WAYS = 6
+GROWTH = 1.25
 #: Counters of the sketch that orders shingles; rows of it that tasks exchange.
 SLOTS = 1 << 18
 SLOT_BLOCKS = 64
@@ -141,6 +157,63 @@ def shingle_weights(docs: DataFrame, k: int):
     return docs.sparkSession.sparkContext.broadcast(whole.reshape(-1))
 
 
+class Parts:
+    """The part keys of sets, for a threshold of ``percent`` / 100."""
+
+    def __init__(self, percent: int):
+        self.percent = percent
+        self.classes: list[tuple[int, int, int, int]] = []  # first size, last size, parts, spare
+        lo = math.ceil(percent / (100 - percent)) if percent < 100 else 1 << 62
+        self.least = lo
+
+    def size_class(self, c: int) -> tuple[int, int, int, int]:
+        while len(self.classes) <= c:
+            lo = self.classes[-1][1] + 1 if self.classes else self.least
+            hi = max(lo, int(lo * GROWTH))
+            differ = hi * (100 - self.percent) // self.percent
+            parts, spare = differ + 1, 0
+            for k in range(differ + 1, 2 * differ + 9):
+                m = lo * self.percent / 100 / k
+                weak = k * sum(math.exp(-m) * m ** i / math.factorial(i) for i in range(STRONG))
+                if k - differ - 1 >= weak + 2 * math.sqrt(weak):
+                    parts, spare = k, k - differ - 1
+                    break
+            self.classes.append((lo, hi, parts, spare))
+        return self.classes[c]
+
+    def keys(self, s: np.ndarray) -> np.ndarray:
+        n, c = len(s), 0
+        if n < self.least:
+            return np.zeros(0, np.uint64)
+        while self.size_class(c)[1] < n:
+            c += 1
+        out = [self._class_keys(s, c)]
+        while self.size_class(c + 1)[0] <= n * 100 // self.percent:  # classes of larger sets that may link
+            c += 1
+            out.append(self._class_keys(s, c))
+        return np.concatenate(out)
+
+    def _class_keys(self, s: np.ndarray, c: int) -> np.ndarray:
+        _, _, parts, spare = self.size_class(c)
+        found = []
+        for way in range(WAYS):
+            turned = mix(s + np.uint64((way + 1) * int(_M1) & 0xFFFFFFFFFFFFFFFF))
+            part = ((turned >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+            count = np.bincount(part, minlength=parts)
+            order = np.argsort(part, kind="stable")
+            sums = np.zeros(parts, np.uint64)
+            full = np.flatnonzero(count)
+            sums[full] = np.add.reduceat(mix(turned[order]), (np.cumsum(count) - count)[full])
+            key = mix(sums + (np.arange(parts, dtype=np.uint64) * np.uint64(977) + np.uint64(c)) * _M1
+                      + count.astype(np.uint64) * _M3 + np.uint64(way))
+            weak = count < STRONG
+            if weak.sum() <= spare:
+                found.append(key[~weak])
+                break
+            found.append(key if way == WAYS - 1 else key[~weak])
+        return np.concatenate(found)
+
+
 class Forest:
     """Union-find over positions."""
 
@@ -484,6 +557,22 @@ def shingle_sets(docs: DataFrame, k: int, percent: int, weights=None) -> DataFra
     return map_arrow(docs, run, f"doc_id long, n long, id long, {last}")
 
 
+def part_keys(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Per document ``(doc_id, n, id)`` and its part keys."""
+    def run(batches):
+        import xxhash
+
+        parts = Parts(percent)
+        for b in pieces(batches):
+            sets = [np.unique(shingle_hashes(space_words(raw), k)) for raw in raw_texts(b, "text")]
+            ids = [int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())))) if len(s) else None for s in sets]
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.int64()),
+                 pa.array([parts.keys(s).view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["doc_id", "n", "id", "keys"])
+
+    return map_arrow(docs, run, "doc_id long, n long, id long, keys array<long>")
+
+
 def key_groups(signed: DataFrame) -> DataFrame:
     """``(key, id, low)``: the members of every group of two or more sets that share a key, and its smallest id.
 
@@ -613,16 +702,20 @@ def counted_links(base: DataFrame, sets: DataFrame, pairs: DataFrame, k: int, pe
     return written(map_arrow(rows.select("a", "side", "id", "hashes"), run, "a long, b long"), f"{kind}-links")
 
 
-def components_by_jaccard(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", k: int = 3,
-                          percent: int = 90) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` of every document."""
-    base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    signed = written(shingle_sets(base, k, percent, shingle_weights(base, k)), "jaccard-signed")
-    sets = signed.filter("id is not null").groupBy("id").agg(F.min("doc_id").alias("low"), F.max("n").alias("n"))
+def _roots_by_parts(base: DataFrame, signed: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
+    """Components of sets that share part keys: the sets of a cluster travel once and trees count them."""
+    keyed = signed.select("id", F.explode("keys").alias("key"))
+    clusters = written(candidate_clusters(keyed, "jaccard"), "jaccard-clusters")
+    whole = whole_sets(base, sets, clusters.select("id"), k, percent, "jaccard")
+    members = whole.join(clusters.select("id", F.col("root").alias("cluster")), "id").join(sets.select("id", "n"), "id")
+    return components(links_within_clusters(members.select("cluster", "id", "n", "hashes"), percent, "jaccard"), "jaccard-cc")
+
+
+def _roots_by_rare_shingles(base: DataFrame, signed: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
+    """Components of sets that share rare shingles: turns of stars, then the groups that are still open."""
     groups = key_groups(signed)
     ids = groups.select("id").distinct()
     signatures = written(signed.select("id", "n", "bits").join(ids, "id", "left_semi").dropDuplicates(["id"]), "jaccard-signatures")
-
     placed = groups.select("key", "id", F.col("id").alias("component"))
     pairs = groups.filter("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct()
     links = None
@@ -634,7 +727,22 @@ def components_by_jaccard(docs: DataFrame, *, text: str = "text", doc_id: str =
         placed = placed.select("key", "id").join(known, "id", "left").select("key", "id", F.coalesce("root", "id").alias("component"))
         ends = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"))
         placed = written(placed.join(written(ends.filter("x < y").select("key"), "jaccard-open-keys"), "key"), "jaccard-placed")
-    roots = components(links.union(group_links(base, sets, placed, signatures, k, percent)), "jaccard-cc")
+    return components(links.union(group_links(base, sets, placed, signatures, k, percent)), "jaccard-cc")
+
+
+def components_by_jaccard(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", k: int = 3,
+                          percent: int = 90, keys: str | None = None) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` of every document.
+
+    ``keys``: how candidates are found, ``parts`` or ``rare``; the result is the same.
+    Parts are few where little may differ; at lower thresholds they are many and
+    small, and rare shingles are the better keys (default: parts from 90 percent on).
+    """
+    base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    rare = (keys or ("parts" if percent >= 90 else "rare")) == "rare"
+    signed = written(shingle_sets(base, k, percent, shingle_weights(base, k)) if rare else part_keys(base, k, percent), "jaccard-signed")
+    sets = signed.filter("id is not null").groupBy("id").agg(F.min("doc_id").alias("low"), F.max("n").alias("n"))
+    roots = (_roots_by_rare_shingles if rare else _roots_by_parts)(base, signed, sets, k, percent)
 
     named = sets.join(roots, "id", "left").select("id", "low", F.coalesce("root", "id").alias("root"))
     lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))

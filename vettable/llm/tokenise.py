@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from .common import append_columns
 
 #: Pieces of one generation of the memo; a worker holds two, so what is seen often is never learned again.
-MEMO_PIECES = 300_000
+MEMO_PIECES = 150_000
 _INNER_RUN = re.compile(r"\s \s")
 _TAIL = ",.;:!?"
 _WORKER: dict = {}
