@@ -527,7 +527,7 @@ def candidate_clusters(keyed: DataFrame, kind: str) -> DataFrame:
     """
     shared = written(keyed.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"))
                      .filter("low < high").select("key", "low"), f"{kind}-keys")
-    hot = sized_broadcast(shared, shared.count(), 16, 16 << 20)
+    hot = sized_broadcast(shared, shared.count(), 16, 64 << 20)
     edges = keyed.join(hot, "key").filter("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b"))
     return components(edges, f"{kind}-candidates")
 
@@ -581,7 +581,7 @@ def key_groups(signed: DataFrame) -> DataFrame:
     keyed = signed.select("id", F.explode("keys").alias("key"))
     shared = written(keyed.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"))
                      .filter("low < high").select("key", "low"), "jaccard-keys")
-    some = sized_broadcast(shared, shared.count(), 16, 16 << 20)
+    some = sized_broadcast(shared, shared.count(), 16, 64 << 20)
     members = written(keyed.join(some, "key").select("key", "id", "low").distinct(), "jaccard-members")
     sums = [F.sum(F.xxhash64("id", F.lit(i)).cast("decimal(38,0)")).alias(f"s{i}") for i in range(2)]
     one = (members.groupBy("key").agg(F.count("*").alias("c"), *sums).groupBy("c", "s0", "s1")
@@ -664,10 +664,10 @@ def whole_sets(base: DataFrame, sets: DataFrame, ids: DataFrame, k: int, percent
     """``id, hashes`` of the sets named by ``ids(id)``, each from one document (``sets(id, low)``)."""
     chosen = written(ids.join(sets.select("id", "low"), "id"), f"{kind}-chosen")
     n = chosen.count()
-    wanted = sized_broadcast(chosen.select("low").distinct(), n, 8, 16 << 20)
+    wanted = sized_broadcast(chosen.select("low").distinct(), n, 8, 64 << 20)
     texts = base.join(wanted, F.col("doc_id").eqNullSafe(F.col("low")), "left_semi")
     return written(shingle_sets(texts, k, percent).select("id", "hashes")
-                   .join(sized_broadcast(chosen.select("id"), n, 8, 16 << 20), "id", "left_semi"), f"{kind}-sets")
+                   .join(sized_broadcast(chosen.select("id"), n, 8, 64 << 20), "id", "left_semi"), f"{kind}-sets")
 
 
 def counted_links(base: DataFrame, sets: DataFrame, pairs: DataFrame, k: int, percent: int, kind: str) -> DataFrame:
@@ -766,7 +766,7 @@ def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
     gone_id, twice_id = unused_name(names, "gone"), unused_name(names, "twice")
     gone = found.filter("component_id <> doc_id").select(F.col("doc_id").alias(gone_id)).distinct()
     gone = written(gone, "jaccard-gone")
-    left = docs.join(sized_broadcast(gone, gone.count(), 8, 16 << 20), F.col(doc_id) == F.col(gone_id), "left_anti")
+    left = docs.join(sized_broadcast(gone, gone.count(), 8, 64 << 20), F.col(doc_id) == F.col(gone_id), "left_anti")
     twice = written(found.filter("n_shingles > 0 and doc_id is not null").groupBy("doc_id").count().filter("count > 1")
                     .select(F.col("doc_id").alias(twice_id)), "jaccard-twice")
     if not twice.take(1):
