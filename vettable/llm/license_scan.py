@@ -16,6 +16,10 @@ pair:
   the order, at most ``|T| - i`` words can match;
 * the overlap of what remains is counted exactly.
 
+A notice names its license: its ``name`` words must stand consecutively in the
+block, for the other words of notices (grants, disclaimers) are common to many
+licenses; a notice of fewer than ``SHORT`` distinct words must be there in full.
+Wording that several licenses share has a label of the family (``bsd-style``).
 Phrase templates have threshold 1 and, in addition, each place where the words
 stand consecutively is reported. Two passes over the texts, no shuffle of
 texts: word counts (of template words only; they are added up over all
@@ -46,27 +50,44 @@ PHRASES = [
     ("gpl", "general public license"),
     ("reserved", "all rights reserved"),
 ]
-# Sentences of public license texts, with the label each stands for.
+# Notices of public licenses: label, naming words, words of the whole notice.
 NOTICES = [
-    ("apache-2.0", "licensed under the apache license version 2 0"),
-    ("apache-2.0", "you may not use this file except in compliance with the license"),
-    ("apache-2.0", "unless required by applicable law or agreed to in writing software distributed under the "
-                   "license is distributed on an as is basis without warranties or conditions of any kind"),
-    ("mit", "released under the mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and "
-            "associated documentation files to deal in the software without restriction"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted "
-            "provided that the following conditions are met"),
-    ("gpl-notice", "this work is licensed under the gnu general public license version 3"),
-    ("gpl-notice", "this program is free software you can redistribute it and or modify it under the terms of "
-                   "the gnu general public license as published by the free software foundation"),
-    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license"),
-    ("cc-by-sa", "this work is licensed under a creative commons attribution sharealike international license"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee "
-            "is hereby granted"),
-    ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("apache-2.0", "apache license version 2 0", "licensed under the apache license version 2 0"),
+    ("apache-2.0", "apache license version 2 0",
+     "licensed under the apache license version 2 0 you may not use this file except in compliance with the license "
+     "unless required by applicable law or agreed to in writing software distributed under the license is distributed "
+     "on an as is basis without warranties or conditions of any kind either express or implied"),
+    ("mit", "mit license", "released under the mit license"),
+    ("mit", "mit license", "licensed under the mit license"),
+    ("mit", "deal in the software without restriction",
+     "permission is hereby granted free of charge to any person obtaining a copy of this software and associated "
+     "documentation files to deal in the software without restriction"),
+    ("bsd-style", "redistribution and use in source and binary forms",
+     "redistribution and use in source and binary forms with or without modification are permitted provided that "
+     "the following conditions are met"),
+    ("gpl-notice", "gnu general public license", "licensed under the gnu general public license"),
+    ("gpl-notice", "gnu general public license",
+     "this program is free software you can redistribute it and or modify it under the terms of the gnu general "
+     "public license as published by the free software foundation"),
+    ("lgpl-notice", "gnu lesser general public license",
+     "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published "
+     "by the free software foundation"),
+    ("agpl-notice", "gnu affero general public license",
+     "you can redistribute it and or modify it under the terms of the gnu affero general public license as published "
+     "by the free software foundation"),
+    ("mpl-2.0", "mozilla public license v 2 0",
+     "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("cc-by-sa", "creative commons attribution sharealike",
+     "this work is licensed under a creative commons attribution sharealike international license"),
+    ("isc", "provided that the above copyright notice and this permission notice appear in all copies",
+     "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby "
+     "granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("unlicense", "released into the public domain",
+     "this is free and unencumbered software released into the public domain"),
 ]
 THRESHOLD = 0.8
+#: A notice of fewer distinct words says little by its share: all of them must stand in the block.
+SHORT = 12
 
 
 @dataclass(frozen=True)
@@ -75,20 +96,26 @@ class Template:
     words: tuple[str, ...]
     threshold: float
     exact: bool
+    name: tuple[str, ...] = ()
 
     @property
     def need(self) -> int:
         return math.ceil(self.threshold * len(set(self.words)) - 1e-9)
 
 
+def notice(label: str, name: str, words: str) -> Template:
+    """A notice that must name its license: the words of ``name`` stand consecutively in the matching block."""
+    seq = tuple(words.split())
+    return Template(label, seq, THRESHOLD if len(set(seq)) >= SHORT else 1.0, False, tuple(name.split()))
+
+
 def default_templates() -> list[Template]:
-    return ([Template(n, tuple(p.split()), 1.0, True) for n, p in PHRASES]
-            + [Template(n, tuple(p.split()), THRESHOLD, False) for n, p in NOTICES])
+    return [Template(n, tuple(p.split()), 1.0, True) for n, p in PHRASES] + [notice(*n) for n in NOTICES]
 
 
 def word_counts(docs: DataFrame, templates: list[Template], text: str = "text") -> dict[str, int]:
     """Occurrences over all documents of each template word (a fixed, small vocabulary)."""
-    vocabulary = sorted({w for t in templates for w in t.words})
+    vocabulary = sorted({w for t in templates for w in t.words + t.name})
     number = {w.encode(): i for i, w in enumerate(vocabulary)}
 
     def count(batches):
@@ -106,14 +133,22 @@ def word_counts(docs: DataFrame, templates: list[Template], text: str = "text")
     return {vocabulary[r["w"]]: r["n"] for r in rows}
 
 
+def stands(held: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Where ``words`` stand consecutively in ``held``."""
+    if len(held) < len(words):
+        return np.zeros(0, np.int64)
+    return np.flatnonzero((np.lib.stride_tricks.sliding_window_view(held, len(words)) == words).all(axis=1))
+
+
 class TemplateIndex:
     """Templates as word numbers in global frequency order, with the prefix index."""
 
     def __init__(self, templates: list[Template], counts: dict[str, int]):
-        order = sorted({w for t in templates for w in t.words}, key=lambda w: (counts.get(w, 0), w))
+        order = sorted({w for t in templates for w in t.words + t.name}, key=lambda w: (counts.get(w, 0), w))
         self.number = {w.encode(): i for i, w in enumerate(order)}
         self.templates = templates
         self.sequence = [np.array([self.number[w.encode()] for w in t.words]) for t in templates]
+        self.names = [np.array([self.number[w.encode()] for w in t.name], np.int64) for t in templates]
         self.sets = [np.unique(s) for s in self.sequence]  # ascending number = rarest first
         self.prefix: dict[int, list[tuple[int, int]]] = {}
         for k, t in enumerate(templates):
@@ -147,9 +182,10 @@ class TemplateIndex:
             overlap = len(np.intersect1d(distinct, have, assume_unique=True))
             if overlap < t.need:
                 continue
+            if len(self.names[k]) and not len(stands(held, self.names[k])):
+                continue
             if t.exact:
-                wins = np.lib.stride_tricks.sliding_window_view(held, step) if len(held) >= step else held[:0]
-                at = np.flatnonzero((wins == self.sequence[k]).all(axis=1)) if len(wins) else []
+                at = stands(held, self.sequence[k])
                 if not len(at):
                     continue
                 places.setdefault(k, set()).update(int(a) + block * step for a in at)
