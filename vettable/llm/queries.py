@@ -117,6 +117,45 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(docs).drop("text")
 
 
+def _license_sql() -> str:
+    """The same blocks as lists of words: no order of words, no filters, every block is counted."""
+    quote = lambda words: "string_split('" + " ".join(words) + "', ' ')"
+    values = ", ".join(f"({k}, '{t.label}', {str(t.exact).lower()}, {quote(t.words)}, '{' '.join(t.name)}', {t.threshold!r})"
+                       for k, t in enumerate(license_scan.default_templates()))
+    return rf"""
+WITH t(k, label, exact, words, name, threshold) AS (VALUES {values}),
+tt AS (SELECT *, len(words) AS n, len(list_distinct(words)) AS m,
+              CAST(ceil(threshold * len(list_distinct(words)) - 1e-9) AS BIGINT) AS need FROM t),
+d AS MATERIALIZED (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
+b AS (
+  SELECT doc_id, k, w[s + 1:s + 2 * n] AS blk
+  FROM (SELECT doc_id, w, k, n, unnest(range(0, len(w), n)) AS s FROM d, tt WHERE len(w) > 0) z),
+m AS (
+  SELECT doc_id, label, exact, k, c / m AS held
+  FROM (SELECT b.doc_id, b.blk, tt.*, len(list_intersect(list_distinct(b.blk), list_distinct(tt.words))) AS c
+        FROM b JOIN tt ON tt.k = b.k) z
+  WHERE c >= need AND contains(' ' || array_to_string(blk, ' ') || ' ',
+    CASE WHEN exact THEN ' ' || array_to_string(words, ' ') || ' ' WHEN name = '' THEN ' ' ELSE ' ' || name || ' ' END)),
+places AS (
+  SELECT doc_id, i, label
+  FROM (SELECT doc_id, w, unnest(range(0, len(w))) AS i FROM d) z JOIN tt ON exact AND w[i + 1:i + n] = words),
+base AS (
+  SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word,
+         string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM places GROUP BY doc_id),
+every AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(held) AS score
+          FROM m GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base,
+       CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score
+FROM d LEFT JOIN base ON base.doc_id = d.doc_id LEFT JOIN every ON every.doc_id = d.doc_id
+"""
+
+
+ORACLE["op9_license_scan"] = _license_sql()
+
+
 @register
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
