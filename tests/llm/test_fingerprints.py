@@ -1,4 +1,5 @@
 import hashlib
+import random
 import struct
 
 import xxhash
@@ -19,14 +20,15 @@ def hash_array(values):
     return signed(seed)
 
 
-def sketch(text, k=P.K, m=P.SKETCH):
-    h = [signed(xxhash.xxh64_intdigest(w.encode(), seed=42)) for w in H.re.split(r"[ \t\n\x0b\f\r]+", text) if w]
-    at = [i for i in range(len(h) - k + 1) if min(h[i:i + k]) in (h[i], h[i + k - 1])]
+def sketch(text, k=P.K, inner=P.INNER, m=P.SKETCH):
+    h = [signed(xxhash.xxh64_intdigest(text[i:i + inner].encode(), seed=42)) for i in range(len(text) - inner + 1)]
+    w = k - inner + 1
+    at = [i for i in range(len(text) - k + 1) if min(h[i:i + w]) in (h[i], h[i + w - 1])]
     places = {}
     for i in at:
-        places.setdefault(hash_array(h[i:i + k]), i)
-    if not at and h:
-        places = {hash_array(h): 0}
+        places.setdefault(hash_array([h[i], h[i + w // 2], h[i + w - 1]]), i)
+    if not at and text:
+        places = {signed(xxhash.xxh64_intdigest(text.encode(), seed=42)): 0}
     return dict(sorted(places.items())[:m])
 
 
@@ -61,6 +63,7 @@ def test_query_equals_brute_force(spark, monkeypatch):
     want = brute(H.rows(H.documents(spark), "doc_id", "text"))
     assert sorted(got) == sorted(want)
     near = [r[5] for r in got if r[1] > 500]
+    assert all(r[5] > 0 for r in got if r[1] >= 120)
     assert sum(near) / len(near) > 0.2 + sum(r[6] for r in got) / len(got)
 
 
@@ -76,6 +79,28 @@ def test_awkward_rows(spark, monkeypatch):
     assert sorted(H.rows(out, "score")) == sorted((show(sketch(t or "")),) for _, t in H.AWKWARD)
 
 
+def test_short_texts_and_texts_without_blanks_are_like_their_edited_texts(spark):
+    rng = random.Random(3)
+    chinese = "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(480))
+    letters = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(3000))
+    emoji = "".join(rng.choice("\U0001f600\U0001f601\U0001f602ab") for _ in range(200))
+    texts = [chinese, letters, emoji, "Only a few words stand in this short text, but half of it is kept.",
+             "Another short text of ten words or so, no more.", "unlike all"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in P.edit_likeness(docs).collect()}
+    assert all(got[i]["near_edited"] > 0.1 for i in range(5))
+    assert all(got[i]["near_next"] == 0 for i in range(6))
+    assert sorted(H.rows(P.edit_likeness(docs), *NAMES)) == sorted(brute(list(enumerate(texts))))
+
+
+def test_ranges_count_the_bounds_below(spark, monkeypatch):
+    monkeypatch.setattr(P, "RANGE_DOCS", 7)
+    ids = spark.range(0, 3000, 3).selectExpr("id * id AS doc_id").union(spark.sql("SELECT CAST(NULL AS LONG)"))
+    got = sorted(((d is not None, d or 0), r) for d, r in H.rows(ids.withColumn("r", P._ranges(ids)), "doc_id", "r"))
+    ranges = [r for _, r in got]
+    assert ranges == sorted(ranges) and len(set(ranges)) > 100 and max(map(ranges.count, ranges)) < 30
+
+
 def test_no_python_in_the_plan(spark):
     plan = queries.op8_syncmer_fingerprints(spark, H.SF)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
