@@ -64,3 +64,14 @@ def test_awkward_rows_and_removal(spark):
     assert odd.filter("contaminated").count() == 0 and odd.count() == len(H.AWKWARD)
     assert D.contamination(H.empty(spark), bench).count() == 0
     assert D.contamination(docs, bench.limit(0)).filter("contaminated").count() == 0
+
+
+def test_a_whole_short_item_is_cut(spark):
+    items = spark.createDataFrame([("s", "six words make one short item")], "item_id string, text string")
+    host = "A long host text of many plain words goes on and on, "
+    docs = spark.createDataFrame([(1, host + "Six words make one short item, and ends."), (2, host + "six words make one."),
+                                  (3, host)], "doc_id long, text string")
+    assert dict(H.rows(D.contamination(docs, items), "doc_id", "n_hit")) == {1: 6, 2: 0, 3: 0}
+    clean = D.decontaminate(docs, items)
+    assert dict(H.rows(clean, "doc_id", "text")) == {1: host + ", and ends.", 2: host + "six words make one.", 3: host}
+    assert not any(r["contaminated"] for r in D.contamination(clean, items).collect())

@@ -258,7 +258,8 @@ def _one_block(docs: DataFrame, shared, text: str, first: bool, removal: tuple[i
         for b in batches:
             texts, covered = [], []
             for raw, n, spans, _ in found(b, m):
-                cuts = [(lo, hi) for lo, hi in spans if hi - lo >= max_span]
+                # A span shorter than a window consists of whole short items.
+                cuts = [(lo, hi) for lo, hi in spans if hi - lo >= max_span or hi - lo < m.window]
                 covered.append(n > 0 and sum(hi - lo for lo, hi in spans) >= max_coverage * n)
                 texts.append(cut_spans(raw, cuts) if cuts else raw)
             whole = pa.array(texts, pa.binary()).cast(pa.string())
@@ -296,7 +297,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
     """``docs`` with its columns: covered documents go, hit spans leave the texts of the others.
 
     A document is dropped when hit words are ``max_coverage`` or more of its
-    words. Elsewhere each merged hit span of ``max_span`` or more words is cut.
+    words. Elsewhere each merged hit span of ``max_span`` or more words is cut, and so
+    is each span shorter than a window: it holds only whole items of fewer words.
     """
     names = docs.columns
     place = {n: f"c{i}" for i, n in enumerate(names)}  # names that no column of the match clashes with
