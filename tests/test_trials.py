@@ -194,3 +194,20 @@ def test_unbroadcast_plan_join_gives_the_same_outputs(spark):
         part = [r for r in rows if r[0] == ds]
         for cid, plan in CANDIDATES.items():
             assert sorted(got[(ds, cid)], key=lambda r: r[0]) == _replay(part, plan), (ds, cid)
+
+
+def test_the_pass_over_the_rows_has_as_few_functions_for_many_plans(spark):
+    """One function per plan and column made methods too long for the JVM to compile."""
+    from vettable.operators import trials as TR
+    columns = [f"c{k}" for k in range(8)]
+    src = spark.createDataFrame([("d", 1, *["x"] * 8), ("d", 2, *["NA"] * 8)],
+                                "dataset_id string, _row_id long, " + ", ".join(f"{c} string" for c in columns))
+    batch = {f"p{i}": [("STANDARDIZE_MISSING_MARKERS", [columns[i]])] for i in range(4)}
+    _, acts = candidate_batch(spark, spark.createDataFrame([("d", "f")], "dataset_id string, fingerprint string"), batch)
+    p = TR.programs(acts.select("dataset_id", "candidate_id").distinct(), acts)
+    facts = src.select("dataset_id", F.col("_row_id").alias("_o"), *TR._cell_facts(columns)).join(TR.slot_table(p, columns), "dataset_id")
+    counted = TR.variant_counts(facts, p.slots, len(columns))
+    assert len(counted.columns) == 6 + TR.N_LIMBS
+    rows = counted.collect()
+    assert {r.part: sum(x.n for x in rows if x.part == r.part) for r in rows} == {part: 2 for part in range(8 + 1 + 4)}
+    assert sorted((r.n, r.first) for r in rows if r.part == 0) == [(1, 1), (1, 2)]
