@@ -170,3 +170,23 @@ def test_small_blocks_and_shares_give_the_same(spark, monkeypatch):
     for percent, k, keys in ((90, 3, "parts"), (80, 5, "rare"), (80, 5, "parts")):
         got = H.rows(J.components_by_jaccard(docs, k=k, percent=percent, keys=keys), *NAMES)
         assert sorted(got) == sorted(brute(rows, percent, k))
+
+
+@pytest.mark.parametrize("block", [2_000, 5])
+def test_a_set_of_many_open_groups_travels_once(spark, monkeypatch, block):
+    # Near copies under and over 80 percent share rare shingles in many groups of different members.
+    rng = random.Random(11)
+    docs = [(100 * f + i, t) for f in range(3) for i, t in near_copies(rng, 30, words=150, edits=14)]
+    sent, joined = [], J._joined
+
+    def watched(rows, percent):
+        sent.append(J.written(rows.select("id", "g"), "watched"))
+        return joined(rows, percent)
+    monkeypatch.setattr(J, "_joined", watched)
+    monkeypatch.setattr(J, "BLOCK_SETS", block)
+    monkeypatch.setattr(J, "STAR_TURNS", 1)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = H.rows(J.components_by_jaccard(df, k=5, percent=80), *NAMES)
+    assert sorted(got) == sorted(brute(docs, 80, 5))
+    counts = (sent[0].count(), sent[0].select("id").distinct().count())
+    assert counts[0] == counts[1] > 4, counts
