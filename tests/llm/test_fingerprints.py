@@ -104,3 +104,9 @@ def test_ranges_count_the_bounds_below(spark, monkeypatch):
 def test_no_python_in_the_plan(spark):
     plan = queries.op8_syncmer_fingerprints(spark, H.SF)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_hashes_are_sorted_natively(spark):
+    # array_sort compares by an interpreted lambda, also without a comparator; sort_array sorts longs.
+    plan = P.edit_likeness(H.awkward(spark))._jdf.queryExecution().analyzed().toString()
+    assert "sort_array(" in plan and "array_sort(" not in plan

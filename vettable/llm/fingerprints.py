@@ -67,7 +67,7 @@ def _sketch(df: DataFrame, text: str, prefix: str, sketch: int) -> DataFrame:
     """The anchors of ``_anchors`` made to ``<prefix>hashes`` (ascending) and ``<prefix>places``."""
     at, every = f"{prefix}at", f"{prefix}every"
     whole = F.when(F.length(text) > 0, F.array(F.xxhash64(F.col(text)))).otherwise(F.array().cast("array<bigint>"))
-    kept = F.slice(F.array_sort(F.array_distinct(every)), 1, sketch)
+    kept = F.slice(F.sort_array(F.array_distinct(every)), 1, sketch)
     df = df.withColumn(f"{prefix}hashes", F.when(F.size(every) > 0, kept).otherwise(whole))
     place = lambda x: F.coalesce(
         F.get(F.col(at), (F.array_position(F.col(every), x) - 1).cast("int")), F.lit(0))
@@ -87,7 +87,7 @@ def as_string(prefix: str) -> Column:
 
 def likeness(a: str, b: str, sketch: int = SKETCH) -> Column:
     """Jaccard estimate of two hash sketches; two empty ones are alike."""
-    union = F.slice(F.array_sort(F.array_union(a, b)), 1, sketch)
+    union = F.slice(F.sort_array(F.array_union(a, b)), 1, sketch)
     both = F.size(F.array_intersect(F.array_intersect(union, F.col(a)), F.col(b)))
     return F.when(F.size(union) == 0, F.lit(1.0)).otherwise(both / F.size(union))
 
