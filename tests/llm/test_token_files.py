@@ -125,3 +125,36 @@ def test_the_memo_keeps_two_generations(monkeypatch):
     enc = tokenise.PieceEncoder(tokenise.read_definition(PATH), False)
     for t in ["one two three, four.\nFive six", "Éins zwei.\nDrei. one", "x\ny one two\n three four", "Five .\n six;seven"] * 3:
         assert [np.frombuffer(x, "<u2").tolist() for x in enc.encode([t])] == [reference(t)]
+
+
+@given(st.lists(st.text(alphabet=" \n\n\t\r\x0b\x1c\x85\xa0\u1680\u180e\u2003\u2028\u202f\u205f\u3000\u200b\ufeffabsZ,.'!1\u00b2é\u0301漢😀",
+                        max_size=30), max_size=8))
+@settings(deadline=None, max_examples=200)
+def test_cuts_and_joins_keep_the_ids_of_whole_texts(texts):
+    enc = tokenise.worker_encoder(tokenise.read_definition(PATH), False)
+    for part in (texts, [t.replace(" ", " Été, it's\nNo ") for t in texts] + ["", "x<|endoftext|>y z"]):
+        assert [np.frombuffer(x, "<u2").tolist() for x in enc.encode(part)] == [reference(t) for t in part]
+
+
+def test_new_pieces_reach_the_tokenizer_joined_and_once(monkeypatch):
+    letters = "abcdefgh"
+    words = [a + b + c + d + "q" for a in letters for b in letters for c in letters for d in letters]
+    text = "start " + " ".join(w + m for w, m in zip(words, ["", ",", ".", ".\nNext"] * len(words)))
+    enc, asked = tokenise.PieceEncoder(tokenise.read_definition(PATH), False), []
+    whole = enc._whole
+    monkeypatch.setattr(enc, "_whole", lambda texts: asked.extend(texts) or whole(texts))
+    assert [np.frombuffer(x, "<u2").tolist() for x in enc.encode([text, None, text])] == [reference(text), [], reference(text)]
+    assert sorted(w for t in asked for w in t.split() if w in set(words)) == words
+    assert len(asked) < len(words) // 32
+    asked.clear()
+    enc.encode([text])
+    assert asked == []
+
+
+def test_texts_wider_than_a_window_of_cuts(monkeypatch):
+    monkeypatch.setattr(tokenise, "CUT_BYTES", 7)
+    monkeypatch.setattr(tokenise, "OUT_PIECES", 3)
+    monkeypatch.setattr(tokenise, "JOINED", 2)
+    enc = tokenise.PieceEncoder(tokenise.read_definition(PATH), False)
+    texts = ["a \u3000 b\u2003 c\nd\n\ne", "", "Été à la mer, it's 12th.\nNext  one\u00a0 two " * 5, " ", "\nx"]
+    assert [np.frombuffer(x, "<u2").tolist() for x in enc.encode(texts)] == [reference(t) for t in texts]
