@@ -5,6 +5,7 @@ import pytest
 
 from vettable.llm import jaccard_join as J
 from vettable.llm import queries
+from vettable.llm.common import components
 from . import helpers as H
 
 
@@ -141,6 +142,34 @@ def test_awkward_rows_and_keeping_one(spark):
     assert J.keep_one_of_each(H.empty(spark)).count() == 0
 
 
+def test_the_driver_plans_few_jobs(spark):
+    """The driver's memory grows with the jobs it plans, each with its broadcasts and plans."""
+    rng = random.Random(12)
+    docs = near_copies(rng, 60, edits=9) + [(100 + i, f"own {i} " + " ".join(f"v{rng.randrange(10 ** 6)}" for _ in range(40))) for i in range(20)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    spark.sparkContext.setJobGroup("few-jobs", "one of each")
+    try:
+        kept = sorted(r["doc_id"] for r in J.keep_one_of_each(frame, k=5, percent=80).collect())
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert kept == sorted(d for d, _, c in brute(docs, 80, 5) if c == d)
+    n = len(spark.sparkContext.statusTracker().getJobIdsForGroup("few-jobs"))
+    assert 0 < n < 240, n
+
+
+def test_components_of_chains_hubs_and_random_edges(spark):
+    rng = random.Random(13)
+    for edges in ([(i, i + 1) for i in range(40)], [(100, i) for i in range(60)] + [(5, 200)], [(3, 3)], [],
+                  [(rng.randrange(-90, 90), rng.randrange(-90, 90)) for _ in range(80)] * 2):
+        root = {x: x for e in edges if e[0] != e[1] for x in e}
+        for _ in root:
+            for a, b in edges:
+                if a != b:
+                    root[a] = root[b] = min(root[a], root[b])
+        got = components(spark.createDataFrame(edges, "a long, b long"))
+        assert sorted(H.rows(got, "id", "root")) == sorted(root.items())
+
+
 def test_signatures_never_drop_a_link():
     rng = np.random.default_rng(7)
     for n in (1, 2, 5, 30, 127, 128, 129, 700, 3000):
